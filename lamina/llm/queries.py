@@ -6,20 +6,41 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lamina.llm import bpe
+from lamina.llm import bpe, langid, packing, qualitycnn
 from lamina.session import table
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
 
+def op2_bestfit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, packed into sequences of 4096 tokens."""
+    return packing.pack_documents(table(spark, sf_dir, "documents"), VOCABULARY)
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from documents outside the held-out quarter."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", langid.held_out("doc_id", 4, 2).alias("held_out"))
+    model = langid.learn(docs.where(~F.col("held_out")))
+    return langid.identify(docs.drop("lang"), model).drop("text")
+
+
+def op6_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality of every document, learned from labels outside the held-out quarter."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", langid.held_out("doc_id", 4, 2).alias("held_out"))
+    labels = table(spark, sf_dir, "labels").select("doc_id", "quality").where(~langid.held_out("doc_id", 4, 2) & F.col("quality").isNotNull())
+    model = qualitycnn.learn(docs.join(labels, "doc_id"))
+    return qualitycnn.score(docs, model).select("doc_id", "held_out", "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op9_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encoding and decoding of all documents."""
     return bpe.encode_documents(table(spark, sf_dir, "documents"), VOCABULARY, with_ids=False)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op9_bpe_codec,)}
+    return {f.__name__: f for f in (op2_bestfit_packing, op4_language_id, op6_quality_cnn, op9_bpe_codec)}
 
 
 def oracle_sql() -> dict[str, str]:
