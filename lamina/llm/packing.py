@@ -28,9 +28,9 @@ from lamina.llm import bpe
 from lamina.session import cut
 
 #: Lengths above this share of the capacity are large.
-LARGE = 1 / 8
+LARGE = 1 / 3
 #: Groups that large lengths are rounded in.
-GROUPS = 48
+GROUPS = 64
 #: Rows that a bucket of pieces has about; ranks are counted bucket by bucket.
 BUCKET_ROWS = 100_000
 
