@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 from lamina.llm import bpe
 from lamina.session import cut
 
-#: Lengths above this share of the capacity are large.
-LARGE = 1 / 3
+#: Shares of the capacity above which lengths are large; the plan with fewest sequences is taken.
+LARGE = (1 / 3, 1 / 4.5, 1 / 2)
 #: Groups that large lengths are rounded in.
 GROUPS = 64
 #: Rows that a bucket of pieces has about; ranks are counted bucket by bucket.
@@ -85,7 +85,19 @@ def configurations(sizes: np.ndarray, demand: np.ndarray, capacity: int, rounds:
     return [(int(n), basis[:, k].round().astype(np.int64)) for k, v in enumerate(x) if (n := np.floor(v + 1e-6)) >= 1]
 
 
-def make_plan(histogram: dict[int, int], capacity: int, large: float = LARGE, groups: int = GROUPS) -> Plan:
+def best_plan(histogram: dict[int, int], capacity: int, larges: tuple[float, ...] = LARGE, groups: int = GROUPS) -> Plan:
+    """The plan of fewest sequences among those for the given bounds of large lengths; the first that needs no more than any must is taken at once."""
+    best, least = None, -(-sum(x * n for x, n in histogram.items()) // capacity)
+    for large in larges:
+        plan = make_plan(histogram, capacity, large, groups)
+        if best is None or plan.n_sequences < best.n_sequences:
+            best = plan
+        if best.n_sequences <= least:
+            break
+    return best
+
+
+def make_plan(histogram: dict[int, int], capacity: int, large: float, groups: int = GROUPS) -> Plan:
     """The plan for so many pieces of each length (1 to ``capacity``)."""
     runs: list[tuple[int, tuple[tuple[int, int], ...], int]] = []  # sequences, (length, copies) in order, room left
     left = {length: n for length, n in histogram.items() if n > 0}
@@ -228,7 +240,7 @@ def pack(items: DataFrame, capacity: int, order: list[str], length_col: str = "l
     items = items.withColumn("_b", F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int"))
     sizes = items.groupBy("_b", F.col(length_col).alias("_l")).agg(F.count("*").alias("_n"))
     histogram = {r["_l"]: r["n"] for r in sizes.groupBy("_l").agg(F.sum("_n").alias("n")).collect()}  # a row for each length at most
-    plan = make_plan(histogram, capacity)
+    plan = best_plan(histogram, capacity)
     before = F.coalesce(F.sum("_n").over(Window.partitionBy("_l").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     first = sizes.select("_b", "_l", before.alias("_first"))
     rank = F.row_number().over(Window.partitionBy("_b", length_col).orderBy(*order))

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamina.llm import bpe, langid, packing, qualitycnn
+from lamina.llm import bpe, exactdedup, langid, neardup, packing, qualitycnn
 from lamina.session import table
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -34,14 +34,41 @@ def op6_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return qualitycnn.score(docs, model).select("doc_id", "held_out", "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact copies among all documents; no text is changed before comparison."""
+    return exactdedup.exact_duplicates(table(spark, sf_dir, "documents"))
+
+
+OP7_SQL = """SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept,
+ sha256(coalesce(text, '')) AS text_sha256 FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))"""
+
+
+def op8_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near copies among all documents, on two-word shingles."""
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), shingle=2)
+
+
+#: Links from an inverted index of shingles: every pair that shares one is compared on the full sets.
+OP8_SQL = """WITH RECURSIVE w AS (
+ SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 2 THEN [ws[1]]
+  ELSE list_distinct(list_transform(range(1, len(ws)), lambda k: ws[k] || ' ' || ws[k + 1])) END AS sh FROM w),
+e AS (SELECT doc_id, len(sh) AS n, unnest(sh) AS g FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b FROM e a JOIN e b ON a.g = b.g AND a.doc_id <> b.doc_id AND least(a.n, b.n) * 100 >= 80 * greatest(a.n, b.n)
+  GROUP BY a.doc_id, b.doc_id HAVING 100 * count(*) >= 80 * (max(a.n) + max(b.n) - count(*))),
+r AS (SELECT doc_id, doc_id AS c FROM s UNION SELECT p.a, r.c FROM r JOIN p ON p.b = r.doc_id)
+SELECT s.doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, min(c) AS component_id, s.doc_id = min(c) AS kept
+FROM s JOIN r ON r.doc_id = s.doc_id GROUP BY s.doc_id, len(sh)"""
+
+
 def op9_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encoding and decoding of all documents."""
     return bpe.encode_documents(table(spark, sf_dir, "documents"), VOCABULARY, with_ids=False)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_bestfit_packing, op4_language_id, op6_quality_cnn, op9_bpe_codec)}
+    return {f.__name__: f for f in (op2_bestfit_packing, op4_language_id, op6_quality_cnn, op7_exact_dedup, op8_minhash_neardup, op9_bpe_codec)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_exact_dedup": OP7_SQL, "op8_minhash_neardup": OP8_SQL}
