@@ -8,10 +8,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamina.llm import bpe, exactdedup, langid, neardup, packing, qualitycnn
+from lamina.llm import bpe, exactdedup, langid, latticelm, neardup, packing, qualitycnn
 from lamina.session import table
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op1_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probabilities of all documents, learned from nine tenths of them."""
+    return latticelm.score_documents(table(spark, sf_dir, "documents"), PIECES, langid.held_out("doc_id", 10, 0))
 
 
 def op2_bestfit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,7 +73,7 @@ def op9_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_bestfit_packing, op4_language_id, op6_quality_cnn, op7_exact_dedup, op8_minhash_neardup, op9_bpe_codec)}
+    return {f.__name__: f for f in (op1_lattice_lm, op2_bestfit_packing, op4_language_id, op6_quality_cnn, op7_exact_dedup, op8_minhash_neardup, op9_bpe_codec)}
 
 
 def oracle_sql() -> dict[str, str]:
