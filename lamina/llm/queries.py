@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamina.llm import bpe, exactdedup, langid, latticelm, neardup, packing, qualitycnn
+from lamina.llm import bpe, exactdedup, langid, latticelm, linerules, neardup, packing, qualitycnn
 from lamina.session import table
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -25,6 +25,32 @@ def op2_bestfit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), VOCABULARY)
 
 
+def op3_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line rules over all documents."""
+    return linerules.apply_rules(table(spark, sf_dir, "documents"), with_text=False)
+
+
+OP3_SQL = f"""WITH w AS (
+ SELECT doc_id, text, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+win AS (SELECT doc_id, k, count(*) OVER (PARTITION BY doc_id, a, b, c) AS n FROM (
+  SELECT doc_id, k, ws[k] AS a, ws[k + 1] AS b, ws[k + 2] AS c FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS k FROM w))),
+rep AS (SELECT doc_id, count(DISTINCT k + d) AS n FROM win, (VALUES (0), (1), (2)) AS o(d) WHERE win.n > 1 GROUP BY doc_id),
+l AS (SELECT doc_id, line FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents)
+  WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]')),
+c AS (SELECT doc_id, line, length(line) AS size, len(regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+')) AS n,
+  len(regexp_extract_all(line, '{linerules.SHOUT}')) AS shout, len(regexp_extract_all(line, '{linerules.SYMBOLS}')) AS symbol,
+  len(regexp_extract_all(line, '{linerules.BARS}')) AS bar, len(regexp_extract_all(line, '{linerules.SENTENCE}')) AS mark FROM l),
+f AS (SELECT *, (shout >= 2 AND 4 * shout >= n) OR (symbol >= 3 AND 2 * symbol >= n) OR (n >= 20 AND mark = 0)
+  OR (bar >= 2 AND 6 * bar >= n) OR (n <= 2 AND mark = 0) OR regexp_matches(line, '{linerules.BOILERPLATE}') AS bad FROM c),
+g AS (SELECT doc_id, count(*) - count(DISTINCT line) AS dup, sum(size) AS line_chars, coalesce(sum(size) FILTER (bad), 0) AS lost_chars FROM f GROUP BY doc_id),
+b AS (SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+  CAST(len(regexp_extract_all(coalesce(text, ''), '{linerules.SYMBOLS}')) AS BIGINT) AS n_symbols, CAST(coalesce(dup, 0) AS BIGINT) AS n_dup_lines,
+  CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words, CAST(coalesce(lost_chars, 0) AS BIGINT) AS lost_chars, CAST(coalesce(line_chars, 0) AS BIGINT) AS line_chars
+  FROM w LEFT JOIN rep USING (doc_id) LEFT JOIN g USING (doc_id))
+SELECT *, n_words < {linerules.LEAST_WORDS} OR 100 * n_repeat_words > {linerules.MOST_REPEATED} * n_words AS base_failed,
+ NOT (n_words < {linerules.LEAST_WORDS} OR 100 * n_repeat_words > {linerules.MOST_REPEATED} * n_words) AND 100 * lost_chars <= {linerules.MOST_LOST} * line_chars AS kept FROM b"""
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document, learned from documents outside the held-out quarter."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", langid.held_out("doc_id", 4, 2).alias("held_out"))
@@ -73,8 +99,8 @@ def op9_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_lattice_lm, op2_bestfit_packing, op4_language_id, op6_quality_cnn, op7_exact_dedup, op8_minhash_neardup, op9_bpe_codec)}
+    return {f.__name__: f for f in (op1_lattice_lm, op2_bestfit_packing, op3_line_rules, op4_language_id, op6_quality_cnn, op7_exact_dedup, op8_minhash_neardup, op9_bpe_codec)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_exact_dedup": OP7_SQL, "op8_minhash_neardup": OP8_SQL}
+    return {"op3_line_rules": OP3_SQL, "op7_exact_dedup": OP7_SQL, "op8_minhash_neardup": OP8_SQL}
