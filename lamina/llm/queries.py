@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamina.llm import bpe, exactdedup, langid, latticelm, linerules, neardup, packing, qualitycnn
+from lamina.llm import bpe, exactdedup, langid, latticelm, linerules, neardup, packing, qualitycnn, warc
 from lamina.session import table
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -58,6 +58,20 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs.drop("lang"), model).drop("text")
 
 
+def op5_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written as archives, read back and indexed."""
+    index = warc.archive_and_index(table(spark, sf_dir, "pages"))
+    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP5_SQL = """WITH p AS (SELECT page_id, coalesce(html, '') AS body, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS original FROM pages),
+h AS (SELECT *, sha1(body) AS d, page_id <> original AS again FROM p)
+SELECT page_id, CAST(strlen(body) AS BIGINT) AS payload_bytes,
+ array_to_string(list_transform(range(0, 32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+  ((CAST('0x' || substr(d, 5 * (k // 4) + 1, 5) AS BIGINT) >> (15 - 5 * (k % 4))) & 31) + 1, 1)), '') AS payload_digest,
+ CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN again THEN original END AS refers_to FROM h"""
+
+
 def op6_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The quality of every document, learned from labels outside the held-out quarter."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", langid.held_out("doc_id", 4, 2).alias("held_out"))
@@ -99,8 +113,8 @@ def op9_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_lattice_lm, op2_bestfit_packing, op3_line_rules, op4_language_id, op6_quality_cnn, op7_exact_dedup, op8_minhash_neardup, op9_bpe_codec)}
+    return {f.__name__: f for f in (op1_lattice_lm, op2_bestfit_packing, op3_line_rules, op4_language_id, op5_warc_index, op6_quality_cnn, op7_exact_dedup, op8_minhash_neardup, op9_bpe_codec)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_line_rules": OP3_SQL, "op7_exact_dedup": OP7_SQL, "op8_minhash_neardup": OP8_SQL}
+    return {"op3_line_rules": OP3_SQL, "op5_warc_index": OP5_SQL, "op7_exact_dedup": OP7_SQL, "op8_minhash_neardup": OP8_SQL}
