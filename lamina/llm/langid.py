@@ -35,16 +35,22 @@ def held_out(id_col: str, modulus: int, remainder: int) -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % modulus == remainder
 
 
-def sample_windows(docs: DataFrame, label_col: str, text_col: str, id_col: str, per_label: int, per_doc: int, length: int) -> list:
-    """Rows (label, windows) of about ``per_label`` documents of each label, collected: the bound is the two parameters times the labels."""
-    docs = docs.where(F.col(label_col).isNotNull() & F.col(text_col).isNotNull())
-    counts = {r[0]: r[1] for r in docs.groupBy(label_col).count().collect()}
+def sampled(rows: DataFrame, label_col: str, id_col: str, per_label: int) -> DataFrame | None:
+    """Of each label about ``per_label`` of the rows, chosen by a hash of the id; None where no row has a label."""
+    counts = {r[0]: r[1] for r in rows.where(F.col(label_col).isNotNull()).groupBy(label_col).count().collect()}
     if not counts:
-        return []
+        return None
     share = F.lit(None)
     for label, n in counts.items():
         share = F.when(F.col(label_col) == F.lit(label), F.lit(min(1.0, per_label / n))).otherwise(share)
-    picked = docs.where(F.pmod(F.xxhash64(id_col, F.lit(17)), F.lit(1 << 20)) < share * (1 << 20))
+    return rows.where(F.pmod(F.xxhash64(id_col, F.lit(17)), F.lit(1 << 20)) < share * (1 << 20))
+
+
+def sample_windows(picked: DataFrame | None, label_col: str, text_col: str, id_col: str, per_doc: int, length: int) -> list:
+    """Rows (label, windows) of a sample of documents, collected: up to ``per_doc`` windows of each."""
+    if picked is None:
+        return []
+    picked = picked.where(F.col(text_col).isNotNull())
     picked = picked.select(F.col(label_col).cast("string").alias("label"), F.col(text_col).alias("t"), F.col(id_col).alias("i"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -59,7 +65,7 @@ def sample_windows(docs: DataFrame, label_col: str, text_col: str, id_col: str,
 
 def learn(docs: DataFrame, label_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", per_label: int = SAMPLE_DOCS) -> tuple[list[str], Net | None]:
     """Languages and the network, from rows with a label; every row given may be learned from."""
-    rows = sample_windows(docs, label_col, text_col, id_col, per_label, SAMPLE_WINDOWS, LENGTH)
+    rows = sample_windows(sampled(docs, label_col, id_col, per_label), label_col, text_col, id_col, SAMPLE_WINDOWS, LENGTH)
     names = sorted({r["label"] for r in rows})
     if len(names) < 2:
         return names, None

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from lamina.llm.arrowtext import slices, utf8
 from lamina.llm.bytecnn import Net, padded, shape_classes, windows
-from lamina.llm.langid import sample_windows
+from lamina.llm.langid import sample_windows, sampled
 
 LENGTH, STRIDE = 384, 320
 SAMPLE_DOCS, SAMPLE_CHUNKS = 1500, 6
@@ -54,9 +54,19 @@ class Quality:
         return 1 / (1 + np.exp(-self.features(self.net.logits(data, start, end)[:, 0].astype(float), text, n) @ self.weights))
 
 
-def learn(docs: DataFrame, label_col: str = "quality", text_col: str = "text", id_col: str = "doc_id", per_label: int = SAMPLE_DOCS) -> Quality:
-    """A model from rows with a label 0 or 1; every row given may be learned from."""
-    rows = sample_windows(docs.where(F.col(label_col).isin(0, 1)), label_col, text_col, id_col, per_label, SAMPLE_CHUNKS, LENGTH)
+def learn(docs: DataFrame, labels: DataFrame, label_col: str = "quality", text_col: str = "text", id_col: str = "doc_id", per_label: int = SAMPLE_DOCS) -> Quality:
+    """A model from the documents that ``labels`` has a label 0 or 1 for; every label given may be learned from.
+
+    Only the sampled labels, whose number is checked, meet the documents.
+    """
+    picked = sampled(labels.select(id_col, label_col).where(F.col(label_col).isin(0, 1)), label_col, id_col, per_label)
+    few = picked.select(id_col, label_col).collect() if picked is not None else []
+    if len(few) > 8 * per_label:
+        raise RuntimeError(f"{len(few)} labels were sampled where about {2 * per_label} were expected")
+    if not few:
+        return Quality()
+    chosen = docs.sparkSession.createDataFrame(few, picked.schema)
+    rows = sample_windows(docs.select(id_col, text_col).join(F.broadcast(chosen), id_col), label_col, text_col, id_col, SAMPLE_CHUNKS, LENGTH)
     labels = np.array([int(r["label"]) for r in rows])
     if len(set(labels.tolist())) < 2:
         return Quality(None, float(labels[0]) if len(labels) else 0.5)

@@ -75,8 +75,7 @@ SELECT page_id, CAST(strlen(body) AS BIGINT) AS payload_bytes,
 def op6_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The quality of every document, learned from labels outside the held-out quarter."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", langid.held_out("doc_id", 4, 2).alias("held_out"))
-    labels = table(spark, sf_dir, "labels").select("doc_id", "quality").where(~langid.held_out("doc_id", 4, 2) & F.col("quality").isNotNull())
-    model = qualitycnn.learn(docs.join(labels, "doc_id"))
+    model = qualitycnn.learn(docs, table(spark, sf_dir, "labels").where(~langid.held_out("doc_id", 4, 2)))
     return qualitycnn.score(docs, model).select("doc_id", "held_out", "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
