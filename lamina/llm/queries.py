@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamina.llm import bpe, exactdedup, langid, latticelm, linerules, neardup, packing, qualitycnn, warc
+from lamina.llm import bpe, exactdedup, langid, latticelm, linerules, neardup, packing, pii, qualitycnn, warc
 from lamina.session import table
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -111,8 +111,13 @@ def op9_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), VOCABULARY, with_ids=False)
 
 
+def op10_pii_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in all documents."""
+    return pii.summary(pii.personal_data(table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_lattice_lm, op2_bestfit_packing, op3_line_rules, op4_language_id, op5_warc_index, op6_quality_cnn, op7_exact_dedup, op8_minhash_neardup, op9_bpe_codec)}
+    return {f.__name__: f for f in (op1_lattice_lm, op2_bestfit_packing, op3_line_rules, op4_language_id, op5_warc_index, op6_quality_cnn, op7_exact_dedup, op8_minhash_neardup, op9_bpe_codec, op10_pii_bootstrap)}
 
 
 def oracle_sql() -> dict[str, str]:
