@@ -5,32 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from lamina.session import table
+from lamina.plans import volumes
 
-#: 32**3 voxels, absent rows are 0 (values 5 to 250 in steps of 5).
-VOXEL_SQL = """SELECT CAST(l_orderkey % 32 AS INT) AS z, CAST(l_partkey % 32 AS INT) AS y,
- CAST(l_suppkey % 32 AS INT) AS x, CAST(MAX(CAST(floor(l_quantity) AS BIGINT)) * 5 AS INT) AS v
- FROM lineitem GROUP BY 1, 2, 3"""
-
-
-def voxels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The derived volume, ``voxel(z, y, x, v)``."""
-    li = table(spark, sf_dir, "lineitem")
-    axes = [(F.col(c) % 32).cast("int").alias(n) for c, n in (("l_orderkey", "z"), ("l_partkey", "y"), ("l_suppkey", "x"))]
-    return li.groupBy(*axes).agg((F.max(F.floor("l_quantity").cast("long")) * 5).cast("int").alias("v"))
-
-
-def a1_pyramid_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """2x2x2 box mean, rounded half up; absent children count as 0."""
-    v = voxels(spark, sf_dir)
-    return v.groupBy(*(F.expr(f"{c} div 2").cast("int").alias(c) for c in "zyx")).agg(F.expr("(sum(v) + 4) div 8").cast("int").alias("v"))
+ALL = volumes.QUERIES
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"a1_pyramid_mean": a1_pyramid_mean}
+    return {name: query for name, (query, _) in ALL.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"a1_pyramid_mean": f"SELECT CAST(z // 2 AS INT) AS z, CAST(y // 2 AS INT) AS y, CAST(x // 2 AS INT) AS x, CAST((sum(v) + 4) // 8 AS INT) AS v FROM ({VOXEL_SQL}) GROUP BY 1, 2, 3"}
+    return {name: sql for name, (_, sql) in ALL.items() if sql}
