@@ -19,8 +19,8 @@ def _off(r: int) -> str:
 def _clamp(r: int, body: str) -> str:
     """Dense voxels joined with their clamped neighbours as ``nb(z, y, x, v, u)``, then ``body``."""
     near = lambda c: f"greatest(0, least(31, a.{c} + d{c}))"
-    return with_sql("voxel grid dense", f", {_off(r)}, at AS (SELECT a.z, a.y, a.x, a.v, {near('z')} AS nz, {near('y')} AS ny, {near('x')} AS nx FROM dense a, off),
-nb AS (SELECT a.z, a.y, a.x, a.v, b.v AS u FROM at a JOIN dense b ON b.z = a.nz AND b.y = a.ny AND b.x = a.nx)\n{body}")
+    return with_sql("voxel grid dense", f""", {_off(r)}, place AS (SELECT a.z, a.y, a.x, a.v, {near('z')} AS nz, {near('y')} AS ny, {near('x')} AS nx FROM dense a, off),
+nb AS (SELECT a.z, a.y, a.x, a.v, b.v AS u FROM place a JOIN dense b ON b.z = a.nz AND b.y = a.ny AND b.x = a.nx)\n{body}""")
 
 
 POINTS = [(0, 0, 0, 0, 0), (40, 10, 20, 30, 0), (128, 128, 64, 32, 90), (255, 255, 255, 255, 255)]
