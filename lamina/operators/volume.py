@@ -147,7 +147,7 @@ def transfer_table(spark: SparkSession, points: Sequence[tuple[int, int, int, in
     every = spark.range(256).select(F.col("id").cast("int").alias("v"))
     first, last = points[0], points[-1]
     inside = every.join(F.broadcast(lo), (F.col("v") >= F.col("v0")) & (F.col("v") < F.col("v1")))
-    mix = [F.expr(f"{c}0 + ({c}1 - {c}0) * (v - v0) div (v1 - v0)").cast("int").alias(c) for c in "rgba"]
+    mix = [F.expr(f"({c}0 * (v1 - v) + {c}1 * (v - v0)) div (v1 - v0)").cast("int").alias(c) for c in "rgba"]
     ends = every.where((F.col("v") < first[0]) | (F.col("v") >= last[0]))
     flat = [F.when(F.col("v") < first[0], first[k + 1]).otherwise(last[k + 1]).cast("int").alias(c) for k, c in enumerate("rgba")]
     return inside.select("v", *mix).union(ends.select("v", *flat))

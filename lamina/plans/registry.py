@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lamina.plans import surfaces, volumes
+from lamina.plans import points, surfaces, volumes
 
-ALL = volumes.QUERIES | surfaces.QUERIES
+ALL = volumes.QUERIES | surfaces.QUERIES | points.QUERIES
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -25,7 +25,7 @@ nb AS (SELECT a.z, a.y, a.x, a.v, b.v AS u FROM place a JOIN dense b ON b.z = a.
 
 POINTS = [(0, 0, 0, 0, 0), (40, 10, 20, 30, 0), (128, 128, 64, 32, 90), (255, 255, 255, 255, 255)]
 _TF = " UNION ALL ".join(
-    f"SELECT CAST(k AS INT) AS v, " + ", ".join(f"CAST({p[j + 1]} + ({q[j + 1] - p[j + 1]}) * (k - {p[0]}) // {q[0] - p[0]} AS INT) AS {c}" for j, c in enumerate("rgba")) + f" FROM (SELECT unnest(range({p[0]}, {q[0]})) AS k)"
+    f"SELECT CAST(k AS INT) AS v, " + ", ".join(f"CAST(({p[j + 1]} * ({q[0]} - k) + {q[j + 1]} * (k - {p[0]})) // {q[0] - p[0]} AS INT) AS {c}" for j, c in enumerate("rgba")) + f" FROM (SELECT unnest(range({p[0]}, {q[0]})) AS k)"
     for p, q in zip(POINTS, POINTS[1:], strict=False)
 ) + f" UNION ALL SELECT 255, {', '.join(str(x) for x in POINTS[-1][1:])}"
 
