@@ -4,10 +4,14 @@ Every text's set of word shingles gets a SuperMinHash signature. Texts of equal
 from the start, known by the least id. Signatures are cut into bands; texts of different sets that
 agree in a whole band share a bucket. In each bucket every member is compared with the least one;
 confirmed links make components. Buckets whose members then lie in one component are done; in the
-others all members of different components are compared by signature, and the promising pairs are
-confirmed on the full sets. Large buckets are dealt out in pairs of blocks, so nothing is left out.
-With 40 bands of 6 a link of similarity 0.8 is overlooked with a probability of about 5e-6, and
-signatures of 240 places that agree in fewer than 62 of 100 places with one of about 1e-9.
+others all members of different components are compared by signature. Members that promising pairs
+connect come together once more with their full sets: pairs are confirmed in the order of promise,
+links join components at once, and pairs that are joined by then need no confirmation. So a large
+group costs few confirmations where it holds together, and no pair leaves its task but as a link.
+Large buckets and groups are dealt out in pairs of blocks, and where even these would be many, the
+members meet bucket by bucket, so nothing is left out. With 40 bands of 6 a link
+of similarity 0.8 is overlooked with a probability of about 5e-6, and signatures of 240 places
+that agree in fewer than 68 of 100 places with one of about 2e-6.
 
 Defined results: a text that is null or has no word has an empty set and is linked with nothing; a
 text with fewer words than a shingle has one shingle of all its words; rows that repeat an id are
@@ -31,9 +35,13 @@ from lamina.session import cut
 
 BANDS, ROWS = 40, 6
 #: Share of equal signature places under which a pair can't reach the similarity asked for.
-SLACK = 0.18
+SLACK = 0.12
 #: Members of a bucket that one task compares with one another.
-BLOCK_MEMBERS = 2000
+BLOCK_MEMBERS = 1000
+#: Blocks of a group up to which its members meet in pairs of blocks; in larger groups they meet in their buckets.
+MOST_BLOCKS = 10
+#: Pairs confirmed before components are looked at again.
+CONFIRMED_AT_ONCE = 256
 
 
 def sketches(docs: DataFrame, shingle: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -116,47 +124,133 @@ def verified(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int, id_c
     return both.mapInArrow(run, "a long, b long, linked boolean")
 
 
-def _across(members: DataFrame, similarity: float) -> DataFrame:
-    """Promising pairs of different components among the members (k, i, j, id, comp, n, sig) of each group (k, i, j)."""
+def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray, np.ndarray]]:
+    """Tables of whole groups, and where each group starts and ends, from batches sorted by the keys."""
+    rest = None
+    change = lambda c: np.concatenate(([True], np.any([x[1:] != x[:-1] for x in c], axis=0)))
+    for batch in batches:
+        t = pa.Table.from_batches([batch])
+        rest = pa.concat_tables([rest, t]) if rest is not None else t
+        last = int(np.flatnonzero(change([np.asarray(rest.column(k)) for k in keys]))[-1]) if len(rest) else 0
+        if last:
+            whole, rest = rest.slice(0, last).combine_chunks(), rest.slice(last)
+            start = np.flatnonzero(change([np.asarray(whole.column(k)) for k in keys]))
+            yield whole, start, np.append(start[1:], len(whole))
+    if rest is not None and len(rest):
+        yield rest.combine_chunks(), np.zeros(1, np.int64), np.array([len(rest)])
+
+
+def _promising(t: pa.Table, start: np.ndarray, end: np.ndarray, similarity: float) -> Iterator[np.ndarray]:
+    """Rows (first, second, agreement) of promising pairs of different components inside the groups."""
     least = int((similarity - SLACK) * BANDS * ROWS)
+    i, j, own, ids, comp, n = (np.asarray(t.column(c)) for c in ("i", "j", "block", "id", "comp", "n"))
+    sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint8).reshape(-1, BANDS * ROWS)
+    group_end = np.repeat(end, end - start)
+    at = np.arange(len(ids))
+    for d in range(1, int((end - start).max()) if len(start) else 0):
+        at = at[at + d < group_end[at]]
+        x, y = at, at + d
+        on = (comp[x] != comp[y]) & (ids[x] != ids[y]) & (np.minimum(n[x], n[y]) >= similarity * np.maximum(n[x], n[y]) - 1e-6) & ((own[x] != own[y]) | (i[x] == j[x]))
+        x, y = x[on], y[on]
+        for a in range(0, len(x), 20_000):
+            u, v = x[a : a + 20_000], y[a : a + 20_000]
+            agree = (sig[u] == sig[v]).sum(1)
+            good = agree >= least
+            yield np.stack((u[good], v[good], agree[good]))
+
 
-    def pairs(t: pa.Table) -> pa.RecordBatch:
-        t = t.combine_chunks()
-        key, i, j, own, ids, comp, n = (np.asarray(t.column(c)) for c in ("k", "i", "j", "block", "id", "comp", "n"))
-        sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint8).reshape(-1, BANDS * ROWS)
-        out = []
-        start = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]))))
-        end = np.append(start[1:], len(key))
-        group_end = np.repeat(end, end - start)
-        at = np.arange(len(key))
-        for d in range(1, int((end - start).max()) if len(start) else 0):
-            at = at[at + d < group_end[at]]
-            x, y = at, at + d
-            on = (comp[x] != comp[y]) & (ids[x] != ids[y]) & (np.minimum(n[x], n[y]) >= similarity * np.maximum(n[x], n[y]) - 1e-6) & ((own[x] != own[y]) | (i[x] == j[x]))
-            x, y = x[on], y[on]
-            for a in range(0, len(x), 20_000):
-                u, v = x[a : a + 20_000], y[a : a + 20_000]
-                good = (sig[u] == sig[v]).sum(1) >= least
-                out.append(np.stack((ids[u[good]], ids[v[good]])))
-        got = np.concatenate(out, 1) if out else np.zeros((2, 0), np.int64)
-        return pa.RecordBatch.from_pydict({"a": pa.array(got.min(0) if got.size else got[0]), "b": pa.array(got.max(0) if got.size else got[0])})
+def _unsettled(members: DataFrame, similarity: float) -> DataFrame:
+    """Of the members (k, i, j, block, id, comp, n, sig) of groups (k, i, j) those in a promising pair of different components; ``root`` is
+    the least id that the group's promising pairs connect a member with."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = None
-        for batch in batches:
-            t = pa.Table.from_batches([batch])
-            t = pa.concat_tables([rest, t]) if rest is not None else t
-            k, i, j = (np.asarray(t.column(c)) for c in ("k", "i", "j"))
-            same = (k == k[-1]) & (i == i[-1]) & (j == j[-1])
-            first = int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0
-            if first:
-                yield pairs(t.slice(0, first))
-            rest = t.slice(first)
-        if rest is not None:
-            yield pairs(rest)
+        for t, start, end in _groups(batches, ["k", "i", "j"]):
+            ids = np.asarray(t.column("id"))
+            hit = np.zeros(len(t), bool)
+            root = np.arange(len(t))
+            for u, v, _ in _promising(t, start, end, similarity):
+                hit[u] = hit[v] = True
+                while len(u):  # hooking and pointer jumping
+                    a, b = root[u], root[v]
+                    np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+                    while not np.array_equal(root, root[root]):
+                        root = root[root]
+                    apart = root[u] != root[v]
+                    u, v = u[apart], v[apart]
+            least = ids.copy()
+            np.minimum.at(least, root, ids)
+            t = t.select(["k", "i", "j", "block", "id", "comp"]).append_column("root", pa.array(least[root]))
+            yield from t.filter(pa.array(hit)).to_batches()
 
     members = members.repartition("k", "i", "j").sortWithinPartitions("k", "i", "j")
-    return members.mapInArrow(run, "a long, b long").distinct()
+    return members.mapInArrow(run, "k long, i int, j int, block int, id long, comp long, root long")
+
+
+def _confirmed(t: pa.Table, pairs: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Links among the pairs of one group that join components, on the full sets."""
+    ids, comp = np.asarray(t.column("id")), np.unique(np.asarray(t.column("comp")), return_inverse=True)[1]
+    sets = [np.frombuffer(b, np.uint64) for b in t.column("set").to_pylist()]
+    bands, band = np.asarray(t.column("bands").combine_chunks().flatten()).reshape(-1, BANDS), np.asarray(t.column("k"))
+    u, v = pairs[0], pairs[1]
+    mine = np.ones(len(u), bool)
+    for a in range(0, len(u) if t.column("bucket")[0].as_py() else 0, 20_000):  # a pair is looked at in the first bucket it shares only
+        x, y = bands[u[a : a + 20_000]], bands[v[a : a + 20_000]]
+        first = (x == y).argmax(1)
+        mine[a : a + 20_000] = x[np.arange(len(x)), first] == band[u[a : a + 20_000]]
+    u, v, agree = u[mine], v[mine], pairs[2][mine]
+    order = np.argsort(-agree, kind="stable")
+    u, v, out = u[order], v[order], []
+    while len(u):
+        for x, y in zip(u[:CONFIRMED_AT_ONCE].tolist(), v[:CONFIRMED_AT_ONCE].tolist(), strict=True):
+            if comp[x] != comp[y]:
+                p, q = sets[x], sets[y]
+                at = np.searchsorted(q, p)
+                shared = int((q[np.minimum(at, len(q) - 1)] == p).sum())
+                if 100 * shared >= percent * (len(p) + len(q) - shared):
+                    out.append((int(ids[x]), int(ids[y])))
+                    comp[comp == comp[y]] = comp[x]
+        u, v = u[CONFIRMED_AT_ONCE:], v[CONFIRMED_AT_ONCE:]
+        apart = comp[u] != comp[v]
+        u, v = u[apart], v[apart]
+    return out
+
+
+def _links_across(members: DataFrame, similarity: float, percent: int) -> DataFrame:
+    """Links (u, v) between different components among members (bucket, k, i, j, block, id, comp, n, sig, bands, set) of the groups
+    (bucket, k, i, j), where ``bucket`` tells whether k is a bucket."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, start, end in _groups(batches, ["bucket", "k", "i", "j"]):
+            for a, b in zip(start.tolist(), end.tolist(), strict=True):
+                part = t.slice(a, b - a)
+                found = list(_promising(part, np.zeros(1, np.int64), np.array([b - a]), similarity))
+                links = _confirmed(part, np.concatenate(found, 1), percent) if found else []
+                if links:
+                    yield pa.RecordBatch.from_pydict({"u": pa.array([x for x, _ in links], pa.int64()), "v": pa.array([y for _, y in links], pa.int64())})
+
+    members = members.repartition("bucket", "k", "i", "j").sortWithinPartitions("bucket", "k", "i", "j")
+    return members.mapInArrow(run, "u long, v long")
+
+
+def full_sets(docs: DataFrame, ids: DataFrame, shingle: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``id`` and the sorted shingle hashes, ``set``, of the documents with the given ids (column ``id``)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows, array in slices(batch, "t"):
+                items, offsets = shingle_sets(array, shingle)
+                raw, cuts = memoryview(items.astype("<u8").tobytes()), (8 * offsets).tolist()
+                yield pa.RecordBatch.from_pydict({"id": rows.column("id"), "set": pa.array([raw[a:b] for a, b in zip(cuts, cuts[1:], strict=False)], pa.binary())})
+
+    text = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).where("id is not null")
+    return text.join(ids, "id", "left_semi").mapInArrow(run, "id long, set binary")
+
+
+def _dealt(rows: DataFrame, size_col: str) -> DataFrame:
+    """Rows once for each pair (i, j) of their group's blocks that their own ``block`` is in."""
+    blocks = F.ceil(F.col(size_col) / BLOCK_MEMBERS).cast("int")
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("id"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    return rows.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -164,29 +258,33 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     similarity = percent / 100
     every = cut(sketches(docs, shingle, id_col, text_col))
     sets = ["s1", "s2", "n"]
-    classes = every.where("n > 0 and id is not null").groupBy(*sets).agg(F.min("id").alias("rep"))
+    classes = cut(every.where("n > 0 and id is not null").groupBy(*sets).agg(F.min("id").alias("rep")))
     chosen = cut(every.join(classes, sets).where("id = rep").select("id", "n", "bands", "sig"))
     buckets = chosen.select("id", F.explode("bands").alias("k"))
-    shared = buckets.groupBy("k").agg(F.min("id").alias("p"), F.max("id").alias("q"), F.count("*").alias("c")).where("p < q")
+    shared = cut(buckets.groupBy("k").agg(F.min("id").alias("p"), F.max("id").alias("q"), F.count("*").alias("c")).where("p < q").drop("q"))
     members = cut(buckets.join(shared, "k").select("k", "id", "p", "c"))
     sigs = chosen.select("id", "n", "sig")
 
     star = members.where("id != p").select(F.col("p").alias("a"), F.col("id").alias("b")).distinct()
     checked = cut(verified(cut(promising(star, sigs, similarity)), docs, shingle, percent, id_col, text_col))
-    links = checked.where("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
-    labels = components(links)
+    edges = lambda pairs: pairs.where("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
+    labels = components(edges(checked))
 
     placed = members.join(labels.withColumnRenamed("u", "id"), "id", "left").select("k", "id", "c", F.coalesce("v", "id").alias("comp"))
-    mixed = placed.groupBy("k").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("k")
-    blocks = F.ceil(F.col("c") / BLOCK_MEMBERS).cast("int")
-    dealt = placed.join(mixed, "k").withColumn("block", F.pmod(F.xxhash64("id"), blocks).cast("int"))
-    dealt = dealt.select("k", "id", "comp", "block", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
-    dealt = dealt.select("k", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "comp")
-    more = _across(dealt.join(sigs, "id"), similarity)
-    more = cut(more.join(checked.select("a", "b"), ["a", "b"], "left_anti"))
-    if not more.isEmpty():
-        late = verified(more, docs, shingle, percent, id_col, text_col).where("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
-        labels = components(cut(links.union(late)))
+    mixed = cut(placed.groupBy("k").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("k"))
+    keys = ["bucket", "k", "i", "j", "block", "id", "comp"]
+    dealt = _dealt(placed.join(mixed, "k").withColumn("bucket", F.lit(True)), "c").select(*keys)
+    unsettled = cut(_unsettled(dealt.join(sigs, "id"), similarity))
+    promise = components(unsettled.select(F.col("id").alias("u"), F.col("root").alias("v")))
+    group = promise.select(F.col("u").alias("id"), F.col("v").alias("k")).union(promise.select("v", "v").distinct())
+    sized = cut(group.groupBy("k").agg(F.count("*").alias("c")))
+    grouped = cut(group.join(sized, "k").join(unsettled.groupBy("id").agg(F.first("comp").alias("comp")), "id"))
+    small = _dealt(grouped.where(F.col("c") <= MOST_BLOCKS * BLOCK_MEMBERS).withColumn("bucket", F.lit(False)), "c")
+    large = grouped.where(F.col("c") > MOST_BLOCKS * BLOCK_MEMBERS).select("id").distinct()
+    large = unsettled.join(large, "id", "left_semi").withColumn("bucket", F.lit(True))
+    sets_of = cut(full_sets(docs, grouped.select("id").distinct(), shingle, id_col, text_col))
+    whole = small.select(*keys).union(large.select(*keys)).join(sets_of, "id").join(chosen, "id")
+    labels = components(_links_across(whole, similarity, percent).union(labels))
 
     named = every.join(classes, sets, "left").select("id", "n", F.when(F.col("id").isNotNull(), F.coalesce("rep", "id")).alias("rep"))
     label = F.coalesce("v", "rep")
