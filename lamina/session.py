@@ -44,3 +44,14 @@ def saved(df: DataFrame) -> DataFrame:
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: Rows of text in an Arrow batch; Spark's own default of 10,000 holds tens of megabytes of documents.
+TEXT_ROWS = 3000
+
+
+def text_batches(spark: SparkSession) -> None:
+    """Bounds the Arrow batches of text in this session, unless they are smaller already."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= TEXT_ROWS:
+        spark.conf.set(name, TEXT_ROWS)

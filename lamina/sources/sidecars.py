@@ -17,6 +17,16 @@ def whole_text(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True)
 
 
+def small_file(spark: SparkSession, path: str) -> DataFrame:
+    """One small file as a row, ``value``, also where its name begins with a dot, which Spark's readers pass over."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    stream = p.getFileSystem(spark._jsc.hadoopConfiguration()).open(p)
+    try:
+        return spark.createDataFrame([(spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"),)], "value string")
+    finally:
+        stream.close()
+
+
 def axis_points(text: DataFrame) -> DataFrame:
     """``axis_point(z, x, y)`` from JSON with control_points, points, or an array at the top; points are objects or [z, y, x]."""
     obj, arr = "array<struct<x: double, y: double, z: double>>", "array<array<double>>"
@@ -59,13 +69,13 @@ def transform_json(spark: SparkSession, pull: Sequence[Sequence[float]]) -> Data
 def level_table(text: DataFrame) -> DataFrame:
     """``level_meta(level, scale, nz, ny, nx)`` of a tree's manifest.json; at most 8 levels, scale 2**level."""
     m = text.select(F.from_json("value", "levels array<struct<level: int, shape: array<int>>>").alias("m")).select(F.explode("m.levels").alias("l"))
-    out = m.select(F.col("l.level").alias("level"), F.shiftleft(F.lit(1), F.col("l.level")).alias("scale"), *(F.get("l.shape", F.lit(k)).alias(n) for k, n in enumerate(("nz", "ny", "nx"))))
+    out = m.select(F.col("l.level").alias("level"), F.expr("shiftleft(1, l.level)").alias("scale"), *(F.get("l.shape", F.lit(k)).alias(n) for k, n in enumerate(("nz", "ny", "nx"))))
     return out.where("level >= 0 and level < 8 and nz > 0 and ny > 0 and nx > 0")
 
 
-def zarr_levels(spark: SparkSession, path: str) -> DataFrame:
-    """Shape, chunks, type and fill of .zarray files."""
-    m = spark.read.text(path, wholetext=True).select(F.from_json("value", "shape array<int>, chunks array<int>, dtype string, fill_value int, order string, zarr_format int").alias("m"))
+def zarr_levels(text: DataFrame) -> DataFrame:
+    """Shape, chunks, type and fill of the texts of .zarray files."""
+    m = text.select(F.from_json("value", "shape array<int>, chunks array<int>, dtype string, fill_value int, order string, zarr_format int").alias("m"))
     return m.select("m.*").where("zarr_format = 2 and size(shape) = 3 and size(chunks) = 3")
 
 

@@ -194,7 +194,7 @@ class _SyntheticReader(DataSourceReader):
             elif self.kind == "shells":
                 v = np.where(r < 0.9, 255 * np.sin(r * 40) ** 2, 0)
             else:
-                s, c = ([f(np.pi * 4 * a) for a in p] for f in (np.sin, np.cos))
+                s, c = ([f(np.pi * 3 * a) for a in p] for f in (np.sin, np.cos))
                 v = np.where(np.abs(s[0] * c[1] + s[1] * c[2] + s[2] * c[0]) < 0.4, 220, 0)
             v = v.astype(int)
             for yy, xx in zip(*np.nonzero(v), strict=True):

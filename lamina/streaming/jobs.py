@@ -29,12 +29,12 @@ def changes_since(snapshots: DataFrame, gen: str, last_seen: int) -> DataFrame:
 
 def deduplicated_fetches(fetches: DataFrame, keys: list[str], time: str, within: str = "10 minutes") -> DataFrame:
     """One fetch of each key while it may be in flight."""
-    return fetches.withWatermark(time, within).dropDuplicatesWithinWatermark(keys)
+    return fetches.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, within).dropDuplicatesWithinWatermark(keys)
 
 
 def sliding_report(samples: DataFrame, time: str, metric: str, value: str, every: str = "1 minute", late: str = "10 minutes") -> DataFrame:
     """Number, mean and largest sample of each metric and window; late rows are counted while the watermark allows."""
-    w = samples.withWatermark(time, late).groupBy(F.window(time, every), metric)
+    w = samples.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late).groupBy(F.window(time, every), metric)
     return w.agg(F.count("*").alias("n"), F.avg(value).alias("mean"), F.max(value).alias("max")).select(F.col("window.start").alias("start"), metric, "n", "mean", "max")
 
 

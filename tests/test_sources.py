@@ -90,7 +90,7 @@ def test_manifest_and_seeds(spark, tmp_path):
     for body in ([[1, 2, 3]], {"seeds": [[1, 2, 3]]}):
         assert values(sidecars.seeds(spark.createDataFrame([(json.dumps(body),)], "value string")), "x", "y", "z") == [(1.0, 2.0, 3.0)]
     (tmp_path / ".zarray").write_text(json.dumps({"zarr_format": 2, "shape": [8, 8, 8], "chunks": [4, 4, 4], "dtype": "|u1", "fill_value": 0, "order": "C"}))
-    assert sidecars.zarr_levels(spark, f"file://{tmp_path}/.zarray").first()["chunks"] == [4, 4, 4]
+    assert sidecars.zarr_levels(sidecars.small_file(spark, f"file://{tmp_path}/.zarray")).first()["chunks"] == [4, 4, 4]
 
 
 PAGE = "<ListBucketResult>{0}<Contents><Key>a/{1}</Key><Size>5</Size></Contents><CommonPrefixes><Prefix>a/sub/</Prefix></CommonPrefixes></ListBucketResult>"
