@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lamina.llm.arrowtext import slices, texts, utf8
-from lamina.session import cut
+from lamina.session import cut, text_batches
 
 PRIMES = (2147483647, 2147483629)
 CHUNK = 4096
@@ -110,11 +110,12 @@ def _unequal(pairs: DataFrame) -> DataFrame:
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, int]:
     """(``_h``, ``_n``, ``id`` and ``sha`` of every row, cut; ``_h``, ``_n``, ``keep_id``, ``group_size`` of every group of two or more;
     the attempt whose fingerprints these are), proven by comparison of the texts."""
+    text_batches(docs.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit(""))
     for attempt in range(100):
         marked = docs.select(F.col(id_col).alias("id"), text.alias("t")).withColumn("_f", fingerprint(F.col("t"), attempt)).select("id", "t", F.col("_f.h").alias("_h"), F.col("_f.n").alias("_n"))
         small = cut(marked.select("id", "_h", "_n", F.sha2(F.col("t").cast("binary"), 256).alias("sha")))
-        many = small.groupBy("_h", "_n").agg(F.max("id").alias("keep_id"), F.count("*").alias("group_size")).where("group_size > 1")
+        many = cut(small.groupBy("_h", "_n").agg(F.max("id").alias("keep_id"), F.count("*").alias("group_size")).where("group_size > 1"))  # a join right after the aggregation could not be split by key
         members = cut(marked.join(many.drop("group_size"), ["_h", "_n"]))
         stays = cut(members.where(F.col("id").eqNullSafe(F.col("keep_id"))).groupBy("_h", "_n").agg(F.first("t").alias("b")))
         pairs = members.select("_h", "_n", F.col("t").alias("a")).join(stays, ["_h", "_n"])
