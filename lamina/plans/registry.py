@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lamina.plans import geometry, points, surfaces, volumes
+from lamina.plans import geometry, points, solvers, surfaces, volumes
 
-ALL = volumes.QUERIES | surfaces.QUERIES | points.QUERIES | geometry.QUERIES
+ALL = volumes.QUERIES | surfaces.QUERIES | points.QUERIES | geometry.QUERIES | solvers.QUERIES
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
