@@ -6,6 +6,7 @@ batches are cut into runs of rows of about that much text (one longer text is a
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,6 +45,17 @@ def slices(batch: pa.RecordBatch, name: str = "text", most: int = SLICE_BYTES) -
         end = max(start + 1, int(np.searchsorted(offsets, offsets[start] + most, "right")) - 1)
         yield batch.slice(start, end - start), array.slice(start, end - start)
         start = end
+    tidy()
+
+
+def tidy() -> None:
+    """Gives freed memory back, so that a worker that waits for its next task doesn't keep what the last one took."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_LIBC, "malloc_trim"):
+        _LIBC.malloc_trim(0)
+
+
+_LIBC = ctypes.CDLL(None)
 
 
 def words(array: pa.Array, lower: bool = True) -> tuple[pa.Array, np.ndarray]:

@@ -28,10 +28,13 @@ import regex
 from pyspark.sql import DataFrame
 
 from lamina.llm.arrowtext import slices
+from lamina.session import text_batches
 
 _SYMBOL, _LETTER, _NUMBER, _SPACE = 0, 1, 2, 3
 #: Words kept from slice to slice in a worker; beyond this many the memory starts afresh.
-CACHED_WORDS = 250_000
+CACHED_WORDS = 100_000
+#: Bytes of text encoded at once; the arrays made of it take some thirty times as much.
+ENCODED_BYTES = 2 << 20
 
 
 class Lookup:
@@ -402,7 +405,7 @@ def encoded(batches: Iterator[pa.RecordBatch], path: str, id_col: str, text_col:
     """Of each run of rows: its id column, all ids, and the offsets of each row's ids."""
     enc = encoder(path)
     for batch in batches:
-        for rows, array in slices(batch, text_col):
+        for rows, array in slices(batch, text_col, ENCODED_BYTES):
             yield rows.column(id_col), *enc.encode(array.to_pylist())
 
 
@@ -412,6 +415,7 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
 
     ``path`` names the vocabulary file; it must be there on every machine.
     """
+    text_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

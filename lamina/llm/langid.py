@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from lamina.llm.arrowtext import slices, utf8
 from lamina.llm.bytecnn import Net, evenly, letter_classes, padded, windows
+from lamina.session import text_batches
 
 LENGTH = 256
 #: Documents of each language to learn from, about; and windows of each document, at most.
@@ -78,6 +79,7 @@ def learn(docs: DataFrame, label_col: str = "lang", text_col: str = "text", id_c
 
 def identify(docs: DataFrame, model: tuple[list[str], Net | None], text_col: str = "text") -> DataFrame:
     """All columns of ``docs`` with ``lang_pred`` and ``score`` added (replaced, where there are such)."""
+    text_batches(docs.sparkSession)
     names, net = model
 
     @F.arrow_udf("struct<lang_pred: string, score: double>")

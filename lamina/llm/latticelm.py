@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from lamina.llm.arrowtext import coded, slices, utf8, words
 from lamina.llm.bpe import Lookup
-from lamina.session import saved
+from lamina.session import saved, text_batches
 
 #: Bytes of text in a chunk, about.
 CHUNK_BYTES = 12 << 20
@@ -171,6 +171,7 @@ def lattice(path: str) -> Lattice:
 
 def chunked(docs: DataFrame, id_col: str, text_col: str, held: Column) -> DataFrame:
     """Texts in chunks: rows with ``words`` and ``counts`` are a chunk's dictionary (counts in training texts), rows without are texts, as ``codes`` of its words."""
+    text_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     kept = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"), held.alias("held"))
 

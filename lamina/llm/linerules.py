@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lamina.llm.arrowtext import coded, slices, words
+from lamina.session import text_batches
 
 LEAST_WORDS, MOST_REPEATED, MOST_LOST = 50, 50, 30
 SYMBOLS = "[#*$%&|<>]"
@@ -99,6 +100,7 @@ def measured(array: pa.Array) -> tuple[dict[str, np.ndarray], np.ndarray, np.nda
 
 def apply_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True) -> DataFrame:
     """Of every row: its id, the counts, ``base_failed``, ``kept`` and, if ``with_text``, the text left, ``clean_text``."""
+    text_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "lost_chars", "line_chars"]
 

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from lamina.llm.arrowtext import slices, utf8
 from lamina.llm.bytecnn import Net, padded, shape_classes, windows
 from lamina.llm.langid import sample_windows, sampled
+from lamina.session import text_batches
 
 LENGTH, STRIDE = 384, 320
 SAMPLE_DOCS, SAMPLE_CHUNKS = 1500, 6
@@ -83,6 +84,7 @@ def learn(docs: DataFrame, labels: DataFrame, label_col: str = "quality", text_c
 
 def score(docs: DataFrame, model: Quality, text_col: str = "text") -> DataFrame:
     """All columns of ``docs`` with ``score`` added (replaced, where there is one)."""
+    text_batches(docs.sparkSession)
 
     @F.arrow_udf("double")
     def probability(texts: pa.Array) -> pa.Array:
