@@ -264,3 +264,32 @@ def donor_offsets(matches: DataFrame) -> DataFrame:
     m = matches.select("donor_id", (F.col("cell_wind") - F.col("donor_wind")).alias("d"))
     mid = upper_median(m, "donor_id", "d").withColumnRenamed("d", "offset")
     return m.join(mid, "donor_id").groupBy("donor_id", "offset").agg(F.count_if(F.abs(F.col("d") - F.col("offset")) <= 0.3).alias("members"))
+
+
+def shifted(cells: DataFrame, dj: int, di: int) -> DataFrame:
+    """The cells on a larger grid whose first row and column lie ``dj`` and ``di`` before."""
+    return cells.withColumns({"j": (F.col("j") + dj).cast("int"), "i": (F.col("i") + di).cast("int")})
+
+
+def regrown(cells: DataFrame, suspects: DataFrame, targets: DataFrame, height: int, width: int, generations: int, step: float, reach: float) -> DataFrame:
+    """Surface with the suspect cells, and set ones that touch them, emptied and grown again from the rest."""
+    o = F.array(*(F.struct(F.lit(a).alias("dj"), F.lit(b).alias("di")) for a in (-1, 0, 1) for b in (-1, 0, 1)))
+    wide = suspects.select(*CELL, F.explode(o).alias("o")).select("seg_id", (F.col("j") + F.col("o.dj")).alias("j"), (F.col("i") + F.col("o.di")).alias("i")).distinct()
+    return grown(cells.join(wide, list(CELL), "left_anti"), targets, height, width, generations, step, reach)
+
+
+def populated(grid: DataFrame, fit: dict, axis: tuple[float, float], depth: float) -> DataFrame:
+    """Positions of cells ``(seg_id, j, i, theta, wind, z)`` from a spiral fit (see ``axis.spiral_fit``) about a straight axis."""
+    knots = len(fit["r0"])
+    step = depth / (knots - 1)
+    rho = sum((float(r) * F.greatest(F.lit(0.0), 1 - F.abs(F.col("z") / step - k)) for k, r in enumerate(fit["r0"])), F.lit(0.0))
+    a, b, c, d = fit["harmonics"]
+    rho = rho + a * F.cos("theta") + b * F.sin("theta") + c * F.cos(2 * F.col("theta")) + d * F.sin(2 * F.col("theta")) + fit["omega"] * F.col("wind")
+    return grid.select(*CELL, (axis[0] + rho * F.cos("theta")).alias("x"), (axis[1] + rho * F.sin("theta")).alias("y"), F.col("z").cast("double").alias("z"))
+
+
+def paths_near(lines: DataFrame, x: float, y: float, radius: float, bucket: float = 64.0) -> DataFrame:
+    """Distinct paths of ``lines(path_id, x0, y0, x1, y1)`` in the buckets within a radius of a point, which become a range of bucket keys."""
+    b = lines.select("path_id", F.explode(F.sequence(F.floor(F.least("x0", "x1") / bucket), F.floor(F.greatest("x0", "x1") / bucket))).alias("bx"), "y0", "y1").select("path_id", "bx", F.explode(F.sequence(F.floor(F.least("y0", "y1") / bucket), F.floor(F.greatest("y0", "y1") / bucket))).alias("by"))
+    near = lambda c, p: F.col(c).between(int((p - radius) // bucket), int((p + radius) // bucket))
+    return b.where(near("bx", x) & near("by", y)).select("path_id").distinct()
