@@ -1,4 +1,4 @@
-"""The axis of a scroll: centroids, interpolation, smoothing, cylinder coordinates, windings."""
+"""The axis of a rolled sheet: centroids, interpolation, smoothing, cylinder coordinates, windings."""
 
 from __future__ import annotations
 

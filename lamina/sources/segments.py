@@ -42,7 +42,7 @@ def tiff_plane(data: bytes) -> np.ndarray:
     return np.frombuffer(body, order + "f4", w * h).reshape(h, w).astype(np.float32)
 
 
-def tifxyz(spark: SparkSession, path: str) -> DataFrame:
+def tiff_surfaces(spark: SparkSession, path: str) -> DataFrame:
     """``(name, j, i, x, y, z)`` of the valid points of surfaces in folders under ``path`` with x.tif, y.tif and z.tif; points are valid where z > 0 and x, y are finite."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "[xyz].tif").load(path)
     planes = files.select(F.regexp_extract("path", r"([^/]+)/[xyz]\.tif$", 1).alias("name"), F.regexp_extract("path", r"([xyz])\.tif$", 1).alias("axis"), "content")

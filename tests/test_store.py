@@ -34,7 +34,7 @@ def test_tiff_surface(spark, tmp_path, deflate):
     x[0, 0] = np.nan
     for n, a in (("x", x), ("y", y), ("z", z)):
         (d / f"{n}.tif").write_bytes(tiff(a, deflate))
-    got = segments.tifxyz(spark, f"file://{tmp_path}").collect()
+    got = segments.tiff_surfaces(spark, f"file://{tmp_path}").collect()
     assert len(got) == 10 and all((r["x"], r["y"], r["z"]) == (r["i"], r["j"], 5.0) for r in got) and got[0]["name"] == "seg"
     with pytest.raises(ValueError):
         segments.tiff_plane(b"nothing of the kind")
