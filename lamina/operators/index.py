@@ -55,12 +55,16 @@ def overlap(boxes: DataFrame, tol: float, grid: int = 64, coarse: float = 256.0)
     for c in XYZ:
         low = F.greatest(F.lit(0), F.floor((F.col(f"{c}_lo") - tol - F.col(f"{c}0")) / F.col(f"{c}s"))).cast("int")
         high = F.least(F.lit(grid - 1), F.floor((F.col(f"{c}_hi") + tol - F.col(f"{c}0")) / F.col(f"{c}s"))).cast("int")
-        tb = tb.where(low <= high).withColumn("k" + c, F.explode(F.sequence(low, high)))
-    occupied = tb.select("a", "b", *("k" + c for c in XYZ)).distinct()
+        tb = tb.withColumns({f"{c}a": low, f"{c}b": high}).where(f"{c}a <= {c}b")
+        tb = tb.withColumn("h" + c, F.explode(F.sequence(F.expr(f"{c}a div 8"), F.expr(f"{c}b div 8"))))  # blocks of cells; the cell itself is tested after the join
+    tb = tb.select("a", "b", *("h" + c for c in XYZ), *(f"{c}{k}" for c in XYZ for k in "ab"))
     centre = {c: (0.5 * (F.col(f"{c}_lo") + F.col(f"{c}_hi")) - F.col(f"{c}0")) / F.col(f"{c}s") for c in XYZ}
-    ta = pair.join(boxes, pair["a"] == boxes["seg_id"]).select("a", "b", *(F.floor(centre[c]).cast("int").alias("k" + c) for c in XYZ))
-    hit = ta.join(occupied.withColumn("o", F.lit(1)), ["a", "b", *("k" + c for c in XYZ)], "left")
-    return hit.groupBy("a", "b").agg((F.count("o") / F.count("*")).alias("overlap"))
+    ta = pair.join(boxes, pair["a"] == boxes["seg_id"]).select("a", "b", "tj", "ti", *(F.floor(centre[c]).cast("int").alias("k" + c) for c in XYZ))
+    ta = ta.select("*", *(F.expr(f"k{c} div 8").cast("long").alias("h" + c) for c in XYZ))
+    inside = " and ".join(f"k{c} >= {c}a and k{c} <= {c}b" for c in XYZ)
+    hit = ta.join(tb, ["a", "b", *("h" + c for c in XYZ)]).where(inside).select("a", "b", "tj", "ti").distinct().groupBy("a", "b").agg(F.count("*").alias("hits"))
+    every = ta.groupBy("a", "b").agg(F.count("*").alias("n"))
+    return every.join(hit, ["a", "b"], "left").select("a", "b", (F.coalesce("hits", F.lit(0)) / F.col("n")).alias("overlap"))
 
 
 def _cells(df: DataFrame, size: float, reach: int) -> DataFrame:
