@@ -118,7 +118,7 @@ QUERIES = {
         with_sql("qp", "SELECT pt_id, CAST(least(greatest(floor(log2(greatest(pt_id * 0.01e0 / 1, 1))), 0), 5) AS INT) AS level FROM qp"),
     ),
     "g16_level_fallback": (
-        lambda s, d: voxels(s, d).select((F.col("v") % 4).alias("desired")).distinct().join(s.range(4).select(F.col("id").cast("int").alias("level"))).select("desired", "level", sa.fallback_rank(F.col("level"), F.col("desired")).alias("rank")),
+        lambda s, d: voxels(s, d).select((F.col("v") % 4).alias("desired")).distinct().withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(3)))).select("desired", "level", sa.fallback_rank(F.col("level"), F.col("desired")).alias("rank")),
         with_sql("voxel", "SELECT DISTINCT v % 4 AS desired, CAST(level AS INT) AS level, CAST(CASE WHEN level >= v % 4 THEN level - v % 4 ELSE 1000 + v % 4 - level END AS INT) AS rank FROM voxel, (SELECT unnest(range(0, 4)) AS level)"),
     ),
     "g9_layer_stack": (
