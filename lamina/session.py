@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -17,15 +16,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all machines share: ``spark.checkpoint.dir``.
 
-    Where the setting is absent (a local test session) a folder of this machine is made and the
-    setting is filled in, so that later calls find the same one.
+    Where the setting is absent (a local test session) it is the context's checkpoint folder, which
+    is made on this machine if there is none yet.
     """
     sc = spark.sparkContext
-    found = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    found = sc.getConf().get("spark.checkpoint.dir", None)
+    own = sc._jsc.sc().getCheckpointDir()
     if not found:
-        found = "file://" + os.path.join(tempfile.gettempdir(), f"checkpoints/{os.getpid()}")
-        spark.conf.set("spark.checkpoint.dir", found)
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        found = own.get() if own.isDefined() else f"file://{tempfile.mkdtemp(prefix='lamina-')}"
+    if not own.isDefined():
         sc.setCheckpointDir(found)
     return found
 
