@@ -143,6 +143,7 @@ SELECT g.z, g.y, g.x, CAST(coalesce(v, 0) AS INT) AS v FROM grid g LEFT JOIN l1
     ),
     "w1_median3": (lambda s, d: st.median(voxels(s, d), 1, SHAPE), _clamp(1, "SELECT z, y, x, list_sort(list(u))[14] AS v FROM nb GROUP BY z, y, x")),
     "w2_median5": (lambda s, d: st.median(voxels(s, d).where("z < 12 and y < 12 and x < 12"), 2, (12, 12, 12)), _clamp(2, "SELECT z, y, x, list_sort(list(u))[63] AS v FROM nb GROUP BY z, y, x").replace("31", "11").replace("range(0, 32)", "range(0, 12)")),
+    "w2_median5_whole": (lambda s, d: st.median(voxels(s, d), 2, SHAPE), _clamp(2, "SELECT z, y, x, list_sort(list(u))[63] AS v FROM nb GROUP BY z, y, x")),
     "w3_unsharp": (
         lambda s, d: st.unsharp(voxels(s, d), 1, SHAPE),
         _clamp(1, "SELECT z, y, x, CAST(least(255, greatest(0, 54 * max(v) - sum(u)) // 27) AS INT) AS v FROM nb GROUP BY z, y, x"),
