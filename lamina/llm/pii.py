@@ -5,7 +5,8 @@ words before a seed induce a lexical pattern for its kind. Patterns and instance
 after them) form a graph: a pattern's confidence is the summed score of the instances it found over
 all occurrences of its words in documents with identifiers, and an instance's score is the chance
 that one of its patterns is right; both are computed in turn. Patterns of high confidence and
-enough seeds then mark values of a like shape that no exact pattern finds.
+enough seeds then mark values of a like shape that no exact pattern finds: words, or runs of digit
+groups joined by single spaces.
 
 The exact patterns are written so that no text makes them slow: a run of characters is tried once,
 and nothing is matched by recursion. Positions come from splitting a text at its matches.
@@ -32,14 +33,19 @@ PATTERNS = {
 }
 #: What a text must have for a pattern to be tried.
 NEEDS = {"email": "@", "phone": "+"}
-#: Words that may be identifiers: seven digits, or an at sign, plain or spelt.
-CANDIDATE = r"(?<!\S)(?:(?=(?:[^\s0-9]*+[0-9]){7})|(?=[^\s@]*+@)|(?=[^\s(\[]*+[(\[]at[)\]]))\S++"
+_TAIL = r"(?=[.,;:!?)\"'>\]]*+(?:\s|\z))"
+#: Words that may be identifiers: seven digits, an at sign, plain or spelt, or four short numbers.
+CANDIDATE = rf"(?<!\S)(?:(?=(?:[^\s0-9]*+[0-9]){{7}})|(?=[^\s@]*+@)|(?=[^\s(\[]*+[(\[]at[)\]])|(?=[(\"'<\[]*+[0-9]{{1,3}}(?:[.:][0-9]{{1,3}}){{3}}{_TAIL}))\S++"
+_UNIT = r"(?:\([0-9]{1,5}+\)(?=[ .-]?+[0-9])|\[[0-9]{1,5}+\](?=[ .-]?+[0-9])|[0-9]++)"
+_GROUPS = rf"{_UNIT}(?:[.-]?+{_UNIT})*+{_TAIL}"
+#: Two or more words of digit groups, joined by single spaces, that have seven digits together and may be one identifier.
+GROUPED = rf"(?<!\S)[(\"'<\[]*?\+?(?=[(\[]?[0-9](?:[ .()\[\]-]{{0,3}}+[0-9]){{6}}){_GROUPS}(?: {_GROUPS})++"
 #: Shapes that a value of a kind may have where a pattern vouches for it.
 SHAPES = {
     "email": r"^[A-Za-z0-9._%+-]+(@|\(at\)|\[at\])[A-Za-z0-9-]+",
     "ip": r"^[0-9]{1,3}([.:][0-9]{1,3}){3}$",
-    "card": r"^[0-9][0-9-]{12,22}$",
-    "phone": r"^[+(]{0,2}[0-9][0-9().-]{6,18}$",
+    "card": r"^(?=(?:[^0-9]*+[0-9]){7})[0-9][0-9 -]{12,22}$",
+    "phone": r"^(?=(?:[^0-9]*+[0-9]){7})[+(\[]{0,2}[0-9][0-9 ().\[\]-]{6,18}$",
 }
 #: Characters before a value that its two words are looked for in.
 CONTEXT = 80
@@ -92,9 +98,10 @@ def found(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_
     page = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     matched = {k: F.regexp_extract_all("t", F.lit(p), F.lit(0)) for k, p in PATTERNS.items()}
     matched = {k: F.when(F.contains("t", F.lit(NEEDS[k])), m).otherwise(none) if k in NEEDS else m for k, m in matched.items()}
-    matched["other"] = F.regexp_extract_all("t", F.lit(CANDIDATE), F.lit(0))
+    possible = {"other": CANDIDATE, "grouped": GROUPED}
+    matched |= {k: F.regexp_extract_all("t", F.lit(p), F.lit(0)) for k, p in possible.items()}
     page = page.select("id", "t", *(m.alias(f"m_{k}") for k, m in matched.items()))
-    spots = {k: F.when(F.size(f"m_{k}") > 0, located(F.col(f"m_{k}"), F.split("t", p, -1))) for k, p in (PATTERNS | {"other": CANDIDATE}).items()}
+    spots = {k: F.when(F.size(f"m_{k}") > 0, located(F.col(f"m_{k}"), F.split("t", p, -1))) for k, p in (PATTERNS | possible).items()}
     page = page.select("id", "t", *(s.alias(f"s_{k}") for k, s in spots.items()))
     before = lambda start: F.lower(F.regexp_extract(F.substring("t", F.greatest(F.lit(1), start - CONTEXT + 1), F.least(start, F.lit(CONTEXT))), r"(?:^|\s)(\S++\s++\S++)\s*+$", 1))
     spans = F.array().cast("array<struct<start:int,kind:int,end:int,value:string,context:string>>")
@@ -102,12 +109,14 @@ def found(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_
     for n, k in enumerate(KINDS):
         good = F.filter(F.col(f"s_{k}"), _check(k))
         spans = F.concat(spans, F.coalesce(F.transform(good, _as_span(n, before)), empty))
-    page = page.select("id", "t", F.array_sort(spans).alias("base"), "s_other")
-    head = lambda v: F.char_length(F.regexp_extract(v, r"^[(\"'<\[]*+", 0))
+    page = page.select("id", "t", F.array_sort(spans).alias("base"), "s_other", "s_grouped")
+    head = lambda v: F.char_length(F.regexp_extract(v, r"^[(\"'<\[]*?(?=\([0-9]{1,5}+\)[ .-]?+[0-9]|\[[0-9]{1,5}+\][ .-]?+[0-9]|[^(\"'<\[])", 0))
     tail = lambda v: F.char_length(F.regexp_extract(v, r"[.,;:!?)\"'>\]]++$", 0))
-    trimmed = F.transform("s_other", lambda s: F.struct((s["start"] + head(s["value"])).alias("start"), (s["end"] - tail(s["value"])).alias("end"), F.substring(s["value"], head(s["value"]) + 1, F.greatest(F.lit(0), F.char_length(s["value"]) - head(s["value"]) - tail(s["value"]))).alias("value"), before(s["start"]).alias("context")))
+    no_spots = F.array().cast("array<struct<start:int,end:int,value:string>>")
+    spots = F.concat(F.coalesce("s_other", no_spots), F.coalesce("s_grouped", no_spots))
+    trimmed = F.transform(spots, lambda s: F.struct((s["start"] + head(s["value"])).alias("start"), (s["end"] - tail(s["value"])).alias("end"), F.substring(s["value"], head(s["value"]) + 1, F.greatest(F.lit(0), F.char_length(s["value"]) - head(s["value"]) - tail(s["value"]))).alias("value"), before(s["start"]).alias("context")))
     apart = F.filter(trimmed, lambda s: (s["start"] < s["end"]) & ~F.exists(F.col("base"), lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    other = F.when(F.col("s_other").isNotNull(), apart).otherwise(F.array().cast("array<struct<start:int,end:int,value:string,context:string>>"))
+    other = F.when(F.size(spots) > 0, apart).otherwise(F.array().cast("array<struct<start:int,end:int,value:string,context:string>>"))
     return page.select("id", F.xxhash64("t", F.char_length("t")).alias("h"), "base", other.alias("other"), *(["t"] if keep_text else []))
 
 
@@ -159,6 +168,8 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     hits = spot.join(patterns, F.col("s.context") == F.col("context")).where(shaped)
     hits = hits.select("id", "h", F.struct(F.col("s.start").alias("start"), F.col("kind").alias("kind"), F.col("s.end").alias("end")).alias("s"))
     more = hits.groupBy(F.col("id").alias("i"), F.col("h").alias("hh")).agg(F.collect_set("s").alias("added"))
+    inside = lambda s: F.exists("added", lambda o: (o["kind"] == s["kind"]) & (o["start"] <= s["start"]) & (s["end"] <= o["end"]) & (o["end"] - o["start"] > s["end"] - s["start"]))
+    more = more.select("i", "hh", F.filter("added", lambda s: ~inside(s)).alias("added"))  # a word of a run that is one itself
     base = F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
     rows = rows.select("id", "h", base.alias("base"))
     joined = rows.join(more, F.col("id").eqNullSafe(F.col("i")) & (F.col("h") == F.col("hh")), "left")
