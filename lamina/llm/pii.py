@@ -3,7 +3,7 @@
 Seeds are the e-mail and IP addresses, card and phone numbers that exact patterns find. The two
 words before a seed induce a lexical pattern for its kind. Patterns and instances (values found
 after them) form a graph: a pattern's confidence is the summed score of the instances it found over
-all occurrences of its words in documents with identifiers, and an instance's score is the chance
+all occurrences of its words in all documents, and an instance's score is the chance
 that one of its patterns is right; both are computed in turn. Patterns of high confidence and
 enough seeds then mark values of a like shape that no exact pattern finds: words, or runs of digit
 groups joined by single spaces.
@@ -50,6 +50,8 @@ SHAPES = {
 #: Characters before a value that its two words are looked for in.
 CONTEXT = 80
 ROUNDS, LEAST_SEEDS, LEAST_CONFIDENCE = 3, 3, 0.5
+#: As many contexts may be broadcast, to leave out other word pairs before they are counted.
+FEW_CONTEXTS = 100_000
 
 
 def located(matches: Column, parts: Column) -> Column:
@@ -136,12 +138,13 @@ def trusted_patterns(rows: DataFrame, docs: DataFrame, id_col: str = "doc_id", t
     able = edges.where("seed").groupBy(*pattern).agg(F.count("*").alias("seeds")).where(F.col("seeds") >= LEAST_SEEDS)
     able = cut(able)
     words = F.filter(F.split(F.lower(F.coalesce(F.col(text_col), F.lit(""))), r"\s+"), lambda w: w != "")
-    near = docs.where(F.coalesce(F.col(text_col).rlike("[0-9@]"), F.lit(False))).select(words.alias("w"))
-    pairs = near.select(F.explode(F.zip_with(F.slice("w", 1, F.greatest(F.lit(0), F.size("w") - 1)), F.slice("w", 2, F.greatest(F.lit(0), F.size("w") - 1)), lambda a, b: F.concat_ws(" ", a, b))).alias("context"))
+    pairs = docs.select(words.alias("w")).select(F.explode(F.zip_with(F.slice("w", 1, F.greatest(F.lit(0), F.size("w") - 1)), F.slice("w", 2, F.greatest(F.lit(0), F.size("w") - 1)), lambda a, b: F.concat_ws(" ", a, b))).alias("context"))
     normal = F.regexp_replace("context", r"\s+", " ")
     wanted = able.select(normal.alias("context")).distinct()
     if able.isEmpty():
         return able.select("kind", "context")
+    if wanted.count() <= FEW_CONTEXTS:
+        pairs = pairs.join(F.broadcast(wanted), "context", "left_semi")
     times = cut(pairs.groupBy("context").agg(F.count("*").alias("times")).join(wanted, "context"))  # counted before they are shuffled
     graph = cut(edges.join(able, pattern).select("kind", "context", "value", "seed", "n"))
     scores = cut(graph.select("kind", "value", "seed").distinct().select("kind", "value", F.when(F.col("seed"), 1.0).otherwise(0.0).alias("score")))

@@ -1,4 +1,6 @@
-"""Identifiers written in groups of digits."""
+"""Identifiers written in groups of digits, and contexts counted over all documents."""
+
+import pytest
 
 from tests.llm.test_pii import checked, letters
 
@@ -28,5 +30,12 @@ def test_cards_in_groups(spark):
     assert checked(spark, [*known, (9, "take card number 4111 1111 1111 1112 now")])[9] == "card:17:36"
 
 
+@pytest.mark.parametrize("other, found", [("and it is so", "phone:11:23"), ("please see the many names", "")])
+def test_contexts_count_in_all_documents(spark, other, found):
+    documents = [(k, f"please see +1 202 555 0{100 + k} {letters(k)}") for k in range(6)]
+    documents += [(20 + k, f"{other} {letters(k)}") for k in range(40)] + [(90, "please see 202-555-0199 now")]
+    assert checked(spark, documents)[90] == found
+
+
 def test_runs_are_not_slow(spark):
     checked(spark, [(1, "(" * 30_000), (2, "12 " * 20_000), (3, "1(2)" * 10_000), (4, "1.2-3 " * 10_000 + "x"), (5, "1111111) " * 5000)])
