@@ -253,8 +253,13 @@ def lattice_resampled(uv: DataFrame, step: float = 1.0) -> DataFrame:
 
 def donor_agreement(distances: DataFrame, cells: int) -> DataFrame:
     """Mean, root mean square and 95th percentile (element n - 1 - n div 20) of distances ``(pt_id, d2)`` to donors, and the share of the cells that have one."""
-    s = distances.agg(F.count("*").alias("n"), F.avg(F.sqrt("d2")).alias("mean"), F.sqrt(F.avg("d2")).alias("rms"), F.sort_array(F.collect_list(F.sqrt("d2"))).alias("s"))
-    return s.select("n", "mean", "rms", F.when(F.col("n") > 0, F.element_at("s", F.expr("cast(n - n div 20 as int)"))).alias("p95"), (F.col("n") / cells).alias("coverage"))
+    from lamina.operators.stats import ranked
+
+    distances = cut(distances.select("d2"))
+    s = distances.agg(F.count("*").alias("n"), F.avg(F.sqrt("d2")).alias("mean"), F.sqrt(F.avg("d2")).alias("rms"))
+    p95 = ranked(distances, [], "d2", "n - 1 - n div 20").select(F.sqrt("d2").alias("p95"))
+    share = F.col("n") / cells if cells else F.lit(None).cast("double")
+    return s.crossJoin(p95).select("n", "mean", "rms", "p95", share.alias("coverage"))
 
 
 def donor_offsets(matches: DataFrame) -> DataFrame:

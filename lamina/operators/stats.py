@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lamina.operators.volume import ZYX
+from lamina.session import cut
 
 
 def summary(samples: DataFrame) -> DataFrame:
@@ -27,6 +28,22 @@ def tail(df: DataFrame, key: str, value: str, low: bool = False) -> DataFrame:
     return r.where("r = n div 20 + 1" if low else "r = n - n div 20").select(key, value)
 
 
+def ranked(df: DataFrame, keys: list[str], value: str, rank: str) -> DataFrame:
+    """Element ``rank`` (from 0; SQL of ``n``, the number of values) of the sorted values of each key; nulls don't count.
+
+    The values' histogram is dealt by ranges, so that only one range of each key is ranked, not all its values.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_k"))
+    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counts = cut(counts.repartitionByRange(ranges, *keys, value).withColumn("part", F.spark_partition_id()))
+    w = Window.partitionBy(*keys)
+    sums = counts.groupBy(*keys, "part").agg(F.sum("_k").alias("own"))
+    sums = sums.select(*keys, "part", "own", (F.sum("own").over(w.orderBy("part")) - F.col("own")).alias("below"), F.sum("own").over(w).alias("n"))
+    at = sums.withColumn("rank", F.expr(rank)).where("rank >= below and rank < below + own").select(*keys, "part", "below", "rank")
+    near = counts.join(at, [*keys, "part"]).withColumn("upto", F.col("below") + F.sum("_k").over(w.orderBy(value)))
+    return near.where("upto > rank").groupBy(*keys).agg(F.min(value).alias(value))
+
+
 def last_samples(samples: DataFrame, n: int) -> DataFrame:
     """The last ``n`` samples of each metric."""
     w = Window.partitionBy("metric").orderBy(F.desc("idx"))

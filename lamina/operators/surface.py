@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lamina.operators.stats import ranked
+
 CELL = ("seg_id", "j", "i")
 XYZ = ("x", "y", "z")
 
@@ -209,5 +211,4 @@ def bilinear(sp: DataFrame, at: DataFrame) -> DataFrame:
 def spacing(sp: DataFrame) -> DataFrame:
     """Upper median (element n div 2) of the distance to the next point along i, for each segment."""
     n = around(sp, {"p": (0, 0), "r": (0, 1)}).where("p is not null and r is not null")
-    d = n.select("seg_id", length(sub("r", "p")).alias("d")).groupBy("seg_id").agg(F.sort_array(F.collect_list("d")).alias("s"))
-    return d.select("seg_id", F.element_at("s", F.expr("cast(size(s) div 2 + 1 as int)")).alias("spacing"))
+    return ranked(n.select("seg_id", length(sub("r", "p")).alias("spacing")), ["seg_id"], "spacing", "n div 2")

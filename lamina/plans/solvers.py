@@ -55,7 +55,7 @@ QUERIES = {
     "i16_flatten": (lambda s, d: so.flattened(surface_points(s, d), 20.0, 10), None),
     "i17_registration": (_registration, None),
     "i10_fold_excision": (lambda s, d: it.excised(surface_points(s, d).withColumn("gen", F.col("i")), su.bends), None),
-    "a19_donor_agreement": (lambda s, d: so.donor_agreement(ge.nearest_surface(_wide(s, d), su.quads(surface_points(s, d)), 60.0), 1000), None),
+    "a19_donor_agreement": (lambda s, d: so.donor_agreement(ge.nearest_surface(_wide(s, d), su.quads(surface_points(s, d)), 60.0), _wide(s, d).count()), None),
     "i18_donor_offsets": (
         lambda s, d: so.donor_offsets(query_points(s, d).select((F.col("pt_id") % 7).alias("donor_id"), F.col("x").alias("cell_wind"), F.col("y").alias("donor_wind"))),
         with_sql("qp", ", m AS (SELECT pt_id % 7 AS donor_id, x - y AS d FROM qp), o AS (SELECT donor_id, list_sort(list(d))[count(*) // 2 + 1] AS \"offset\" FROM m GROUP BY 1) SELECT m.donor_id, o.\"offset\", count(*) FILTER (abs(d - o.\"offset\") <= 0.3) AS members FROM m JOIN o USING (donor_id) GROUP BY 1, 2"),

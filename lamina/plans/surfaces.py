@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from lamina.functions.derive import query_points, surface_points, voxels, with_sql
 from lamina.operators import index as ix
 from lamina.operators import surface as su
+from lamina.operators.stats import ranked
 
 TILE = 4
 NORMAL = (0.25, 0.5, 1.0)
@@ -147,7 +148,7 @@ QUERIES = {
         ),
     ),
     "a14_slant_p95": (
-        lambda s, d: su.slant(surface_points(s, d)).groupBy("seg_id").agg(F.sort_array(F.collect_list("slant")).alias("l")).select("seg_id", F.floor(F.element_at("l", F.expr("cast(size(l) - size(l) div 20 as int)")) * 1e6 + 0.5).cast("long").alias("slant_p95")),
+        lambda s, d: ranked(su.slant(surface_points(s, d)), ["seg_id"], "slant", "n - 1 - n div 20").select("seg_id", F.floor(F.col("slant") * 1e6 + 0.5).cast("long").alias("slant_p95")),
         with_sql(
             "sp",
             f", {QUAD}, t AS (SELECT seg_id, list_sort(list(abs(" + " + ".join(f"(q{c} - p{c}) * (r{c} - p{c})" for c in _AX) + ") / (" + " + ".join(f"(q{c} - p{c}) * (q{c} - p{c})" for c in _AX) + "))) AS l FROM quad GROUP BY 1) SELECT seg_id, " + _sqls("l[len(l) - len(l) // 20]", 6, "slant_p95") + " FROM t",
