@@ -16,10 +16,11 @@ from lamina.plans.surfaces import _wide
 
 
 def _growth(s, d):
-    """From a patch of the first segment over all surface points, as boundary points."""
+    """From a patch in the middle of every segment over all surface points, as boundary points, until nothing is new."""
     sp = surface_points(s, d)
-    seeds = sp.where("seg_id = 0 and j between 3 and 6 and i between 20 and 24")
-    return so.grown(seeds, sp.select("x", "y", "z"), 10, 50, 6, 20.0, 12.0)
+    mid = sp.groupBy("seg_id").agg(*(F.expr(f"(min({c}) + max({c})) div 2").alias("m" + c) for c in "ji"))
+    seeds = sp.join(mid, "seg_id").where("j between mj - 1 and mj + 2 and i between mi - 2 and mi + 2")
+    return so.grown(seeds, sp.select("x", "y", "z"), 10, 50, 10 * 50, 20.0, 12.0)
 
 
 def _registration(s, d):

@@ -4,8 +4,8 @@ import random
 
 import numpy as np
 
-from lamina.functions.derive import voxels
-from lamina.operators import stats
+from lamina.functions.derive import surface_points, voxels
+from lamina.operators import solve, stats
 from lamina.plans import registry
 
 FOLDER = "/root/testdata/sf0.001"
@@ -36,3 +36,14 @@ def test_ranked_elements_of_keys_over_many_ranges(spark):
 def test_donor_coverage_is_of_the_cells_there_are(spark):
     r = registry.queries()["a19_donor_agreement"](spark, "/root/testdata/sf0.01").first()
     assert r["n"] > 0 and r["coverage"] == r["n"] / 10_000
+
+
+def test_every_segment_grows_until_nothing_is_new(spark):
+    folder = "/root/testdata/sf0.01"
+    got = registry.queries()["i2_i3_surface_growth"](spark, folder).toPandas()
+    assert set(got["seg_id"]) == {r["seg_id"] for r in surface_points(spark, folder).select("seg_id").distinct().collect()}
+    full = got[got["seg_id"] < 4].groupby("seg_id")["gen"].max()
+    assert len(full) == 4 and (full > 0).all()
+    assert not got.duplicated(["seg_id", "j", "i"]).any()
+    again = solve.grown(spark.createDataFrame(got).drop("gen"), surface_points(spark, folder).select("x", "y", "z"), 10, 50, 1, 20.0, 12.0)
+    assert again.count() == len(got)
