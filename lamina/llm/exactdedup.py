@@ -132,11 +132,18 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return joined.select(F.col("id").alias(id_col), keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), F.col("id").eqNullSafe(keep).alias("kept"), F.col("sha").alias("text_sha256"))
 
 
-def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns."""
-    _, many, attempt = groups(docs, id_col, text_col)
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", once: bool = False) -> DataFrame:
+    """The rows of ``docs`` that stay, with all their columns; ``once``: of rows that repeat id and text too only the largest."""
+    small, many, attempt = groups(docs, id_col, text_col)
     kept = [F.col(f"`{c}`") for c in docs.columns]
     marked = docs.select(F.struct(*kept).alias("_row"), F.col(id_col).alias("_id"), fingerprint(F.col(text_col), attempt).alias("_f"))
     marked = marked.select("_row", "_id", F.col("_f.h").alias("_h"), F.col("_f.n").alias("_n"))
     stays = marked.join(many, ["_h", "_n"], "left").where(F.col("group_size").isNull() | F.col("_id").eqNullSafe(F.col("keep_id")))
+    if once:
+        keys = ["_h", "_n"]
+        kept_rows = small.join(many, keys).where(F.col("id").eqNullSafe(F.col("keep_id")))
+        again = cut(kept_rows.groupBy(*keys).agg(F.count("*").alias("rows")).where("rows > 1").select(*keys))
+        if not again.isEmpty():
+            one = stays.join(again, keys, "left_semi").groupBy(*keys).agg(F.max("_row").alias("_row"))  # combined before the shuffle
+            return stays.join(again, keys, "left_anti").select("_row.*").union(one.select("_row.*"))
     return stays.select("_row.*")
