@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamina.session import saved, shared_dir
+from lamina.session import cut, saved, shared_dir
 
 #: Bytes of payload in an archive, about.
 ARCHIVE_BYTES = 16 << 20
@@ -52,8 +52,9 @@ def records(pages: DataFrame, least: int = 0, id_col: str = "page_id", url_col:
     body = F.coalesce(F.col(html_col).cast("string"), F.lit(""))
     page = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), body.alias("body"))
     page = page.select("id", "url", "body", F.octet_length("body").cast("long").alias("size"), base32_sha1(F.col("body").cast("binary")).alias("digest"))
-    largest = page.select("id", "size", "digest").groupBy("digest", "size").agg(F.max("id").alias("original"))
-    page = page.join(largest, ["digest", "size"])
+    largest = page.select("id", "size", "digest").groupBy("digest", "size").agg(F.max("id").alias("original"), F.count("*").alias("n"))
+    largest = cut(largest.where("n > 1").drop("n"))  # a join right after the aggregation could not be split by key
+    page = page.join(largest, ["digest", "size"], "left")
     revisit = (F.col("size") >= least) & F.col("original").isNotNull() & ~F.col("id").eqNullSafe(F.col("original"))
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value.cast("string"), F.lit("\r\n"))
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"), line("Content-Length", F.col("size")), F.lit("\r\n"))
