@@ -1,12 +1,15 @@
 """WARC archives of pages, and a globally ordered index of their captures.
 
 Writing: a page is a response record, or a revisit of the response with the same payload (the one
-with the largest page id). Records are UTF-8 text and end with two line breaks, so Spark's text
-writer makes the archives, on any file system, a few megabytes each. Reading: whole archives are
-parsed by their content lengths; digests of stored payloads are verified. Index: an archive's
-captures, sorted by URL key, timestamp and page id, are a run; runs are dealt to ranges of keys and
-each range's runs are merged k ways with a loser tree. A range boundary may fall inside one URL's
-captures, so no URL is too frequent.
+with the largest page id). Which pages are revisits is decided on ids and digests alone; bodies are
+shuffled once, to meet that decision under their id, and go from there into the archives, so a
+payload that millions of pages share is no key of any body. Records are UTF-8 text and end with two
+line breaks, so Spark's text writer makes the archives, gzipped, on any file system; a record's
+offset and length are those in the unpacked archive. Reading: archives are parsed by their content
+lengths; digests of stored payloads are verified. Index: an archive's captures, sorted by URL key,
+timestamp and page id, are a run, and the runs are a saved table; they are dealt to ranges of keys
+and what reaches a range of each run is merged k ways with a loser tree, which reads the runs in
+blocks. A range boundary may fall inside one URL's captures, so no URL is too frequent.
 
 Defined results: a null page counts as an empty payload; records with payloads under ``least`` bytes
 are all responses; a null page id sorts below all others, and where all ids of a payload are null
@@ -18,10 +21,11 @@ archives and no rows; extra columns are not read.
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,10 +35,12 @@ from pyspark.sql import functions as F
 
 from lamina.session import cut, saved, shared_dir
 
-#: Bytes of payload in an archive, about.
+#: Bytes of records in an archive before it is packed, about.
 ARCHIVE_BYTES = 16 << 20
 #: Captures in a range of the index, about.
 RANGE_ROWS = 200_000
+#: Captures of a run that are Python objects at once while it is merged.
+BLOCK_ROWS = 64
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 END = "\r\n\r\n"
 
@@ -47,15 +53,24 @@ def base32_sha1(payload: Column) -> Column:
     return F.concat(*(letter(part(k), s) for k in range(8) for s in (15, 10, 5, 0)))
 
 
+def revisits(page: DataFrame, least: int = 0) -> DataFrame:
+    """``id``, ``digest``, ``size`` and ``original`` of the pages (id, digest, size) that revisit another, each once; cut."""
+    narrow = saved(page.select("id", "digest", "size"))
+    largest = narrow.groupBy("digest", "size").agg(F.max("id").alias("original"), F.count("*").alias("n"))
+    largest = cut(largest.where("n > 1").drop("n"))  # a join right after the aggregation could not be split by key
+    again = (F.col("size") >= least) & F.col("original").isNotNull() & ~F.col("id").eqNullSafe(F.col("original"))
+    return cut(narrow.join(largest, ["digest", "size"]).where(again).select("id", "digest", "size", "original").distinct())
+
+
 def records(pages: DataFrame, least: int = 0, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """The text of each page's record, ``value``, without the record's end; and ``size``, the payload's bytes."""
+    """The text of each page's record, ``value``, without the record's end; and ``id`` and ``size``, the payload's bytes."""
     body = F.coalesce(F.col(html_col).cast("string"), F.lit(""))
     page = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), body.alias("body"))
     page = page.select("id", "url", "body", F.octet_length("body").cast("long").alias("size"), base32_sha1(F.col("body").cast("binary")).alias("digest"))
-    largest = page.select("id", "size", "digest").groupBy("digest", "size").agg(F.max("id").alias("original"), F.count("*").alias("n"))
-    largest = cut(largest.where("n > 1").drop("n"))  # a join right after the aggregation could not be split by key
-    page = page.join(largest, ["digest", "size"], "left")
-    revisit = (F.col("size") >= least) & F.col("original").isNotNull() & ~F.col("id").eqNullSafe(F.col("original"))
+    again = revisits(page, least).select(F.coalesce("id", F.lit(-1)).alias("_id"), F.col("id").isNull().alias("_no_id"), F.col("digest").alias("_digest"), F.col("size").alias("_size"), "original")
+    same = (F.coalesce("id", F.lit(-1)) == F.col("_id")) & (F.col("id").isNull() == F.col("_no_id")) & (F.col("digest") == F.col("_digest")) & (F.col("size") == F.col("_size"))
+    page = page.join(again, same, "left")
+    revisit = F.col("original").isNotNull()
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value.cast("string"), F.lit("\r\n"))
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"), line("Content-Length", F.col("size")), F.lit("\r\n"))
     block = F.concat(http, F.when(F.col("revisit"), "").otherwise(F.col("body")))
@@ -76,10 +91,11 @@ def records(pages: DataFrame, least: int = 0, id_col: str = "page_id", url_col:
 
 
 def write_archives(pages: DataFrame, path: str, archive_bytes: int = ARCHIVE_BYTES, **names) -> None:
-    """Writes the pages' records as archives in the folder ``path``."""
-    size = pages.agg(F.coalesce(F.sum(F.octet_length(names.get("html_col", "html")) + 512), F.lit(0)).alias("n")).first()["n"]
-    made = records(pages, **names).repartition(max(1, -(-size // archive_bytes)), F.xxhash64("id", F.substring("value", -64, 64)))
-    made.select("value").write.option("lineSep", END).text(path)
+    """Writes the pages' records as archives in the folder ``path``; Spark deals the records, and a task begins a new archive when one has its share."""
+    html = F.octet_length(names.get("html_col", "html"))
+    found = pages.agg(F.coalesce(F.sum(F.coalesce(html, F.lit(0)).cast("long") + 512), F.lit(0)).alias("size"), F.count("*").alias("n")).first()
+    share = max(1, archive_bytes * found["n"] // max(1, found["size"]))
+    records(pages, **names).select("value").write.option("lineSep", END).option("maxRecordsPerFile", share).option("compression", "gzip").text(path)
 
 
 def url_key(url: str) -> str:
@@ -120,7 +136,7 @@ def captures(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for name, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
                 rows = []
-                for offset, length, head, block in parse(content.as_buffer().to_pybytes()):
+                for offset, length, head, block in parse(gzip.decompress(content.as_buffer())):
                     http, payload = block.split(END.encode(), 1)
                     size = int(re.search(rb"Content-Length: ([0-9]+)", http)[1])
                     digest = head["WARC-Payload-Digest"].removeprefix("sha1:")
@@ -129,11 +145,12 @@ def captures(spark: SparkSession, path: str) -> DataFrame:
                     url = head.get("WARC-Target-URI", "")
                     rows.append((name, offset, length, number(head["WARC-Record-ID"]), url, url_key(url), re.sub(r"\D", "", head["WARC-Date"]), head["WARC-Type"], digest, size, number(head.get("WARC-Refers-To"))))
                 rows.sort(key=_order)
-                yield pa.RecordBatch.from_arrays([pa.array(c, _TYPES[k]) for k, c in enumerate(zip(*rows, strict=True) if rows else [[]] * len(_TYPES))], [c.split()[0] for c in CAPTURE.split(", ")])
+                yield pa.RecordBatch.from_arrays([pa.array(c, _TYPES[k]) for k, c in enumerate(zip(*rows, strict=True) if rows else [[]] * len(_TYPES))], NAMES)
 
     return spark.read.format("binaryFile").load(path).where("length > 0").select("path", "content").mapInArrow(run, CAPTURE)
 
 
+NAMES = [c.split()[0] for c in CAPTURE.split(", ")]
 _TYPES = [pa.int64() if c.endswith(" long") else pa.string() for c in CAPTURE.split(", ")]
 
 
@@ -142,12 +159,13 @@ def _order(row: tuple) -> tuple:
 
 
 class LoserTree:
-    """Merges sorted lists: each inner node keeps the loser of the match below it, so the next item needs one match a level."""
+    """Merges sorted runs, any iterables: each inner node keeps the loser of the match below it, so the next item needs one match a level."""
 
-    def __init__(self, runs: list[list], key) -> None:
-        self.runs, self.key, self.k = runs, key, len(runs)
-        self.at = [0] * self.k
-        self.head = [key(r[0]) if r else None for r in runs]
+    def __init__(self, runs: Iterable[Iterable], key: Callable) -> None:
+        self.runs, self.key = [iter(r) for r in runs], key
+        self.k = len(self.runs)
+        self.item = [next(r, None) for r in self.runs]
+        self.head = [None if x is None else key(x) for x in self.item]
         self.tree = [-1] * max(1, self.k)
         for run in range(self.k):
             self._replay(run)
@@ -170,38 +188,43 @@ class LoserTree:
 
     def __iter__(self) -> Iterator:
         while self.k and self.head[w := self.tree[0]] is not None:
-            yield self.runs[w][self.at[w]]
-            self.at[w] += 1
-            self.head[w] = self.key(self.runs[w][self.at[w]]) if self.at[w] < len(self.runs[w]) else None
+            yield self.item[w]
+            self.item[w] = next(self.runs[w], None)
+            self.head[w] = None if self.item[w] is None else self.key(self.item[w])
             self._replay(w)
 
 
+def sorted_pieces(batches: Iterator[pa.RecordBatch]) -> list[pa.RecordBatch]:
+    """The batches cut wherever the order falls: what arrives of the runs, each piece sorted. They stay Arrow data."""
+    out = []
+    for batch in batches:
+        keys = [_order(r) for r in zip(*(batch.column(n).to_pylist() for n in NAMES), strict=True)]
+        cuts = [0, *(k for k in range(1, len(keys)) if keys[k] < keys[k - 1]), len(keys)]
+        out += [batch.slice(a, b - a) for a, b in zip(cuts, cuts[1:], strict=False) if b > a]
+    return out
+
+
+def _rows(piece: pa.RecordBatch) -> Iterator[tuple]:
+    for a in range(0, piece.num_rows, BLOCK_ROWS):
+        yield from zip(*(piece.column(n).slice(a, BLOCK_ROWS).to_pylist() for n in NAMES), strict=True)
+
+
 def merged_index(runs: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
     """All captures with ``shard`` and ``position``: in the order of these two, captures are ordered by URL key, timestamp and page id.
 
     ``runs`` is read more than once: pass a saved frame.
     """
     ranges = max(1, -(-runs.count() // range_rows))
-    names = [c.split()[0] for c in CAPTURE.split(", ")]
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, list] = {}
-        for batch in batches:
-            for row in zip(*(batch.column(n).to_pylist() for n in names), strict=True):
-                held.setdefault(row[0], []).append(row)
-        lists = [held[n] for n in sorted(held)]
-        for r in lists:
-            keys = [_order(x) for x in r]
-            if any(a > b for a, b in zip(keys, keys[1:], strict=False)):  # blocks of a run fetched out of order
-                r.sort(key=_order)
         shard, done, rows = TaskContext.get().partitionId(), 0, []
 
         def out() -> pa.RecordBatch:
             columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _TYPES, strict=True)]
             more = [pa.array(np.full(len(rows), shard, np.int32)), pa.array(np.arange(done, done + len(rows)))]
-            return pa.RecordBatch.from_arrays(columns + more, [*names, "shard", "position"])
+            return pa.RecordBatch.from_arrays(columns + more, [*NAMES, "shard", "position"])
 
-        for row in LoserTree(lists, _order):
+        for row in LoserTree(map(_rows, sorted_pieces(batches)), _order):
             rows.append(row)
             if len(rows) == 10_000:
                 yield out()

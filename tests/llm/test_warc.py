@@ -1,4 +1,5 @@
 import base64
+import gzip
 import hashlib
 import heapq
 import random
@@ -46,7 +47,7 @@ def test_archive_and_index(spark, table, tmp_path, monkeypatch):
     order = [(r["url_key"], r["ts"], -1 if r["page_id"] is None else r["page_id"]) for r in got]
     assert order == sorted(order)
     for r in got:
-        data = open(r["run"].removeprefix("file://").removeprefix("file:"), "rb").read()[r["offset"] : r["offset"] + r["length"]]
+        data = gzip.open(r["run"].removeprefix("file://").removeprefix("file:")).read()[r["offset"] : r["offset"] + r["length"]]
         assert data.startswith(b"WARC/1.1\r\n") and data.endswith(b"\r\n\r\n")
 
 
@@ -66,7 +67,7 @@ def test_payloads_under_the_least_size_are_all_responses(spark, table):
 def test_a_damaged_payload_is_found(spark, tmp_path):
     warc.write_archives(spark.createDataFrame([(1, "http://a.b/", "payload")], "page_id long, url string, html string"), f"file://{tmp_path}/w")
     for f in (tmp_path / "w").glob("part-*"):
-        f.write_bytes(f.read_bytes().replace(b"\r\n\r\npayload", b"\r\n\r\nPayload"))
+        f.write_bytes(gzip.compress(gzip.decompress(f.read_bytes()).replace(b"\r\n\r\npayload", b"\r\n\r\nPayload")))
     for f in (tmp_path / "w").glob(".*.crc"):
         f.unlink()
     with pytest.raises(Exception, match="isn't the one"):
@@ -89,3 +90,21 @@ def test_loser_tree_merges(k):
     rng = random.Random(k)
     runs = [sorted(rng.randint(0, 50) for _ in range(rng.choice([0, 1, 5, 40]))) for _ in range(k)]
     assert list(warc.LoserTree(runs, lambda x: x)) == list(heapq.merge(*runs))
+
+
+def test_a_payload_shared_by_most_pages_is_decided_apart_from_bodies(spark):
+    """A third of the pages share a payload and a third have no id; bodies only meet the decision under their ids."""
+    pages = [(k, f"http://h.org/{k}", "shared" if k % 3 == 0 else f"own {k}") for k in range(300)] + [(None, "http://h.org/", "shared")] * 150
+    made = warc.records(spark.createDataFrame(pages, "page_id long, url string, html string"))
+    got = made.selectExpr("id", "value like '%WARC-Type: revisit%' as again").groupBy("again").count().collect()
+    assert {r["again"]: r["count"] for r in got} == {True: 99 + 150, False: 201}
+
+
+def test_pieces_are_cut_where_the_order_falls(spark, table, tmp_path):
+    warc.write_archives(table, f"file://{tmp_path}/w")
+    rows = [tuple(r) for r in warc.captures(spark, f"file://{tmp_path}/w").collect()]
+    random.Random(4).shuffle(rows)
+    batch = warc.pa.RecordBatch.from_arrays([warc.pa.array(c, t) for c, t in zip(zip(*rows, strict=True), warc._TYPES, strict=True)], warc.NAMES)
+    pieces = warc.sorted_pieces(iter([batch.slice(0, 20), batch.slice(20)]))
+    assert sum(p.num_rows for p in pieces) == len(rows) and len(pieces) > 10
+    assert list(warc.LoserTree(map(warc._rows, pieces), warc._order)) == sorted(rows, key=warc._order)
