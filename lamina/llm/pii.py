@@ -9,7 +9,13 @@ enough seeds then mark values of a like shape that no exact pattern finds: words
 groups joined by single spaces.
 
 The exact patterns are written so that no text makes them slow: a run of characters is tried once,
-and nothing is matched by recursion. Positions come from splitting a text at its matches.
+and nothing is matched by recursion. Positions come from splitting a text at its matches. What is
+summed along the matches of one text (positions, the words before, how far spans reach) is summed
+in blocks, so a text that is nothing but addresses costs little more than its length.
+
+A pattern must have found three different seeds, and one in ``SUPPORT`` of all pairs of a context
+and a seed of its kind. So there are ``SUPPORT`` patterns of a kind at most, however large the
+corpus is, and they can be broadcast to count their words in all documents.
 
 Defined results: null counts as an empty text; spans are in code points, ends exclusive; a match
 that fails its check is dropped; repeated rows get equal results; an empty table gives no rows;
@@ -18,6 +24,8 @@ extra columns are not read, and ``redact`` keeps them.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -50,21 +58,114 @@ SHAPES = {
 #: Characters before a value that its two words are looked for in.
 CONTEXT = 80
 ROUNDS, LEAST_SEEDS, LEAST_CONFIDENCE = 3, 3, 0.5
-#: As many contexts may be broadcast, to leave out other word pairs before they are counted.
-FEW_CONTEXTS = 100_000
+#: A pattern has found at least one in so many of the different (context, seed) pairs of its kind; there are no more patterns of a kind than that.
+SUPPORT = 2000
+#: Items of an array that are gone through one by one; longer arrays are cut into blocks of so many.
+BLOCK = 256
+_END = 2147483647
+
+
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def blocks_of(xs: Column) -> Column:
+    """An array as an array of blocks."""
+    return F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.size(xs) - 1) / BLOCK).cast("int"))), lambda b: F.slice(xs, b * BLOCK + 1, F.lit(BLOCK)))
+
+
+def scanned(xs: Column, value: Callable[[Column], Column], combine: Callable[[Column, Column], Column], zero: Column, kind: str) -> Column:
+    """For each item of an array, what ``combine`` makes of the values of all items before it.
+
+    An array that grows item by item is copied each time, so this goes block by block: first what
+    each block makes, then what all blocks before it make, then the items of each block.
+    """
+
+    def along(part: Column, first: Column, of: Callable[[Column], Column]) -> Column:
+        start = F.struct(first.cast(kind).alias("acc"), F.array().cast(f"array<{kind}>").alias("out"))
+        return F.aggregate(part, start, lambda s, x: F.struct(combine(s["acc"], of(x)).cast(kind).alias("acc"), F.concat(s["out"], F.array(s["acc"])).alias("out")), lambda s: s["out"])
+
+    def whole(part: Column) -> Column:
+        return F.aggregate(part, zero.cast(kind), lambda s, x: combine(s, value(x)).cast(kind))
+
+    return bound(blocks_of(xs), lambda bs: F.flatten(F.zip_with(bs, along(F.transform(bs, whole), zero, lambda x: x), lambda b, first: along(b, first, value))))
 
 
 def located(matches: Column, parts: Column) -> Column:
-    """Array of (start, end, value) of a text's matches, from the matches and the parts between them."""
-    first = F.struct(F.lit(0).alias("pos"), F.array().cast("array<struct<start:int,end:int,value:string>>").alias("found"))
+    """Array of (start, end, value, before) of a text's matches, from the matches and the parts between them; ``before``: the characters before the match."""
+
+    def spans(z: Column) -> Column:
+        sizes = scanned(z, lambda x: F.char_length(x["p"]) + F.char_length(x["m"]), lambda a, b: a + b, F.lit(0), "int")
+        tails = scanned(z, lambda x: F.concat(F.substring(x["p"], -CONTEXT, CONTEXT), F.substring(x["m"], -CONTEXT, CONTEXT)), lambda a, b: F.substring(F.concat(a, b), -CONTEXT, CONTEXT), F.lit(""), "string")
+        placed = F.zip_with(z, F.zip_with(sizes, tails, lambda a, b: F.struct(a.alias("at"), b.alias("tail"))), lambda x, y: F.struct((y["at"] + F.char_length(x["p"])).alias("start"), x["m"].alias("value"), F.substring(F.concat(y["tail"], x["p"]), -CONTEXT, CONTEXT).alias("before")))
+        return F.transform(placed, lambda x: F.struct(x["start"].alias("start"), (x["start"] + F.char_length(x["value"])).cast("int").alias("end"), x["value"].alias("value"), x["before"].alias("before")))
+
+    return bound(F.zip_with(matches, F.slice(parts, 1, F.size(matches)), lambda m, p: F.struct(m.alias("m"), p.alias("p"))), spans)
+
+
+def apart(spots: Column, base: Column) -> Column:
+    """The spots (start, end, value, context) that overlap no base span. Both are put in one order, along which base spans reach forward and backward."""
+    last = F.lit(_END)
+    one = F.transform(base, lambda b: F.struct(b["start"].alias("start"), F.lit(0).alias("spot"), b["end"].alias("end"), F.lit("").alias("value"), F.lit("").alias("context")))
+    two = F.transform(spots, lambda s: F.struct(s["start"].alias("start"), F.lit(1).alias("spot"), s["end"].alias("end"), s["value"].alias("value"), s["context"].alias("context")))
+
+    def free(every: Column) -> Column:
+        reach = scanned(every, lambda x: F.when(x["spot"] == 0, x["end"]).otherwise(0), lambda a, b: F.greatest(a, b), F.lit(0), "int")
+        begin = F.reverse(scanned(F.reverse(every), lambda x: F.when(x["spot"] == 0, x["start"]).otherwise(last), lambda a, b: F.least(a, b), last, "int"))
+        around = F.zip_with(every, F.zip_with(reach, begin, lambda a, b: F.struct(a.alias("reach"), b.alias("begin"))), lambda x, y: F.struct(x.alias("x"), y.alias("y")))
+        kept = F.filter(around, lambda z: (z["x"]["spot"] == 1) & (z["y"]["reach"] <= z["x"]["start"]) & (z["y"]["begin"] >= z["x"]["end"]))
+        return F.transform(kept, lambda z: F.struct(z["x"]["start"].alias("start"), z["x"]["end"].alias("end"), z["x"]["value"].alias("value"), z["x"]["context"].alias("context")))
+
+    return F.when(F.size(base) == 0, spots).otherwise(bound(F.array_sort(F.concat(one, two)), free))
+
+
+def outermost(spans: Column) -> Column:
+    """Of the different spans (start, kind, end) those not inside another of their kind."""
+    key = lambda x: x["kind"].cast("long") * (1 << 32) + x["end"]
 
-    def step(acc: Column, x: Column) -> Column:
-        start = (acc["pos"] + F.char_length(x["p"])).cast("int")
-        end = (start + F.char_length(x["m"])).cast("int")
-        return F.struct(end.alias("pos"), F.concat(acc["found"], F.array(F.struct(start.alias("start"), end.alias("end"), x["m"].alias("value")))).alias("found"))
+    def free(every: Column) -> Column:
+        reach = scanned(every, key, lambda a, b: F.greatest(a, b), F.lit(-1), "long")
+        kept = F.filter(F.zip_with(every, reach, lambda x, r: F.struct(x.alias("x"), r.alias("r"))), lambda z: z["r"] < key(z["x"]))
+        return F.transform(kept, lambda z: F.struct(z["x"]["start"].alias("start"), z["x"]["kind"].alias("kind"), z["x"]["end"].alias("end")))
 
-    zipped = F.zip_with(matches, F.slice(parts, 1, F.size(matches)), lambda m, p: F.struct(m.alias("m"), p.alias("p")))
-    return F.aggregate(zipped, first, step, lambda acc: acc["found"])
+    return bound(F.array_sort(F.transform(spans, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), (-s["end"]).alias("back"), s["end"].alias("end")))), free)
+
+
+def replaced(text: Column, spans: Column) -> Column:
+    """The text with every span (start, kind, end; in order) replaced by its kind's name in brackets; overlapping spans are one, named for the first."""
+    name = F.array(*(F.lit(f"[{k}]") for k in KINDS))
+
+    def write(part: Column, rest: Column, at: Column) -> Column:
+        start = F.struct(rest.alias("rest"), at.cast("int").alias("at"), F.array().cast("array<string>").alias("out"))
+
+        def step(s: Column, x: Column) -> Column:
+            new = F.array(F.substring(s["rest"], x["from"] - s["at"] + 1, x["to"] - x["from"]), F.element_at(name, x["kind"] + 1))
+            return F.struct(F.substring(s["rest"], x["to"] - s["at"] + 1, F.lit(_END)).alias("rest"), x["to"].alias("at"), F.concat(s["out"], new).alias("out"))
+
+        return F.aggregate(part, start, step, lambda s: F.array_join(s["out"], ""))
+
+    def segments(bs: Column) -> Column:
+        """The text from each block's first piece on, to the next block's."""
+        start = F.struct(text.alias("rest"), F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+        until = F.transform(bs, lambda b: F.struct(b[0]["from"].alias("from"), b[F.size(b) - 1]["to"].alias("to")))
+
+        def step(s: Column, x: Column) -> Column:
+            rest = F.substring(s["rest"], x["from"] - s["at"] + 1, F.lit(_END))
+            return F.struct(rest.alias("rest"), x["from"].alias("at"), F.concat(s["out"], F.array(F.substring(rest, F.lit(1), x["to"] - x["from"]))).alias("out"))
+
+        return F.aggregate(until, start, step, lambda s: s["out"])
+
+    def pieces(xs: Column) -> Column:
+        reach = scanned(xs, lambda x: x["end"], lambda a, b: F.greatest(a, b), F.lit(0), "int")
+        every = F.zip_with(xs, reach, lambda x, r: F.struct(r.alias("from"), x["start"].alias("to"), x["kind"].alias("kind")))
+        return F.filter(every, lambda x: x["to"] >= x["from"])
+
+    def joined(bs: Column) -> Column:
+        return F.array_join(F.zip_with(bs, segments(bs), lambda b, seg: write(b, seg, b[0]["from"])), "")
+
+    last = F.aggregate(spans, F.lit(0), lambda a, x: F.greatest(a, x["end"]))
+    return F.concat(bound(bound(spans, pieces), lambda ps: bound(blocks_of(ps), joined)), F.substring(text, last + 1, F.lit(_END)))
 
 
 def _digits(value: Column) -> Column:
@@ -86,15 +187,19 @@ def _check(kind: str):
     return lambda s: _valid(kind, s["value"])
 
 
-def _as_span(number: int, before):
-    return lambda s: F.struct(s["start"].alias("start"), F.lit(number).alias("kind"), s["end"].alias("end"), s["value"].alias("value"), before(s["start"]).alias("context"))
+def _words_before(before: Column) -> Column:
+    return F.lower(F.regexp_extract(before, r"(?:^|\s)(\S++\s++\S++)\s*+$", 1))
+
+
+def _as_span(number: int):
+    return lambda s: F.struct(s["start"].alias("start"), F.lit(number).alias("kind"), s["end"].alias("end"), s["value"].alias("value"), _words_before(s["before"]).alias("context"))
 
 
 def _of_kind(number: int):
     return lambda s: s["kind"] == number
 
 
-def found(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
+def found(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Of every row: ``id``, ``h`` (a hash of the text), ``base``: spans (start, kind number, end, value, context); ``other``: possible values (start, end, value, context) apart from them."""
     none = F.array().cast("array<string>")
     page = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
@@ -105,21 +210,19 @@ def found(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_
     page = page.select("id", "t", *(m.alias(f"m_{k}") for k, m in matched.items()))
     spots = {k: F.when(F.size(f"m_{k}") > 0, located(F.col(f"m_{k}"), F.split("t", p, -1))) for k, p in (PATTERNS | possible).items()}
     page = page.select("id", "t", *(s.alias(f"s_{k}") for k, s in spots.items()))
-    before = lambda start: F.lower(F.regexp_extract(F.substring("t", F.greatest(F.lit(1), start - CONTEXT + 1), F.least(start, F.lit(CONTEXT))), r"(?:^|\s)(\S++\s++\S++)\s*+$", 1))
     spans = F.array().cast("array<struct<start:int,kind:int,end:int,value:string,context:string>>")
     empty = spans
     for n, k in enumerate(KINDS):
         good = F.filter(F.col(f"s_{k}"), _check(k))
-        spans = F.concat(spans, F.coalesce(F.transform(good, _as_span(n, before)), empty))
-    page = page.select("id", "t", F.array_sort(spans).alias("base"), "s_other", "s_grouped")
+        spans = F.concat(spans, F.coalesce(F.transform(good, _as_span(n)), empty))
+    no_spots = F.array().cast("array<struct<start:int,end:int,value:string,before:string>>")
+    page = page.select("id", "t", F.array_sort(spans).alias("base"), F.concat(F.coalesce("s_other", no_spots), F.coalesce("s_grouped", no_spots)).alias("spots"))
     head = lambda v: F.char_length(F.regexp_extract(v, r"^[(\"'<\[]*?(?=\([0-9]{1,5}+\)[ .-]?+[0-9]|\[[0-9]{1,5}+\][ .-]?+[0-9]|[^(\"'<\[])", 0))
     tail = lambda v: F.char_length(F.regexp_extract(v, r"[.,;:!?)\"'>\]]++$", 0))
-    no_spots = F.array().cast("array<struct<start:int,end:int,value:string>>")
-    spots = F.concat(F.coalesce("s_other", no_spots), F.coalesce("s_grouped", no_spots))
-    trimmed = F.transform(spots, lambda s: F.struct((s["start"] + head(s["value"])).alias("start"), (s["end"] - tail(s["value"])).alias("end"), F.substring(s["value"], head(s["value"]) + 1, F.greatest(F.lit(0), F.char_length(s["value"]) - head(s["value"]) - tail(s["value"]))).alias("value"), before(s["start"]).alias("context")))
-    apart = F.filter(trimmed, lambda s: (s["start"] < s["end"]) & ~F.exists(F.col("base"), lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    other = F.when(F.size(spots) > 0, apart).otherwise(F.array().cast("array<struct<start:int,end:int,value:string,context:string>>"))
-    return page.select("id", F.xxhash64("t", F.char_length("t")).alias("h"), "base", other.alias("other"), *(["t"] if keep_text else []))
+    trimmed = lambda s: bound(F.struct(head(s["value"]).alias("head"), tail(s["value"]).alias("tail")), lambda c: F.struct((s["start"] + c["head"]).alias("start"), (s["end"] - c["tail"]).alias("end"), F.substring(s["value"], c["head"] + 1, F.greatest(F.lit(0), F.char_length(s["value"]) - c["head"] - c["tail"])).alias("value"), _words_before(s["before"]).alias("context")))
+    free = bound(F.filter(F.transform("spots", trimmed), lambda s: s["start"] < s["end"]), lambda xs: apart(xs, F.col("base")))
+    other = F.when(F.size("spots") > 0, free).otherwise(F.array().cast("array<struct<start:int,end:int,value:string,context:string>>"))
+    return page.select("id", F.xxhash64("t", F.char_length("t")).alias("h"), "base", other.alias("other"))
 
 
 def _edges(rows: DataFrame) -> DataFrame:
@@ -135,17 +238,16 @@ def trusted_patterns(rows: DataFrame, docs: DataFrame, id_col: str = "doc_id", t
     """(kind, context) of the patterns of high confidence; ``rows`` are those of ``found``, saved."""
     edges = cut(_edges(rows))
     pattern = ["kind", "context"]
-    able = edges.where("seed").groupBy(*pattern).agg(F.count("*").alias("seeds")).where(F.col("seeds") >= LEAST_SEEDS)
-    able = cut(able)
+    seeds = edges.where("seed").groupBy(*pattern).agg(F.count("*").alias("seeds"))
+    pairs_of = {r["kind"]: r["n"] for r in seeds.groupBy("kind").agg(F.sum("seeds").alias("n")).collect()}  # a row for each kind
+    least = F.coalesce(*(F.when(F.col("kind") == k, F.lit(max(LEAST_SEEDS, -(-n // SUPPORT)))) for k, n in pairs_of.items()), F.lit(LEAST_SEEDS))
+    able = cut(seeds.where(F.col("seeds") >= least))
+    if able.isEmpty():
+        return able.select(*pattern)
     words = F.filter(F.split(F.lower(F.coalesce(F.col(text_col), F.lit(""))), r"\s+"), lambda w: w != "")
     pairs = docs.select(words.alias("w")).select(F.explode(F.zip_with(F.slice("w", 1, F.greatest(F.lit(0), F.size("w") - 1)), F.slice("w", 2, F.greatest(F.lit(0), F.size("w") - 1)), lambda a, b: F.concat_ws(" ", a, b))).alias("context"))
-    normal = F.regexp_replace("context", r"\s+", " ")
-    wanted = able.select(normal.alias("context")).distinct()
-    if able.isEmpty():
-        return able.select("kind", "context")
-    if wanted.count() <= FEW_CONTEXTS:
-        pairs = pairs.join(F.broadcast(wanted), "context", "left_semi")
-    times = cut(pairs.groupBy("context").agg(F.count("*").alias("times")).join(wanted, "context"))  # counted before they are shuffled
+    wanted = able.select(F.regexp_replace("context", r"\s+", " ").alias("context")).distinct()
+    times = cut(pairs.join(F.broadcast(wanted), "context", "left_semi").groupBy("context").agg(F.count("*").alias("times")))  # counted before they are shuffled
     graph = cut(edges.join(able, pattern).select("kind", "context", "value", "seed", "n"))
     scores = cut(graph.select("kind", "value", "seed").distinct().select("kind", "value", F.when(F.col("seed"), 1.0).otherwise(0.0).alias("score")))
     for _ in range(rounds):
@@ -171,8 +273,7 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     hits = spot.join(patterns, F.col("s.context") == F.col("context")).where(shaped)
     hits = hits.select("id", "h", F.struct(F.col("s.start").alias("start"), F.col("kind").alias("kind"), F.col("s.end").alias("end")).alias("s"))
     more = hits.groupBy(F.col("id").alias("i"), F.col("h").alias("hh")).agg(F.collect_set("s").alias("added"))
-    inside = lambda s: F.exists("added", lambda o: (o["kind"] == s["kind"]) & (o["start"] <= s["start"]) & (s["end"] <= o["end"]) & (o["end"] - o["start"] > s["end"] - s["start"]))
-    more = more.select("i", "hh", F.filter("added", lambda s: ~inside(s)).alias("added"))  # a word of a run that is one itself
+    more = cut(more.select("i", "hh", outermost(F.col("added")).alias("added")))  # a word of a run that is one itself goes; a join right after the aggregation could not be split by key
     base = F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
     rows = rows.select("id", "h", base.alias("base"))
     joined = rows.join(more, F.col("id").eqNullSafe(F.col("i")) & (F.col("h") == F.col("hh")), "left")
@@ -189,18 +290,12 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     """``docs`` with every span of its texts replaced by the kind's name in brackets; overlapping spans are one, named for the first."""
     spans = personal_data(docs, id_col, text_col)
     touched = spans.where("size(base) > 0 or size(added) > 0").select(F.col("id").alias("_i"), F.col("h").alias("_h"), F.array_sort(F.concat("base", "added")).alias("_s")).distinct()
-    name = F.array(*(F.lit(f"[{k}]") for k in KINDS))
-    t = F.col(text_col)
-
-    def step(acc: Column, s: Column) -> Column:
-        new = F.when(s["start"] >= acc["pos"], F.concat(acc["out"], F.substring(t, acc["pos"] + 1, s["start"] - acc["pos"]), F.element_at(name, s["kind"] + 1))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["pos"], s["end"]).alias("pos"), new.alias("out"))
-
-    first = F.struct(F.lit(0).alias("pos"), F.lit("").alias("out"))
-    clean = F.aggregate("_s", first, step, lambda acc: F.concat(acc["out"], F.substring(t, acc["pos"] + 1, F.char_length(t))))
-    able = F.coalesce(t.rlike(r"[0-9@\[(]"), F.lit(False))  # others can have no span, and needn't be joined
+    t = F.col("_row")[text_col]
     whole = F.coalesce(t, F.lit(""))
-    part = docs.where(able)
-    out = part.join(touched, F.col(id_col).eqNullSafe(F.col("_i")) & (F.xxhash64(whole, F.char_length(whole)) == F.col("_h")), "left")
-    out = out.select(*(F.when(F.col("_s").isNotNull(), clean).otherwise(t).alias(c) if c == text_col else part[c] for c in docs.columns))
+    able = F.coalesce(F.col(text_col).rlike(r"[0-9@\[(]"), F.lit(False))  # others can have no span, and needn't be joined
+    part = docs.where(able).select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"))  # so no column of the table clashes with those of the spans
+    same = F.col("_row")[id_col].eqNullSafe(F.col("_i")) & (F.xxhash64(whole, F.char_length(whole)) == F.col("_h"))
+    out = part.join(touched, same, "left")
+    clean = F.when(F.col("_s").isNotNull(), replaced(t, F.col("_s"))).otherwise(t)
+    out = out.select(*(clean.alias(c) if c == text_col else F.col("_row")[c].alias(c) for c in docs.columns))
     return out.union(docs.where(~able))
