@@ -1,4 +1,4 @@
-"""Connected components of distributed links by union-find and star contraction."""
+"""Connected components of distributed links by union-find in partitions and shortening of chains."""
 
 from __future__ import annotations
 
@@ -12,8 +12,9 @@ from lamina.session import cut
 
 
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Union-find over a partition's links; a link from each node to the least of its tree."""
+    """Union-find over a partition's links; a link from each node to the least of its tree. ``own``: whether the node had a link to a smaller one itself."""
     parent: dict[int, int] = {}
+    own: set[int] = set()
 
     def find(x: int) -> int:
         root = x
@@ -25,34 +26,36 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         for a, b in zip(batch.column("u").to_pylist(), batch.column("v").to_pylist(), strict=True):
+            own.add(max(a, b))
             a, b = find(a), find(b)
             if a != b:
                 parent[max(a, b)] = min(a, b)
     nodes = [x for x in parent if find(x) != x]
-    yield pa.RecordBatch.from_pydict({"u": pa.array(nodes, pa.int64()), "v": pa.array([parent[x] for x in nodes], pa.int64())})
+    yield pa.RecordBatch.from_pydict({"u": pa.array(nodes, pa.int64()), "v": pa.array([parent[x] for x in nodes], pa.int64()), "own": pa.array([x in own for x in nodes], pa.bool_())})
 
 
 def components(links: DataFrame) -> DataFrame:
     """``u`` and the least node it is connected with, ``v``, for each node of ``links(u, v)`` that isn't the least itself.
 
-    Each partition's links become a forest; then every node's neighbours are linked to the least
-    neighbour, in turn for larger and smaller neighbours, until all links go to the least node of
-    their component. The partial sums of the aggregations keep a node with many links small.
+    Links go from larger to smaller nodes. In turn, all links of a node to smaller ones meet in one
+    partition, where union-find gives the nodes there one root; then every link to a node that has a
+    smaller one itself goes on to that. After the first round a node has no more links than there
+    are partitions, so no partition is large; links to one node with very many, the root of a large
+    component, meet in the join of the second step only, whose sides are both written tables, so
+    that adaptive execution can split them.
     """
-    edges = cut(links.mapInArrow(_forest, "u long, v long").where("u != v").distinct())
-    while not _settled(edges):
-        both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
-        down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        best = down.groupBy("u").agg(F.min("v").alias("m"))
-        small = down.join(best, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(best.select("u", F.col("m").alias("v"))).where("u != v").distinct()
-        edges = cut(small)
-    return edges
+    schema = "u long, v long, own boolean"
+    edges = links.select("u", "v").mapInArrow(_forest, schema).select("u", "v")
+    while True:
+        edges = cut(edges.repartition("u").mapInArrow(_forest, schema))
+        if _settled(edges):
+            return cut(edges.select("u", "v").distinct())
+        on = edges.where("own").select(F.col("u").alias("v"), F.col("v").alias("w"))
+        edges = edges.join(on, "v", "left").select("u", F.coalesce("w", "v").alias("v"))
 
 
 def _settled(edges: DataFrame) -> bool:
-    """Whether all links go from a node with no other link to the least node of its component: no node has two parents, and no parent has one."""
-    roles = edges.select(F.col("u").alias("n"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(edges.select("v", F.lit(0), F.lit(1)))
-    odd = roles.groupBy("n").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or (up = 1 and down = 1)")
+    """Whether all links go from a node with no other target to the least node of its component: no node has two parents, and no parent has one."""
+    roles = edges.select(F.col("u").alias("n"), F.col("v").alias("up"), F.lit(0).alias("down")).union(edges.select("v", F.lit(None), F.lit(1)))
+    odd = roles.groupBy("n").agg(F.min("up").alias("lo"), F.max("up").alias("hi"), F.max("down").alias("down")).where("lo < hi or (lo is not null and down = 1)")
     return odd.isEmpty()

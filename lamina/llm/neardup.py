@@ -4,14 +4,14 @@ Every text's set of word shingles gets a SuperMinHash signature. Texts of equal
 from the start, known by the least id. Signatures are cut into bands; texts of different sets that
 agree in a whole band share a bucket. In each bucket every member is compared with the least one;
 confirmed links make components. Buckets whose members then lie in one component are done; in the
-others all members of different components are compared by signature. Members that promising pairs
-connect come together once more with their full sets: pairs are confirmed in the order of promise,
-links join components at once, and pairs that are joined by then need no confirmation. So a large
-group costs few confirmations where it holds together, and no pair leaves its task but as a link.
-Large buckets and groups are dealt out in pairs of blocks, and where even these would be many, the
-members meet bucket by bucket, so nothing is left out. With 40 bands of 6 a link
-of similarity 0.8 is overlooked with a probability of about 5e-6, and signatures of 240 places
-that agree in fewer than 68 of 100 places with one of about 2e-6.
+others members of different components are compared by signature, bucket by bucket: those outside
+the bucket's largest component meet each other and that component's, in pairs of blocks, so a bucket
+of any size takes the same way. Members of promising pairs come together once more, in the first
+bucket that a pair shares, with their full sets: pairs are confirmed in the order of promise, links
+join components at once, and pairs that are joined by then need no confirmation. So a large group
+costs few confirmations where it holds together, and no pair leaves its task but as a link. With 40
+bands of 6 a link of similarity 0.8 is overlooked with a probability of about 5e-6, and signatures
+of 240 places that agree in fewer than 68 of 100 places with one of about 2e-6.
 
 Defined results: a text that is null or has no word has an empty set and is linked with nothing; a
 text with fewer words than a shingle has one shingle of all its words; rows that repeat an id are
@@ -38,8 +38,6 @@ BANDS, ROWS = 40, 6
 SLACK = 0.12
 #: Members of a bucket that one task compares with one another.
 BLOCK_MEMBERS = 1000
-#: Blocks of a group up to which its members meet in pairs of blocks; in larger groups they meet in their buckets.
-MOST_BLOCKS = 10
 #: Pairs confirmed before components are looked at again.
 CONFIRMED_AT_ONCE = 256
 
@@ -142,10 +140,12 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tupl
 
 
 def _promising(t: pa.Table, start: np.ndarray, end: np.ndarray, similarity: float) -> Iterator[np.ndarray]:
-    """Rows (first, second, agreement) of promising pairs of different components inside the groups."""
+    """Rows (first, second, agreement) of promising pairs of different components inside the groups, each in the first bucket that the pair shares."""
     least = int((similarity - SLACK) * BANDS * ROWS)
-    i, j, own, ids, comp, n = (np.asarray(t.column(c)) for c in ("i", "j", "block", "id", "comp", "n"))
+    bucket, i, j, own, ids, comp, n = (np.asarray(t.column(c)) for c in ("k", "i", "j", "block", "id", "comp", "n"))
     sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint8).reshape(-1, BANDS * ROWS)
+    bands = t.column("bands")
+    bands = np.asarray((bands.combine_chunks() if isinstance(bands, pa.ChunkedArray) else bands).flatten()).reshape(-1, BANDS)
     group_end = np.repeat(end, end - start)
     at = np.arange(len(ids))
     for d in range(1, int((end - start).max()) if len(start) else 0):
@@ -157,50 +157,32 @@ def _promising(t: pa.Table, start: np.ndarray, end: np.ndarray, similarity: floa
             u, v = x[a : a + 20_000], y[a : a + 20_000]
             agree = (sig[u] == sig[v]).sum(1)
             good = agree >= least
-            yield np.stack((u[good], v[good], agree[good]))
+            u, v, agree = u[good], v[good], agree[good]
+            first = (bands[u] == bands[v]).argmax(1)
+            mine = bands[u, first] == bucket[u]
+            yield np.stack((u[mine], v[mine], agree[mine]))
 
 
 def _unsettled(members: DataFrame, similarity: float) -> DataFrame:
-    """Of the members (k, i, j, block, id, comp, n, sig) of groups (k, i, j) those in a promising pair of different components; ``root`` is
-    the least id that the group's promising pairs connect a member with."""
+    """Of the members (k, i, j, block, id, comp, n, sig, bands) of groups (k, i, j) those in a promising pair of different components that meets here."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, start, end in _groups(batches, ["k", "i", "j"]):
-            ids = np.asarray(t.column("id"))
             hit = np.zeros(len(t), bool)
-            root = np.arange(len(t))
             for u, v, _ in _promising(t, start, end, similarity):
                 hit[u] = hit[v] = True
-                while len(u):  # hooking and pointer jumping
-                    a, b = root[u], root[v]
-                    np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
-                    while not np.array_equal(root, root[root]):
-                        root = root[root]
-                    apart = root[u] != root[v]
-                    u, v = u[apart], v[apart]
-            least = ids.copy()
-            np.minimum.at(least, root, ids)
-            t = t.select(["k", "i", "j", "block", "id", "comp"]).append_column("root", pa.array(least[root]))
-            yield from t.filter(pa.array(hit)).to_batches()
+            yield from t.select(["k", "i", "j", "block", "id", "comp"]).filter(pa.array(hit)).to_batches()
 
     members = members.repartition("k", "i", "j").sortWithinPartitions("k", "i", "j")
-    return members.mapInArrow(run, "k long, i int, j int, block int, id long, comp long, root long")
+    return members.mapInArrow(run, "k long, i int, j int, block int, id long, comp long")
 
 
 def _confirmed(t: pa.Table, pairs: np.ndarray, percent: int) -> list[tuple[int, int]]:
     """Links among the pairs of one group that join components, on the full sets."""
     ids, comp = np.asarray(t.column("id")), np.unique(np.asarray(t.column("comp")), return_inverse=True)[1]
     sets = [np.frombuffer(b, np.uint64) for b in t.column("set").to_pylist()]
-    bands, band = np.asarray(t.column("bands").combine_chunks().flatten()).reshape(-1, BANDS), np.asarray(t.column("k"))
-    u, v = pairs[0], pairs[1]
-    mine = np.ones(len(u), bool)
-    for a in range(0, len(u) if t.column("bucket")[0].as_py() else 0, 20_000):  # a pair is looked at in the first bucket it shares only
-        x, y = bands[u[a : a + 20_000]], bands[v[a : a + 20_000]]
-        first = (x == y).argmax(1)
-        mine[a : a + 20_000] = x[np.arange(len(x)), first] == band[u[a : a + 20_000]]
-    u, v, agree = u[mine], v[mine], pairs[2][mine]
-    order = np.argsort(-agree, kind="stable")
-    u, v, out = u[order], v[order], []
+    order = np.argsort(-pairs[2], kind="stable")
+    u, v, out = pairs[0][order], pairs[1][order], []
     while len(u):
         for x, y in zip(u[:CONFIRMED_AT_ONCE].tolist(), v[:CONFIRMED_AT_ONCE].tolist(), strict=True):
             if comp[x] != comp[y]:
@@ -217,11 +199,10 @@ def _confirmed(t: pa.Table, pairs: np.ndarray, percent: int) -> list[tuple[int,
 
 
 def _links_across(members: DataFrame, similarity: float, percent: int) -> DataFrame:
-    """Links (u, v) between different components among members (bucket, k, i, j, block, id, comp, n, sig, bands, set) of the groups
-    (bucket, k, i, j), where ``bucket`` tells whether k is a bucket."""
+    """Links (u, v) between different components among members (k, i, j, block, id, comp, n, sig, bands, set) of the groups (k, i, j)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t, start, end in _groups(batches, ["bucket", "k", "i", "j"]):
+        for t, start, end in _groups(batches, ["k", "i", "j"]):
             for a, b in zip(start.tolist(), end.tolist(), strict=True):
                 part = t.slice(a, b - a)
                 found = list(_promising(part, np.zeros(1, np.int64), np.array([b - a]), similarity))
@@ -229,7 +210,7 @@ def _links_across(members: DataFrame, similarity: float, percent: int) -> DataFr
                 if links:
                     yield pa.RecordBatch.from_pydict({"u": pa.array([x for x, _ in links], pa.int64()), "v": pa.array([y for _, y in links], pa.int64())})
 
-    members = members.repartition("bucket", "k", "i", "j").sortWithinPartitions("bucket", "k", "i", "j")
+    members = members.repartition("k", "i", "j").sortWithinPartitions("k", "i", "j")
     return members.mapInArrow(run, "u long, v long")
 
 
@@ -247,11 +228,21 @@ def full_sets(docs: DataFrame, ids: DataFrame, shingle: int, id_col: str = "doc_
     return text.join(ids, "id", "left_semi").mapInArrow(run, "id long, set binary")
 
 
-def _dealt(rows: DataFrame, size_col: str) -> DataFrame:
-    """Rows once for each pair (i, j) of their group's blocks that their own ``block`` is in."""
-    blocks = F.ceil(F.col(size_col) / BLOCK_MEMBERS).cast("int")
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("id"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    return rows.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
+def _dealt(placed: DataFrame) -> DataFrame:
+    """Members (k, id, comp) of the buckets with more than one component, once for each pair of blocks (i, j) that their own ``block`` is in.
+
+    A bucket's largest component has blocks with the numbers from ``minor`` on, all others those
+    below; pairs of two blocks of the largest component aren't made, as they have no pair to find.
+    """
+    sizes = placed.groupBy("k", "comp").agg(F.count("*").alias("n"))
+    sizes = sizes.groupBy("k").agg(F.max(F.struct("n", "comp")).alias("top"), F.sum("n").alias("c"), F.count("*").alias("m")).where("m > 1")
+    in_blocks = lambda n: F.ceil(n / BLOCK_MEMBERS).cast("int")
+    sizes = cut(sizes.select("k", F.col("top.comp").alias("top"), in_blocks(F.col("c") - F.col("top.n")).alias("minor"), in_blocks(F.col("top.n")).alias("major")))
+    rows = placed.join(sizes, "k")
+    block = F.when(F.col("comp") == F.col("top"), F.col("minor") + F.pmod(F.xxhash64("id"), F.col("major"))).otherwise(F.pmod(F.xxhash64("id"), F.col("minor"))).cast("int")
+    last = F.when(F.col("comp") == F.col("top"), F.col("minor")).otherwise(F.col("minor") + F.col("major"))
+    rows = rows.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), last - 1)))
+    return rows.select("k", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "comp")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -261,9 +252,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     sets = ["s1", "s2", "n"]
     classes = cut(every.where("n > 0 and id is not null").groupBy(*sets).agg(F.min("id").alias("rep")))
     chosen = cut(every.join(classes, sets).where("id = rep").select("id", "n", "bands", "sig"))
+    if chosen.count() > classes.count():  # rows that repeat id and set; they are combined before they are shuffled
+        chosen = cut(chosen.groupBy("id").agg(*(F.first(c).alias(c) for c in ("n", "bands", "sig"))))
     buckets = chosen.select("id", F.explode("bands").alias("k"))
-    shared = cut(buckets.groupBy("k").agg(F.min("id").alias("p"), F.max("id").alias("q"), F.count("*").alias("c")).where("p < q").drop("q"))
-    members = cut(buckets.join(shared, "k").select("k", "id", "p", "c"))
+    shared = cut(buckets.groupBy("k").agg(F.min("id").alias("p"), F.max("id").alias("q")).where("p < q").drop("q"))
+    members = cut(buckets.join(shared, "k").select("k", "id", "p"))
     sigs = chosen.select("id", "n", "sig")
 
     star = members.where("id != p").select(F.col("p").alias("a"), F.col("id").alias("b")).distinct()
@@ -271,21 +264,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     edges = lambda pairs: pairs.where("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
     labels = components(edges(checked))
 
-    placed = members.join(labels.withColumnRenamed("u", "id"), "id", "left").select("k", "id", "c", F.coalesce("v", "id").alias("comp"))
-    mixed = cut(placed.groupBy("k").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("k"))
-    keys = ["bucket", "k", "i", "j", "block", "id", "comp"]
-    dealt = _dealt(placed.join(mixed, "k").withColumn("bucket", F.lit(True)), "c").select(*keys)
-    unsettled = cut(_unsettled(dealt.join(sigs, "id"), similarity))
-    promise = components(unsettled.select(F.col("id").alias("u"), F.col("root").alias("v")))
-    group = promise.select(F.col("u").alias("id"), F.col("v").alias("k")).union(promise.select("v", "v").distinct())
-    sized = cut(group.groupBy("k").agg(F.count("*").alias("c")))
-    grouped = cut(group.join(sized, "k").join(unsettled.groupBy("id").agg(F.first("comp").alias("comp")), "id"))
-    small = _dealt(grouped.where(F.col("c") <= MOST_BLOCKS * BLOCK_MEMBERS).withColumn("bucket", F.lit(False)), "c")
-    large = grouped.where(F.col("c") > MOST_BLOCKS * BLOCK_MEMBERS).select("id").distinct()
-    large = unsettled.join(large, "id", "left_semi").withColumn("bucket", F.lit(True))
-    sets_of = cut(full_sets(docs, grouped.select("id").distinct(), shingle, id_col, text_col))
-    whole = small.select(*keys).union(large.select(*keys)).join(sets_of, "id").join(chosen, "id")
-    labels = components(_links_across(whole, similarity, percent).union(labels))
+    placed = cut(members.join(labels.withColumnRenamed("u", "id"), "id", "left").select("k", "id", F.coalesce("v", "id").alias("comp")))
+    unsettled = cut(_unsettled(_dealt(placed).join(chosen, "id"), similarity))
+    sets_of = cut(full_sets(docs, unsettled.select("id").distinct(), shingle, id_col, text_col))
+    labels = components(_links_across(unsettled.join(sets_of, "id").join(chosen, "id"), similarity, percent).union(labels))
 
     named = every.join(classes, sets, "left").select("id", "n", F.when(F.col("id").isNotNull(), F.coalesce("rep", "id")).alias("rep"))
     label = F.coalesce("v", "rep")

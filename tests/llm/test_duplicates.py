@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from lamina.llm import exactdedup, neardup
 from lamina.llm.arrowtext import words
@@ -132,14 +133,49 @@ def groups(seed):
     return out
 
 
-def test_groups_at_the_border_by_either_way(spark, monkeypatch):
+@pytest.mark.parametrize("members", [1000, 40, 8])
+def test_the_size_of_groups_changes_no_link(spark, monkeypatch, members):
     documents = groups(5)
-    want = brute(documents, 2, 80)
+    monkeypatch.setattr(neardup, "BLOCK_MEMBERS", members)
     df = spark.createDataFrame(documents, "doc_id long, text string")
-    assert Counter(tuple(r) for r in neardup.near_duplicates(df, 2).collect()) == want
-    monkeypatch.setattr(neardup, "BLOCK_MEMBERS", 8)
-    monkeypatch.setattr(neardup, "MOST_BLOCKS", 1)
-    assert Counter(tuple(r) for r in neardup.near_duplicates(df, 2).collect()) == want
+    assert Counter(tuple(r) for r in neardup.near_duplicates(df, 2).collect()) == brute(documents, 2, 80)
+
+
+def test_members_are_dealt_so_that_components_meet(spark, monkeypatch):
+    """Every pair of different components meets in one pair of blocks, and a bucket's largest component isn't dealt against itself."""
+    monkeypatch.setattr(neardup, "BLOCK_MEMBERS", 5)
+    placed = [(1, i, 0 if i < 40 else i) for i in range(52)] + [(2, i, 0) for i in range(30)] + [(3, 1, 1), (3, 2, 2)]
+    got = neardup._dealt(spark.createDataFrame(placed, "k long, id long, comp long").repartition(3)).collect()
+    at = {}
+    for r in got:
+        at.setdefault((r["k"], r["i"], r["j"]), []).append(r)
+    met = Counter()
+    for (k, i, j), rows_ in at.items():
+        for x in rows_:
+            for y in rows_:
+                if x["id"] < y["id"] and x["comp"] != y["comp"] and (i == j or x["block"] != y["block"]):
+                    met[k, x["id"], y["id"]] += 1
+    want = {(k, i, j) for k, i, c in placed for k2, j, d in placed if k == k2 and i < j and c != d}
+    assert set(met) == want and set(met.values()) == {1}
+    assert len(got) < 52 * 6
+
+
+def test_components_of_random_links(spark):
+    rng = random.Random(6)
+    links = [(rng.randrange(400), rng.randrange(400)) for _ in range(330)]
+    parent = list(range(400))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in links:
+        a, b = find(a), find(b)
+        parent[max(a, b)] = min(a, b)
+    got = components(spark.createDataFrame(links, "u long, v long").repartition(7))
+    assert {r["u"]: r["v"] for r in got.collect()} == {x: find(x) for x in range(400) if find(x) != x}
+    assert got.count() == got.select("u").distinct().count()
 
 
 def test_components_of_a_long_chain_and_a_star(spark):
