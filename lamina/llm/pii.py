@@ -15,7 +15,8 @@ in blocks, so a text that is nothing but addresses costs little more than its le
 
 A pattern must have found three different seeds, and one in ``SUPPORT`` of all pairs of a context
 and a seed of its kind. So there are ``SUPPORT`` patterns of a kind at most, however large the
-corpus is, and they can be broadcast to count their words in all documents.
+corpus is, and they can be broadcast to count their words in all documents; and words that precede
+seeds by chance, as they precede everything, reach the share no more easily in a larger corpus.
 
 Defined results: null counts as an empty text; spans are in code points, ends exclusive; a match
 that fails its check is dropped; repeated rows get equal results; an empty table gives no rows;
@@ -59,7 +60,7 @@ SHAPES = {
 CONTEXT = 80
 ROUNDS, LEAST_SEEDS, LEAST_CONFIDENCE = 3, 3, 0.5
 #: A pattern has found at least one in so many of the different (context, seed) pairs of its kind; there are no more patterns of a kind than that.
-SUPPORT = 2000
+SUPPORT = 500
 #: Items of an array that are gone through one by one; longer arrays are cut into blocks of so many.
 BLOCK = 256
 _END = 2147483647
