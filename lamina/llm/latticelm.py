@@ -1,16 +1,15 @@
 """A subword language model that sums over all segmentations.
 
 A text is its words, in lower case, and an end. The lattice of a word, with a mark at its front,
-has an arc for every piece of an existing vocabulary that fits, and one arc for the whole word if
-training texts have it; a word's probability is the sum over every way through, found by a forward
-recursion in log space. Pieces are drawn independently: one with the mark begins a word, then
-pieces without follow until the word is over, which each piece has a probability for. The arc of a
-whole word has its count less a discount, and the pieces share what the discounts leave. No arc
-reaches over a word's front, so a text's log probability is the sum of its words' and the end's,
-and all texts' probabilities sum to one. The pieces' probabilities start from the order of the
-vocabulary's scores and are re-estimated by expectation and maximisation over the lattices of the
-distinct training words, as the pieces are for words not seen yet. Single bytes are pieces too, so
-that every text has a probability.
+has an arc for every piece of an existing vocabulary that fits; a word's probability is the sum
+over every way through, found by a forward recursion in log space. Pieces are drawn independently:
+one with the mark begins a word, then pieces without follow until the word is over, which each
+piece has a probability for. No arc reaches over a word's front, so a text's log probability is
+the sum of its words' and the end's, and all texts' probabilities sum to one. The vocabulary's
+scores weigh the pieces: a file of log probabilities as they are, a file of ranks by one over the
+rank. From there the weights are re-estimated by expectation and maximisation over the lattices of
+all training words, each with its count, where the scores' weights stay as ``PRIOR`` uses. Single
+bytes are pieces too, so that every text has a probability.
 
 Words are counted over all training texts. To look counts and lattices up without shuffling every
 token, texts are held in chunks: a chunk has a dictionary of its distinct words, and its texts are
@@ -42,7 +41,9 @@ from lamina.session import saved, text_batches
 CHUNK_BYTES = 12 << 20
 #: Distinct words whose lattices are built at once.
 BLOCK_WORDS = 20_000
-ROUNDS = 2
+ROUNDS = 3
+#: Uses that the vocabulary's own weights count for beside those in training texts.
+PRIOR = 1000
 _MARK = 0x20
 
 
@@ -67,10 +68,14 @@ class Lattice:
     def __init__(self, path: str) -> None:
         pieces = vocabulary(path)
         self.n = len(pieces)
+        scores = np.array([s for _, s in pieces])
         rank = np.empty(self.n)
-        rank[np.argsort([-s for _, s in pieces], kind="stable")] = np.arange(self.n)
+        rank[np.argsort(-scores, kind="stable")] = np.arange(self.n)
+        ranks = np.isfinite(scores).any() and (scores[np.isfinite(scores)] == np.round(scores[np.isfinite(scores)])).all()
+        use = 1 / (rank + 10) if ranks else np.where(np.isfinite(scores), np.exp(np.maximum(scores, -30)), 1e-9)
         self.front = np.array([p[0] == _MARK for p, _ in pieces])
-        self.start = self.weights(1 / (rank + 10), 0.5 / (rank + 10))
+        self.prior = PRIOR * use / use.sum()
+        self.start = self.weights(np.zeros(self.n), np.zeros(self.n))
         edges: dict[int, int] = {}
         at = [-1]
         for k, (piece, _) in enumerate(pieces):
@@ -85,9 +90,9 @@ class Lattice:
         self.edges = Lookup(np.fromiter(edges.keys(), np.int64), np.fromiter(edges.values(), np.int64))
         self.piece = np.array(at, np.int32)
 
-    def weights(self, uses: np.ndarray, last: np.ndarray, prior: float = 0.0) -> np.ndarray:
+    def weights(self, uses: np.ndarray, last: np.ndarray) -> np.ndarray:
         """Log weights of a piece inside a word and at its end, (2, pieces), from numbers of uses and of uses at a word's end."""
-        uses, last = uses + prior, last + prior / 2
+        uses, last = uses + self.prior, last + self.prior / 2
         p = np.log(uses / np.where(self.front, uses[self.front].sum(), uses[~self.front].sum()))
         return np.stack((p + np.log1p(-last / uses), p + np.log(last / uses)))
 
@@ -223,10 +228,10 @@ def chunked(docs: DataFrame, id_col: str, text_col: str, held: Column) -> DataFr
     return kept.mapInArrow(run, f"chunk long, id {kind}, held boolean, codes array<int>, words array<string>, counts array<long>")
 
 
-def train(counted: DataFrame, path: str, rounds: int = ROUNDS, prior: float = 0.02) -> np.ndarray:
+def train(counted: DataFrame, path: str, rounds: int = ROUNDS) -> np.ndarray:
     """Natural log weights (2, pieces) from the distinct words of ``counted(word, c)`` with a count.
 
-    Each round gathers the expected count of every piece over all words: two numbers for each piece
+    Each round gathers the expected count of every piece over all words and their counts: two numbers for each piece
     of the vocabulary are what reaches the driver.
     """
     lat = lattice(path)
@@ -237,16 +242,16 @@ def train(counted: DataFrame, path: str, rounds: int = ROUNDS, prior: float = 0.
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             mine, total = lattice(path), np.zeros(0)
             for batch in batches:
-                found = mine.expected(batch.column("word"), np.ones(batch.num_rows), sent).ravel()
+                found = mine.expected(batch.column("word"), np.asarray(batch.column("c"), float), sent).ravel()
                 total = total + found if len(total) else found
             k = np.flatnonzero(total)
             yield pa.RecordBatch.from_pydict({"piece": pa.array(k.astype(np.int32)), "e": pa.array(total[k])})
 
-        got = counted.where("c > 0").select("word").mapInArrow(run, "piece int, e double").groupBy("piece").agg(F.sum("e").alias("e")).collect()
+        got = counted.where("c > 0").select("word", "c").mapInArrow(run, "piece int, e double").groupBy("piece").agg(F.sum("e").alias("e")).collect()
         expected = np.zeros(2 * lat.n)
         for r in got:
             expected[r["piece"]] += r["e"]
-        logp = lat.weights(expected.reshape(2, -1).sum(0), expected[lat.n :], prior)
+        logp = lat.weights(expected.reshape(2, -1).sum(0), expected[lat.n :])
     return logp
 
 
@@ -261,13 +266,12 @@ def score_documents(docs: DataFrame, path: str, held: Column, id_col: str = "doc
     texts = chunks.where("words is null").select("chunk", "id", "held", "codes")
     local = chunks.where("words is not null").select(F.explode(F.arrays_zip("words", "counts")).alias("w")).select(F.col("w.words").alias("word"), F.col("w.counts").alias("c"))
     counted = saved(local.groupBy("word").agg(F.sum("c").alias("c")))
-    seen = counted.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), *(F.count_if(x).alias(n) for n, x in (("v", F.col("c") > 0), ("once", F.col("c") == 1), ("twice", F.col("c") == 2)))).first()
+    seen = counted.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count_if(F.col("c") > 0).alias("v")).first()
     n_texts = texts.where("not held").count()
     total, distinct = seen["n"] + n_texts, seen["v"] + (n_texts > 0)
     logp = train(counted, path, rounds)
-    discount = min(0.95, max(0.05, seen["once"] / max(1, seen["once"] + 2 * seen["twice"])))
-    spared = discount * seen["v"] / total if total else 0.999
-    end = math.log10(n_texts / total if n_texts else 0.001)
+    ends = n_texts / total if n_texts else 0.001
+    end, more = math.log10(ends), math.log10(max(1 - ends, 1e-9))
     floor = 0.1 / (total + 0.1 * (distinct + 1))
     scale = floor / 0.1
     end_base = math.log10((n_texts + 0.1) * scale)
@@ -275,10 +279,8 @@ def score_documents(docs: DataFrame, path: str, held: Column, id_col: str = "doc
     def word_scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mine = lattice(path)
         for batch in batches:
-            c = np.asarray(batch.column("c"), float)
-            with np.errstate(divide="ignore"):
-                whole, pieces = np.log(np.maximum(c - discount, 0) / max(total, 1)), mine.forward(batch.column("word"), logp) + math.log(spared or 1e-9)
-            yield pa.RecordBatch.from_pydict({"word": batch.column("word"), "c": batch.column("c"), "lp": pa.array(np.logaddexp(whole, pieces) / math.log(10))})
+            lp = mine.forward(batch.column("word"), logp) / math.log(10) + more
+            yield pa.RecordBatch.from_pydict({"word": batch.column("word"), "c": batch.column("c"), "lp": pa.array(lp)})
 
     scored = counted.mapInArrow(word_scores, "word string, c long, lp double")
 
@@ -305,5 +307,7 @@ def score_documents(docs: DataFrame, path: str, held: Column, id_col: str = "doc
         )
 
     placed = chunks.where("words is not null").select("chunk", F.posexplode("words").alias("place", "word")).join(scored, "word").select(F.col("chunk").alias("of"), "place", "c", "lp")
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), chunks.where("words is not null").count())
+    texts, placed = texts.repartition(parts, "chunk"), placed.repartition(parts, "of")  # tasks grow in number with the input, not in size
     schema = f"{id_col} {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return texts.groupBy("chunk").cogroup(placed.groupBy("of")).applyInArrow(score, schema)
