@@ -26,29 +26,33 @@ def op2_bestfit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line rules over all documents."""
-    return linerules.apply_rules(table(spark, sf_dir, "documents"), with_text=False)
-
-
-OP3_SQL = f"""WITH w AS (
- SELECT doc_id, text, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
-win AS (SELECT doc_id, k, count(*) OVER (PARTITION BY doc_id, a, b, c) AS n FROM (
-  SELECT doc_id, k, ws[k] AS a, ws[k + 1] AS b, ws[k + 2] AS c FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS k FROM w))),
-rep AS (SELECT doc_id, count(DISTINCT k + d) AS n FROM win, (VALUES (0), (1), (2)) AS o(d) WHERE win.n > 1 GROUP BY doc_id),
-l AS (SELECT doc_id, line FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents)
-  WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]')),
-c AS (SELECT doc_id, line, length(line) AS size, len(regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+')) AS n,
+    """Line rules over all documents, with the boilerplate that they have in common."""
+    docs = table(spark, sf_dir, "documents")
+    return linerules.apply_rules(docs, linerules.common_lines(docs), with_text=False)
+
+
+OP3_SQL = f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+w AS (SELECT r, doc_id, text, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS ws FROM d),
+win AS (SELECT r, k, count(*) OVER (PARTITION BY r, a, b, c) AS n FROM (
+  SELECT r, k, ws[k] AS a, ws[k + 1] AS b, ws[k + 2] AS c FROM (SELECT r, ws, unnest(range(1, len(ws) - 1)) AS k FROM w))),
+rep AS (SELECT r, count(DISTINCT k + d) AS n FROM win, (VALUES (0), (1), (2)) AS o(d) WHERE win.n > 1 GROUP BY r),
+a AS (SELECT r, text, unnest(ls) AS line, generate_subscripts(ls, 1) AS k FROM (SELECT r, text, string_split(text, chr(10)) AS ls FROM d)),
+l AS (SELECT r, k, text, line FROM a WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]')),
+t AS (SELECT line FROM (SELECT DISTINCT text, line FROM l) GROUP BY line
+  HAVING count(*) >= {linerules.LEAST_COMMON} AND {linerules.COMMON_SHARE} * count(*) >= (SELECT count(DISTINCT text) FROM l)),
+c AS (SELECT r, k, line, line IN (SELECT line FROM t) AS common, length(line) AS size, len(regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+')) AS n,
   len(regexp_extract_all(line, '{linerules.SHOUT}')) AS shout, len(regexp_extract_all(line, '{linerules.SYMBOLS}')) AS symbol,
   len(regexp_extract_all(line, '{linerules.BARS}')) AS bar, len(regexp_extract_all(line, '{linerules.SENTENCE}')) AS mark FROM l),
 f AS (SELECT *, (shout >= 2 AND 4 * shout >= n) OR (symbol >= 3 AND 2 * symbol >= n) OR (n >= 20 AND mark = 0)
-  OR (bar >= 2 AND 6 * bar >= n) OR (n <= 2 AND mark = 0) OR regexp_matches(line, '{linerules.BOILERPLATE}') AS bad FROM c),
-g AS (SELECT doc_id, count(*) - count(DISTINCT line) AS dup, sum(size) AS line_chars, coalesce(sum(size) FILTER (bad), 0) AS lost_chars FROM f GROUP BY doc_id),
+  OR (bar >= 2 AND 6 * bar >= n) OR (n <= 2 AND mark = 0) OR common OR regexp_matches(line, '{linerules.BOILERPLATE}') AS bad FROM c),
+y AS (SELECT a.r, coalesce(string_agg(a.line, chr(10) ORDER BY a.k) FILTER (f.bad IS NULL OR NOT f.bad), '') AS clean FROM a LEFT JOIN f ON f.r = a.r AND f.k = a.k GROUP BY a.r),
+g AS (SELECT r, count(*) - count(DISTINCT line) AS dup, sum(size) AS line_chars, coalesce(sum(size) FILTER (bad), 0) AS lost_chars FROM f GROUP BY r),
 b AS (SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
-  CAST(len(regexp_extract_all(coalesce(text, ''), '{linerules.SYMBOLS}')) AS BIGINT) AS n_symbols, CAST(coalesce(dup, 0) AS BIGINT) AS n_dup_lines,
-  CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words, CAST(coalesce(lost_chars, 0) AS BIGINT) AS lost_chars, CAST(coalesce(line_chars, 0) AS BIGINT) AS line_chars
-  FROM w LEFT JOIN rep USING (doc_id) LEFT JOIN g USING (doc_id))
-SELECT *, n_words < {linerules.LEAST_WORDS} OR 100 * n_repeat_words > {linerules.MOST_REPEATED} * n_words AS base_failed,
- NOT (n_words < {linerules.LEAST_WORDS} OR 100 * n_repeat_words > {linerules.MOST_REPEATED} * n_words) AND 100 * lost_chars <= {linerules.MOST_LOST} * line_chars AS kept FROM b"""
+  CAST(len(regexp_extract_all(text, '{linerules.SYMBOLS}')) AS BIGINT) AS n_symbols, CAST(coalesce(dup, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words,
+  CAST(coalesce(lost_chars, 0) AS BIGINT) AS lost_chars, CAST(coalesce(line_chars, 0) AS BIGINT) AS line_chars, CAST(length(clean) AS BIGINT) AS clean_chars, sha256(clean) AS clean_sha256
+  FROM w LEFT JOIN rep USING (r) LEFT JOIN g USING (r) LEFT JOIN y USING (r)),
+e AS (SELECT *, n_words < {linerules.LEAST_WORDS} OR 100 * n_repeat_words > {linerules.MOST_REPEATED} * n_words AS base_failed FROM b)
+SELECT *, NOT base_failed AND 100 * lost_chars <= {linerules.MOST_LOST} * line_chars AS kept FROM e"""
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
