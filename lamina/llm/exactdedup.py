@@ -3,8 +3,9 @@
 A text's bytes are hashed chunk by chunk, all chunks of a batch at once, as polynomials over two
 prime fields; the hashes of neighbouring chunks combine by shifting the left one by the length of
 the right one, so the chunks of a huge document can be hashed anywhere and in any order. Documents
-of equal fingerprint and length are then compared byte by byte, chunk after chunk, with the one
-that stays. Should two different texts ever share a fingerprint, everything is done anew with other
+of equal fingerprint and length are then compared with the one that stays, byte by byte: their
+texts are dealt out as chunks of ``COMPARED`` bytes, and each chunk meets the same chunk of the one
+that stays, so no row holds two texts and a huge text is compared by many tasks. Should two different texts ever share a fingerprint, everything is done anew with other
 bases, so the classes are exact.
 
 Defined results: null counts as an empty text, and all empty texts are copies of each other; the
@@ -20,12 +21,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lamina.llm.arrowtext import slices, texts, utf8
-from lamina.session import cut, text_batches
+from lamina.llm.arrowtext import slices, utf8
+from lamina.session import cut, saved, text_batches
 
 PRIMES = (2147483647, 2147483629)
 CHUNK = 4096
-#: Bytes compared at once.
+#: Bytes of a chunk in comparison.
 COMPARED = 1 << 20
 
 
@@ -91,20 +92,10 @@ def fingerprint(text: Column, attempt: int = 0) -> Column:
     return run(F.coalesce(text, F.lit("")))
 
 
-def _unequal(pairs: DataFrame) -> DataFrame:
-    """How many of the pairs of texts ``a`` and ``b``, of equal lengths, differ; a row for each batch."""
-
-    def run(batches):
-        for batch in batches:
-            (a, oa), (b, ob) = (utf8(texts(batch.column(c))) for c in ("a", "b"))
-            wrong = oa[-1] != ob[-1] or not np.array_equal(oa, ob)
-            at = 0
-            while not wrong and at < len(a):
-                wrong = not np.array_equal(a[at : at + COMPARED], b[at : at + COMPARED])
-                at += COMPARED
-            yield pa.RecordBatch.from_pydict({"bad": pa.array([int(wrong)], pa.int64())})
-
-    return pairs.select("a", "b").mapInArrow(run, "bad long")
+def _chunks(text: Column) -> Column:
+    """A text's bytes in chunks of ``COMPARED``; an empty text has one empty chunk."""
+    data = text.cast("binary")
+    return F.transform(F.sequence(F.lit(0), F.floor(F.greatest(F.lit(0), F.octet_length(text) - 1) / COMPARED).cast("int")), lambda k: F.substring(data, k * COMPARED + 1, F.lit(COMPARED)))
 
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, int]:
@@ -116,10 +107,11 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> t
         marked = docs.select(F.col(id_col).alias("id"), text.alias("t")).withColumn("_f", fingerprint(F.col("t"), attempt)).select("id", "t", F.col("_f.h").alias("_h"), F.col("_f.n").alias("_n"))
         small = cut(marked.select("id", "_h", "_n", F.sha2(F.col("t").cast("binary"), 256).alias("sha")))
         many = cut(small.groupBy("_h", "_n").agg(F.max("id").alias("keep_id"), F.count("*").alias("group_size")).where("group_size > 1"))  # a join right after the aggregation could not be split by key
-        members = cut(marked.join(many.drop("group_size"), ["_h", "_n"]))
-        stays = cut(members.where(F.col("id").eqNullSafe(F.col("keep_id"))).groupBy("_h", "_n").agg(F.first("t").alias("b")))
-        pairs = members.select("_h", "_n", F.col("t").alias("a")).join(stays, ["_h", "_n"])
-        if not _unequal(pairs).agg(F.coalesce(F.sum("bad"), F.lit(0)).alias("bad")).first()["bad"]:
+        members = marked.join(many.drop("group_size"), ["_h", "_n"]).select("_h", "_n", F.col("id").eqNullSafe(F.col("keep_id")).alias("stays"), F.posexplode(_chunks(F.col("t"))).alias("_k", "a"))
+        members = saved(members)
+        chunk = ["_h", "_n", "_k"]
+        stays = saved(members.where("stays").groupBy(*chunk).agg(F.first("a").alias("b")))
+        if members.join(stays, chunk).where("a != b").isEmpty():
             return small, many, attempt
     raise RuntimeError("texts collide under a hundred fingerprints")
 
