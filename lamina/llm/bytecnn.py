@@ -8,8 +8,6 @@ rows per position give the responses of all filters of a width, exactly.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 
 CLASSES = 64
@@ -163,14 +161,6 @@ class Net:
         return np.maximum(found + self.bias, 0) @ self.dense + self.out
 
 
-def evenly(texts: Iterator[bytes], length: int, most: int) -> Iterator[list[bytes]]:
-    """Of each text up to ``most`` windows, evenly spread from its first byte to its last."""
-    for t in texts:
-        room = max(0, len(t) - length)
-        n = min(most, 1 + -(-room // length))
-        yield [t[(p := room * k // max(1, n - 1)) : p + length] for k in range(n)]
-
-
 def padded(rows: list[bytes], length: int) -> np.ndarray:
     """Windows as an array of byte numbers with 256 as padding."""
     out = np.full((len(rows), length), 256, np.int64)

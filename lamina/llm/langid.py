@@ -1,15 +1,16 @@
 """Language identification by a byte convolutional network.
 
-The network learns from a bounded sample of labelled windows: about ``SAMPLE_DOCS`` documents of
-each language, chosen by a hash of their id, and ``SAMPLE_WINDOWS`` windows of each at most. Every
-text is scored whole: windows overlap by the widest filter less one byte, so no byte sequence that
-a filter can see is missed; a text's probabilities are the means of its windows' softmax outputs,
-weighted by the bytes in the window.
+The network learns from a bounded sample of labelled rows: about ``SAMPLE_DOCS`` different texts of
+each language, chosen by a hash of id and text, and of all windows of these whole texts about
+``SAMPLE_WINDOWS`` a language, chosen by a hash too. Every text is scored whole: windows overlap by
+the widest filter less one byte, so no byte sequence that a filter can see is missed; a text's
+probabilities are the means of its windows' softmax outputs, weighted by the bytes in the window.
 
 Defined results: a null text, or one without any letter, is ``und`` with score 0, and so is every
 text if there is nothing to learn from; ties go to the language that sorts first; with one language
 to learn, every text with a letter gets it with score 1; repeated rows get equal results; labels
-that are null are not learned; extra columns are not read by the model.
+that are null are not learned; rows that repeat id, text and label are learned from once; extra columns
+are not read by the model.
 """
 
 from __future__ import annotations
@@ -21,13 +22,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lamina.llm.arrowtext import slices, utf8
-from lamina.llm.bytecnn import Net, evenly, letter_classes, padded, windows
-from lamina.session import text_batches
+from lamina.llm.arrowtext import hashes, mix, slices, utf8
+from lamina.llm.bytecnn import Net, letter_classes, padded, windows
+from lamina.session import saved, text_batches
 
 LENGTH = 256
-#: Documents of each language to learn from, about; and windows of each document, at most.
-SAMPLE_DOCS, SAMPLE_WINDOWS = 1000, 4
+#: Documents of each language to learn from, and windows of them, about.
+SAMPLE_DOCS, SAMPLE_WINDOWS = 1000, 4000
+#: So many times what is expected may be sampled; more is an error.
+MOST = 4
 UNKNOWN = "und"
 
 
@@ -36,49 +39,67 @@ def held_out(id_col: str, modulus: int, remainder: int) -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % modulus == remainder
 
 
-def sampled(rows: DataFrame, label_col: str, id_col: str, per_label: int) -> DataFrame | None:
-    """Of each label about ``per_label`` of the rows, chosen by a hash of the id; None where no row has a label."""
-    counts = {r[0]: r[1] for r in rows.where(F.col(label_col).isNotNull()).groupBy(label_col).count().collect()}
+def sampled(rows: DataFrame, label_col: str, per_label: int, *key: Column) -> DataFrame | None:
+    """Of each label about ``per_label`` of the rows, chosen by a hash of ``key``; None where no row has a label."""
+    counts = {r[0]: r[1] for r in rows.where(F.col(label_col).isNotNull()).groupBy(label_col).count().collect()}  # a row for each label
     if not counts:
         return None
     share = F.lit(None)
     for label, n in counts.items():
         share = F.when(F.col(label_col) == F.lit(label), F.lit(min(1.0, per_label / n))).otherwise(share)
-    return rows.where(F.pmod(F.xxhash64(id_col, F.lit(17)), F.lit(1 << 20)) < share * (1 << 20))
+    return rows.where(F.pmod(F.xxhash64(*key, F.lit(17)), F.lit(1 << 20)) < share * (1 << 20))
 
 
-def sample_windows(picked: DataFrame | None, label_col: str, text_col: str, id_col: str, per_doc: int, length: int) -> list:
-    """Rows (label, windows) of a sample of documents, collected: up to ``per_doc`` windows of each."""
+def sampled_texts(rows: DataFrame, label_col: str, text_col: str, id_col: str, per_label: int) -> DataFrame | None:
+    """About ``per_label`` rows (label, i, t) of each label, saved; rows that repeat label, id and text are one."""
+    rows = rows.select(F.col(label_col).cast("string").alias("label"), F.col(id_col).cast("string").alias("i"), F.col(text_col).alias("t")).where("t is not null")
+    picked = sampled(rows, "label", per_label, F.col("i"), F.col("t"))
+    if picked is None:
+        return None
+    picked = saved(picked.groupBy("label", "i", F.xxhash64("t", F.char_length("t")).alias("h")).agg(F.first("t").alias("t")).drop("h"))
+    most = picked.groupBy("label").count().agg(F.max("count").alias("n")).first()["n"] or 0
+    if most > MOST * per_label:
+        raise RuntimeError(f"{most} texts of a label were sampled where about {per_label} were expected")
+    return picked
+
+
+def sample_windows(picked: DataFrame | None, length: int, stride: int, per_label: int) -> list:
+    """Rows (label, w) of windows, collected: of each label about ``per_label`` of all windows of the whole texts, chosen by a hash."""
     if picked is None:
         return []
-    picked = picked.where(F.col(text_col).isNotNull())
-    picked = picked.select(F.col(label_col).cast("string").alias("label"), F.col(text_col).alias("t"), F.col(id_col).alias("i"))
+    count = F.lit(1) + F.greatest(F.lit(0), F.ceil((F.octet_length("t") - length) / stride))
+    share = {r["label"]: min(1.0, per_label / r["n"]) for r in picked.groupBy("label").agg(F.sum(count).alias("n")).collect()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, array in slices(batch, "t"):
-                cut = evenly((t.encode() for t in array.to_pylist()), length, per_doc)
-                yield pa.RecordBatch.from_pydict({"label": rows.column("label"), "i": rows.column("i").cast(pa.string()), "w": pa.array(list(cut), pa.list_(pa.binary()))})
+                data, offsets = utf8(array)
+                text, start, end = windows(offsets, length, stride)
+                labels = rows.column("label").to_pylist()
+                raw, part = memoryview(np.ascontiguousarray(data)), np.array([share[x] for x in labels])
+                draw = mix(mix(hashes(array)[text]) + (start - offsets[text]).astype(np.uint64)) >> np.uint64(11)
+                for k in np.flatnonzero(draw < part[text] * float(1 << 53)).tolist():
+                    yield pa.RecordBatch.from_pydict({"label": pa.array([labels[text[k]]]), "w": pa.array([bytes(raw[start[k] : min(end[k], start[k] + length)])], pa.binary())})
 
-    got = picked.mapInArrow(run, "label string, i string, w array<binary>").collect()
-    return sorted(got, key=lambda r: (r["label"], r["i"] or "", r["w"][0]))
+    got = picked.mapInArrow(run, "label string, w binary").collect()
+    return sorted(got, key=lambda r: (r["label"], bytes(r["w"])))
 
 
 def learn(docs: DataFrame, label_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", per_label: int = SAMPLE_DOCS) -> tuple[list[str], Net | None]:
     """Languages and the network, from rows with a label; every row given may be learned from."""
-    rows = sample_windows(sampled(docs, label_col, id_col, per_label), label_col, text_col, id_col, SAMPLE_WINDOWS, LENGTH)
+    rows = sample_windows(sampled_texts(docs, label_col, text_col, id_col, per_label), LENGTH, LENGTH - 3, SAMPLE_WINDOWS)
     names = sorted({r["label"] for r in rows})
     if len(names) < 2:
         return names, None
     number = {n: k for k, n in enumerate(names)}
-    x = padded([bytes(w) for r in rows for w in r["w"]], LENGTH)
-    y = np.array([number[r["label"]] for r in rows for _ in r["w"]])
+    x = padded([bytes(r["w"]) for r in rows], LENGTH)
+    y = np.array([number[r["label"]] for r in rows])
     weight = (len(y) / len(names) / np.bincount(y, minlength=len(names)))[y]
     return names, Net(letter_classes(), len(names), length=LENGTH).fit(x, y, weight)
 
 
-def identify(docs: DataFrame, model: tuple[list[str], Net | None], text_col: str = "text") -> DataFrame:
-    """All columns of ``docs`` with ``lang_pred`` and ``score`` added (replaced, where there are such)."""
+def identify(docs: DataFrame, model: tuple[list[str], Net | None], text_col: str = "text", with_row: bool = False) -> DataFrame:
+    """All columns of ``docs`` with ``lang_pred`` and ``score`` added (replaced, where there are such); ``with_row``: and the row as it was, ``_row``."""
     text_batches(docs.sparkSession)
     names, net = model
 
@@ -98,12 +119,13 @@ def identify(docs: DataFrame, model: tuple[list[str], Net | None], text_col: str
             score += total[np.arange(len(k)), k].tolist()
         return pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(score, pa.float64())], ["lang_pred", "score"])
 
-    letter = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))
-    docs = docs.drop("lang_pred", "score")
-    if not names:
-        return docs.withColumns({"lang_pred": F.lit(UNKNOWN), "score": F.lit(0.0)})
+    text = F.col("_row")[text_col]
+    letter = F.coalesce(text.rlike(r"\p{L}"), F.lit(False))
+    columns = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"))  # so no column of the table clashes with those of the model
     if net is None:
-        return docs.withColumns({"lang_pred": F.when(letter, names[0]).otherwise(UNKNOWN), "score": F.when(letter, 1.0).otherwise(0.0)})
-    kept = [F.col(f"`{c}`") for c in docs.columns]
-    got = docs.select(*kept, predict(F.coalesce(F.col(text_col), F.lit(""))).alias("_p"))
-    return got.select(*kept, F.when(letter, F.col("_p.lang_pred")).otherwise(UNKNOWN).alias("lang_pred"), F.when(letter, F.col("_p.score")).otherwise(0.0).alias("score"))
+        lang, score = F.when(letter, names[0] if names else UNKNOWN).otherwise(UNKNOWN), F.when(letter, float(bool(names))).otherwise(0.0)
+    else:
+        whole = whole.select("_row", predict(F.coalesce(text, F.lit(""))).alias("_p"))
+        lang, score = F.when(letter, F.col("_p.lang_pred")).otherwise(UNKNOWN), F.when(letter, F.col("_p.score")).otherwise(0.0)
+    return whole.select(*(F.col("_row")[c].alias(c) for c in columns), lang.alias("lang_pred"), score.alias("score"), *([F.col("_row")] if with_row else []))

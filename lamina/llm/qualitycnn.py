@@ -2,8 +2,9 @@
 
 Filters look at overlapping chunks that cover the whole document; each chunk's largest responses
 give a chunk logit, and a logistic layer combines the mean, the least and the largest chunk logit
-of a document into one probability of label 1. Both are learned from a bounded sample: about
-``SAMPLE_DOCS`` documents of each label, ``SAMPLE_CHUNKS`` chunks of each at most.
+of a document into one probability of label 1. Both are learned from a bounded sample of labelled
+rows, about ``SAMPLE_DOCS`` of each label: the filters from about ``SAMPLE_CHUNKS`` of each label's
+chunks, chosen by a hash among all of them, the layer from all chunks of all sampled documents.
 
 Defined results: a null text is scored as an empty one; without labels to learn from every score is
 0.5, with labels of one kind only it is that label's 0 or 1; repeated rows get equal results; null
@@ -19,11 +20,11 @@ from pyspark.sql import functions as F
 
 from lamina.llm.arrowtext import slices, utf8
 from lamina.llm.bytecnn import Net, padded, shape_classes, windows
-from lamina.llm.langid import sample_windows, sampled
+from lamina.llm.langid import MOST, sample_windows, sampled, sampled_texts
 from lamina.session import text_batches
 
 LENGTH, STRIDE = 384, 320
-SAMPLE_DOCS, SAMPLE_CHUNKS = 1500, 6
+SAMPLE_DOCS, SAMPLE_CHUNKS = 1500, 6000
 
 
 class Quality:
@@ -47,38 +48,49 @@ class Quality:
             h = (f * (p * (1 - p))[:, None]).T @ f + 1e-2 * len(y) * np.diag([1e-2, 1e-2, 1e-2, 1e-4])
             self.weights = self.weights + np.linalg.solve(h, f.T @ (y - p) - 1e-2 * len(y) * np.array([1e-2, 1e-2, 1e-2, 1e-4]) * self.weights)
 
+    def figures(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """The features of texts, from all of their chunks."""
+        text, start, end = windows(offsets, LENGTH, STRIDE)
+        return self.features(self.net.logits(data, start, end)[:, 0].astype(float), text, len(offsets) - 1)
+
     def score(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        n = len(offsets) - 1
         if self.net is None:
-            return np.full(n, self.constant)
-        text, start, end = windows(offsets, LENGTH, STRIDE)
-        return 1 / (1 + np.exp(-self.features(self.net.logits(data, start, end)[:, 0].astype(float), text, n) @ self.weights))
+            return np.full(len(offsets) - 1, self.constant)
+        return 1 / (1 + np.exp(-self.figures(data, offsets) @ self.weights))
 
 
 def learn(docs: DataFrame, labels: DataFrame, label_col: str = "quality", text_col: str = "text", id_col: str = "doc_id", per_label: int = SAMPLE_DOCS) -> Quality:
     """A model from the documents that ``labels`` has a label 0 or 1 for; every label given may be learned from.
 
-    Only the sampled labels, whose number is checked, meet the documents.
+    Only the sampled labels, whose number is checked, meet the documents; the layer gets three
+    numbers of each sampled document.
     """
-    picked = sampled(labels.select(id_col, label_col).where(F.col(label_col).isin(0, 1)), label_col, id_col, per_label)
-    few = picked.select(id_col, label_col).collect() if picked is not None else []
-    if len(few) > 8 * per_label:
+    labels = labels.select(id_col, F.col(label_col).alias("label")).where(F.col("label").isin(0, 1)).distinct()
+    picked = sampled(labels, "label", per_label, F.col(id_col))
+    few = picked.select(id_col, "label").collect() if picked is not None else []
+    if len(few) > 2 * MOST * per_label:
         raise RuntimeError(f"{len(few)} labels were sampled where about {2 * per_label} were expected")
     if not few:
         return Quality()
-    chosen = docs.sparkSession.createDataFrame(few, picked.schema)
-    rows = sample_windows(docs.select(id_col, text_col).join(F.broadcast(chosen), id_col), label_col, text_col, id_col, SAMPLE_CHUNKS, LENGTH)
-    labels = np.array([int(r["label"]) for r in rows])
-    if len(set(labels.tolist())) < 2:
-        return Quality(None, float(labels[0]) if len(labels) else 0.5)
-    chunks = [bytes(w) for r in rows for w in r["w"]]
-    doc = np.repeat(np.arange(len(rows)), [len(r["w"]) for r in rows])
-    y = labels[doc]
+    chosen = docs.sparkSession.createDataFrame([tuple(r) for r in few], picked.schema).withColumnRenamed(id_col, "_id")
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("t")).join(F.broadcast(chosen), "_id")
+    texts = sampled_texts(rows, "label", "t", "_id", per_label)
+    windowed = sample_windows(texts, LENGTH, STRIDE, SAMPLE_CHUNKS)
+    y = np.array([int(r["label"]) for r in windowed])
+    if len(set(y.tolist())) < 2:
+        return Quality(None, float(y[0]) if len(y) else 0.5)
     weight = (len(y) / 2 / np.bincount(y, minlength=2))[y]
-    model = Quality(Net(shape_classes(), 1, length=LENGTH, seed=5).fit(padded(chunks, LENGTH), y, weight, steps=700, batch=64))
-    sizes = np.concatenate(([0], np.cumsum([len(c) for c in chunks])))
-    logit = model.net.logits(np.frombuffer(b"".join(chunks), np.uint8), sizes[:-1], sizes[1:])[:, 0].astype(float)
-    model.combine(Quality.features(logit, doc, len(rows)), labels.astype(float))
+    model = Quality(Net(shape_classes(), 1, length=LENGTH, seed=5).fit(padded([bytes(r["w"]) for r in windowed], LENGTH), y, weight, steps=700, batch=64))
+
+    @F.arrow_udf("array<double>")
+    def chunk_figures(column: pa.Array) -> pa.Array:
+        found = [model.figures(*utf8(array))[:, :3] for _, array in slices(pa.RecordBatch.from_arrays([column], ["t"]), "t")]
+        flat = np.concatenate(found) if found else np.zeros((0, 3))
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(flat) + 1) * 3, pa.int32()), pa.array(flat.ravel()))
+
+    got = sorted(texts.select("label", chunk_figures("t").alias("f")).collect(), key=lambda r: (r["label"], r["f"]))
+    f = np.array([r["f"] for r in got])
+    model.combine(np.column_stack((f, np.ones(len(f)))), np.array([float(r["label"]) for r in got]))
     return model
 
 
