@@ -260,4 +260,4 @@ def pack(items: DataFrame, capacity: int, order: list[str], length_col: str = "l
 
 def pack_documents(docs: DataFrame, path: str, capacity: int = 4096, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """All documents as pieces with their place in sequences of ``capacity`` tokens."""
-    return pack(cut(pieces(docs, path, capacity, end_id, id_col, text_col, with_ids)), capacity, [id_col, "piece"])
+    return pack(cut(pieces(docs, path, capacity, end_id, id_col, text_col, with_ids)), capacity, [id_col, "piece", "start", "ids_crc32"])

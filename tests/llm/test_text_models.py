@@ -53,6 +53,7 @@ def test_expected_uses_cover_every_byte(lattice):
 
 def test_piece_weights_are_a_distribution(lattice):
     w = lattice.weights(np.random.default_rng(0).random(lattice.n) + 0.1, np.full(lattice.n, 0.05))
+    assert np.exp(lattice.start).sum(0)[[k for k, (p, _) in enumerate(latticelm.vocabulary(PIECES)) if p in (b" the", b" a")]].min() > 1e-4  # early pieces weigh much from the start
     p = np.exp(w).sum(0)
     assert abs(p[lattice.front].sum() - 1) < 1e-9 and abs(p[~lattice.front].sum() - 1) < 1e-9
 
@@ -178,3 +179,79 @@ def test_line_rules_remove_lines_and_reject_documents(spark):
     got = {r["doc_id"]: r for r in linerules.apply_rules(df).collect()}
     assert [got[k]["kept"] for k in (1, 2, 3)] == [True, True, False]
     assert got[2]["clean_text"] == "\n".join(clean) == got[1]["clean_text"]
+
+
+def test_a_row_that_repeats_very_often_is_sampled_once(spark):
+    rng = random.Random(11)
+    df = spark.createDataFrame([(k, spoken(rng, lang, 40), lang) for k, lang in enumerate(["en", "fr"] * 60)], "doc_id long, text string, lang string")
+    hot = spark.range(300_000).selectExpr("cast(7 as long) as doc_id", "'the and with house' as text", "'en' as lang")
+    nulls = spark.range(20_000).selectExpr("cast(null as long) as doc_id", "concat('the thing ', id) as text", "'en' as lang")
+    picked = langid.sampled_texts(df.union(hot).union(nulls), "lang", "text", "doc_id", 50)
+    assert picked.where("label = 'en'").count() <= 4 * 50
+
+
+def test_windows_are_sampled_from_whole_texts(spark):
+    """All windows of a text can be chosen, also the last ones of a long text, and about as many as asked for are."""
+    text = "".join(chr(97 + k // 400 % 26) for k in range(400 * 520))
+    picked = spark.createDataFrame([("a", "1", text), ("b", "2", "short")], "label string, i string, t string")
+    got = langid.sample_windows(picked, 256, 253, 200)
+    assert 140 < sum(r["label"] == "a" for r in got) < 260 and sum(r["label"] == "b" for r in got) == 1
+    every = langid.sample_windows(picked, 256, 253, 10_000)
+    assert len(every) == 1 + 1 + -(-(len(text) - 256) // 253)
+
+
+def test_columns_with_the_names_of_the_results_survive(spark):
+    df = spark.createDataFrame([(1, "the house", 3.5, "mine")], "doc_id long, text string, score double, _p string")
+    for names in ([], ["en"], ["de", "en"]):
+        net = Net(letter_classes(), 2) if len(names) == 2 else None
+        got = langid.identify(df, (names, net), with_row=True).select("_p", "_row.score", "lang_pred").first()
+        assert (got["_p"], got["score"]) == ("mine", 3.5) and got["lang_pred"] in (names or ["und"])
+
+
+def test_the_score_is_that_of_all_segmentations(spark):
+    """The whole query against a plain version: counts, expectation and maximisation over all cuts, scores."""
+    rng = random.Random(3)
+    words = ["the", "banana", "x9", "été", "wordless", "zzz"]
+    docs = [(k, " ".join(rng.choices(words, [5, 3, 1, 2, 1, 1], k=rng.randint(0, 9)))) for k in range(30)]
+    got = {r["doc_id"]: r["score"] for r in latticelm.score_documents(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), PIECES, F.col("doc_id") % 5 == 0, rounds=2).collect()}
+    train = [t for k, t in docs if k % 5]
+    count = Counter(w for t in train for w in t.split())
+    lat = latticelm.Lattice(PIECES)
+    number = {p: k for k, (p, _) in enumerate(latticelm.vocabulary(PIECES))}
+    logp = lat.start
+    for _ in range(2):
+        uses, last = np.zeros(lat.n), np.zeros(lat.n)
+        for w, c in count.items():
+            b = b" " + w.encode()
+            cuts = [[]]
+            done = []
+            while cuts:  # every way through
+                way = cuts.pop()
+                at = sum(len(p) for p in way)
+                if at == len(b):
+                    done.append(way)
+                else:
+                    cuts += [[*way, b[at:e]] for e in range(at + 1, len(b) + 1) if b[at:e] in number]
+            weight = [math.exp(sum(logp[int(k == len(way) - 1), number[p]] for k, p in enumerate(way))) for way in done]
+            for way, x in zip(done, weight, strict=True):
+                for k, p in enumerate(way):
+                    uses[number[p]] += c * x / sum(weight)
+                    last[number[p]] += c * x / sum(weight) * (k == len(way) - 1)
+        logp = lat.weights(uses, last)
+    ends = len(train) / (sum(count.values()) + len(train))
+    for k, t in docs:
+        want = sum(brute(w, logp, number) / math.log(10) + math.log10(1 - ends) for w in t.split()) + math.log10(ends)
+        assert abs(got[k] - want) < 1e-6
+
+
+def test_lines_that_many_texts_share_are_boilerplate(spark, empty):
+    rng = random.Random(12)
+    line = lambda: " ".join(rng.choice(["alpha", "beta", "gamma", "delta", "eta"]) + str(rng.randint(0, 99)) for _ in range(12)) + "."
+    docs = [(k, "\n".join([*(line() for _ in range(6)), "Our shop sells many good things to all people."])) for k in range(40)] + [(100 + k, "\n".join(["One text that is found again and again in the table.", *["x y z." * 20] * 3])) for k in range(40)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    common = linerules.common_lines(df)
+    assert len(common) == 1
+    got = {r["doc_id"]: r for r in linerules.apply_rules(df, common).collect()}
+    assert got[3]["clean_text"] == docs[3][1].rsplit("\n", 1)[0] and got[3]["kept"]
+    assert got[100]["clean_text"] == docs[40][1] and got[100]["lost_chars"] == 0
+    assert got[3]["clean_chars"] == len(got[3]["clean_text"]) and len(linerules.common_lines(empty)) == 0
