@@ -98,8 +98,14 @@ def learn(docs: DataFrame, label_col: str = "lang", text_col: str = "text", id_c
     return names, Net(letter_classes(), len(names), length=LENGTH).fit(x, y, weight)
 
 
-def identify(docs: DataFrame, model: tuple[list[str], Net | None], text_col: str = "text", with_row: bool = False) -> DataFrame:
-    """All columns of ``docs`` with ``lang_pred`` and ``score`` added (replaced, where there are such); ``with_row``: and the row as it was, ``_row``."""
+def identify(docs: DataFrame, model: tuple[list[str], Net | None], text_col: str = "text") -> DataFrame:
+    """All columns of ``docs`` with ``lang_pred`` and ``score`` added (replaced, where there are such)."""
+    columns = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    return judged(docs, model, text_col).select(*(F.col("_row")[c].alias(c) for c in columns), "lang_pred", "score")
+
+
+def judged(docs: DataFrame, model: tuple[list[str], Net | None], text_col: str = "text") -> DataFrame:
+    """``_row``, the row of ``docs`` as it is, ``lang_pred`` and ``score``: whatever the table's columns are called, they don't clash with these."""
     text_batches(docs.sparkSession)
     names, net = model
 
@@ -121,11 +127,10 @@ def identify(docs: DataFrame, model: tuple[list[str], Net | None], text_col: str
 
     text = F.col("_row")[text_col]
     letter = F.coalesce(text.rlike(r"\p{L}"), F.lit(False))
-    columns = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"))  # so no column of the table clashes with those of the model
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"))
     if net is None:
         lang, score = F.when(letter, names[0] if names else UNKNOWN).otherwise(UNKNOWN), F.when(letter, float(bool(names))).otherwise(0.0)
     else:
         whole = whole.select("_row", predict(F.coalesce(text, F.lit(""))).alias("_p"))
         lang, score = F.when(letter, F.col("_p.lang_pred")).otherwise(UNKNOWN), F.when(letter, F.col("_p.score")).otherwise(0.0)
-    return whole.select(*(F.col("_row")[c].alias(c) for c in columns), lang.alias("lang_pred"), score.alias("score"), *([F.col("_row")] if with_row else []))
+    return whole.select("_row", lang.alias("lang_pred"), score.alias("score"))

@@ -50,6 +50,21 @@ def test_odd_documents_pass_all_stages(spark, tmp_path):
     assert corpus_pipeline.run(spark, f"file://{folder}").count() > 0
 
 
+def test_columns_named_like_the_operators_own_survive(spark, tmp_path):
+    """Documents with columns named as those that the stages add keep them, values and all, through the first four stages."""
+    text = lambda k: " ".join(f"the word{(k * j) % 97} and house" for j in range(60)) + f" mail a{k}@b.org"
+    rows_ = [(k, text(k), "en" if k % 2 else "fr", "s", 5, 0.25 + k, "mine", k, f"h{k}", [k], f"_row{k}", -k, "sha", True) for k in range(1, 12)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, score double, lang_pred string, _i long, _h string, _s array<int>, _row string, keep_id long, sha string, kept boolean"
+    docs = spark.createDataFrame(rows_, schema)
+    want = {r[0]: (*r[2:4], *r[5:]) for r in rows_}
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES[:4]):
+        stage(spark, docs, "").write.parquet(f"file://{tmp_path}/{k}")
+        docs = spark.read.parquet(f"file://{tmp_path}/{k}")
+        assert docs.columns == [c.split()[0] for c in schema.split(", ")]
+        got = {r["doc_id"]: (*r[2:4], *r[5:]) for r in docs.collect()}
+        assert got and all(got[i] == want[i] for i in got)
+
+
 def test_empty_table_passes_all_stages(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"file://{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, f"file://{tmp_path}").count() == 0

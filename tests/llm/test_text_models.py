@@ -201,11 +201,12 @@ def test_windows_are_sampled_from_whole_texts(spark):
 
 
 def test_columns_with_the_names_of_the_results_survive(spark):
-    df = spark.createDataFrame([(1, "the house", 3.5, "mine")], "doc_id long, text string, score double, _p string")
+    df = spark.createDataFrame([(1, "the house", 3.5, "mine", 9)], "doc_id long, text string, score double, _p string, _row int")
     for names in ([], ["en"], ["de", "en"]):
         net = Net(letter_classes(), 2) if len(names) == 2 else None
-        got = langid.identify(df, (names, net), with_row=True).select("_p", "_row.score", "lang_pred").first()
-        assert (got["_p"], got["score"]) == ("mine", 3.5) and got["lang_pred"] in (names or ["und"])
+        got = langid.judged(df, (names, net)).select("_row.*", "lang_pred").first()
+        assert (got["_p"], got["score"], got["_row"]) == ("mine", 3.5, 9) and got["lang_pred"] in (names or ["und"])
+        assert langid.identify(df, (names, net)).columns == ["doc_id", "text", "_p", "_row", "lang_pred", "score"]
 
 
 def test_the_score_is_that_of_all_segmentations(spark):
