@@ -2,7 +2,9 @@
 
 Stages get and return the columns of documents, the last one returns pieces with their places in
 sequences. Rows with a null text or id go through every stage: a null text has no letter, so the
-first stage rejects it; a null id is like any other id, but is never linked with a near copy.
+first stage rejects it; a null id is like any other id, but is never linked with a near copy. Of rows
+with equal texts one is left by the second stage, also where they repeat ids. Columns of documents
+that are named like those an operator adds go through unchanged.
 """
 
 from __future__ import annotations
@@ -20,10 +22,8 @@ LEAST_SCORE = 0.4
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose text is in one of the languages learned; rejected ones have no letter or no language that stands out."""
-    columns = [docs[c] for c in docs.columns]
-    model = langid.learn(docs)
-    named = langid.identify(docs.select(*columns), model)
-    return named.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+    named = langid.judged(docs, langid.learn(docs))
+    return named.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select("_row.*")
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
