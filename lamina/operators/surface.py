@@ -120,6 +120,14 @@ def bends(sp: DataFrame, step: int = 1) -> DataFrame:
     return n.select(*CELL, F.col("t.axis").alias("axis"), (F.col("t.dot") / F.sqrt(F.col("t.l2"))).alias("cos"))
 
 
+def rows_across(sp: DataFrame, axis: str, level: float) -> DataFrame:
+    """Edges of rows whose ends (``a``, ``b``) lie on different sides of a level of an axis; rows whose range doesn't hold the level are passed over by their bounds."""
+    rows = row_bounds(sp).where((F.col(f"{axis}_lo") <= level) & (F.col(f"{axis}_hi") >= level)).select("seg_id", "j")
+    near = sp.join(rows, ["seg_id", "j"], "left_semi")
+    nxt = near.select("seg_id", "j", (F.col("i") - 1).alias("i"), F.col(axis).alias("b"))
+    return near.select(*CELL, F.col(axis).alias("a")).join(nxt, list(CELL)).where((F.col("a") <= level) != (F.col("b") <= level))
+
+
 def mesh_quality(sp: DataFrame, kink: float = 0.8) -> DataFrame:
     """Of each segment: folds (turns over 90 degrees), kinks (cosine under ``kink``), mean squared twist, and the share of its grid box that is filled."""
     b = bends(sp).groupBy("seg_id").agg(F.count_if(F.col("cos") < 0).alias("folds"), F.count_if((F.col("cos") >= 0) & (F.col("cos") < kink)).alias("kinks"))

@@ -16,13 +16,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all machines share: ``spark.checkpoint.dir``.
 
-    Where the setting is absent (a local test session) it is the context's checkpoint folder, which
-    is made on this machine if there is none yet.
+    Where the setting is absent it is the context's checkpoint folder, which a local session makes on
+    its machine if there is none yet; on a cluster that would be a folder others can't see, an error.
     """
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir", None)
     own = sc._jsc.sc().getCheckpointDir()
     if not found:
+        if not own.isDefined() and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir isn't set: it must name a folder that all machines share")
         found = own.get() if own.isDefined() else f"file://{tempfile.mkdtemp(prefix='lamina-')}"
     if not own.isDefined():
         sc.setCheckpointDir(found)
@@ -35,12 +37,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def room(spark: SparkSession, kind: str = "table") -> str:
+    """A new place in the shared folder, removed when the session ends."""
+    path = f"{shared_dir(spark)}/saved/{kind}-{uuid.uuid4().hex}"
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    return path
+
+
 def saved(df: DataFrame) -> DataFrame:
     """As ``cut``, for wide rows: a compressed table in the shared folder, removed when the session ends."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/saved/{uuid.uuid4().hex}"
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    path = room(spark)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from lamina.operators import surface as su
 from lamina.session import saved
+from lamina.sources.files import write_files
 
 
 def tiff_plane(data: bytes) -> np.ndarray:
@@ -42,6 +43,29 @@ def tiff_plane(data: bytes) -> np.ndarray:
     return np.frombuffer(body, order + "f4", w * h).reshape(h, w).astype(np.float32)
 
 
+def tiff_bytes(a: np.ndarray) -> bytes:
+    """A plane of float32 as a TIFF of one strip."""
+    h, w = a.shape
+    body = np.ascontiguousarray(a, "<f4").tobytes()
+    tags = [(256, 4, w), (257, 4, h), (258, 3, 32), (259, 3, 1), (273, 4, 8), (277, 3, 1), (278, 4, h), (279, 4, len(body)), (339, 3, 3)]
+    return struct.pack("<2sHI", b"II", 42, 8 + len(body)) + body + struct.pack("<H", len(tags)) + b"".join(struct.pack("<HHII", t, kind, 1, x) for t, kind, x in tags) + struct.pack("<I", 0)
+
+
+def write_tiff_surfaces(sp: DataFrame, path: str) -> None:
+    """Surfaces ``(name, j, i, x, y, z)`` as folders with x.tif, y.tif and z.tif; a cell without a point has z = -1. A surface's planes are made by one task."""
+
+    def run(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
+        shape = int(g["j"].max()) + 1, int(g["i"].max()) + 1
+        out = []
+        for c in "xyz":
+            a = np.full(shape, -1, np.float32)
+            a[g["j"], g["i"]] = g[c]
+            out.append((f"{key[0]}/{c}.tif", tiff_bytes(a)))
+        return pd.DataFrame(out, columns=["name", "data"])
+
+    write_files(sp.groupBy(F.col("name").alias("_name")).applyInPandas(run, "name string, data binary"), path)
+
+
 def tiff_surfaces(spark: SparkSession, path: str) -> DataFrame:
     """``(name, j, i, x, y, z)`` of the valid points of surfaces in folders under ``path`` with x.tif, y.tif and z.tif; points are valid where z > 0 and x, y are finite."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "[xyz].tif").load(path)
@@ -108,6 +132,28 @@ def save_labels(spark: SparkSession, lab: DataFrame, path: str, saved_gen: int,
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def load_labels(spark: SparkSession, path: str, shape) -> DataFrame:
+    """``lab(z, y, x, cls)`` of saved label bricks; a voxel outside ``shape`` means the labels are of another volume, an error."""
+    from lamina.operators.volume import ZYX
+
+    lab = spark.read.parquet(path).select(*ZYX, "cls")
+    outside = F.lit(False)
+    for c, n in zip(ZYX, shape, strict=True):
+        outside = outside | (F.col(c) < 0) | (F.col(c) >= n)
+    checked = F.when(outside, F.raise_error(F.lit("the labels don't fit the volume"))).otherwise(F.col("cls"))
+    return lab.select(*ZYX, checked.cast("int").alias("cls"))
+
+
+def save_trace(cells: DataFrame, path: str, cutoff: float, step: float) -> None:
+    """Publishes a traced surface (seg_id, j, i, x, y, z, conf): cells above the confidence ``cutoff`` without those at a torn edge, on a grid cropped
+    to what is left; ``j0`` and ``i0`` are the cropped grid's first row and column in the old one."""
+    sure = cells.where(F.col("conf") > cutoff)
+    kept = sure.join(su.untorn(sure, step).select(*su.CELL), list(su.CELL), "left_semi")
+    first = kept.groupBy("seg_id").agg(F.min("j").alias("j0"), F.min("i").alias("i0"))
+    out = kept.join(first, "seg_id").select("seg_id", (F.col("j") - F.col("j0")).cast("int").alias("j"), (F.col("i") - F.col("i0")).cast("int").alias("i"), *"xyz", "conf", "j0", "i0")
+    publish(out, path)
+
+
 def png_gray(a: np.ndarray) -> bytes:
     """An 8-bit grey PNG of a small image."""
     h, w = a.shape
@@ -116,6 +162,33 @@ def png_gray(a: np.ndarray) -> bytes:
     return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(rows)) + chunk(b"IEND", b"")
 
 
+def png_pixels(data: bytes) -> np.ndarray:
+    """The pixels of an 8-bit grey PNG as ``png_gray`` writes it."""
+    w, h = struct.unpack(">II", data[16:24])
+    size = struct.unpack(">I", data[33:37])[0]
+    return np.frombuffer(zlib.decompress(data[41 : 41 + size]), np.uint8).reshape(h, w + 1)[:, 1:]
+
+
+def write_layers(images: DataFrame, path: str) -> None:
+    """Images ``(seg_id, layer, data)`` as files seg_id/layer.png."""
+    write_files(images.select(F.concat_ws("/", "seg_id", F.format_string("%05d.png", "layer")).alias("name"), "data"), path)
+
+
+def layer_pixels(spark: SparkSession, path: str) -> DataFrame:
+    """``(seg_id, layer, j, i, v)`` of the images under ``path``, zeros left out."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for seg, layer, data in zip(b["seg_id"], b["layer"], b["content"], strict=True):
+                a = png_pixels(data)
+                j, i = np.nonzero(a)
+                yield pd.DataFrame({"seg_id": seg, "layer": layer, "j": j, "i": i, "v": a[j, i]}).astype("int32")
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.png").load(path)
+    own = files.select(F.regexp_extract("path", r"([0-9]+)/[0-9]+\.png$", 1).cast("int").alias("seg_id"), F.regexp_extract("path", r"([0-9]+)\.png$", 1).cast("int").alias("layer"), "content")
+    return own.mapInPandas(run, "seg_id int, layer int, j int, i int, v int")
+
+
 def stack_layers(stack: DataFrame, height: int, width: int) -> DataFrame:
     """``(seg_id, layer, data)``: each layer of a stack (seg_id, layer, j, i, v) as an image's bytes; a layer is one task."""
 

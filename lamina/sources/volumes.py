@@ -16,31 +16,62 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+from pyarrow import fs as stores
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from lamina.operators.volume import ZYX
+from lamina.sources.files import write_files
 
 MISSING = (1 << 64) - 1
+#: Bytes of a record of a raw file, at most, where a row has fewer.
+RECORD_BYTES = 1 << 20
 
 
 def raw_volume(spark: SparkSession, path: str, shape: Sequence[int]) -> DataFrame:
-    """``voxel(z, y, x, v)`` of a raw file, zeros left out; an error if its size isn't that of the shape."""
+    """``voxel(z, y, x, v)`` of a raw file, zeros left out; an error if its size isn't that of the shape.
+
+    The file is read as records of some rows each, by ranges of bytes, so that many tasks share it.
+    """
     nz, ny, nx = shape
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    size = p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p).getLen()
+    if size != nz * ny * nx:
+        raise ValueError(f"{path} has {size} bytes where {nz * ny * nx} are expected")
+    rows = max(r for r in range(1, ny + 1) if ny % r == 0 and (r == 1 or r * nx <= RECORD_BYTES))
+    form = "org.apache.spark.input.FixedLengthBinaryInputFormat"
+    records = spark.sparkContext.newAPIHadoopFile(path, form, "org.apache.hadoop.io.LongWritable", "org.apache.hadoop.io.BytesWritable", conf={f"{form}.recordLength": str(rows * nx)})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for path, data in zip(b["path"], b["content"], strict=True):
-                if len(data) != nz * ny * nx:
-                    raise ValueError(f"{path} has {len(data)} bytes where {nz * ny * nx} are expected")
+            for k, data in zip(b["k"], b["data"], strict=True):
                 v = np.frombuffer(data, np.uint8)
                 at = np.flatnonzero(v)
-                for k in range(0, len(at), 1 << 18):
-                    p = at[k : k + (1 << 18)]
-                    yield pd.DataFrame({"z": p // (ny * nx), "y": p // nx % ny, "x": p % nx, "v": v[p]}).astype("int32")
+                p = at + int(k) * rows * nx
+                yield pd.DataFrame({"z": p // (ny * nx), "y": p // nx % ny, "x": p % nx, "v": v[at]}).astype("int32")
+
+    return spark.createDataFrame(records, "k long, data binary").mapInPandas(run, "z int, y int, x int, v int")
+
+
+def planes(v: DataFrame, shape: Sequence[int]) -> DataFrame:
+    """``(z, data)``: the bytes of every plane of a volume, planes without a voxel too."""
+    nz, ny, nx = shape
+
+    def run(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
+        a = np.zeros((ny, nx), np.uint8)
+        g = g[g["v"] > 0]
+        a[g["y"], g["x"]] = g["v"]
+        return pd.DataFrame([(key[0], a.tobytes())], columns=["z", "data"])
+
+    every = v.sparkSession.range(nz).select(F.col("id").cast("int").alias("z"), F.lit(0).alias("y"), F.lit(0).alias("x"), F.lit(0).alias("v"))
+    return v.select(*ZYX, "v").union(every).groupBy("z").applyInPandas(run, "z int, data binary")
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "z int, y int, x int, v int")
+
+def write_raw(v: DataFrame, path: str, shape: Sequence[int]) -> None:
+    """A volume as one flat file. Planes are made by many tasks; one appends them in order, a plane at a time, as a file has one writer."""
+    folder, _, name = path.rpartition("/")
+    write_files(planes(v, shape).repartition(1).sortWithinPartitions("z").select(F.lit(name).alias("name"), "data"), folder)
 
 
 @functools.cache
@@ -74,30 +105,70 @@ def shard_bytes(chunks: dict[tuple[int, int, int], bytes], side: int) -> bytes:
     return body + table + struct.pack("<I", crc32c(table))
 
 
+def write_shards(v: DataFrame, path: str, edge: int, side: int) -> None:
+    """Shard files z*_y*_x*.shard of a volume's chunks of ``edge`` cubed, ``side`` cubed chunks a shard; chunks without a voxel are missing, shards without any aren't written."""
+
+    def run(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
+        chunks = {}
+        for at, part in g.groupby(["cz", "cy", "cx"]):
+            a = np.zeros((edge,) * 3, np.uint8)
+            a[part["z"] % edge, part["y"] % edge, part["x"] % edge] = part["v"]
+            chunks[tuple(int(k) for k in at)] = encode_chunk(a)
+        return pd.DataFrame([("z{}_y{}_x{}.shard".format(*key), shard_bytes(chunks, side))], columns=["name", "data"])
+
+    keys = [F.expr(f"cast({c} div {edge * side} as int)").alias("s" + c) for c in ZYX]
+    own = [F.expr(f"cast({c} div {edge} % {side} as int)").alias("c" + c) for c in ZYX]
+    files = v.where("v > 0").select(*ZYX, "v", *keys, *own).groupBy("sz", "sy", "sx").applyInPandas(run, "name string, data binary")
+    write_files(files, path)
+
+
+class ShardSource(DataSource):
+    """Shard files by byte ranges: the index of a shard first, then each chunk's bytes; a shard is a partition."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "lamina_shards"
+
+    def schema(self) -> str:
+        return "file string, cz int, cy int, cx int, status string, data binary"
+
+    def reader(self, schema) -> DataSourceReader:  # noqa: ANN001
+        return _ShardReader(self.options["path"], int(self.options["side"]))
+
+
+class _ShardReader(DataSourceReader):
+    def __init__(self, path: str, side: int) -> None:
+        self.path, self.side = path, side
+
+    def partitions(self) -> list[InputPartition]:
+        store, root = stores.FileSystem.from_uri(self.path)
+        if store.get_file_info(root).type == stores.FileType.File:
+            return [InputPartition(root)]
+        return [InputPartition(f.path) for f in store.get_file_info(stores.FileSelector(root)) if f.type == stores.FileType.File and f.base_name[0] not in "._"]
+
+    def read(self, partition: InputPartition) -> Iterator[tuple]:
+        store, _ = stores.FileSystem.from_uri(self.path)
+        name, side, size = partition.value, self.side, 16 * self.side**3
+        with store.open_input_file(name) as f:
+            room = f.size() - size - 4
+            tail = f.read_at(size + 4, room) if room >= 0 else b""
+            if room < 0 or crc32c(tail[:-4]) != struct.unpack("<I", tail[-4:])[0]:
+                yield name, None, None, None, "corrupt", None
+                return
+            for k, (at, n) in enumerate(struct.iter_unpack("<QQ", tail[:-4])):
+                key = (name, k // (side * side), k // side % side, k % side)
+                if at == n == MISSING:
+                    yield *key, "missing", None
+                elif at + n > room:
+                    yield *key, "corrupt", None
+                else:
+                    yield *key, "present", f.read_at(n, at)
+
+
 def shard_chunks(spark: SparkSession, path: str, side: int) -> DataFrame:
     """``chunk(file, cz, cy, cx, status, data)`` of shard files: present, missing or corrupt chunks; a file whose index fails its check is one corrupt row."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ["file", "cz", "cy", "cx", "status", "data"]
-        for b in batches:
-            for path, data in zip(b["path"], b["content"], strict=True):
-                size = 16 * side**3
-                table = data[-size - 4 : -4]
-                if len(table) != size or crc32c(table) != struct.unpack("<I", data[-4:])[0]:
-                    yield pd.DataFrame([(path, None, None, None, "corrupt", None)], columns=names)
-                    continue
-                room, rows = len(data) - size - 4, []
-                for k, (at, n) in enumerate(struct.iter_unpack("<QQ", table)):
-                    key = (path, k // (side * side), k // side % side, k % side)
-                    if at == n == MISSING:
-                        rows.append((*key, "missing", None))
-                    elif at + n > room:
-                        rows.append((*key, "corrupt", None))
-                    else:
-                        rows.append((*key, "present", data[at : at + n]))
-                yield pd.DataFrame(rows, columns=names).astype({c: "Int32" for c in ("cz", "cy", "cx")})
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "file string, cz int, cy int, cx int, status string, data binary")
+    spark.dataSource.register(ShardSource)
+    return spark.read.format("lamina_shards").option("side", side).load(path)
 
 
 def encode_chunk(values: np.ndarray) -> bytes:
@@ -162,6 +233,21 @@ def read_box(spark: SparkSession, path: str, lo: Sequence[int], hi: Sequence[int
     return box(decoded_chunks(found, edge), lo, hi)
 
 
+def write_mirror(v: DataFrame, path: str, edge: int, known: DataFrame) -> None:
+    """A mirror's files: raw chunks z.y.x of the volume, and empty z.y.x.missing for those of ``known(cz, cy, cx)`` that it has no voxel in."""
+    key = [F.expr(f"cast({c} div {edge} as int)").alias("c" + c) for c in ZYX]
+
+    def run(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
+        a = np.zeros((edge,) * 3, np.uint8)
+        a[g["z"] % edge, g["y"] % edge, g["x"] % edge] = g["v"]
+        return pd.DataFrame([("{}.{}.{}".format(*key), a.tobytes())], columns=["name", "data"])
+
+    inside = v.where("v > 0").select(*ZYX, "v", *key)
+    gone = known.select("cz", "cy", "cx").distinct().join(inside.select("cz", "cy", "cx").distinct(), ["cz", "cy", "cx"], "left_anti")
+    marks = gone.select(F.concat_ws(".", "cz", "cy", "cx", F.lit("missing")).alias("name"), F.lit(b"").alias("data"))
+    write_files(inside.groupBy("cz", "cy", "cx").applyInPandas(run, "name string, data binary").union(marks), path)
+
+
 class SyntheticVolume(DataSource):
     """``spark.read.format("lamina_synthetic").options(kind="sphere|shells|gyroid", size=n)``: a volume made slice by slice."""
 

@@ -73,6 +73,17 @@ def negative_cache(probes: DataFrame, ttl_ms: int) -> DataFrame:
     return probes.groupBy("key").applyInPandasWithState(step, NEGATIVE, "until long", "append", GroupStateTimeout.NoTimeout)
 
 
+def run_to(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> DataFrame:
+    """All that a stream's source has now, as a table in the folder ``path``: appended batch by batch, or the whole result written anew by each batch."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(path)
+
+    q = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(path)
+
+
 def run_now(stream: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
     """All that a stream's source has now, through a memory table; for tests and small reports."""
     q = stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

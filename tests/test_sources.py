@@ -102,3 +102,37 @@ def test_listing(spark):
     for page in ((500, ""), (200, "<html>"), (200, PAGE.format("<IsTruncated>true</IsTruncated><NextContinuationToken>t</NextContinuationToken>", "x"))):
         with pytest.raises(OSError):
             sidecars.fetch_listing(spark, lambda token, page=page: page)
+
+
+def test_a_raw_file_is_read_by_ranges(spark, tmp_path, monkeypatch):
+    """Many records of some rows each, planes without a voxel between them."""
+    monkeypatch.setattr(volumes, "RECORD_BYTES", 20)
+    rng = np.random.default_rng(3)
+    a = rng.integers(0, 256, (6, 8, 10), dtype=np.uint8)
+    a[2] = 0
+    v = spark.createDataFrame([(int(z), int(y), int(x), int(a[z, y, x])) for z, y, x in np.argwhere(a)], "z int, y int, x int, v int")
+    volumes.write_raw(v, f"file://{tmp_path}/w/v.raw", a.shape)
+    assert (tmp_path / "w/v.raw").read_bytes() == a.tobytes()
+    assert values(volumes.raw_volume(spark, f"file://{tmp_path}/w/v.raw", a.shape), "z", "y", "x", "v") == values(v, "z", "y", "x", "v")
+
+
+def test_shard_entries_beyond_the_file_are_corrupt(spark, tmp_path):
+    import struct
+
+    data = bytearray(volumes.shard_bytes({(0, 0, 0): b"abc", (1, 1, 1): b"defg"}, 2))
+    data[7:23] = struct.pack("<QQ", 5, 1000)
+    data[-4:] = struct.pack("<I", volumes.crc32c(bytes(data[7:-4])))
+    (tmp_path / "x.shard").write_bytes(data)
+    (tmp_path / "tiny.shard").write_bytes(b"no index")
+    got = {(r["file"].rpartition("/")[2], r["cz"], r["cy"], r["cx"]): (r["status"], r["data"] and bytes(r["data"])) for r in volumes.shard_chunks(spark, f"file://{tmp_path}", 2).collect()}
+    assert got["x.shard", 0, 0, 0] == ("corrupt", None) and got["x.shard", 1, 1, 1] == ("present", b"defg") and got["x.shard", 0, 1, 0] == ("missing", None)
+    assert got["tiny.shard", None, None, None] == ("corrupt", None) and len(got) == 9
+
+
+def test_labels_of_another_volume_are_an_error(spark, tmp_path):
+    from lamina.sources import segments
+
+    segments.save_labels(spark, spark.createDataFrame([(1, 1, 9, 3, 1)], "z int, y int, x int, cls int, gen int"), f"file://{tmp_path}/lab", 0, 8)
+    assert segments.load_labels(spark, f"file://{tmp_path}/lab", (2, 2, 10)).count() == 1
+    with pytest.raises(Exception, match="don't fit"):
+        segments.load_labels(spark, f"file://{tmp_path}/lab", (2, 2, 9)).collect()
