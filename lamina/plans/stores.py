@@ -284,7 +284,7 @@ QUERIES = {
     ),
     "i14_larger_grid": (lambda s, d: so.shifted(surface_points(s, d), 2, 3), with_sql("sp", "SELECT seg_id, CAST(j + 2 AS INT) AS j, CAST(i + 3 AS INT) AS i, x, y, z FROM sp")),
     "w14_row_scan": (
-        lambda s, d: su.rows_across(surface_points(s, d), "y", 121.0),
-        with_sql("sp", ", r AS (SELECT seg_id, j FROM sp GROUP BY 1, 2 HAVING min(y) <= 121 AND max(y) >= 121) SELECT a.seg_id, a.j, a.i, a.y AS a, b.y AS b FROM sp a JOIN r ON r.seg_id = a.seg_id AND r.j = a.j JOIN sp b ON b.seg_id = a.seg_id AND b.j = a.j AND b.i = a.i + 1 WHERE (a.y <= 121) <> (b.y <= 121)"),
+        lambda s, d: su.rows_across(surface_points(s, d), "y", 41.0),
+        with_sql("sp", ", r AS (SELECT seg_id, j FROM sp GROUP BY 1, 2 HAVING min(y) <= 41 AND max(y) >= 41) SELECT a.seg_id, a.j, a.i, a.y AS a, b.y AS b FROM sp a JOIN r ON r.seg_id = a.seg_id AND r.j = a.j JOIN sp b ON b.seg_id = a.seg_id AND b.j = a.j AND b.i = a.i + 1 WHERE (a.y <= 41) <> (b.y <= 41)"),
     ),
 }
