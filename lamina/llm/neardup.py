@@ -37,7 +37,7 @@ BANDS, ROWS = 40, 6
 #: Share of equal signature places under which a pair can't reach the similarity asked for.
 SLACK = 0.12
 #: Members of a bucket that one task compares with one another.
-BLOCK_MEMBERS = 1000
+BLOCK_MEMBERS = 256
 #: Pairs confirmed before components are looked at again.
 CONFIRMED_AT_ONCE = 256
 
