@@ -1,23 +1,31 @@
 """Neighbourhood operators on volumes.
 
-A neighbourhood is made by sending every stored voxel to the centres it belongs to (``spread``) and
-aggregating by centre: an explode and one shuffle, whatever the size, with partial aggregation for
-means and maxima. Separable maxima go axis by axis (3 n instead of n cubed copies).
+Small neighbourhoods are made by sending every stored voxel to the centres it belongs to (``spread``)
+and aggregating by centre, with partial aggregation; separable maxima go axis by axis. Larger ones
+go by blocks (``by_blocks``): a voxel is sent to the blocks whose core, grown by a halo, it is in,
+1 + 2 halo / core copies an axis on average, and each block is one small dense array.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lamina.operators.graph import least_of_component
 from lamina.operators.volume import ZYX, dense, dense_grid
 from lamina.session import cut
 
 
+#: Voxels along the side of a block's core.
+CORE = 16
+#: Corners of a tetrahedron around a voxel.
+TETRAHEDRON = [(1, 1, 1), (1, -1, -1), (-1, 1, -1), (-1, -1, 1)]
+
+
 def spread(v: DataFrame, offsets: Sequence[Sequence[int]], shape: Sequence[int] | None = None) -> DataFrame:
     """Each voxel once for each centre whose neighbourhood it is in: columns z, y, x of the centre, ``dz``, ``dy``, ``dx`` and the voxel's others."""
     o = F.array(*(F.struct(*(F.lit(int(k)).alias("d" + c) for c, k in zip(ZYX, d, strict=True))) for d in offsets))
@@ -37,35 +45,56 @@ def cube(r: int) -> list[tuple[int, int, int]]:
     return [(a, b, c) for a in k for b in k for c in k]
 
 
-def _clamped(d: DataFrame, r: int, shape: Sequence[int]) -> DataFrame:
-    """Centres with the (2r+1)**3 values around them; an index outside the brick reads the nearest one inside.
-
-    A voxel at a face stands for the outside ones too: its weight on an axis is the number of
-    offsets that clamp to it.
-    """
-    out = spread(d, cube(r), shape)
-    weight = F.lit(1)
-    for c, n in zip(ZYX, shape, strict=True):
-        own = F.col(c) + F.col("d" + c)
-        low = F.when(own == 0, F.greatest(F.lit(0), r - F.col(c))).otherwise(0)
-        high = F.when(own == n - 1, F.greatest(F.lit(0), r - (n - 1 - F.col(c)))).otherwise(0)
-        weight = weight * (1 + low + high)
-    return out.withColumn("w", weight)
+def by_blocks(v: DataFrame, shape: Sequence[int], halo: int, run: Callable[[np.ndarray], dict[str, np.ndarray]], columns: str, clamp: bool = True, core: int = CORE, only: bool = False) -> DataFrame:
+    """``z``, ``y``, ``x`` and ``columns`` of every voxel of a shape (``only``: of blocks that some voxel reaches): ``run`` gets a block's values with a halo
+    and returns arrays of the core; beyond the volume a halo repeats its edge (``clamp``) or reads 0."""
+    blocks = [-(-n // core) for n in shape]
+    sent = v.select(*ZYX, F.col("v").cast("int").alias("v"))
+    for c, n in zip(ZYX, blocks, strict=True):
+        first = F.greatest(F.lit(0), F.floor((F.col(c) - halo) / core)).cast("int")
+        last = F.least(F.lit(n - 1), F.floor((F.col(c) + halo) / core)).cast("int")
+        sent = sent.withColumn("b" + c, F.explode(F.sequence(first, last)))
+    if not only:
+        every = dense_grid(v.sparkSession, blocks)
+        sent = sent.union(every.select(*(F.lit(None).cast("int") for _ in range(4)), *ZYX))
+    names = [c.split()[0] for c in columns.split(", ")]
+    kinds = {"int": "int32", "long": "int64", "double": "float64"}
+
+    def block(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
+        lo = [max(0, k * core - halo) for k in key]
+        hi = [min(n, (k + 1) * core + halo) for k, n in zip(key, shape, strict=True)]
+        own = [min(core, n - k * core) for k, n in zip(key, shape, strict=True)]
+        a = np.zeros([q - p for p, q in zip(lo, hi, strict=True)], np.int32)
+        g = g[g["v"].notna()].astype({c: "int64" for c in (*ZYX, "v")})
+        a[g["z"] - lo[0], g["y"] - lo[1], g["x"] - lo[2]] = g["v"]
+        room = [(halo - (k * core - p), halo - (q - (k * core + n))) for k, p, q, n in zip(key, lo, hi, own, strict=True)]
+        out = run(np.pad(a, room, mode="edge" if clamp else "constant"))
+        z, y, x = (i.ravel() + k * core for i, k in zip(np.indices(own), key, strict=True))
+        return pd.DataFrame({"z": z.astype("int32"), "y": y.astype("int32"), "x": x.astype("int32")} | {n: out[n].ravel().astype(kinds[c.split()[1]]) for n, c in zip(names, columns.split(", "), strict=True)})
+
+    return sent.groupBy("bz", "by", "bx").applyInPandas(block, f"z int, y int, x int, {columns}")
+
+
+def _around(a: np.ndarray, r: int) -> np.ndarray:
+    """The (2r+1)**3 values around each inner element, last."""
+    w = np.lib.stride_tricks.sliding_window_view(a, (2 * r + 1,) * 3)
+    return w.reshape(*w.shape[:3], -1)
 
 
 def median(v: DataFrame, r: int, shape: Sequence[int]) -> DataFrame:
     """Median over (2r+1)**3, clamped to the brick."""
     n = (2 * r + 1) ** 3
-    out = _clamped(dense(v, shape), r, shape).groupBy(*ZYX).agg(F.flatten(F.collect_list(F.array_repeat("v", F.col("w").cast("int")))).alias("s"))
-    return out.select(*ZYX, F.element_at(F.sort_array("s"), n // 2 + 1).alias("v"))
+    return by_blocks(v, shape, r, lambda a: {"v": np.partition(_around(a, r), n // 2, -1)[..., n // 2]}, "v int")
 
 
 def unsharp(v: DataFrame, amount: int, shape: Sequence[int]) -> DataFrame:
     """v + amount * (v - mean of 27), clamped to 0..255, in whole numbers: (27 v + amount (27 v - sum)) div 27."""
-    d = dense(v, shape)
-    mean = _clamped(d, 1, shape).groupBy(*ZYX).agg(F.sum(F.col("v") * F.col("w")).alias("s"))
-    out = F.greatest(F.lit(0), 27 * F.col("v") + amount * (27 * F.col("v") - F.col("s")))
-    return d.join(mean, list(ZYX)).select(*ZYX, F.least(F.lit(255), F.floor(out / 27)).cast("int").alias("v"))
+
+    def run(a: np.ndarray) -> dict[str, np.ndarray]:
+        own = a[1:-1, 1:-1, 1:-1]
+        return {"v": np.clip((27 * own + amount * (27 * own - _around(a, 1).sum(-1))) // 27, 0, 255)}
+
+    return by_blocks(v, shape, 1, run, "v int")
 
 
 def max_pool(v: DataFrame, r: int, shape: Sequence[int]) -> DataFrame:
@@ -94,14 +123,37 @@ def boundary(solid: DataFrame) -> DataFrame:
     return solid.select(*ZYX).join(near, list(ZYX), "left").where(F.coalesce("n", F.lit(0)) < 6).select(*ZYX)
 
 
-def outward_normal(solid: DataFrame, at: DataFrame) -> DataFrame:
+def tetrahedral_gradient(v: DataFrame, shape: Sequence[int]) -> DataFrame:
+    """Gradient by four taps at the corners of a tetrahedron: the sum of each corner's direction times its value; outside reads 0."""
+
+    def run(a: np.ndarray) -> dict[str, np.ndarray]:
+        n = [k - 2 for k in a.shape]
+        tap = lambda d: a[tuple(slice(1 + k, 1 + k + m) for k, m in zip(d, n, strict=True))].astype(np.int64)
+        return {"g" + c: sum(d[k] * tap(d) for d in TETRAHEDRON) for k, c in enumerate(ZYX)}
+
+    return by_blocks(v, shape, 1, run, "gz int, gy int, gx int", clamp=False)
+
+
+def outward_normal(solid: DataFrame, at: DataFrame, shape: Sequence[int]) -> DataFrame:
     """Mean unit direction to void voxels within 5**3: the sum over all directions is 0, so it is minus the sum to solid ones."""
     off = [o for o in cube(2) if o != (0, 0, 0)]
-    length = F.sqrt((F.col("dz") * F.col("dz") + F.col("dy") * F.col("dy") + F.col("dx") * F.col("dx")).cast("double"))
-    near = spread(solid.select(*ZYX), off).groupBy(*ZYX).agg(*((-F.sum(F.col("d" + c) / length)).alias("n" + c) for c in ZYX), F.count("*").alias("n_solid"))
-    out = at.select(*ZYX).join(near, list(ZYX), "left").select(*ZYX, *(F.coalesce("n" + c, F.lit(0.0)).alias("n" + c) for c in ZYX), F.coalesce("n_solid", F.lit(0)).alias("n_solid"))
-    norm = F.sqrt(F.col("nz") ** 2 + F.col("ny") ** 2 + F.col("nx") ** 2)
-    return out.select(*ZYX, *(F.when(norm > 1e-9, F.col("n" + c) / norm).otherwise(0.0).alias("n" + c) for c in ZYX), "n_solid")
+
+    def run(a: np.ndarray) -> dict[str, np.ndarray]:
+        n = [k - 4 for k in a.shape]
+        out = {c: np.zeros(n) for c in ("nz", "ny", "nx", "n_solid")}
+        for d in off:
+            near = a[tuple(slice(2 + k, 2 + k + m) for k, m in zip(d, n, strict=True))]
+            size = float(np.sqrt(sum(k * k for k in d)))
+            for k, c in zip(d, ("nz", "ny", "nx"), strict=True):
+                out[c] -= near * (k / size)
+            out["n_solid"] += near
+        size = np.sqrt(out["nz"] ** 2 + out["ny"] ** 2 + out["nx"] ** 2)
+        for c in ("nz", "ny", "nx"):
+            out[c] = np.where(size > 1e-9, out[c] / np.where(size > 1e-9, size, 1), 0.0)
+        return out
+
+    found = by_blocks(solid.select(*ZYX, F.lit(1).alias("v")), shape, 2, run, "nz double, ny double, nx double, n_solid long", clamp=False, only=True)
+    return at.select(*ZYX).join(found, list(ZYX))
 
 
 def occupancy(v: DataFrame, n: int, blocks: Sequence[int]) -> DataFrame:
@@ -127,45 +179,34 @@ def _edt_lines(values: np.ndarray) -> np.ndarray:
     return (values[..., None, :] + d).min(-1)
 
 
-def distance_transform(solid: DataFrame, shape: Sequence[int], core: int = 16, border: int = 16, clip: int = 255) -> DataFrame:
-    """Squared distance to the nearest solid voxel within ``border`` of each core block, clipped; blocks are independent, with a halo each."""
-    nz, ny, nx = shape
-    blocks = [-(-n // core) for n in shape]
-    reach = F.sequence(F.lit(-(-border // core)) * -1, F.lit(-(-border // core)))
-    block = lambda c: F.floor(F.col(c) / core).cast("int")
-    sent = solid.select(*ZYX)
-    for c, n in zip(ZYX, blocks, strict=True):
-        sent = sent.withColumn("o", F.explode(reach)).withColumn("b" + c, block(c) + F.col("o")).drop("o")
-        low, high = F.col("b" + c) * core - border, F.col("b" + c) * core + core + border
-        sent = sent.where((F.col("b" + c) >= 0) & (F.col("b" + c) < n) & (F.col(c) >= low) & (F.col(c) < high))
-
-    def run(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
-        size = core + 2 * border
-        f = np.full((size,) * 3, 1 << 20, np.int64)
-        lo = [k * core - border for k in key]
-        f[g["z"] - lo[0], g["y"] - lo[1], g["x"] - lo[2]] = 0
+def distance_transform(solid: DataFrame, shape: Sequence[int], core: int = CORE, border: int = 16, clip: int = 255) -> DataFrame:
+    """Squared distance to the nearest solid voxel within ``border`` of each core block, clipped; a block without any reads ``clip``. Blocks are independent, with a halo each."""
+
+    def run(a: np.ndarray) -> dict[str, np.ndarray]:
+        f = np.where(a > 0, 0, 1 << 20).astype(np.int64)
         for k in range(3):
             f = np.moveaxis(_edt_lines(np.moveaxis(f, k, -1)), -1, k)
-        own = np.minimum(f[border : border + core, border : border + core, border : border + core], clip)
-        z, y, x = (a.ravel() + k * core for a, k in zip(np.indices(own.shape), key, strict=True))
-        inside = (z < nz) & (y < ny) & (x < nx)
-        return pd.DataFrame({"z": z, "y": y, "x": x, "d2": own.ravel()}).astype("int32")[inside]
-
-    return sent.groupBy("bz", "by", "bx").applyInPandas(run, "z int, y int, x int, d2 int")
-
-
-def hysteresis(strong: DataFrame, weak: DataFrame) -> DataFrame:
-    """Weak voxels 6-connected to strong ones (strong ones too): the frontier grows through weak ones until nothing is new."""
-    keys = list(ZYX)
-    front = got = cut(strong.select(*ZYX).distinct())
-    open_ = cut(weak.select(*ZYX).join(got, keys, "left_anti").distinct())
-    while True:
-        reached = spread(front, FACES).select(*ZYX).distinct()
-        front = cut(open_.join(reached, keys, "left_semi"))
-        if front.isEmpty():
-            return got
-        got = got.union(front)
-        open_ = cut(open_.join(front, keys, "left_anti"))
+        return {"d2": np.minimum(f[tuple(slice(border, n - border) for n in f.shape)], clip)}
+
+    return by_blocks(solid.select(*ZYX, F.lit(1).alias("v")), shape, border, run, "d2 int", clamp=False, core=core)
+
+
+def links(voxels: DataFrame, shape: Sequence[int]) -> DataFrame:
+    """``(u, v)``, numbers of 6-connected voxels, larger first."""
+    number = (F.col("z").cast("long") * shape[1] + F.col("y")) * shape[2] + F.col("x")
+    own = voxels.select(*ZYX, number.alias("n"))
+    ahead = spread(own, FACES[1::2]).select(*ZYX, F.col("n").alias("v"))
+    return own.join(ahead, list(ZYX)).select(F.col("n").alias("u"), "v")
+
+
+def hysteresis(strong: DataFrame, weak: DataFrame, shape: Sequence[int]) -> DataFrame:
+    """Weak voxels 6-connected to strong ones over weak ones (strong ones too): components of voxels, of which those with a strong one stay."""
+    every = cut(weak.select(*ZYX, F.lit(0).alias("s")).union(strong.select(*ZYX, F.lit(1).alias("s"))).groupBy(*ZYX).agg(F.max("s").alias("s")))
+    number = (F.col("z").cast("long") * shape[1] + F.col("y")) * shape[2] + F.col("x")
+    part = every.select(*ZYX, "s", number.alias("u")).join(least_of_component(links(every, shape)), "u", "left").select(*ZYX, "s", F.coalesce("v", "u").alias("c"))
+    part = cut(part)
+    good = cut(part.where("s = 1").select("c").distinct())
+    return part.join(good, "c", "left_semi").select(*ZYX)
 
 
 def weighted(column: str, weight: Column) -> Column:

@@ -29,6 +29,16 @@ _TF = " UNION ALL ".join(
     for p, q in zip(POINTS, POINTS[1:], strict=False)
 ) + f" UNION ALL SELECT 255, {', '.join(str(x) for x in POINTS[-1][1:])}"
 
+#: Distances within 16 of each block of 16, from one axis to the next; where no voxel is in reach, 255.
+DISTANCE = with_sql(
+    "voxel grid",
+    """, s AS (SELECT z, y, x FROM voxel WHERE v >= 240),
+a AS (SELECT g.z, g.y, g.x, min((g.x - s.x) * (g.x - s.x)) AS d FROM grid g JOIN s ON s.z = g.z AND s.y = g.y GROUP BY 1, 2, 3),
+b AS (SELECT g.z, g.y, g.x, min(a.d + (g.y - a.y) * (g.y - a.y)) AS d FROM grid g JOIN a ON a.z = g.z AND a.x = g.x GROUP BY 1, 2, 3),
+dt AS (SELECT g.z, g.y, g.x, CAST(least(255, coalesce(min(b.d + (g.z - b.z) * (g.z - b.z)), 255)) AS INT) AS d2 FROM grid g LEFT JOIN b ON b.y = g.y AND b.x = g.x GROUP BY 1, 2, 3)
+""",
+)
+
 QUERIES = {
     "a1_pyramid_mean": (
         lambda s, d: vo.pyramid_mean(voxels(s, d)),
@@ -95,7 +105,7 @@ SELECT DISTINCT q.z, q.y, q.x FROM q, o LEFT JOIN q n ON n.z = q.z + dz AND n.y
         ),
     ),
     "f9_hysteresis": (
-        lambda s, d: st.hysteresis(voxels(s, d).where("v >= 225"), voxels(s, d).where("v >= 190")),
+        lambda s, d: st.hysteresis(voxels(s, d).where("v >= 225"), voxels(s, d).where("v >= 190"), SHAPE),
         with_sql("voxel", "").replace("WITH ", "WITH RECURSIVE ", 1)
         + """, o(dz, dy, dx) AS (VALUES (1, 0, 0), (-1, 0, 0), (0, 1, 0), (0, -1, 0), (0, 0, 1), (0, 0, -1)), weak AS (SELECT z, y, x FROM voxel WHERE v >= 190),
 r AS (SELECT z, y, x FROM voxel WHERE v >= 225 UNION SELECT w.z, w.y, w.x FROM r, o JOIN weak w ON w.z = r.z + dz AND w.y = r.y + dy AND w.x = r.x + dx)
@@ -142,7 +152,7 @@ SELECT g.z, g.y, g.x, CAST(coalesce(v, 0) AS INT) AS v FROM grid g LEFT JOIN l1
         ),
     ),
     "w1_median3": (lambda s, d: st.median(voxels(s, d), 1, SHAPE), _clamp(1, "SELECT z, y, x, list_sort(list(u))[14] AS v FROM nb GROUP BY z, y, x")),
-    "w2_median5": (lambda s, d: st.median(voxels(s, d).where("z < 12 and y < 12 and x < 12"), 2, (12, 12, 12)), _clamp(2, "SELECT z, y, x, list_sort(list(u))[63] AS v FROM nb GROUP BY z, y, x").replace("31", "11").replace("range(0, 32)", "range(0, 12)")),
+    "w2_median5": (lambda s, d: st.median(voxels(s, d), 2, SHAPE), _clamp(2, "SELECT z, y, x, list_sort(list(u))[63] AS v FROM nb GROUP BY z, y, x")),
     "w2_median5_whole": (lambda s, d: st.median(voxels(s, d), 2, SHAPE), _clamp(2, "SELECT z, y, x, list_sort(list(u))[63] AS v FROM nb GROUP BY z, y, x")),
     "w3_unsharp": (
         lambda s, d: st.unsharp(voxels(s, d), 1, SHAPE),
@@ -159,8 +169,16 @@ SELECT g.z, g.y, g.x, CAST(coalesce(v, 0) AS INT) AS v FROM grid g LEFT JOIN l1
             + "".join(f" LEFT JOIN voxel {n}{c} ON " + " AND ".join(f"{n}{c}.{b} = g.{b}" + (sign if b == c else "") for b in "zyx") for c in "zyx" for n, sign in (("p", " + 1"), ("m", " - 1"))),
         ),
     ),
+    "w5_tetrahedral_gradient": (
+        lambda s, d: st.tetrahedral_gradient(voxels(s, d), SHAPE),
+        with_sql(
+            "voxel grid",
+            ", o(dz, dy, dx) AS (VALUES " + ", ".join(map(str, st.TETRAHEDRON)) + ") SELECT g.z, g.y, g.x, " + ", ".join(f"CAST(sum(d{c} * coalesce(v, 0)) AS INT) AS g{c}" for c in "zyx")
+            + " FROM grid g CROSS JOIN o LEFT JOIN voxel n ON n.z = g.z + dz AND n.y = g.y + dy AND n.x = g.x + dx GROUP BY 1, 2, 3",
+        ),
+    ),
     "w6_outward_normal": (
-        lambda s, d: (lambda q: st.outward_normal(q, st.boundary(q)))(voxels(s, d).where("v >= 200")).select(*vo.ZYX, "n_solid", *(F.floor(F.col("n" + c) * 1000 + 0.5).cast("long").alias("n" + c) for c in vo.ZYX)),
+        lambda s, d: (lambda q: st.outward_normal(q, st.boundary(q), SHAPE))(voxels(s, d).where("v >= 200")).select(*vo.ZYX, "n_solid", *(F.floor(F.col("n" + c) * 1000 + 0.5).cast("long").alias("n" + c) for c in vo.ZYX)),
         with_sql(
             "voxel",
             f""", q AS (SELECT z, y, x FROM voxel WHERE v >= 200), o6(dz, dy, dx) AS (VALUES (1, 0, 0), (-1, 0, 0), (0, 1, 0), (0, -1, 0), (0, 0, 1), (0, 0, -1)),
@@ -176,12 +194,10 @@ SELECT z, y, x, n_solid, """
     ),
     "w7_distance_transform": (
         lambda s, d: st.distance_transform(voxels(s, d).where("v >= 240"), SHAPE, border=16),
-        with_sql(
-            "voxel grid",
-            """, s AS (SELECT z, y, x FROM voxel WHERE v >= 240),
-a AS (SELECT g.z, g.y, g.x, min((g.x - s.x) * (g.x - s.x)) AS d FROM grid g JOIN s ON s.z = g.z AND s.y = g.y GROUP BY 1, 2, 3),
-b AS (SELECT g.z, g.y, g.x, min(a.d + (g.y - a.y) * (g.y - a.y)) AS d FROM grid g JOIN a ON a.z = g.z AND a.x = g.x GROUP BY 1, 2, 3)
-SELECT g.z, g.y, g.x, CAST(least(255, min(b.d + (g.z - b.z) * (g.z - b.z))) AS INT) AS d2 FROM grid g JOIN b ON b.y = g.y AND b.x = g.x GROUP BY 1, 2, 3""",
-        ),
+        DISTANCE + "SELECT z, y, x, d2 FROM dt",
+    ),
+    "w7_nearly_empty": (
+        lambda s, d: st.distance_transform(voxels(s, d).where("z = 2 and y = 3 and v >= 245"), SHAPE, border=16),
+        DISTANCE.replace("WHERE v >= 240", "WHERE z = 2 AND y = 3 AND v >= 245") + "SELECT z, y, x, d2 FROM dt",
     ),
 }
