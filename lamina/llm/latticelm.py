@@ -33,14 +33,16 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lamina.llm.arrowtext import coded, slices, utf8, words
+from lamina.llm.arrowtext import coded, slices, tidy, utf8, words
 from lamina.llm.bpe import Lookup
 from lamina.session import saved, text_batches
 
 #: Bytes of text in a chunk, about.
 CHUNK_BYTES = 12 << 20
 #: Distinct words whose lattices are built at once.
-BLOCK_WORDS = 20_000
+BLOCK_WORDS = 6_000
+#: Tokens scored at once.
+BLOCK_TOKENS = 200_000
 ROUNDS = 3
 #: Uses that the vocabulary's own weights count for beside those in training texts.
 PRIOR = 1000
@@ -245,6 +247,7 @@ def train(counted: DataFrame, path: str, rounds: int = ROUNDS) -> np.ndarray:
                 found = mine.expected(batch.column("word"), np.asarray(batch.column("c"), float), sent).ravel()
                 total = total + found if len(total) else found
             k = np.flatnonzero(total)
+            tidy()
             yield pa.RecordBatch.from_pydict({"piece": pa.array(k.astype(np.int32)), "e": pa.array(total[k])})
 
         got = counted.where("c > 0").select("word", "c").mapInArrow(run, "piece int, e double").groupBy("piece").agg(F.sum("e").alias("e")).collect()
@@ -281,28 +284,39 @@ def score_documents(docs: DataFrame, path: str, held: Column, id_col: str = "doc
         for batch in batches:
             lp = mine.forward(batch.column("word"), logp) / math.log(10) + more
             yield pa.RecordBatch.from_pydict({"word": batch.column("word"), "c": batch.column("c"), "lp": pa.array(lp)})
+            tidy()
 
     scored = counted.mapInArrow(word_scores, "word string, c long, lp double")
 
     def score(own: pa.Table, dictionary: pa.Table) -> pa.Table:
         codes = own.column("codes").combine_chunks()
-        offsets = np.asarray(codes.offsets, np.int64)
-        flat = np.asarray(codes.values, np.int64)[offsets[0] : offsets[-1]]
-        offsets = offsets - offsets[0]
-        c, lp = np.zeros(int(flat.max()) + 1 if len(flat) else 0, np.int64), np.zeros(int(flat.max()) + 1 if len(flat) else 0)
+        offsets, flat = np.asarray(codes.offsets, np.int64), np.asarray(codes.values)
         place = np.asarray(dictionary.column("place"))
+        size = int(place.max()) + 1 if len(place) else 0
+        c, lp = np.zeros(size, np.int64), np.zeros(size)
         c[place], lp[place] = np.asarray(dictionary.column("c")), np.asarray(dictionary.column("lp"))
-        text = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
         n = len(offsets) - 1
+        known, base, total_lp = np.zeros(n, np.int64), np.zeros(n), np.zeros(n)
+        one = np.log10((c + 0.1) * scale)
+        start = 0
+        while start < n:
+            stop = max(start + 1, int(np.searchsorted(offsets, offsets[start] + BLOCK_TOKENS, "right")) - 1)
+            at = flat[offsets[start] : offsets[stop]]
+            text = np.repeat(np.arange(stop - start), np.diff(offsets[start : stop + 1]))
+            known[start:stop] = np.bincount(text, c[at] > 0, stop - start).astype(np.int64)
+            base[start:stop] = np.bincount(text, one[at], stop - start)
+            total_lp[start:stop] = np.bincount(text, lp[at], stop - start)
+            start = stop
+        tidy()
         return pa.table(
             {
                 id_col: own.column("id"),
                 "held_out": own.column("held"),
                 "n_tokens": pa.array(np.diff(offsets) + 1),
-                "n_known": pa.array(np.bincount(text, c[flat] > 0, n).astype(np.int64) + int(n_texts > 0)),
+                "n_known": pa.array(known + int(n_texts > 0)),
                 "train_tokens": pa.array(np.full(n, total, np.int64)),
-                "base_score": pa.array(np.bincount(text, np.log10((c[flat] + 0.1) * scale), n) + end_base),
-                "score": pa.array(np.bincount(text, lp[flat], n) + end),
+                "base_score": pa.array(base + end_base),
+                "score": pa.array(total_lp + end),
             }
         )
 
