@@ -127,3 +127,15 @@ def upsert(axis: DataFrame, edits: DataFrame) -> DataFrame:
     last = edits.groupBy("z").agg(F.max(F.struct("seq", "x", "y")).alias("e"))
     kept = axis.join(last, "z", "left_anti").select("z", "x", "y")
     return kept.unionByName(last.select("z", F.col("e.x").alias("x"), F.col("e.y").alias("y")).where("x is not null"))
+
+
+#: As many edits can be taken back.
+SNAPSHOTS = 64
+
+
+def undone(axis: DataFrame, edits: DataFrame, steps: int) -> DataFrame:
+    """Control points as they were before the last ``steps`` of ``edits(seq, z, x, y)``, at most ``SNAPSHOTS`` of them."""
+    if not 0 <= steps <= SNAPSHOTS:
+        raise ValueError(f"{steps} edits can't be taken back, at most {SNAPSHOTS} can")
+    kept = edits.orderBy(F.desc("seq")).limit(steps).agg(F.min("seq")).first()[0] if steps else None
+    return upsert(axis, edits if kept is None else edits.where(F.col("seq") < kept))

@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lamina.operators.graph import least_of_component
 from lamina.operators.surface import CELL, XYZ
 from lamina.session import cut
 
@@ -32,14 +33,13 @@ def grid_of(spark, sizes: DataFrame) -> DataFrame:
 
 def holes(filled: DataFrame, sizes: DataFrame) -> DataFrame:
     """Empty cells that no path over empty cells connects with the grid's border."""
-    empty = grid_of(filled.sparkSession, sizes).join(filled.select(*CELL), list(CELL), "left_anti")
-    rim = empty.join(sizes, "seg_id").where("i = 0 or j = 0 or i = w - 1 or j = h - 1").select(*CELL)
-    left = cut(empty.join(rim, list(CELL), "left_anti"))
-    front = cut(rim)
-    while not front.isEmpty():
-        front = cut(left.join(_near(front).distinct(), list(CELL), "left_semi"))
-        left = cut(left.join(front, list(CELL), "left_anti"))
-    return left
+    cell = F.col("j").cast("long") * F.lit(1 << 24) + F.col("i")
+    empty = grid_of(filled.sparkSession, sizes).join(filled.select(*CELL), list(CELL), "left_anti").join(sizes.select("seg_id", "h", "w"), "seg_id")
+    names = sizes.select("seg_id", F.xxhash64("seg_id").alias("s"))
+    empty = cut(empty.join(names, "seg_id").select(*CELL, F.xxhash64("s", cell).alias("n"), ((F.col("i") == 0) | (F.col("j") == 0) | (F.col("i") == F.col("w") - 1) | (F.col("j") == F.col("h") - 1)).alias("rim")))
+    near = empty.join(_near(empty.select(*CELL, F.col("n").alias("m"))), list(CELL)).where("n > m").select(F.col("n").alias("u"), F.col("m").alias("v"))
+    part = cut(empty.join(least_of_component(near).withColumnRenamed("u", "n"), "n", "left").select(*CELL, "rim", F.coalesce("v", "n").alias("c")))
+    return part.join(cut(part.where("rim").select("c").distinct()), "c", "left_anti").select(*CELL)
 
 
 def membrane(known: DataFrame, missing: DataFrame, value: str, rounds: int) -> DataFrame:
@@ -65,15 +65,16 @@ def confidence(distance: Column, donors: Column, reach: float = 12.0) -> Column:
     return F.greatest(own, F.when(donors >= 2, 0.95).when(donors == 1, 0.75).otherwise(0.0))
 
 
-def filled_gaps(gaps: DataFrame, passes: int) -> DataFrame:
-    """``cell(z, y, x, g)`` with empty neighbours of a 3-D grid filled pass by pass with the mean of their 6 neighbours."""
+def filled_gaps(gaps: DataFrame, passes: int, shape: Sequence[int]) -> DataFrame:
+    """``cell(z, y, x, g)`` with empty cells of a 3-D grid of that shape filled pass by pass with the mean of their 6 neighbours."""
     from lamina.operators.stencil import FACES, spread
     from lamina.operators.volume import ZYX
 
     now = gaps.select(*ZYX, F.col("g").cast("double").alias("g"))
     for _ in range(passes):
         m = spread(now, FACES).groupBy(*ZYX).agg(F.avg("g").alias("g"))
-        now = cut(now.union(m.join(now, list(ZYX), "left_anti").where("z >= 0 and y >= 0 and x >= 0")))
+        inside = " and ".join(f"{c} >= 0 and {c} < {n}" for c, n in zip(ZYX, shape, strict=True))
+        now = cut(now.union(m.join(now, list(ZYX), "left_anti").where(inside)))
     return now
 
 

@@ -57,6 +57,21 @@ def tinted(v: DataFrame, lab: DataFrame) -> DataFrame:
     return j.select(*ZYX, F.when(F.col("cls").isNull(), F.col("v")).otherwise(F.expr("(2 * v + 32 * cls) div 3")).cast("int").alias("v"))
 
 
+def overlaid(v: DataFrame, overlay: DataFrame, gain: float, colour: float) -> DataFrame:
+    """Voxels drawn towards a colour by an overlay's value (0..255) times ``gain``, as a share of 1 at most; absent overlay voxels change nothing."""
+    k = F.least(F.lit(1.0), F.coalesce(F.col("k"), F.lit(0)) / 255.0 * gain)
+    return v.join(overlay.select(*ZYX, F.col("v").alias("k")), list(ZYX), "left").select(*ZYX, (F.col("v") + (F.lit(colour) - F.col("v")) * k).alias("v"))
+
+
+def fused(fixed: DataFrame, moving: DataFrame, share: float, least: int = 0) -> DataFrame:
+    """Two volumes in one picture, in whole hundredths: the fixed one is green, the moving one red and blue, mixed into the grey of the fixed one by ``share``;
+    moving voxels under ``least``, and absent ones, are 0. What agrees stays grey."""
+    j = fixed.select(*ZYX, F.col("v").alias("f")).join(moving.where(F.col("v") >= least).select(*ZYX, F.col("v").alias("m")), list(ZYX), "full")
+    f, m = F.coalesce("f", F.lit(0)), F.coalesce("m", F.lit(0))
+    side = F.floor((f + (m - f) * share) * 100 + 0.5).cast("long")
+    return j.select(*ZYX, side.alias("r"), (f * 100).cast("long").alias("g"), side.alias("b"))
+
+
 def dirty(lab: DataFrame, saved_gen: int, brick: int) -> DataFrame:
     """Bricks with an edit after ``saved_gen``, with the voxels each has left: those with none are to be deleted. Needs a column ``gen``."""
     return lab.groupBy(*(half(c, brick) for c in ZYX)).agg(F.max("gen").alias("gen"), F.count_if(F.col("cls") > 0).alias("n")).where(F.col("gen") > saved_gen)

@@ -15,17 +15,13 @@ def summary(samples: DataFrame) -> DataFrame:
 
 
 def upper_median(df: DataFrame, key: str, value: str) -> DataFrame:
-    """Element n div 2 of the sorted values of each key, by a rank count instead of a list."""
-    w = Window.partitionBy(key)
-    r = df.select(key, value, F.row_number().over(w.orderBy(value)).alias("r"), F.count("*").over(w).alias("n"))
-    return r.where("r = n div 2 + 1").select(key, value)
+    """Element n div 2 of the sorted values of each key."""
+    return ranked(df, [key], value, "n div 2").select(key, value)
 
 
 def tail(df: DataFrame, key: str, value: str, low: bool = False) -> DataFrame:
     """Element n - 1 - n div 20 of the sorted values of each key, or n div 20."""
-    w = Window.partitionBy(key)
-    r = df.select(key, value, F.row_number().over(w.orderBy(value)).alias("r"), F.count("*").over(w).alias("n"))
-    return r.where("r = n div 20 + 1" if low else "r = n - n div 20").select(key, value)
+    return ranked(df, [key], value, "n div 20" if low else "n - 1 - n div 20").select(key, value)
 
 
 def ranked(df: DataFrame, keys: list[str], value: str, rank: str) -> DataFrame:

@@ -141,6 +141,22 @@ def composite(v: DataFrame, cut: float = 0.98) -> DataFrame:
     return ray.select("y", "x", F.aggregate("s", zero, step).alias("r")).select("y", "x", F.col("r.c").alias("color"), F.col("r.a").alias("alpha"), F.col("r.n").alias("n"))
 
 
+def shaded(v: DataFrame, tf: DataFrame, density: float, step: float, cut: float = 0.98) -> DataFrame:
+    """Compositing along z through a transfer table of 256 rows: a sample's opacity is corrected for its length, 1 - (1 - a) ** (density * step), and nothing
+    after the opacity so far passes ``cut`` counts; colours ``r``, ``g``, ``b`` and ``alpha`` from 0 to 1."""
+    alpha = 1 - F.pow(1 - F.col("a") / 255.0, F.lit(density * step))
+    sample = v.select("y", "x", "z", "v").join(F.broadcast(tf), "v")
+    ray = sample.groupBy("y", "x").agg(F.array_sort(F.collect_list(F.struct("z", alpha.alias("a"), *((F.col(c) / 255.0).alias(c) for c in "rgb")))).alias("s"))
+    zero = F.struct(*(F.lit(0.0).alias(c) for c in ("r", "g", "b", "a")), F.lit(0).alias("n"))
+
+    def fold(acc: Column, s: Column) -> Column:
+        go = acc["a"] < cut
+        part = F.when(go, (1 - acc["a"]) * s["a"]).otherwise(0.0)
+        return F.struct(*((acc[c] + part * s[c]).alias(c) for c in "rgb"), (acc["a"] + part).alias("a"), (acc["n"] + go.cast("int")).alias("n"))
+
+    return ray.select("y", "x", F.aggregate("s", zero, fold).alias("p")).select("y", "x", *(F.col("p." + c).alias(c) for c in "rgb"), F.col("p.a").alias("alpha"), F.col("p.n").alias("n"))
+
+
 def transfer_table(spark: SparkSession, points: Sequence[tuple[int, int, int, int, int]]) -> DataFrame:
     """``tf(v, r, g, b, a)`` of 256 rows: integer-linear between control points (value, r, g, b, a), flat outside."""
     lo = spark.createDataFrame([(*p, *q) for p, q in zip(points, points[1:], strict=False)], "v0 int, r0 int, g0 int, b0 int, a0 int, v1 int, r1 int, g1 int, b1 int, a1 int")

@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lamina.functions.derive import labels, predictions, query_points, samples, surface_points, voxels, with_sql
+from lamina.operators import axis as ax
 from lamina.operators import geometry as ge
 from lamina.operators import iterate as it
+from lamina.operators import quality as qu
 from lamina.operators import sampling as sa
 from lamina.operators import surface as su
 from lamina.operators import volume as vo
-from lamina.plans.points import _scaled, _sqls
+from lamina.plans.points import _GRID50, AXIS, _axis, _scaled, _sizes, _sqls
 from lamina.plans.surfaces import QUAD, WIDE, _wide
 from lamina.session import table
 
@@ -52,6 +54,13 @@ def _bricks(s, d):
     return voxels(s, d).select(*(F.expr(f"cast({c} div 2 as int)").alias("b" + c) for c in "zyx")).distinct()
 
 
+def _stored_maps(s, d):
+    """Maps stored when the surfaces with odd numbers still had all their points."""
+    k, p = F.col("p_partkey"), table(s, d, "part")
+    valid = (F.col("p_size") % 17 != 0) | (F.expr("p_partkey div 500") % 2 == 1)
+    return p.groupBy(F.expr("cast(p_partkey div 500 as int)").alias("seg_id")).agg((F.max(k % 50) + 1).cast("int").alias("gw"), (F.max(F.expr("p_partkey div 50") % 10) + 1).cast("int").alias("gh"), F.count_if(valid).alias("nvalid"))
+
+
 BRICKS = "bk AS (SELECT DISTINCT CAST(z // 2 AS INT) AS bz, CAST(y // 2 AS INT) AS by_, CAST(x // 2 AS INT) AS bx FROM voxel)"
 
 QUERIES = {
@@ -81,8 +90,8 @@ QUERIES = {
         ),
     ),
     "j10_nearest_cell": (
-        lambda s, d: (lambda sp: sp.where("(i + j) % 7 = 0").select(F.col("seg_id"), F.col("j").alias("aj"), F.col("i").alias("ai"), F.explode(F.sequence(F.col("j") - 3, F.col("j") + 3)).alias("j")).select("seg_id", "aj", "ai", "j", F.explode(F.sequence(F.col("ai") - 3, F.col("ai") + 3)).alias("i")).join(sp.where("i % 5 = 0").select("seg_id", "j", "i"), ["seg_id", "j", "i"]).groupBy("seg_id", "aj", "ai").agg(F.min(F.struct(((F.col("j") - F.col("aj")) ** 2 + (F.col("i") - F.col("ai")) ** 2).cast("int").alias("d2"), "j", "i")).alias("s")).select("seg_id", "aj", "ai", "s.*"))(surface_points(s, d)),
-        with_sql("sp", ", c AS (SELECT a.seg_id, a.j AS aj, a.i AS ai, CAST((b.j - a.j) * (b.j - a.j) + (b.i - a.i) * (b.i - a.i) AS INT) AS d2, b.j, b.i FROM sp a JOIN sp b ON b.seg_id = a.seg_id AND abs(b.j - a.j) <= 3 AND abs(b.i - a.i) <= 3 WHERE (a.i + a.j) % 7 = 0 AND b.i % 5 = 0) SELECT seg_id, aj, ai, d2, j, i FROM (SELECT *, row_number() OVER (PARTITION BY seg_id, aj, ai ORDER BY d2, j, i) AS n FROM c) WHERE n = 1"),
+        lambda s, d: (lambda sp: qu.nearest_cell(sp, sp.where("z % 11 = 0")))(surface_points(s, d)),
+        with_sql("sp", ", c AS (SELECT a.seg_id, a.j AS aj, a.i AS ai, CAST((b.j - a.j) * (b.j - a.j) + (b.i - a.i) * (b.i - a.i) AS INT) AS d2, b.j, b.i FROM sp a JOIN sp b ON b.seg_id = a.seg_id AND abs(b.j - a.j) <= 3 AND abs(b.i - a.i) <= 3 WHERE b.z % 11 = 0) SELECT seg_id, aj, ai, d2, j, i FROM (SELECT *, row_number() OVER (PARTITION BY seg_id, aj, ai ORDER BY d2, j, i) AS n FROM c) WHERE n = 1"),
     ),
     "j12_segment_triangle": (
         lambda s, d: su.quads(surface_points(s, d)).select("seg_id", "j", "i", ge.segment_hits_triangle([F.col("p00.x") + 4, F.col("p00.y") + 5, F.lit(60.0)], [F.col("p00.x") + 9, F.col("p00.y") + 6, F.lit(120.0)], *([F.col(f"{p}.{c}") for c in _AX] for p in ("p00", "p10", "p01"))).alias("hit")),
@@ -116,8 +125,8 @@ QUERIES = {
         with_sql("sp", ", o(dj, di) AS (VALUES (0, 1), (0, -1), (1, 0), (-1, 0)), m AS (SELECT p.seg_id, p.j, p.i, avg(n.z) AS m FROM sp p, o JOIN sp n ON n.seg_id = p.seg_id AND n.j = p.j + dj AND n.i = p.i + di GROUP BY 1, 2, 3) SELECT seg_id, j, i FROM m WHERE m >= 80 AND m <= 110"),
     ),
     "f15_distrusted_fit": (
-        lambda s, d: query_points(s, d).select("pt_id", F.when(F.abs(F.col("x") - F.col("y")) > 12.5, F.least(F.lit(0.25), F.col("z") / 31)).otherwise(F.col("z") / 31).alias("conf")).select("pt_id", _scaled("conf")),
-        with_sql("qp", f"SELECT pt_id, {_sqls('CASE WHEN abs(x - y) > 12.5 THEN least(0.25, z / 31) ELSE z / 31 END', 'conf')} FROM qp"),
+        lambda s, d: qu.distrusted(query_points(s, d).select("pt_id", (F.col("z") / 31).alias("conf"), ((F.col("x") - F.col("y")) * (F.col("x") - F.col("y")) / 31).alias("residual"), (F.col("pt_id") % 4).alias("donors")), 10.0).select("pt_id", _scaled("conf")),
+        with_sql("qp", f", r AS (SELECT pt_id, z / 31 AS conf, (x - y) * (x - y) / 31 AS r, pt_id % 4 AS donors FROM qp), t AS (SELECT greatest(5, 2.5e0 * sqrt(avg(r * r))) AS far FROM r) SELECT pt_id, {_sqls('CASE WHEN abs(r) > far AND donors < 2 THEN least(0.25, conf) ELSE conf END', 'conf')} FROM r, t"),
     ),
     "g11_level_chain_sample": (
         lambda s, d: (lambda q, v: sa.nearest(q, v.where("v >= 200")).withColumnRenamed("v", "a").join(sa.nearest(q, vo.block_max(v, 2), 2).withColumnRenamed("v", "b"), "pt_id").join(sa.nearest(q, vo.block_max(v, 4), 4).withColumnRenamed("v", "c"), "pt_id").select("pt_id", F.coalesce(F.nullif("a", F.lit(0)), F.nullif("b", F.lit(0)), F.col("c")).alias("v")))(query_points(s, d), voxels(s, d)),
@@ -132,8 +141,12 @@ QUERIES = {
         with_sql("sample", "SELECT idx, CAST(floor((ns - 500) / 64e0) * 64 AS INT) AS snap, CAST((((ns - 500) % 24) + 24) % 24 AS INT) AS layer FROM sample"),
     ),
     "t3_t4_support_order": (
-        lambda s, d: surface_points(s, d).groupBy("seg_id", "j").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "seg_id", "j").limit(20),
-        with_sql("sp", "SELECT seg_id, j, count(*) AS n FROM sp GROUP BY 1, 2 ORDER BY n DESC, seg_id, j LIMIT 20"),
+        lambda s, d: qu.candidates(surface_points(s, d), _sizes(s, d)),
+        with_sql(
+            "sp",
+            f", {_GRID50}, o(dj, di) AS (VALUES (-1, -1), (-1, 0), (-1, 1), (0, -1), (0, 1), (1, -1), (1, 0), (1, 1)), n AS (SELECT c.seg_id, c.j, c.i, count(*) AS n8, CAST(count(*) FILTER (dj = 0 OR di = 0) AS BIGINT) AS n4 FROM cell c, o JOIN sp ON sp.seg_id = c.seg_id AND sp.j = c.j + dj AND sp.i = c.i + di WHERE NOT EXISTS (SELECT 1 FROM sp q WHERE q.seg_id = c.seg_id AND q.j = c.j AND q.i = c.i) GROUP BY 1, 2, 3)"
+            + " SELECT *, 4 * n4 + n8 AS score, row_number() OVER (PARTITION BY seg_id ORDER BY 8 - n8, j * 50 + i) AS by_support, row_number() OVER (PARTITION BY seg_id ORDER BY 4 * n4 + n8 DESC, j * 50 + i) AS by_score FROM n",
+        ),
     ),
     "u2_first_names": (
         lambda s, d: table(s, d, "customer").groupBy((F.col("c_custkey") % 37).alias("name")).agg(F.min("c_custkey").alias("seq")),
@@ -148,16 +161,16 @@ QUERIES = {
         with_sql("qp voxel", "SELECT pt_id FROM qp WHERE EXISTS (SELECT 1 FROM voxel v WHERE v.v > 240 AND v.x // 2 = floor(qp.x / 2) AND v.y // 2 = floor(qp.y / 2) AND v.z // 2 = floor(qp.z / 2))"),
     ),
     "m1_stale_maps": (
-        lambda s, d: (lambda sp: sp.groupBy("seg_id").agg(F.count("*").alias("nvalid")).join(sp.groupBy("seg_id").agg((F.count("*") - F.max("seg_id") % 2).alias("nvalid")), ["seg_id", "nvalid"], "left_anti").select("seg_id"))(surface_points(s, d)),
-        with_sql("sp", "SELECT seg_id FROM sp GROUP BY 1 HAVING seg_id % 2 = 1"),
+        lambda s, d: qu.stale_maps(_stored_maps(s, d), surface_points(s, d)),
+        with_sql("sp", ", m AS (SELECT CAST(p_partkey // 500 AS INT) AS seg_id, CAST(max(p_partkey % 50) + 1 AS INT) AS gw, CAST(max((p_partkey // 50) % 10) + 1 AS INT) AS gh, count(*) FILTER (p_size % 17 <> 0 OR (p_partkey // 500) % 2 = 1) AS nvalid FROM part GROUP BY 1), n AS (SELECT seg_id, max(i) + 1 AS gw, max(j) + 1 AS gh, count(*) AS nvalid FROM sp GROUP BY 1) SELECT * FROM m WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.seg_id = m.seg_id AND n.gw = m.gw AND n.gh = m.gh AND n.nvalid = m.nvalid)"),
     ),
     "m3_mask_stamp": (
         lambda s, d: labels(s, d).groupBy("y", "x").agg(F.max(F.when((F.col("x") - 12) ** 2 + (F.col("y") - 15) ** 2 <= 36, 2).otherwise(F.col("cls") % 2)).cast("int").alias("cls")),
         with_sql("lab", "SELECT y, x, CAST(max(CASE WHEN (x - 12) * (x - 12) + (y - 15) * (y - 15) <= 36 THEN 2 ELSE cls % 2 END) AS INT) AS cls FROM lab GROUP BY 1, 2"),
     ),
     "m4_versioned_axis": (
-        lambda s, d: samples(s, d).where("idx <= 500").groupBy((F.col("ns") % 20).alias("z")).agg(F.max_by("ns", "idx").alias("x")),
-        with_sql("sample", "SELECT ns % 20 AS z, arg_max(ns, idx) AS x FROM sample WHERE idx <= 500 GROUP BY 1"),
+        lambda s, d: ax.undone(_axis(s, d).select("z", _scaled("x"), _scaled("y")), samples(s, d).select(F.col("idx").alias("seq"), (F.col("ns") % 32).cast("int").alias("z"), F.when(F.col("ns") % 5 > 0, F.col("ns")).alias("x"), F.when(F.col("ns") % 5 > 0, F.col("idx")).alias("y")), 64),
+        with_sql("voxel sample", f", {AXIS}, e AS (SELECT idx AS seq, CAST(ns % 32 AS INT) AS z, CASE WHEN ns % 5 > 0 THEN ns END AS x, CASE WHEN ns % 5 > 0 THEN idx END AS y FROM sample WHERE idx < (SELECT min(idx) FROM (SELECT idx FROM sample ORDER BY idx DESC LIMIT 64))), l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY z ORDER BY seq DESC) AS n FROM e) WHERE n = 1) SELECT z, {_sqls('x', 'x')}, {_sqls('y', 'y')} FROM axis WHERE z NOT IN (SELECT z FROM l) UNION ALL SELECT z, x, y FROM l WHERE x IS NOT NULL"),
     ),
     "k10_band_cut": (lambda s, d: vo.region(voxels(s, d), (8, 0, 0), (4, 32, 32)), with_sql("voxel grid dense", "SELECT * FROM dense WHERE z >= 8 AND z < 12")),
     "k6_label_load": (

@@ -46,7 +46,7 @@ def _cells(s, d):
 
 
 def _tiles(s, d):
-    p = predictions(s, d).where("vec_id % 4 < 2")
+    p = predictions(s, d)
     return p.select(F.expr("vec_id div 4").alias("map"), F.lit(0).alias("ty"), ((F.col("vec_id") % 4) * 4).cast("int").alias("tx"), "py", "px", "p")
 
 
@@ -55,12 +55,12 @@ def _sizes(s, d):
 
 
 def _rays(s, d):
-    """Voxel rows of 9 steps as rays of cells."""
-    v = vo.dense(voxels(s, d), SHAPE).where("x < 9")
-    return v.select(F.lit(0).alias("seg_id"), F.col("z").alias("j"), F.col("y").alias("i"), (F.col("x") - 4).alias("step"), "v")
+    """Voxel rows, cut into four rays of 8 steps each, as rays of cells."""
+    v = vo.dense(voxels(s, d), SHAPE)
+    return v.select(F.expr("cast(x div 8 as int)").alias("seg_id"), F.col("z").alias("j"), F.col("y").alias("i"), (F.col("x") % 8 - 4).alias("step"), "v")
 
 
-RAYS = "r AS (SELECT 0 AS seg_id, z AS j, y AS i, x - 4 AS step, v FROM dense WHERE x < 9)"
+RAYS = "r AS (SELECT CAST(x // 8 AS INT) AS seg_id, z AS j, y AS i, x % 8 - 4 AS step, v FROM dense)"
 _O4 = "o(dj, di) AS (VALUES (0, 1), (0, -1), (1, 0), (-1, 0))"
 
 
@@ -82,6 +82,17 @@ def _membrane_sql(rounds):
     return ", ".join(out), f"f{rounds - 1}"
 
 
+def _gap_sql(passes):
+    """Mean values of cells with three bright voxels or more; each pass gives empty cells the mean of their neighbours."""
+    out, now = [], "g0"
+    for k in range(passes):
+        out.append(f"n{k} AS MATERIALIZED (SELECT z + dz AS z, y + dy AS y, x + dx AS x, avg(g) AS g FROM {now}, o GROUP BY 1, 2, 3)")
+        out.append(f"g{k + 1} AS MATERIALIZED (SELECT * FROM {now} UNION ALL SELECT * FROM n{k} WHERE z BETWEEN 0 AND 7 AND y BETWEEN 0 AND 7 AND x BETWEEN 0 AND 7 AND NOT EXISTS (SELECT 1 FROM {now} g WHERE g.z = n{k}.z AND g.y = n{k}.y AND g.x = n{k}.x))")
+        now = f"g{k + 1}"
+    return with_sql("voxel", f""", g0 AS (SELECT z // 4 AS z, y // 4 AS y, x // 4 AS x, avg(v) AS g FROM voxel WHERE v >= 235 GROUP BY 1, 2, 3 HAVING count(*) >= 3),
+o(dz, dy, dx) AS (VALUES (1, 0, 0), (-1, 0, 0), (0, 1, 0), (0, -1, 0), (0, 0, 1), (0, 0, -1)), {", ".join(out)} SELECT CAST(z AS INT) AS z, CAST(y AS INT) AS y, CAST(x AS INT) AS x, {_sqls("g", "g", 4)} FROM {now}""")
+
+
 _GRID50 = "cell AS (SELECT s.seg_id, CAST(a.k AS INT) AS j, CAST(b.k AS INT) AS i FROM (SELECT DISTINCT seg_id FROM sp) s, (SELECT unnest(range(0, 10)) AS k) a, (SELECT unnest(range(0, 50)) AS k) b)"
 
 QUERIES = {
@@ -143,10 +154,10 @@ QUERIES = {
         with_sql("voxel", f", {AXIS} SELECT z, {_sqls('avg(x) OVER w', 'x')}, {_sqls('avg(y) OVER w', 'y')} FROM axis WINDOW w AS (ORDER BY z ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)"),
     ),
     "g18_j14_axis_at_points": (
-        lambda s, d: ax.interpolated(query_points(s, d), _axis(s, d).where("z % 3 = 0")).select("pt_id", _scaled("x"), _scaled("y")),
+        lambda s, d: ax.interpolated(query_points(s, d), _axis(s, d)).select("pt_id", _scaled("x"), _scaled("y")),
         with_sql(
             "voxel qp",
-            f", {AXIS}, i AS (SELECT z AS z0, x AS x0, y AS y0, lead(z) OVER w AS z1, lead(x) OVER w AS x1, lead(y) OVER w AS y1 FROM axis WHERE z % 3 = 0 WINDOW w AS (ORDER BY z))"
+            f", {AXIS}, i AS (SELECT z AS z0, x AS x0, y AS y0, lead(z) OVER w AS z1, lead(x) OVER w AS x1, lead(y) OVER w AS y1 FROM axis WINDOW w AS (ORDER BY z))"
             f" SELECT pt_id, {_sqls('x0 + (qp.z - z0) / (z1 - z0) * (x1 - x0)', 'x')}, {_sqls('y0 + (qp.z - z0) / (z1 - z0) * (y1 - y0)', 'y')} FROM qp JOIN i ON qp.z >= z0 AND qp.z < z1",
         ),
     ),
@@ -155,8 +166,8 @@ QUERIES = {
         with_sql("voxel", f", {AXIS}, g AS (SELECT CAST(unnest(range(0, 32)) AS INT) AS z) SELECT g.z, " + ", ".join(_sqls(f"sum(exp(-0.5 * (g.z - a.z) * (g.z - a.z) / 9e0) * {c}) / sum(exp(-0.5 * (g.z - a.z) * (g.z - a.z) / 9e0))", c) for c in "xy") + " FROM g JOIN axis a ON abs(g.z - a.z) <= 9 GROUP BY g.z"),
     ),
     "g12_nearest_control": (
-        lambda s, d: ax.nearest_control(query_points(s, d), _axis(s, d).where("z % 5 = 0")).select("pt_id", "z"),
-        with_sql("voxel qp", f", {AXIS}, t AS (SELECT pt_id, a.z, row_number() OVER (PARTITION BY pt_id ORDER BY abs(qp.z - a.z), a.z) AS n FROM qp, axis a WHERE a.z % 5 = 0) SELECT pt_id, z FROM t WHERE n = 1"),
+        lambda s, d: ax.nearest_control(query_points(s, d), _axis(s, d)).select("pt_id", "z"),
+        with_sql("voxel qp", f", {AXIS}, t AS (SELECT pt_id, a.z, row_number() OVER (PARTITION BY pt_id ORDER BY abs(qp.z - a.z), a.z) AS n FROM qp, axis a) SELECT pt_id, z FROM t WHERE n = 1"),
     ),
     "g20_cylinder": (
         lambda s, d: query_points(s, d).select("pt_id", *(F.floor(e * 1e6 + 0.5).cast("long").alias(n) for e, n in zip(ax.cylinder(F.col("x"), F.col("y"), F.lit(15.3), F.lit(16.1)), ("rho", "theta"), strict=True))),
@@ -211,7 +222,7 @@ QUERIES = {
     ),
     "a24_m2_blended_tiles": (
         lambda s, d: _tiles(s, d).groupBy("map", (F.col("ty") + F.col("py")).alias("y"), (F.col("tx") + F.col("px")).alias("x")).agg((F.sum(F.col("p") * st.ramp(F.col("py"), 8) * st.ramp(F.col("px"), 8)) / F.sum(st.ramp(F.col("py"), 8) * st.ramp(F.col("px"), 8))).alias("p")).select("map", "y", "x", _scaled("p")),
-        with_sql("pred", f", t AS (SELECT vec_id // 4 AS map, py AS y, CAST(vec_id % 4 * 4 AS INT) + px AS x, p, least(py + 1, 8 - py) * least(px + 1, 8 - px) AS w FROM pred WHERE vec_id % 4 < 2) SELECT map, y, x, {_sqls('sum(p * w) / sum(w)', 'p')} FROM t GROUP BY 1, 2, 3"),
+        with_sql("pred", f", t AS (SELECT vec_id // 4 AS map, py AS y, CAST(vec_id % 4 * 4 AS INT) + px AS x, p, least(py + 1, 8 - py) * least(px + 1, 8 - px) AS w FROM pred) SELECT map, y, x, {_sqls('sum(p * w) / sum(w)', 'p')} FROM t GROUP BY 1, 2, 3"),
     ),
     "m5_quality_ladder": (
         lambda s, d: table(s, d, "part").select("p_partkey", *(e.alias(n) for e, n in zip(st.quality_ladder(F.col("p_size").cast("double"), F.col("p_partkey") % 8), ("quality", "tau"), strict=True))),
@@ -240,6 +251,14 @@ QUERIES = {
     ),
     "i20_label_level": (lambda s, d: la.level(labels(s, d), 1), with_sql("lab", "SELECT CAST(z // 2 AS INT) AS z, CAST(y // 2 AS INT) AS y, CAST(x // 2 AS INT) AS x, cls FROM lab WHERE z % 2 = 0 AND y % 2 = 0 AND x % 2 = 0")),
     "r8_label_tint": (lambda s, d: la.tinted(voxels(s, d), labels(s, d)), with_sql("voxel lab", "SELECT z, y, x, CAST(CASE WHEN cls IS NULL THEN v ELSE (2 * v + 32 * cls) // 3 END AS INT) AS v FROM voxel LEFT JOIN lab USING (z, y, x)")),
+    "r8_overlay": (
+        lambda s, d: la.overlaid(voxels(s, d), vo.low_cut(voxels(s, d), 120).select("z", "y", F.pmod(F.col("x") + 5, F.lit(32)).cast("int").alias("x"), "v"), 1.5, 220.0).select("z", "y", "x", _scaled("v", 4)),
+        with_sql("voxel", f", o AS (SELECT z, y, (x + 5) % 32 AS x, CASE WHEN v >= 120 THEN v ELSE 0 END AS k FROM voxel) SELECT z, y, x, {_sqls('v + (220 - v) * least(1, coalesce(k, 0) / 255e0 * 1.5e0)', 'v', 4)} FROM voxel LEFT JOIN o USING (z, y, x)"),
+    ),
+    "r8_fuse": (
+        lambda s, d: la.fused(voxels(s, d), voxels(s, d).select("z", "y", F.pmod(F.col("x") + 1, F.lit(32)).cast("int").alias("x"), "v"), 0.75, 60),
+        with_sql("voxel", ", m AS (SELECT z, y, (x + 1) % 32 AS x, v AS m FROM voxel WHERE v >= 60), j AS (SELECT z, y, x, coalesce(v, 0) AS f, coalesce(m, 0) AS m FROM voxel FULL JOIN m USING (z, y, x)) SELECT z, y, x, CAST(floor((f + (m - f) * 0.75e0) * 100 + 0.5) AS BIGINT) AS r, CAST(f * 100 AS BIGINT) AS g, CAST(floor((f + (m - f) * 0.75e0) * 100 + 0.5) AS BIGINT) AS b FROM j"),
+    ),
     "k5_dirty_bricks": (
         lambda s, d: la.dirty(labels(s, d).withColumn("gen", F.col("z") * 32 + F.col("y")), 700, 8),
         with_sql("lab", "SELECT CAST(z // 8 AS INT) AS z, CAST(y // 8 AS INT) AS y, CAST(x // 8 AS INT) AS x, max(z * 32 + y) AS gen, count(*) AS n FROM lab GROUP BY 1, 2, 3 HAVING max(z * 32 + y) > 700"),
@@ -286,22 +305,22 @@ QUERIES = {
     ),
     "i15_edge_snap": (
         lambda s, d: it.edge_snap(_rays(s, d)),
-        with_sql("grid voxel dense", f", {RAYS}, t AS (SELECT a.seg_id, a.j, a.i, a.step, b.v - a.v AS rise FROM r a JOIN r b ON b.j = a.j AND b.i = a.i AND b.step = a.step + 1) SELECT seg_id, j, i, step, rise FROM (SELECT *, row_number() OVER (PARTITION BY seg_id, j, i ORDER BY rise DESC, abs(step), step) AS n FROM t) WHERE n = 1 AND rise > 0"),
+        with_sql("grid voxel dense", f", {RAYS}, t AS (SELECT a.seg_id, a.j, a.i, a.step, b.v - a.v AS rise FROM r a JOIN r b ON b.seg_id = a.seg_id AND b.j = a.j AND b.i = a.i AND b.step = a.step + 1) SELECT seg_id, j, i, step, rise FROM (SELECT *, row_number() OVER (PARTITION BY seg_id, j, i ORDER BY rise DESC, abs(step), step) AS n FROM t) WHERE n = 1 AND rise > 0"),
     ),
     "i9_first_minimum": (
         lambda s, d: it.first_minimum(_rays(s, d)),
-        with_sql("grid voxel dense", f", {RAYS}, t AS (SELECT *, lag(v) OVER w AS b, lead(v) OVER w AS a FROM r WINDOW w AS (PARTITION BY j, i ORDER BY step)) SELECT seg_id, j, i, min(step) AS step FROM t WHERE v <= b AND v < a GROUP BY 1, 2, 3"),
+        with_sql("grid voxel dense", f", {RAYS}, t AS (SELECT *, lag(v) OVER w AS b, lead(v) OVER w AS a FROM r WINDOW w AS (PARTITION BY seg_id, j, i ORDER BY step)) SELECT seg_id, j, i, min(step) AS step FROM t WHERE v <= b AND v < a GROUP BY 1, 2, 3"),
     ),
     "a16_gap_field": (
-        lambda s, d: it.filled_gaps(voxels(s, d).where("v >= 245").groupBy(*(vo.half(c, 4) for c in vo.ZYX)).agg(F.avg("v").alias("g")).where("(x + y + z) % 3 = 0"), 1).where("z < 8 and y < 8 and x < 8").select("z", "y", "x", _scaled("g", 4)),
-        with_sql("voxel", f", g AS (SELECT * FROM (SELECT z // 4 AS z, y // 4 AS y, x // 4 AS x, avg(v) AS g FROM voxel WHERE v >= 245 GROUP BY 1, 2, 3) WHERE (z + y + x) % 3 = 0), o(dz, dy, dx) AS (VALUES (1, 0, 0), (-1, 0, 0), (0, 1, 0), (0, -1, 0), (0, 0, 1), (0, 0, -1)), n AS (SELECT z + dz AS z, y + dy AS y, x + dx AS x, avg(g) AS g FROM g, o GROUP BY 1, 2, 3), a AS (SELECT * FROM g UNION ALL SELECT * FROM n WHERE NOT EXISTS (SELECT 1 FROM g WHERE g.z = n.z AND g.y = n.y AND g.x = n.x)) SELECT CAST(z AS INT) AS z, CAST(y AS INT) AS y, CAST(x AS INT) AS x, {_sqls('g', 'g', 4)} FROM a WHERE z BETWEEN 0 AND 7 AND y BETWEEN 0 AND 7 AND x BETWEEN 0 AND 7"),
+        lambda s, d: it.filled_gaps(voxels(s, d).where("v >= 235").groupBy(*(vo.half(c, 4) for c in vo.ZYX)).agg(F.avg("v").alias("g"), F.count("*").alias("n")).where("n >= 3").drop("n"), 4, (8, 8, 8)).select("z", "y", "x", _scaled("g", 4)),
+        _gap_sql(4),
     ),
     "u1_k3_manifest_merge": (
         lambda s, d: it.merged_manifest(
-            table(s, d, "customer").select((F.col("c_custkey") % 100).cast("string").alias("name"), F.col("c_custkey").alias("seq"), F.col("c_nationkey").alias("size")).where("seq <= 100"),
+            table(s, d, "customer").select(F.col("c_custkey").cast("string").alias("name"), F.col("c_custkey").alias("seq"), F.col("c_nationkey").alias("size")),
             table(s, d, "supplier").select((F.col("s_suppkey") % 40).cast("string").alias("name"), F.col("s_suppkey").alias("seq"), F.col("s_nationkey").alias("size")),
         ),
-        "WITH old AS (SELECT CAST(c_custkey % 100 AS VARCHAR) AS name, c_custkey AS seq, c_nationkey AS size FROM customer WHERE c_custkey <= 100), new AS (SELECT * FROM (SELECT CAST(s_suppkey % 40 AS VARCHAR) AS name, s_suppkey AS seq, s_nationkey AS size, row_number() OVER (PARTITION BY s_suppkey % 40 ORDER BY s_suppkey) AS n FROM supplier) WHERE n = 1) SELECT * FROM old WHERE name NOT IN (SELECT name FROM new) UNION ALL SELECT name, seq, size FROM new",
+        "WITH old AS (SELECT CAST(c_custkey AS VARCHAR) AS name, c_custkey AS seq, c_nationkey AS size FROM customer), new AS (SELECT * FROM (SELECT CAST(s_suppkey % 40 AS VARCHAR) AS name, s_suppkey AS seq, s_nationkey AS size, row_number() OVER (PARTITION BY s_suppkey % 40 ORDER BY s_suppkey) AS n FROM supplier) WHERE n = 1) SELECT * FROM old WHERE name NOT IN (SELECT name FROM new) UNION ALL SELECT name, seq, size FROM new",
     ),
     "u4_resume_keys": (
         lambda s, d: table(s, d, "orders").select(F.col("o_orderkey").alias("key")).join(table(s, d, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("key")), "key", "left_anti"),

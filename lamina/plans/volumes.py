@@ -133,6 +133,17 @@ SELECT y, x, CAST(count(*) FILTER (1 - through < 0.98) AS INT) AS n, CAST(floor(
  CAST(floor(sum(through * v / 255e0 * v) FILTER (1 - through < 0.98) * 10 + 0.5) AS BIGINT) AS color FROM t GROUP BY y, x""",
         ),
     ),
+    "r1_transfer_composite": (
+        lambda s, d: vo.shaded(voxels(s, d), vo.transfer_table(s, POINTS), 0.5, 1.5).select("y", "x", "n", *(F.floor(F.col(c) * 10000 + 0.5).cast("long").alias(c) for c in ("r", "g", "b", "alpha"))),
+        with_sql(
+            "voxel",
+            f""", tf AS ({_TF}), l AS (SELECT y, x, z, 1 - pow(1 - a / 255e0, 0.75e0) AS al, r / 255e0 AS r, g / 255e0 AS g, b / 255e0 AS b FROM voxel JOIN tf USING (v)),
+t AS (SELECT *, coalesce(exp(sum(ln(1 - al)) OVER (PARTITION BY y, x ORDER BY z ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)), 1) AS through FROM l)
+SELECT y, x, CAST(count(*) FILTER (1 - through < 0.98) AS INT) AS n, """
+            + ", ".join(f"CAST(floor(coalesce(sum(through * al{e}) FILTER (1 - through < 0.98), 0) * 10000 + 0.5) AS BIGINT) AS {c}" for c, e in (("r", " * r"), ("g", " * g"), ("b", " * b"), ("alpha", "")))
+            + " FROM t GROUP BY y, x",
+        ),
+    ),
     "r2_projection": (
         lambda s, d: vo.projection(voxels(s, d)),
         with_sql("voxel", "SELECT y, x, max(v) AS mip, count(*) AS steps, min(z) FILTER (v > 12) AS depth FROM voxel GROUP BY y, x"),
