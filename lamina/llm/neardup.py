@@ -29,8 +29,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lamina.llm.arrowtext import mix, slices
-from lamina.llm.components import components
 from lamina.llm.shingles import shingle_sets, superminhash
+from lamina.operators.graph import least_of_component as components
 from lamina.session import cut, text_batches
 
 BANDS, ROWS = 40, 6

@@ -9,8 +9,8 @@ import pytest
 
 from lamina.llm import exactdedup, neardup
 from lamina.llm.arrowtext import words
-from lamina.llm.components import components
 from lamina.llm.shingles import shingle_sets, superminhash
+from lamina.operators.graph import least_of_component as components
 from tests.llm.conftest import rows
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
