@@ -13,6 +13,8 @@ from lamina.session import cut
 #: A fit's residual is distrusted over this many root mean squares, or half a winding if that is more.
 RMS = 2.5
 TRUST = 0.25
+#: Cosine of the turn, 30 degrees, over which a bend is a kink.
+KINK = 0.86602540378443864676
 EIGHT = [(a, b) for a in (-1, 0, 1) for b in (-1, 0, 1) if a or b]
 
 
@@ -30,7 +32,7 @@ def report(sp: DataFrame, sizes: DataFrame, step: float) -> DataFrame:
     box = sp.groupBy("seg_id").agg(F.count("*").alias("n"), ((F.max("i") - F.min("i") + 1) * (F.max("j") - F.min("j") + 1)).alias("box"))
     hole = holes(sp, sizes).groupBy("seg_id").agg(F.count("*").alias("holes"))
     radii = cut(bend_radii(sp, step))
-    out = box.join(hole, "seg_id", "left").join(su.mesh_quality(sp).drop("fill"), "seg_id", "left").join(su.area(sp).select("seg_id", "area"), "seg_id", "left")
+    out = box.join(hole, "seg_id", "left").join(su.mesh_quality(sp, KINK).drop("fill"), "seg_id", "left").join(su.area(sp).select("seg_id", "area"), "seg_id", "left")
     out = out.join(ranked(su.slant(sp), ["seg_id"], "slant", "n - 1 - n div 20").withColumnRenamed("slant", "slant_p95"), "seg_id", "left")
     for name, at in (("bend_p5", "n div 20"), ("bend_median", "n div 2")):
         out = out.join(ranked(radii, ["seg_id"], "radius", at).withColumnRenamed("radius", name), "seg_id", "left")

@@ -134,21 +134,20 @@ def winding_potential(cells: DataFrame, rounds: int = 200, tol: float = 1e-10) -
     linked = linked.groupBy(*CELL).agg(F.collect_list("o").alias("o"), F.sum(turn).alias("b"))  # four neighbours at most
     none = F.array().cast(linked.schema["o"].dataType)
     now = cells.select(*CELL).join(linked, list(CELL), "left").select(*CELL, F.coalesce("o", none).alias("o"), F.lit(0.0).alias("x"), F.coalesce("b", F.lit(0.0)).alias("r"), F.coalesce("b", F.lit(0.0)).alias("p"))
-    now = cut(now)
     by = lambda df, e, name: df.groupBy("seg_id").agg(F.sum(e).alias(name))
-    rr = cut(by(now, F.col("r") * F.col("r"), "rr"))
+    now = cut(now.join(by(now, F.col("r") * F.col("r"), "rr"), "seg_id"))
     for _ in range(rounds):
-        if not rr.where(F.col("rr") > tol).take(1):
+        if not now.where(F.col("rr") > tol).take(1):
             break
         moved = now.select("seg_id", "j", "i", "p", F.explode("o").alias("n")).select("seg_id", (F.col("j") + F.col("n.dj")).cast("int").alias("j"), (F.col("i") + F.col("n.di")).cast("int").alias("i"), "p")
         sums = moved.groupBy(*CELL).agg(F.sum("p").alias("near"))
         q = F.size("o") * F.col("p") - F.coalesce("near", F.lit(0.0)) + 1e-9 * F.col("p")
-        with_q = cut(now.join(sums, list(CELL), "left").select(*CELL, "o", "x", "r", "p", q.alias("q")))
-        step = by(with_q, F.col("p") * F.col("q"), "pq").join(rr, "seg_id").select("seg_id", "rr", F.when((F.col("rr") > tol) & (F.col("pq") > 0), F.col("rr") / F.col("pq")).otherwise(0.0).alias("a"))
-        after = cut(with_q.join(step, "seg_id").select(*CELL, "o", (F.col("x") + F.col("a") * F.col("p")).alias("x"), (F.col("r") - F.col("a") * F.col("q")).alias("r"), "p", "rr"))
-        new = cut(by(after, F.col("r") * F.col("r"), "new"))
-        now = cut(after.join(new, "seg_id").select(*CELL, "o", "x", "r", (F.col("r") + F.when(F.col("rr") > 0, F.col("new") / F.col("rr")).otherwise(0.0) * F.col("p")).alias("p")))
-        rr = new.withColumnRenamed("new", "rr")
+        with_q = cut(now.join(sums, list(CELL), "left").select(*CELL, "o", "x", "r", "p", "rr", q.alias("q")))
+        step = with_q.groupBy("seg_id").agg(F.sum(F.col("p") * F.col("q")).alias("pq"), F.first("rr").alias("was"))
+        step = step.select("seg_id", F.when((F.col("was") > tol) & (F.col("pq") > 0), F.col("was") / F.col("pq")).otherwise(0.0).alias("a"))
+        after = with_q.join(step, "seg_id").select(*CELL, "o", (F.col("x") + F.col("a") * F.col("p")).alias("x"), (F.col("r") - F.col("a") * F.col("q")).alias("r"), "p", "rr")
+        new = by(after, F.col("r") * F.col("r"), "new")
+        now = cut(after.join(new, "seg_id").select(*CELL, "o", "x", "r", (F.col("r") + F.when(F.col("rr") > 0, F.col("new") / F.col("rr")).otherwise(0.0) * F.col("p")).alias("p"), F.col("new").alias("rr")))
     first = now.groupBy("seg_id").agg(F.min_by("x", F.struct("j", "i")).alias("x0"))
     return now.join(first, "seg_id").select(*CELL, (F.col("x") - F.col("x0")).alias("wind"))
 

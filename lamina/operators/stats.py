@@ -80,6 +80,13 @@ def blended(tiles: DataFrame, n: int) -> DataFrame:
     return tiles.groupBy((F.col("ty") + F.col("py")).alias("y"), (F.col("tx") + F.col("px")).alias("x")).agg((F.sum(F.col("p") * w) / F.sum(w)).alias("p"))
 
 
+def merged_variants(variants: DataFrame, n: int) -> DataFrame:
+    """Mean of test-time variants (map, variant, py, px, p) of n by n maps, each turned back first: variant 1 is mirrored in x, 2 in y, 3 in both."""
+    y = F.when(F.col("variant") >= 2, n - 1 - F.col("py")).otherwise(F.col("py")).cast("int").alias("py")
+    x = F.when(F.col("variant") % 2 == 1, n - 1 - F.col("px")).otherwise(F.col("px")).cast("int").alias("px")
+    return variants.select("map", y, x, "p").groupBy("map", "py", "px").agg(F.avg("p").alias("p"))
+
+
 def quality_ladder(um: Column, level: Column) -> tuple[Column, Column]:
     """Quality and tolerance of a level: from the voxel size, halved for each level, 1 at least; the tolerance is twice that."""
     first = F.when(um <= 1.5, 64.0).when(um <= 3.2, 32.0).when(um <= 6.0, 16.0).when(um <= 20.0, 8.0).otherwise(2.0)

@@ -89,7 +89,7 @@ _QUALITY = with_sql("sp", "").replace("WITH ", "WITH RECURSIVE ", 1) + (
     f", {_GRID50}, e AS (SELECT * FROM cell WHERE NOT EXISTS (SELECT 1 FROM sp WHERE sp.seg_id = cell.seg_id AND sp.j = cell.j AND sp.i = cell.i)), {_O4},"
     " reach AS (SELECT * FROM e WHERE i = 0 OR j = 0 OR i = 49 OR j = 9 UNION SELECT e.* FROM reach r, o JOIN e ON e.seg_id = r.seg_id AND e.j = r.j + dj AND e.i = r.i + di),"
     " h AS (SELECT seg_id, count(*) AS holes FROM (SELECT * FROM e EXCEPT SELECT * FROM reach) GROUP BY 1),"
-    f" {QUAD}, turn AS ({_TURN}), k AS (SELECT seg_id, count(*) FILTER (cos < 0) AS folds, count(*) FILTER (cos >= 0 AND cos < 0.8) AS kinks,"
+    f" {QUAD}, turn AS ({_TURN}), k AS (SELECT seg_id, count(*) FILTER (cos < 0) AS folds, count(*) FILTER (cos >= 0 AND cos < 0.86602540378443864676e0) AS kinks,"
     " list_sort(list(CASE WHEN acos(least(1, greatest(-1, cos))) > 1e-4 THEN 40 / acos(least(1, greatest(-1, cos))) ELSE 1e30 END)) AS rad FROM turn GROUP BY 1),"
     " w AS (SELECT seg_id, sqrt(avg(pow((" + " + ".join(f"{n} * (s{c} - p{c})" for n, c in zip(_n("q", "p", "r", "p"), "xyz", strict=True)) + f") / {_len(_n('q', 'p', 'r', 'p'))}, 2))) AS twist,"
     f" sum(0.5 * ({_len(_n('q', 'p', 'r', 'p'))} + {_len(_n('s', 'q', 'r', 'q'))})) AS area, list_sort(list(abs(" + " + ".join(f"(q{c} - p{c}) * (r{c} - p{c})" for c in "xyz") + ") / (" + " + ".join(f"(q{c} - p{c}) * (q{c} - p{c})" for c in "xyz") + "))) AS sl FROM quad GROUP BY 1),"

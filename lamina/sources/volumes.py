@@ -233,6 +233,19 @@ def read_box(spark: SparkSession, path: str, lo: Sequence[int], hi: Sequence[int
     return box(decoded_chunks(found, edge), lo, hi)
 
 
+def raw_voxels(chunks: DataFrame, edge: int) -> DataFrame:
+    """Voxels of raw chunks (cz, cy, cx, data), zeros left out; chunks without data have none, and one of another size is an error."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for cz, cy, cx, data in zip(b["cz"], b["cy"], b["cx"], b["data"], strict=True):
+                a = np.frombuffer(data, np.uint8).reshape((edge,) * 3)
+                z, y, x = np.nonzero(a)
+                yield pd.DataFrame({"z": z + cz * edge, "y": y + cy * edge, "x": x + cx * edge, "v": a[z, y, x]}).astype("int32")
+
+    return chunks.where("data is not null").select("cz", "cy", "cx", "data").mapInPandas(run, "z int, y int, x int, v int")
+
+
 def write_mirror(v: DataFrame, path: str, edge: int, known: DataFrame) -> None:
     """A mirror's files: raw chunks z.y.x of the volume, and empty z.y.x.missing for those of ``known(cz, cy, cx)`` that it has no voxel in."""
     key = [F.expr(f"cast({c} div {edge} as int)").alias("c" + c) for c in ZYX]
