@@ -78,8 +78,9 @@ def sample_windows(picked: DataFrame | None, length: int, stride: int, per_label
                 labels = rows.column("label").to_pylist()
                 raw, part = memoryview(np.ascontiguousarray(data)), np.array([share[x] for x in labels])
                 draw = mix(mix(hashes(array)[text]) + (start - offsets[text]).astype(np.uint64)) >> np.uint64(11)
-                for k in np.flatnonzero(draw < part[text] * float(1 << 53)).tolist():
-                    yield pa.RecordBatch.from_pydict({"label": pa.array([labels[text[k]]]), "w": pa.array([bytes(raw[start[k] : min(end[k], start[k] + length)])], pa.binary())})
+                hit = np.flatnonzero(draw < part[text] * float(1 << 53)).tolist()
+                cut = [bytes(raw[start[k] : min(end[k], start[k] + length)]) for k in hit]
+                yield pa.RecordBatch.from_pydict({"label": pa.array([labels[text[k]] for k in hit], pa.string()), "w": pa.array(cut, pa.binary())})
 
     got = picked.mapInArrow(run, "label string, w binary").collect()
     return sorted(got, key=lambda r: (r["label"], bytes(r["w"])))

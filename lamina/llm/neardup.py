@@ -28,10 +28,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lamina.llm.arrowtext import mix, slices
+from lamina.llm.arrowtext import mix, slices, texts, tidy
 from lamina.llm.shingles import shingle_sets, superminhash
 from lamina.operators.graph import least_of_component as components
-from lamina.session import cut, text_batches
+from lamina.session import cut, saved, text_batches
 
 BANDS, ROWS = 40, 6
 #: Share of equal signature places under which a pair can't reach the similarity asked for.
@@ -43,7 +43,7 @@ CONFIRMED_AT_ONCE = 256
 
 
 def sketches(docs: DataFrame, shingle: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Of every row: ``id``, ``n`` shingles, two 64-bit sums that stand for the set, ``bands`` and the signature's low bytes, ``sig``."""
+    """Of every row: ``id``, ``n`` shingles, two 64-bit sums that stand for the set, and the signature's low bytes, ``sig``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -56,10 +56,6 @@ def sketches(docs: DataFrame, shingle: int, id_col: str = "doc_id", text_col: st
                     for k, seed in enumerate((0x1F83D9ABFB41BD6B, 0x5BE0CD19137E2179)):
                         sums[k][full] = np.add.reduceat(mix(items ^ np.uint64(seed)), offsets[:-1][full])
                 signature = superminhash(items, offsets, BANDS * ROWS)
-                parts = signature.reshape(len(n), BANDS, ROWS)
-                band = mix(np.arange(BANDS).astype(np.uint64))[None].repeat(len(n), 0)
-                for r in range(ROWS):
-                    band = mix(band * np.uint64(5) + parts[:, :, r])
                 low = mix(signature).astype(np.uint8)
                 yield pa.RecordBatch.from_pydict(
                     {
@@ -67,14 +63,13 @@ def sketches(docs: DataFrame, shingle: int, id_col: str = "doc_id", text_col: st
                         "n": pa.array(n),
                         "s1": pa.array(sums[0].astype(np.int64)),
                         "s2": pa.array(sums[1].astype(np.int64)),
-                        "bands": pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1) * BANDS, pa.int32()), pa.array(band.astype(np.int64).ravel())),
                         "sig": pa.array([r.tobytes() for r in low], pa.binary()),
                     }
                 )
 
     text_batches(docs.sparkSession)
     kept = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"))
-    return kept.mapInArrow(run, "id long, n long, s1 long, s2 long, bands array<long>, sig binary")
+    return kept.mapInArrow(run, "id long, n long, s1 long, s2 long, sig binary")
 
 
 def _agreement(a: pa.Array, b: pa.Array) -> np.ndarray:
@@ -100,8 +95,8 @@ def promising(pairs: DataFrame, sigs: DataFrame, similarity: float) -> DataFrame
 def verified(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``a``, ``b`` and ``linked``: whether 100 times the shared shingles reach ``percent`` times all of the pair's."""
     text = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t"))
-    need = pairs.select("a").union(pairs.select("b")).distinct()
-    text = cut(text.join(need, text["i"] == need["a"], "left_semi").where("i is not null"))
+    need = cut(pairs.select("a").union(pairs.select("b")).distinct())
+    text = saved(text.join(need, text["i"] == need["a"], "left_semi").where("i is not null"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -142,10 +137,8 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tupl
 def _promising(t: pa.Table, start: np.ndarray, end: np.ndarray, similarity: float) -> Iterator[np.ndarray]:
     """Rows (first, second, agreement) of promising pairs of different components inside the groups, each in the first bucket that the pair shares."""
     least = int((similarity - SLACK) * BANDS * ROWS)
-    bucket, i, j, own, ids, comp, n = (np.asarray(t.column(c)) for c in ("k", "i", "j", "block", "id", "comp", "n"))
+    band, i, j, own, ids, comp, n = (np.asarray(t.column(c)) for c in ("b", "i", "j", "block", "id", "comp", "n"))
     sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint8).reshape(-1, BANDS * ROWS)
-    bands = t.column("bands")
-    bands = np.asarray((bands.combine_chunks() if isinstance(bands, pa.ChunkedArray) else bands).flatten()).reshape(-1, BANDS)
     group_end = np.repeat(end, end - start)
     at = np.arange(len(ids))
     for d in range(1, int((end - start).max()) if len(start) else 0):
@@ -155,32 +148,36 @@ def _promising(t: pa.Table, start: np.ndarray, end: np.ndarray, similarity: floa
         x, y = x[on], y[on]
         for a in range(0, len(x), 20_000):
             u, v = x[a : a + 20_000], y[a : a + 20_000]
-            agree = (sig[u] == sig[v]).sum(1)
+            same = sig[u] == sig[v]
+            agree = same.sum(1)
             good = agree >= least
             u, v, agree = u[good], v[good], agree[good]
-            first = (bands[u] == bands[v]).argmax(1)
-            mine = bands[u, first] == bucket[u]
+            mine = same[good].reshape(-1, BANDS, ROWS).all(2).argmax(1) == band[u]
             yield np.stack((u[mine], v[mine], agree[mine]))
 
 
 def _unsettled(members: DataFrame, similarity: float) -> DataFrame:
-    """Of the members (k, i, j, block, id, comp, n, sig, bands) of groups (k, i, j) those in a promising pair of different components that meets here."""
+    """Of the members (k, b, i, j, block, id, comp, n, sig) of groups (k, i, j) those in a promising pair of different components that meets here."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, start, end in _groups(batches, ["k", "i", "j"]):
             hit = np.zeros(len(t), bool)
             for u, v, _ in _promising(t, start, end, similarity):
                 hit[u] = hit[v] = True
-            yield from t.select(["k", "i", "j", "block", "id", "comp"]).filter(pa.array(hit)).to_batches()
+            yield from t.select(["k", "b", "i", "j", "block", "id", "comp"]).filter(pa.array(hit)).to_batches()
+        tidy()
 
     members = members.repartition("k", "i", "j").sortWithinPartitions("k", "i", "j")
-    return members.mapInArrow(run, "k long, i int, j int, block int, id long, comp long")
+    return members.mapInArrow(run, "k long, b int, i int, j int, block int, id long, comp long")
 
 
-def _confirmed(t: pa.Table, pairs: np.ndarray, percent: int) -> list[tuple[int, int]]:
+def _confirmed(t: pa.Table, pairs: np.ndarray, shingle: int, percent: int) -> list[tuple[int, int]]:
     """Links among the pairs of one group that join components, on the full sets."""
     ids, comp = np.asarray(t.column("id")), np.unique(np.asarray(t.column("comp")), return_inverse=True)[1]
-    sets = [np.frombuffer(b, np.uint64) for b in t.column("set").to_pylist()]
+    sets = []
+    for _, array in slices(pa.RecordBatch.from_arrays([texts(t.column("t"))], ["t"]), "t"):
+        items, at = shingle_sets(array, shingle)
+        sets += [items[a:b] for a, b in zip(at, at[1:], strict=False)]
     order = np.argsort(-pairs[2], kind="stable")
     u, v, out = pairs[0][order], pairs[1][order], []
     while len(u):
@@ -198,15 +195,15 @@ def _confirmed(t: pa.Table, pairs: np.ndarray, percent: int) -> list[tuple[int,
     return out
 
 
-def _links_across(members: DataFrame, similarity: float, percent: int) -> DataFrame:
-    """Links (u, v) between different components among members (k, i, j, block, id, comp, n, sig, bands, set) of the groups (k, i, j)."""
+def _links_across(members: DataFrame, similarity: float, shingle: int, percent: int) -> DataFrame:
+    """Links (u, v) between different components among members (k, b, i, j, block, id, comp, n, sig, t) of the groups (k, i, j); ``t`` is the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, start, end in _groups(batches, ["k", "i", "j"]):
             for a, b in zip(start.tolist(), end.tolist(), strict=True):
                 part = t.slice(a, b - a)
                 found = list(_promising(part, np.zeros(1, np.int64), np.array([b - a]), similarity))
-                links = _confirmed(part, np.concatenate(found, 1), percent) if found else []
+                links = _confirmed(part, np.concatenate(found, 1), shingle, percent) if found else []
                 if links:
                     yield pa.RecordBatch.from_pydict({"u": pa.array([x for x, _ in links], pa.int64()), "v": pa.array([y for _, y in links], pa.int64())})
 
@@ -214,22 +211,8 @@ def _links_across(members: DataFrame, similarity: float, percent: int) -> DataFr
     return members.mapInArrow(run, "u long, v long")
 
 
-def full_sets(docs: DataFrame, ids: DataFrame, shingle: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id`` and the sorted shingle hashes, ``set``, of the documents with the given ids (column ``id``)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for rows, array in slices(batch, "t"):
-                items, offsets = shingle_sets(array, shingle)
-                raw, cuts = memoryview(items.astype("<u8").tobytes()), (8 * offsets).tolist()
-                yield pa.RecordBatch.from_pydict({"id": rows.column("id"), "set": pa.array([raw[a:b] for a, b in zip(cuts, cuts[1:], strict=False)], pa.binary())})
-
-    text = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).where("id is not null")
-    return text.join(ids, "id", "left_semi").mapInArrow(run, "id long, set binary")
-
-
 def _dealt(placed: DataFrame) -> DataFrame:
-    """Members (k, id, comp) of the buckets with more than one component, once for each pair of blocks (i, j) that their own ``block`` is in.
+    """Members (k, b, id, comp) of the buckets with more than one component, once for each pair of blocks (i, j) that their own ``block`` is in.
 
     A bucket's largest component has blocks with the numbers from ``minor`` on, all others those
     below; pairs of two blocks of the largest component aren't made, as they have no pair to find.
@@ -242,7 +225,7 @@ def _dealt(placed: DataFrame) -> DataFrame:
     block = F.when(F.col("comp") == F.col("top"), F.col("minor") + F.pmod(F.xxhash64("id"), F.col("major"))).otherwise(F.pmod(F.xxhash64("id"), F.col("minor"))).cast("int")
     last = F.when(F.col("comp") == F.col("top"), F.col("minor")).otherwise(F.col("minor") + F.col("major"))
     rows = rows.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), last - 1)))
-    return rows.select("k", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "comp")
+    return rows.select("k", "b", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "comp")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -251,23 +234,24 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     every = cut(sketches(docs, shingle, id_col, text_col))
     sets = ["s1", "s2", "n"]
     classes = cut(every.where("n > 0 and id is not null").groupBy(*sets).agg(F.min("id").alias("rep")))
-    chosen = cut(every.join(classes, sets).where("id = rep").select("id", "n", "bands", "sig"))
+    chosen = cut(every.join(classes, sets).where("id = rep").select("id", "n", "sig"))
     if chosen.count() > classes.count():  # rows that repeat id and set; they are combined before they are shuffled
-        chosen = cut(chosen.groupBy("id").agg(*(F.first(c).alias(c) for c in ("n", "bands", "sig"))))
-    buckets = chosen.select("id", F.explode("bands").alias("k"))
+        chosen = cut(chosen.groupBy("id").agg(F.first("n").alias("n"), F.first("sig").alias("sig")))
+    band = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(b, F.substring("sig", b * ROWS + 1, F.lit(ROWS))))
+    buckets = chosen.select("id", F.posexplode(band).alias("b", "k"))
     shared = cut(buckets.groupBy("k").agg(F.min("id").alias("p"), F.max("id").alias("q")).where("p < q").drop("q"))
-    members = cut(buckets.join(shared, "k").select("k", "id", "p"))
-    sigs = chosen.select("id", "n", "sig")
+    members = cut(buckets.join(shared, "k").select("k", "b", "id", "p"))
 
     star = members.where("id != p").select(F.col("p").alias("a"), F.col("id").alias("b")).distinct()
-    checked = cut(verified(cut(promising(star, sigs, similarity)), docs, shingle, percent, id_col, text_col))
+    checked = cut(verified(cut(promising(star, chosen, similarity)), docs, shingle, percent, id_col, text_col))
     edges = lambda pairs: pairs.where("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
     labels = components(edges(checked))
 
-    placed = cut(members.join(labels.withColumnRenamed("u", "id"), "id", "left").select("k", "id", F.coalesce("v", "id").alias("comp")))
+    placed = cut(members.join(labels.withColumnRenamed("u", "id"), "id", "left").select("k", "b", "id", F.coalesce("v", "id").alias("comp")))
     unsettled = cut(_unsettled(_dealt(placed).join(chosen, "id"), similarity))
-    sets_of = cut(full_sets(docs, unsettled.select("id").distinct(), shingle, id_col, text_col))
-    labels = components(_links_across(unsettled.join(sets_of, "id").join(chosen, "id"), similarity, percent).union(labels))
+    text = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).where("id is not null")
+    text = saved(text.join(cut(unsettled.select("id").distinct()), "id", "left_semi"))
+    labels = components(_links_across(unsettled.join(text, "id").join(chosen, "id"), similarity, shingle, percent).union(labels))
 
     named = every.join(classes, sets, "left").select("id", "n", F.when(F.col("id").isNotNull(), F.coalesce("rep", "id")).alias("rep"))
     label = F.coalesce("v", "rep")

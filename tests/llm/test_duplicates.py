@@ -145,7 +145,7 @@ def test_members_are_dealt_so_that_components_meet(spark, monkeypatch):
     """Every pair of different components meets in one pair of blocks, and a bucket's largest component isn't dealt against itself."""
     monkeypatch.setattr(neardup, "BLOCK_MEMBERS", 5)
     placed = [(1, i, 0 if i < 40 else i) for i in range(52)] + [(2, i, 0) for i in range(30)] + [(3, 1, 1), (3, 2, 2)]
-    got = neardup._dealt(spark.createDataFrame(placed, "k long, id long, comp long").repartition(3)).collect()
+    got = neardup._dealt(spark.createDataFrame([(k, 0, i, c) for k, i, c in placed], "k long, b int, id long, comp long").repartition(3)).collect()
     at = {}
     for r in got:
         at.setdefault((r["k"], r["i"], r["j"]), []).append(r)
