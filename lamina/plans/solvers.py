@@ -121,8 +121,8 @@ QUERIES = {
     "i17_registration": (_registration, None),
     "i10_fold_excision": (lambda s, d: it.excised(surface_points(s, d).withColumns({"gen": F.col("i"), "x": F.col("x") / 10 + F.col("z") % 17}), su.bends), _fold_sql(16)),
     "a19_donor_agreement": (
-        lambda s, d: so.donor_agreement(ge.nearest_surface(_wide(s, d), su.quads(surface_points(s, d)), 60.0), _wide(s, d).count()).select("n", *(_scaled(c, 4) for c in ("mean", "rms", "p95", "coverage"))),
-        with_sql("sp qp", _NEAR + f", g AS (SELECT * FROM m WHERE d2 <= 3600), t AS (SELECT count(*) AS n, avg(sqrt(d2)) AS mean, sqrt(avg(d2)) AS rms, list_sort(list(d2)) AS l FROM g) SELECT n, {_sqls('mean', 'mean', 4)}, {_sqls('rms', 'rms', 4)}, {_sqls('sqrt(l[n - n // 20])', 'p95', 4)}, {_sqls('n / CAST((SELECT count(*) FROM wide) AS DOUBLE)', 'coverage', 4)} FROM t"),
+        lambda s, d: so.donor_agreement(ge.nearest_surface(_wide(s, d), su.quads(surface_points(s, d)), 60.0), _wide(s, d).count()).select("n", *(_scaled(c, 4) for c in ("mean", "rms", "p95")), "coverage"),
+        with_sql("sp qp", _NEAR + f", g AS (SELECT * FROM m WHERE d2 <= 3600), t AS (SELECT count(*) AS n, avg(sqrt(d2)) AS mean, sqrt(avg(d2)) AS rms, list_sort(list(d2)) AS l FROM g) SELECT n, {_sqls('mean', 'mean', 4)}, {_sqls('rms', 'rms', 4)}, {_sqls('sqrt(l[n - n // 20])', 'p95', 4)}, n / CAST((SELECT count(*) FROM wide) AS DOUBLE) AS coverage FROM t"),
     ),
     "i18_donor_offsets": (
         lambda s, d: so.donor_offsets(query_points(s, d).select((F.col("pt_id") % 7).alias("donor_id"), F.col("x").alias("cell_wind"), F.col("y").alias("donor_wind"))),
