@@ -5,6 +5,8 @@ Each comes as a DataFrame and as the SQL that states it (``SQL``), for oracles.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +20,19 @@ def voxels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return li.groupBy(*axes).agg((F.max(F.floor("l_quantity").cast("long")) * 5).cast("int").alias("v"))
 
 
+def grown_side(spark: SparkSession, sf_dir: str) -> int:
+    """Side of a volume that grows with the rows of lineitem: 32, doubled for each eightfold of 32**3 rows, to the nearest."""
+    rows = table(spark, sf_dir, "lineitem").count()
+    return 32 << max(0, math.floor(math.log2(max(rows, 1) / 32**3) / 3 + 0.5))
+
+
+def grown_voxels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``voxels``, with the side of ``grown_side``."""
+    n = grown_side(spark, sf_dir)
+    axes = [(F.col(c) % n).cast("int").alias(k) for c, k in (("l_orderkey", "z"), ("l_partkey", "y"), ("l_suppkey", "x"))]
+    return table(spark, sf_dir, "lineitem").groupBy(*axes).agg((F.max(F.floor("l_quantity").cast("long")) * 5).cast("int").alias("v"))
+
+
 def surface_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``sp(seg_id, j, i, x, y, z)``: segments of 10 by 50 cells; points that aren't valid are absent."""
     p = table(spark, sf_dir, "part")
@@ -62,6 +77,9 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL = {
     "voxel": """SELECT CAST(l_orderkey % 32 AS INT) AS z, CAST(l_partkey % 32 AS INT) AS y, CAST(l_suppkey % 32 AS INT) AS x,
  CAST(MAX(CAST(floor(l_quantity) AS BIGINT)) * 5 AS INT) AS v FROM lineitem GROUP BY 1, 2, 3""",
+    "side": "SELECT CAST(32 * pow(2, greatest(0, floor(log2(count(*) / 32768e0) / 3 + 0.5))) AS INT) AS n FROM lineitem",
+    "grown": """SELECT CAST(l_orderkey % n AS INT) AS z, CAST(l_partkey % n AS INT) AS y, CAST(l_suppkey % n AS INT) AS x,
+ CAST(MAX(CAST(floor(l_quantity) AS BIGINT)) * 5 AS INT) AS v FROM lineitem, side GROUP BY 1, 2, 3""",
     "sp": """SELECT * FROM (SELECT CAST(p_partkey // 500 AS INT) AS seg_id, CAST((p_partkey // 50) % 10 AS INT) AS j, CAST(p_partkey % 50 AS INT) AS i,
  CAST(20 * (p_partkey % 50) + p_size % 5 AS DOUBLE) AS x, CAST(20 * (p_partkey // 50) + p_size % 3 AS DOUBLE) AS y,
  CAST(CASE WHEN p_size % 17 = 0 THEN 0 ELSE CAST(floor(p_retailprice) AS BIGINT) - 850 END AS DOUBLE) AS z FROM part) WHERE z > 0""",

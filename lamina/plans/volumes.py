@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lamina.functions.derive import voxels, with_sql
+from lamina.functions.derive import grown_side, grown_voxels, voxels, with_sql
 from lamina.operators import stencil as st
 from lamina.operators import volume as vo
 
@@ -211,4 +211,29 @@ SELECT z, y, x, n_solid, """
         lambda s, d: st.distance_transform(voxels(s, d).where("z = 2 and y = 3 and v >= 245"), SHAPE, border=16),
         DISTANCE.replace("WHERE v >= 240", "WHERE z = 2 AND y = 3 AND v >= 245") + "SELECT z, y, x, d2 FROM dt",
     ),
+    "a1_grown_pyramid": (
+        lambda s, d: vo.pyramid(grown_voxels(s, d), 3),
+        with_sql(
+            "side grown",
+            ", " + ", ".join(f"l{k} AS (SELECT CAST(z // 2 AS INT) AS z, CAST(y // 2 AS INT) AS y, CAST(x // 2 AS INT) AS x, CAST((sum(v) + 4) // 8 AS INT) AS v FROM {'grown' if k == 1 else f'l{k - 1}'} GROUP BY 1, 2, 3)" for k in (1, 2, 3))
+            + " " + " UNION ALL ".join(f"SELECT {k} AS level, * FROM l{k}" for k in (1, 2, 3)),
+        ),
+    ),
+    "w1_grown_median": (
+        lambda s, d: st.median(grown_voxels(s, d), 1, (grown_side(s, d),) * 3),
+        with_sql(
+            "side grown",
+            f""", r AS (SELECT unnest(range(0, (SELECT n FROM side))) AS k), g AS (SELECT CAST(a.k AS INT) AS z, CAST(b.k AS INT) AS y, CAST(c.k AS INT) AS x FROM r a, r b, r c),
+d AS (SELECT z, y, x, CAST(coalesce(v, 0) AS INT) AS v FROM g LEFT JOIN grown USING (z, y, x)), {OFF27},
+p AS (SELECT z, y, x, greatest(0, least(n - 1, z + dz)) AS nz, greatest(0, least(n - 1, y + dy)) AS ny, greatest(0, least(n - 1, x + dx)) AS nx FROM d, off, side)
+SELECT p.z, p.y, p.x, list_sort(list(d.v))[14] AS v FROM p JOIN d ON d.z = nz AND d.y = ny AND d.x = nx GROUP BY 1, 2, 3""",
+        ),
+    ),
+    "f9_grown_hysteresis": (
+        lambda s, d: st.hysteresis(grown_voxels(s, d).where("v >= 225"), grown_voxels(s, d).where("v >= 170"), (grown_side(s, d),) * 3),
+        with_sql("side grown", "").replace("WITH ", "WITH RECURSIVE ", 1)
+        + """, o(dz, dy, dx) AS (VALUES (1, 0, 0), (-1, 0, 0), (0, 1, 0), (0, -1, 0), (0, 0, 1), (0, 0, -1)), weak AS (SELECT z, y, x FROM grown WHERE v >= 170),
+r AS (SELECT z, y, x FROM grown WHERE v >= 225 UNION SELECT w.z, w.y, w.x FROM r, o JOIN weak w ON w.z = r.z + dz AND w.y = r.y + dy AND w.x = r.x + dx)
+SELECT z, y, x FROM r""",
+    ),
 }
