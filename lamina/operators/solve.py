@@ -37,16 +37,17 @@ def predicted(near: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out = []
-            for seg, j, i, near in zip(b["seg_id"], b["j"], b["i"], b["near"], strict=True):
-                d = np.array([(p["dj"], p["di"]) for p in near], float)
-                x = np.array([(p["x"], p["y"], p["z"]) for p in near], float)
-                w = np.exp(-0.5 * (d * d).sum(1))
-                a = np.hstack((np.ones((len(d), 1)), d))
-                m = (a * w[:, None]).T @ a
-                if np.linalg.cond(m) < 1e6:
-                    out.append((seg, j, i, *np.linalg.solve(m, (a * w[:, None]).T @ x)[0]))
-            yield pd.DataFrame(out, columns=[*CELL, *XYZ])
+            size = b["near"].str.len().to_numpy(int)
+            flat = np.array([(p["dj"], p["di"], p["x"], p["y"], p["z"]) for near in b["near"] for p in near], float).reshape(-1, 5)
+            if not len(flat):
+                continue
+            first = np.cumsum(size) - size
+            a = np.column_stack((np.ones(len(flat)), flat[:, :2]))
+            w = np.exp(-0.5 * (flat[:, :2] ** 2).sum(1))[:, None, None]
+            m = np.add.reduceat(w * a[:, :, None] * a[:, None, :], first)  # a 3 by 3 system a cell, all solved at once
+            r = np.add.reduceat(w * a[:, :, None] * flat[:, None, 2:], first)
+            good = np.linalg.cond(m) < 1e6
+            yield pd.DataFrame({c: b[c].to_numpy()[good] for c in CELL} | dict(zip(XYZ, np.linalg.solve(m[good], r[good])[:, 0].T, strict=True)))
 
     return near.mapInPandas(run, "seg_id int, j int, i int, x double, y double, z double")
 
