@@ -102,3 +102,27 @@ def hashes(array: pa.Array, seed: int = 0x9E3779B97F4A7C15) -> np.ndarray:
 def within(offsets: np.ndarray) -> np.ndarray:
     """The text number of every item, from the offsets of each text's items."""
     return np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+
+
+def until(data: np.ndarray, at: int, stop: int, ends: np.ndarray) -> int:
+    """The first place from ``at`` on whose byte is marked in ``ends`` (a table of 256), or ``stop``."""
+    while at < stop:
+        hit = np.flatnonzero(ends[data[at : min(stop, at + 65536)]])
+        if len(hit):
+            return at + int(hit[0])
+        at = min(stop, at + 65536)
+    return stop
+
+
+def pieces(data: np.ndarray, offsets: np.ndarray, most: int, ends: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+    """(first text, last text + 1, from, to): runs of texts of about ``most`` bytes; a longer text is cut where a byte is marked in ``ends``."""
+    text = 0
+    while text < len(offsets) - 1:
+        last = max(text + 1, int(np.searchsorted(offsets, offsets[text] + most, "right")) - 1)
+        start, stop = int(offsets[text]), int(offsets[last])
+        while stop - start > most:  # one long text
+            at = until(data, start + most, stop, ends)
+            yield text, last, start, at
+            start = at
+        yield text, last, start, stop
+        text = last

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamina.llm import bpe, exactdedup, langid, latticelm, linerules, neardup, packing, pii, qualitycnn, warc
+from lamina.llm import annsearch, bpe, exactdedup, filteraudit, langid, latticelm, lexsearch, linerules, neardup, packing, pii, qualitycnn, warc
 from lamina.session import table
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -120,9 +120,56 @@ def op10_pii_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.summary(pii.personal_data(table(spark, sf_dir, "documents")))
 
 
+def op11_kmeans_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest of every twentieth vector, among all."""
+    return annsearch.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five filters over all documents, in all orders, by source."""
+    rows = filteraudit.judged_rows(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return filteraudit.audit(rows, "ABCDE")
+
+
+#: What a prefix leaves is counted by part and the set of filters a document fails.
+OP12_SQL = """WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws, min(doc_id) OVER (PARTITION BY text) AS first FROM d),
+l AS (SELECT doc_id, bool_or(coalesce(quality = 1, false)) AS good, bool_or(coalesce(toxic = 1, false)) AS toxic FROM labels GROUP BY doc_id),
+f AS (SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic, (len(ws) < 200)::INT + 2 * (100 * len(list_distinct(ws)) < 50 * len(ws))::INT
+  + 4 * (100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 2 * length(text))::INT + 8 * regexp_matches(text, '[#$%&*|]')::INT + 16 * coalesce(w.doc_id > first, false)::INT AS mask
+  FROM w LEFT JOIN l ON l.doc_id = w.doc_id),
+c AS (SELECT part, mask, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM f GROUP BY part, mask),
+x AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+o AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM x a, x b, x c, x d, x e WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+s AS (SELECT filter_order, CAST(k AS INT) AS step, filter_order[k] AS f, 1 << (ascii(filter_order[k]) - 65) AS bit,
+  list_sum([0] || list_transform(range(1, k), lambda j: 1 << (ascii(filter_order[j]) - 65)))::INT AS before FROM o, range(1, 6) t(k)),
+g AS (SELECT part, filter_order, step, f, sum(n) FILTER (mask & before = 0 AND mask & bit = 0) AS kept, sum(n) FILTER (mask & before = 0 AND mask & bit <> 0) AS removed,
+  sum(n) FILTER (mask & before <> 0 AND mask & bit <> 0) AS redundant, sum(n) FILTER (mask = bit) AS unique_fails,
+  sum(good) FILTER (mask & before = 0 AND mask & bit <> 0) AS good_lost, sum(toxic) FILTER (mask & before = 0 AND mask & bit <> 0) AS toxic_lost FROM c, s GROUP BY part, filter_order, step, f)
+SELECT part, filter_order, step, coalesce(kept, 0)::BIGINT AS kept, coalesce(removed, 0)::BIGINT AS removed, coalesce(redundant, 0)::BIGINT AS redundant, coalesce(unique_fails, 0)::BIGINT AS unique_fails,
+ coalesce(good_lost, 0)::BIGINT AS good_lost, coalesce(toxic_lost, 0)::BIGINT AS toxic_lost, coalesce(sum(removed) OVER (PARTITION BY part, f), 0)::BIGINT AS shapley FROM g"""
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents of all for each benchmark item."""
+    shards, many = lexsearch.index(table(spark, sf_dir, "documents"))
+    return lexsearch.search(shards, many, table(spark, sf_dir, "benchmark"))
+
+
+OP13_SQL = """WITH t AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM documents),
+c AS (SELECT count(*) FILTER (len(ts) > 0) AS n_docs, sum(len(ts))::BIGINT AS n_terms FROM t),
+p AS (SELECT r, doc_id, len(ts)::BIGINT AS n, term, count(*) AS tf FROM (SELECT r, doc_id, ts, unnest(ts) AS term FROM t) GROUP BY r, doc_id, len(ts), term),
+v AS (SELECT term, count(*) AS df FROM p GROUP BY term),
+q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+s AS (SELECT item_id, r, doc_id, sum(floor(1000 * ln((2 * n_docs + 2) / (2 * df + 1)))::BIGINT * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * n_docs) // n_terms))))::BIGINT AS score
+  FROM q JOIN v USING (term) JOIN p USING (term), c GROUP BY item_id, r, doc_id),
+k AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS FIRST)::INT AS rank, doc_id, score FROM s WHERE score > 0)
+SELECT * FROM k WHERE rank <= 10"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_lattice_lm, op2_bestfit_packing, op3_line_rules, op4_language_id, op5_warc_index, op6_quality_cnn, op7_exact_dedup, op8_minhash_neardup, op9_bpe_codec, op10_pii_bootstrap)}
+    return {f.__name__: f for f in (op1_lattice_lm, op2_bestfit_packing, op3_line_rules, op4_language_id, op5_warc_index, op6_quality_cnn, op7_exact_dedup, op8_minhash_neardup, op9_bpe_codec, op10_pii_bootstrap, op11_kmeans_tree, op12_filter_audit, op13_lexical_search)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_line_rules": OP3_SQL, "op5_warc_index": OP5_SQL, "op7_exact_dedup": OP7_SQL, "op8_minhash_neardup": OP8_SQL}
+    return {"op3_line_rules": OP3_SQL, "op5_warc_index": OP5_SQL, "op7_exact_dedup": OP7_SQL, "op8_minhash_neardup": OP8_SQL, "op12_filter_audit": OP12_SQL, "op13_lexical_search": OP13_SQL}
