@@ -22,6 +22,7 @@ empty table gives no rows; extra columns are not read.
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import permutations
 from math import factorial
 
@@ -124,13 +125,10 @@ def audit(rows: DataFrame, letters: str) -> DataFrame:
     states: dict[str, DataFrame] = {"": rows.select("part", "good", "toxic", *letters).persist(StorageLevel.MEMORY_AND_DISK)}
     edges: list[DataFrame] = []
 
-    def count(on: Column) -> Column:
-        return F.count_if(on).cast("long")
-
     def visit(state: str) -> None:
         after = [f for f in letters if f not in state]
-        fails = F.map_from_arrays(F.array(*map(F.lit, after)), F.array(*(F.struct(count(F.col(f)).alias("removed"), count(F.col(f) & F.col("good")).alias("good"), count(F.col(f) & F.col("toxic")).alias("toxic")) for f in after)))
-        edges.append(states[state].groupBy("part").agg(F.count("*").alias("n"), fails.alias("fails")).select("part", F.lit(state).alias("state"), "n", "fails"))
+        edge = ", ".join(f"struct('{f}' AS f, count_if(`{f}`) AS removed, count_if(`{f}` AND good) AS good_lost, count_if(`{f}` AND toxic) AS toxic_lost)" for f in after)
+        edges.append(states[state].groupBy("part").agg(F.expr(f"'{state}' AS state"), F.expr("count(*) AS n"), F.expr(f"array({edge}) AS edges")))
         for f in after:
             child = "".join(sorted(state + f))
             if child not in states and len(child) < len(letters):
@@ -138,40 +136,30 @@ def audit(rows: DataFrame, letters: str) -> DataFrame:
                 visit(child)
 
     visit("")
-    alone = states[""].groupBy("part").agg(F.map_from_arrays(F.array(*map(F.lit, letters)), F.array(*(count(F.col(f) & ~_any([F.col(g) for g in letters if g != f])) for f in letters))).alias("alone"))
-    every = edges[0]
-    for e in edges[1:]:
-        every = every.union(e)
-    every, alone = cut(every), cut(alone)
-    for state in states.values():
+    alone = ", ".join(f"struct('{f}' AS f, count_if(`{f}` AND NOT ({' OR '.join(f'`{g}`' for g in letters if g != f) or 'false'})) AS alone, count_if(`{f}`) AS fails)" for f in letters)
+    of_filter = cut(states[""].groupBy("part").agg(F.expr(f"array({alone}) AS a")).select("part", F.inline("a")))
+    counted = cut(reduce(DataFrame.union, edges).select("part", "state", "n", F.inline("edges")))
+    for state in reversed(states.values()):  # children before parents
         state.unpersist()
 
-    of_part = every.groupBy("part").agg(F.map_from_entries(F.collect_list(F.struct("state", F.struct("n", "fails")))).alias("s"))  # at most 2 ** k entries
-    none = F.struct(*(F.lit(0).cast("long").alias(k) for k in ("removed", "good", "toxic")))
-    at = lambda state, f: F.coalesce(F.col("s")[state]["fails"][f], none)
-    share = {f: sum((F.lit(factorial(len(s)) * factorial(len(letters) - 1 - len(s))) * at(F.lit(s), F.lit(f))["removed"] for s in states if f not in s), F.lit(0)) for f in letters}
-    of_part = of_part.join(alone, "part").withColumn("shapley", F.map_from_arrays(F.array(*map(F.lit, letters)), F.array(*(share[f].cast("long") for f in letters))))
-    steps = [F.struct(F.lit("".join(p)).alias("filter_order"), F.lit(k + 1).alias("step"), F.lit("".join(sorted(p[:k]))).alias("state"), F.lit(p[k]).alias("f")) for p in permutations(letters) for k in range(len(letters))]
-    row = of_part.withColumn("o", F.explode(F.array(*steps)))
-    row = row.withColumn("c", at(F.col("o.state"), F.col("o.f")))
-    n = F.coalesce(F.col("s")[F.col("o.state")]["n"], F.lit(0))
-    return row.select(
+    weight = [factorial(k) * factorial(len(letters) - 1 - k) for k in range(len(letters))]  # orders that lead through an edge, by the size of its state
+    share = F.element_at(F.array(*(F.lit(w).cast("long") for w in weight)), F.length("state") + 1)
+    shapley = counted.groupBy("part", "f").agg(F.sum(share * F.col("removed")).alias("shapley"))
+    of_filter = of_filter.join(shapley, ["part", "f"])
+    spark = rows.sparkSession
+    steps = spark.createDataFrame([("".join(p), k + 1, "".join(sorted(p[:k])), p[k]) for p in permutations(letters) for k in range(len(letters))], "filter_order string, step int, state string, f string")
+    every = of_filter.join(F.broadcast(steps), "f")  # k! * k steps, whatever the rows
+    zero = lambda c: F.coalesce(c, F.lit(0).cast("long"))
+    removed = zero(F.col("removed"))
+    return every.join(counted, ["part", "state", "f"], "left").select(
         "part",
-        "o.filter_order",
-        "o.step",
-        (n - F.col("c.removed")).alias("kept"),
-        F.col("c.removed").alias("removed"),
-        (at(F.lit(""), F.col("o.f"))["removed"] - F.col("c.removed")).alias("redundant"),
-        F.col("alone")[F.col("o.f")].alias("unique_fails"),
-        F.col("c.good").alias("good_lost"),
-        F.col("c.toxic").alias("toxic_lost"),
-        F.col("shapley")[F.col("o.f")].alias("shapley"),
+        "filter_order",
+        "step",
+        (zero(F.col("n")) - removed).alias("kept"),
+        removed.alias("removed"),
+        (F.col("fails") - removed).alias("redundant"),
+        F.col("alone").alias("unique_fails"),
+        zero(F.col("good_lost")).alias("good_lost"),
+        zero(F.col("toxic_lost")).alias("toxic_lost"),
+        "shapley",
     )
-
-
-def _any(columns: list[Column]) -> Column:
-    """Whether any of them is true."""
-    out = F.lit(False)
-    for c in columns:
-        out = out | c
-    return out
