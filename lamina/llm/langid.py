@@ -10,7 +10,9 @@ Defined results: a null text, or one without any letter, is ``und`` with score 0
 text if there is nothing to learn from; ties go to the language that sorts first; with one language
 to learn, every text with a letter gets it with score 1; repeated rows get equal results; labels
 that are null are not learned; rows that repeat id, text and label are learned from once; extra columns
-are not read by the model.
+are not read by the model; an empty table gives no rows. A text is held whole by the task that scores it,
+and scored some ``SLICE_BYTES`` of its windows at a time with others. More than ``MOST_LABELS`` labels, or a
+sample of over ``MOST`` times the texts that are expected of a label, are errors.
 """
 
 from __future__ import annotations
@@ -31,6 +33,8 @@ LENGTH = 256
 SAMPLE_DOCS, SAMPLE_WINDOWS = 1000, 4000
 #: So many times what is expected may be sampled; more is an error.
 MOST = 4
+#: Labels that can be learned; more are an error.
+MOST_LABELS = 512
 UNKNOWN = "und"
 
 
@@ -40,14 +44,21 @@ def held_out(id_col: str, modulus: int, remainder: int) -> Column:
 
 
 def sampled(rows: DataFrame, label_col: str, per_label: int, *key: Column) -> DataFrame | None:
-    """Of each label about ``per_label`` of the rows, chosen by a hash of ``key``; None where no row has a label."""
-    counts = {r[0]: r[1] for r in rows.where(F.col(label_col).isNotNull()).groupBy(label_col).count().collect()}  # a row for each label
+    """Of each label the rows of about ``per_label`` different keys, chosen by a hash of the key; None where no row has a label.
+
+    Rows that repeat a key are one draw, so they count once: copies of a row, however many, don't crowd others out.
+    """
+    draw = F.xxhash64(*key, F.lit(17))
+    different = rows.where(F.col(label_col).isNotNull()).select(F.col(label_col).alias("label"), draw.alias("d")).distinct()
+    counts = {r[0]: r[1] for r in different.groupBy("label").count().limit(MOST_LABELS + 1).collect()}
     if not counts:
         return None
+    if len(counts) > MOST_LABELS:
+        raise RuntimeError(f"more than {MOST_LABELS} labels")
     share = F.lit(None)
     for label, n in counts.items():
         share = F.when(F.col(label_col) == F.lit(label), F.lit(min(1.0, per_label / n))).otherwise(share)
-    return rows.where(F.pmod(F.xxhash64(*key, F.lit(17)), F.lit(1 << 20)) < share * (1 << 20))
+    return rows.where(F.pmod(draw, F.lit(1 << 20)) < share * (1 << 20))
 
 
 def sampled_texts(rows: DataFrame, label_col: str, text_col: str, id_col: str, per_label: int) -> DataFrame | None:

@@ -8,7 +8,9 @@ chunks, chosen by a hash among all of them, the layer from all chunks of all sam
 
 Defined results: a null text is scored as an empty one; without labels to learn from every score is
 0.5, with labels of one kind only it is that label's 0 or 1; repeated rows get equal results; null
-labels are not learned; extra columns are not read by the model.
+labels are not learned; extra columns are not read by the model; an empty table gives no rows; of
+documents that repeat an id all different texts may be learned from. A sample of over ``MOST`` times the
+labels or texts that are expected is an error.
 """
 
 from __future__ import annotations

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lamina.llm import langid, latticelm, linerules, qualitycnn
-from lamina.llm.bytecnn import Net, letter_classes, padded, windows
+from lamina.llm.bytecnn import Net, letter_classes, padded, shape_classes, windows
 from tests.llm.conftest import PIECES, rows
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -190,6 +190,61 @@ def test_a_row_that_repeats_very_often_is_sampled_once(spark):
     assert picked.where("label = 'en'").count() <= 4 * 50
 
 
+def test_copies_of_a_row_do_not_crowd_its_label_out(spark):
+    rng = random.Random(12)
+    kind = "doc_id long, text string, lang string"
+    df = spark.createDataFrame([(k, spoken(rng, "en", 40) + str(k), lang) for k, lang in enumerate(["xx", "yy"] * 300)], kind)
+    hot = spark.range(20_000).selectExpr("cast(9999 as long) as doc_id", "'the and with house' as text", "'xx' as lang")
+    got = {r["label"]: r["count"] for r in langid.sampled_texts(df.union(hot), "lang", "text", "doc_id", 100).groupBy("label").count().collect()}
+    assert 60 <= got["xx"] <= 150 and 60 <= got["yy"] <= 150
+
+
+def test_documents_that_repeat_an_id_do_not_crowd_labels_out(spark):
+    rng = random.Random(13)
+    df = spark.createDataFrame([(k, spoken(rng, "en" if k % 2 else "fr", 60)) for k in range(200)], "doc_id long, text string")
+    hot = spark.range(20_000).selectExpr("cast(1 as long) as doc_id", "'the and with house' as text")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(200)], "doc_id long, quality int")
+    model = qualitycnn.learn(df.union(hot), labels, per_label=50)
+    got = qualitycnn.score(df, model).toPandas()
+    assert ((got["score"] >= 0.5) == (got["doc_id"] % 2 == 1)).mean() > 0.9
+
+
+def forward(net, windows):
+    """Outputs for windows of bytes, one window, filter and place at a time."""
+    out = []
+    for w in windows:
+        x = [int(net.classes[b]) for b in w] + [int(net.classes[256])] * (net.length - len(w))
+        best = []
+        for weights in net.conv:
+            size, _, filters = weights.shape
+            best += [max(sum(float(weights[j][x[p + j]][f]) for j in range(size)) for p in range(len(x) - size + 1)) for f in range(filters)]
+        hidden = [max(0.0, b + float(c)) for b, c in zip(best, net.bias, strict=True)]
+        out.append([sum(h * float(net.dense[i][o]) for i, h in enumerate(hidden)) + float(net.out[o]) for o in range(net.outputs)])
+    return np.array(out)
+
+
+def test_whole_queries_of_the_networks_equal_a_plain_forward_pass(spark):
+    rng = random.Random(14)
+    texts = ["", "q", spoken(rng, "en", 30), spoken(rng, "fr", 200)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    cut = lambda t, length, stride: [t.encode()[a : a + length] for a in range(0, max(1, 1 + -(-(max(0, len(t.encode()) - length)) // stride)) * stride, stride)]
+    net = Net(letter_classes(), 2, length=langid.LENGTH)
+    got = {r["doc_id"]: r for r in langid.identify(df, (["a", "b"], net)).collect()}
+    for k, t in list(enumerate(texts))[1:]:
+        parts = cut(t, langid.LENGTH, langid.LENGTH - 3)
+        z = forward(net, parts)
+        p = np.exp(z - z.max(1, keepdims=True))
+        p = p / p.sum(1, keepdims=True) * np.array([[len(w)] for w in parts])
+        p = p.sum(0) / p.sum()
+        assert got[k]["lang_pred"] == "ab"[int(p.argmax())] and abs(got[k]["score"] - p.max()) < 1e-4
+    model = qualitycnn.Quality(Net(shape_classes(), 1, length=qualitycnn.LENGTH, seed=5))
+    model.weights = np.array([0.3, -0.2, 0.5, 0.1])
+    got = {r["doc_id"]: r["score"] for r in qualitycnn.score(df, model).collect()}
+    for k, t in enumerate(texts):
+        z = np.clip(forward(model.net, cut(t, qualitycnn.LENGTH, qualitycnn.STRIDE))[:, 0], -12, 12)
+        assert abs(got[k] - 1 / (1 + math.exp(-(0.3 * z.mean() - 0.2 * z.min() + 0.5 * z.max() + 0.1)))) < 1e-4
+
+
 def test_windows_are_sampled_from_whole_texts(spark):
     """All windows of a text can be chosen, also the last ones of a long text, and about as many as asked for are."""
     text = "".join(chr(97 + k // 400 % 26) for k in range(400 * 520))
