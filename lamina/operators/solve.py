@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from lamina.operators import sampling
 from lamina.operators.axis import wrapped
+from lamina.operators.flatten import along
 from lamina.operators.surface import CELL, XYZ
 from lamina.session import cut
 
@@ -104,26 +105,11 @@ def relaxed(cells: DataFrame, distance: DataFrame, step: float, rounds: int, pul
     return now
 
 
-def conjugate_gradient(matvec, b: np.ndarray, x: np.ndarray, rounds: int = 200, tol: float = 1e-10) -> np.ndarray:
-    """Solves a symmetric positive system given by its product."""
-    r = b - matvec(x)
-    p, rr = r.copy(), float((r * r).sum())
-    for _ in range(rounds):
-        if rr <= tol:
-            break
-        q = matvec(p)
-        a = rr / float((p * q).sum())
-        x, r = x + a * p, r - a * q
-        new = float((r * r).sum())
-        p, rr = r + new / rr * p, new
-    return x
-
-
 def winding_potential(cells: DataFrame, rounds: int = 200, tol: float = 1e-10) -> DataFrame:
     """``wind`` of each cell (seg_id, j, i, theta) so that neighbours differ by their turn as nearly as can be; the first cell of a segment has 0.
 
     Conjugate gradients on all segments at once: the matrix product sends each cell's value to its
-    linked neighbours and sums by cell, inner products are sums by segment. Links that turn over a
+    linked neighbours and sums by cell, inner products are sums by segment, which reach the cells without bringing a segment together. Links that turn over a
     quarter are cut. It ends when every segment's residual is under ``tol``, or after ``rounds``.
     """
     o = [(0, 1), (0, -1), (1, 0), (-1, 0)]
@@ -136,7 +122,8 @@ def winding_potential(cells: DataFrame, rounds: int = 200, tol: float = 1e-10) -
     none = F.array().cast(linked.schema["o"].dataType)
     now = cells.select(*CELL).join(linked, list(CELL), "left").select(*CELL, F.coalesce("o", none).alias("o"), F.lit(0.0).alias("x"), F.coalesce("b", F.lit(0.0)).alias("r"), F.coalesce("b", F.lit(0.0)).alias("p"))
     by = lambda df, e, name: df.groupBy("seg_id").agg(F.sum(e).alias(name))
-    now = cut(now.join(by(now, F.col("r") * F.col("r"), "rr"), "seg_id"))
+    segments = cells.select("seg_id").distinct().count()
+    now = cut(along(now, by(now, F.col("r") * F.col("r"), "rr"), segments))
     for _ in range(rounds):
         if not now.where(F.col("rr") > tol).take(1):
             break
@@ -146,57 +133,11 @@ def winding_potential(cells: DataFrame, rounds: int = 200, tol: float = 1e-10) -
         with_q = cut(now.join(sums, list(CELL), "left").select(*CELL, "o", "x", "r", "p", "rr", q.alias("q")))
         step = with_q.groupBy("seg_id").agg(F.sum(F.col("p") * F.col("q")).alias("pq"), F.first("rr").alias("was"))
         step = step.select("seg_id", F.when((F.col("was") > tol) & (F.col("pq") > 0), F.col("was") / F.col("pq")).otherwise(0.0).alias("a"))
-        after = with_q.join(step, "seg_id").select(*CELL, "o", (F.col("x") + F.col("a") * F.col("p")).alias("x"), (F.col("r") - F.col("a") * F.col("q")).alias("r"), "p", "rr")
+        after = along(with_q, step, segments).select(*CELL, "o", (F.col("x") + F.col("a") * F.col("p")).alias("x"), (F.col("r") - F.col("a") * F.col("q")).alias("r"), "p", "rr")
         new = by(after, F.col("r") * F.col("r"), "new")
-        now = cut(after.join(new, "seg_id").select(*CELL, "o", "x", "r", (F.col("r") + F.when(F.col("rr") > 0, F.col("new") / F.col("rr")).otherwise(0.0) * F.col("p")).alias("p"), F.col("new").alias("rr")))
+        now = cut(along(after, new, segments).select(*CELL, "o", "x", "r", (F.col("r") + F.when(F.col("rr") > 0, F.col("new") / F.col("rr")).otherwise(0.0) * F.col("p")).alias("p"), F.col("new").alias("rr")))
     first = now.groupBy("seg_id").agg(F.min_by("x", F.struct("j", "i")).alias("x0"))
-    return now.join(first, "seg_id").select(*CELL, (F.col("x") - F.col("x0")).alias("wind"))
-
-
-def flattened(sp: DataFrame, step: float, rounds: int = 20) -> DataFrame:
-    """``(seg_id, j, i, u, v)``: a plane embedding of each segment that keeps triangles as rigid as it can. Rotations of triangles by their 2 by 2 SVD and
-    positions by conjugate gradients take turns (local, then global); one segment's grid is one task."""
-
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(["j", "i"], ignore_index=True)
-        at = {(j, i): k for k, (j, i) in enumerate(zip(g["j"], g["i"], strict=True))}
-        tri = [t for (j, i) in at for t in (((j, i), (j, i + 1), (j + 1, i)), ((j + 1, i + 1), (j + 1, i), (j, i + 1))) if all(p in at for p in t)]
-        uv = g[["i", "j"]].to_numpy(float) * step
-        if tri:
-            t = np.array([[at[p] for p in x] for x in tri])
-            x = g[list(XYZ)].to_numpy(float)
-            e1, e2 = x[t[:, 1]] - x[t[:, 0]], x[t[:, 2]] - x[t[:, 0]]
-            l1 = np.linalg.norm(e1, axis=1)
-            c = (e1 * e2).sum(1) / l1
-            flat = np.zeros((len(t), 3, 2))
-            flat[:, 1, 0], flat[:, 2, 0] = l1, c
-            flat[:, 2, 1] = np.sqrt(np.maximum((e2 * e2).sum(1) - c * c, 1e-12))
-            pair = [(0, 1), (1, 2), (2, 0)]
-            for _ in range(rounds):
-                cov = sum(np.einsum("ta,tb->tab", flat[:, q] - flat[:, p], uv[t[:, q]] - uv[t[:, p]]) for p, q in pair)
-                u, _, vt = np.linalg.svd(cov)
-                r = np.einsum("tba,tcb->tac", vt, u)
-                flip = np.linalg.det(r) < 0
-                vt[flip, 1] *= -1
-                r = np.einsum("tba,tcb->tac", vt, u)
-                rhs = np.zeros_like(uv)
-                for p, q in pair:
-                    d = np.einsum("tab,tb->ta", r, flat[:, q] - flat[:, p])
-                    np.add.at(rhs, t[:, q], d)
-                    np.add.at(rhs, t[:, p], -d)
-
-                def product(w: np.ndarray) -> np.ndarray:
-                    out = 1e-9 * w
-                    for p, q in pair:
-                        d = w[t[:, q]] - w[t[:, p]]
-                        np.add.at(out, t[:, q], d)
-                        np.add.at(out, t[:, p], -d)
-                    return out
-
-                uv = conjugate_gradient(product, rhs, uv, 300, 1e-8)
-        return pd.DataFrame({"seg_id": g["seg_id"], "j": g["j"], "i": g["i"], "u": uv[:, 0], "v": uv[:, 1]})
-
-    return sp.select(*CELL, *XYZ).groupBy("seg_id").applyInPandas(run, "seg_id int, j int, i int, u double, v double")
+    return along(now, first, segments).select(*CELL, (F.col("x") - F.col("x0")).alias("wind"))
 
 
 def registered(fixed: DataFrame, moving: DataFrame, start: Sequence[Sequence[float]], rounds: int = 10, damping: float = 1e-3) -> list[list[float]]:

@@ -17,9 +17,9 @@ CELL = ("seg_id", "j", "i")
 XYZ = ("x", "y", "z")
 
 
-def around(sp: DataFrame, offsets: dict[str, tuple[int, int]], extra: Sequence[str] = ()) -> DataFrame:
+def around(sp: DataFrame, offsets: dict[str, tuple[int, int]], extra: Sequence[str] = (), base: Sequence[str] = XYZ) -> DataFrame:
     """Of every cell that some point is next to: the struct of the point at (j + dj, i + di) under each name, null where there is none."""
-    names = [*XYZ, *extra]
+    names = [*base, *extra]
     o = F.array(*(F.struct(F.lit(n).alias("n"), F.lit(dj).alias("dj"), F.lit(di).alias("di")) for n, (dj, di) in offsets.items()))
     sent = sp.select(*CELL, F.struct(*names).alias("p"), F.explode(o).alias("o"))
     sent = sent.select("seg_id", (F.col("j") - F.col("o.dj")).alias("j"), (F.col("i") - F.col("o.di")).alias("i"), F.col("o.n").alias("n"), "p")

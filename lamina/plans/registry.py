@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lamina.plans import geometry, points, residuals, solvers, stores, surfaces, volumes
+from lamina.plans import flattening, geometry, points, residuals, solvers, stores, surfaces, volumes
 
-ALL = volumes.QUERIES | surfaces.QUERIES | points.QUERIES | geometry.QUERIES | solvers.QUERIES | stores.QUERIES | residuals.QUERIES
+ALL = volumes.QUERIES | surfaces.QUERIES | points.QUERIES | geometry.QUERIES | solvers.QUERIES | stores.QUERIES | residuals.QUERIES | flattening.QUERIES
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

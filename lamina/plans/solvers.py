@@ -117,7 +117,6 @@ QUERIES = {
     ),
     "i2_i3_surface_growth": (_growth, None),
     "i8_winding_potential": (lambda s, d: so.winding_potential(_cells(s, d), 6).select("seg_id", "j", "i", _scaled("wind", 4)), _potential_sql(6)),
-    "i16_flatten": (lambda s, d: so.flattened(surface_points(s, d), 20.0, 10), None),
     "i17_registration": (_registration, None),
     "i10_fold_excision": (lambda s, d: it.excised(surface_points(s, d).withColumns({"gen": F.col("i"), "x": F.col("x") / 10 + F.col("z") % 17}), su.bends), _fold_sql(16)),
     "a19_donor_agreement": (

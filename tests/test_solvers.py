@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lamina.operators import sampling, solve, surface, volume
+from lamina.operators import flatten, sampling, solve, surface, volume
 
 
 def test_growth_covers_a_plane(spark):
@@ -31,12 +31,29 @@ def test_potential_of_a_turning_strip(spark):
         assert abs(r["wind"] - 0.4 * r["i"] / (2 * math.pi)) < 1e-4
 
 
-def test_flattening_a_cylinder_keeps_lengths(spark):
-    pts = [(0, j, i, 50 * math.cos(i / 50 * 5), 50 * math.sin(i / 50 * 5), 5.0 * j) for j in range(8) for i in range(20)]
-    sp = spark.createDataFrame(pts, "seg_id int, j int, i int, x double, y double, z double")
-    uv = solve.flattened(sp, 5.0, 25).toPandas().sort_values(["j", "i"])
-    a = uv[["u", "v"]].to_numpy().reshape(8, 20, 2)
-    assert np.abs(np.linalg.norm(np.diff(a, axis=1), axis=2) - 5).max() < 0.15 and np.abs(np.linalg.norm(np.diff(a, axis=0), axis=2) - 5).max() < 0.15
+def test_flattening_keeps_lengths_and_flips_nothing(spark):
+    """A cylinder comes out flat; a bent and bulging sheet loses energy each round and keeps its triangles' turn."""
+    pts = [(0, j, i, 50 * math.cos(i / 10), 50 * math.sin(i / 10), 5.0 * j) for j in range(5) for i in range(8)]
+    pts += [(1, j, i, 5.0 * i, 5.0 * j, 12 * math.sin(i * 0.9) * math.sin(j * 0.9)) for j in range(7) for i in range(7)]
+    sp = spark.createDataFrame([*pts, (0, 20, 20, 0.0, 0.0, 0.0)], "seg_id int, j int, i int, x double, y double, z double")
+    uv, told = flatten.flattened(sp, 6.0, 2, 8)
+    uv = {(r["seg_id"], r["j"], r["i"]): (r["u"], r["v"]) for r in uv.collect()}
+    assert set(uv) == {p[:3] for p in pts}  # a point of no quad has no place
+    gap = lambda a, b: math.dist(uv[a], uv[b])
+    assert max(abs(gap((0, j, i), (0, j, i + 1)) - 100 * math.sin(0.05)) for j in range(5) for i in range(7)) < 0.05
+    turn = lambda a, b, c: (uv[b][0] - uv[a][0]) * (uv[c][1] - uv[a][1]) - (uv[c][0] - uv[a][0]) * (uv[b][1] - uv[a][1])
+    for j in range(6):
+        for i in range(6):
+            assert turn((1, j, i), (1, j, i + 1), (1, j + 1, i)) > 0 and turn((1, j, i + 1), (1, j + 1, i + 1), (1, j + 1, i)) > 0
+    rounds = sorted(map(tuple, told.where("seg_id = 1").collect()))
+    assert len(rounds) == 2 and all(after < before for _, _, before, after in rounds) and rounds[-1][3] >= 4
+
+
+def test_totals_reach_cells_without_a_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(flatten, "BROADCAST_SEGMENTS", 0)
+    df = spark.createDataFrame([(k % 2, k, -k) for k in range(50)], "seg_id int, j int, i int")
+    got = flatten.along(df, spark.createDataFrame([(0, 5.0), (1, 7.0)], "seg_id int, t double"), 2)
+    assert got.columns == ["seg_id", "j", "i", "t"] and sorted(map(tuple, got.collect())) == sorted((k % 2, k, -k, 5.0 + 2 * (k % 2)) for k in range(50))
 
 
 def test_registration_finds_a_shift(spark):
