@@ -65,13 +65,14 @@ def snapped(candidates: DataFrame, targets: DataFrame, reach: float) -> DataFram
     return best.groupBy(*CELL).agg(F.min("s").alias("s")).select(*CELL, *(F.col("s." + c).alias(c) for c in XYZ))
 
 
-def grown(seeds: DataFrame, targets: DataFrame, height: int, width: int, generations: int, step: float, reach: float) -> DataFrame:
+def grown(seeds: DataFrame, targets: DataFrame, height: int, width: int, generations: int, step: float, reach: float, within: DataFrame | None = None) -> DataFrame:
     """Surface cells ``(seg_id, j, i, x, y, z, gen)`` grown from seeds over boundary points: each generation the whole fringe is predicted, snapped and
-    gated (an edge to a set neighbour must be between half and one and a half steps), all from the state before it."""
+    gated (an edge to a set neighbour must be between half and one and a half steps), all from the state before it; only cells of ``within`` are grown, where it is given."""
     now = cut(seeds.select(*CELL, *(F.col(c).cast("double").alias(c) for c in XYZ), F.lit(0).alias("gen")))
     goal = cut(targets.select(*XYZ).distinct())
     for g in range(1, generations + 1):
-        new = snapped(predicted(fringe(now, height, width)), goal, reach)
+        edge = fringe(now, height, width)
+        new = snapped(predicted(edge if within is None else edge.join(within, list(CELL), "left_semi")), goal, reach)
         o = F.array(*(F.struct(F.lit(a).alias("dj"), F.lit(b).alias("di")) for a, b in ((0, 1), (0, -1), (1, 0), (-1, 0))))
         sent = now.select("seg_id", F.col("j").alias("nj"), F.col("i").alias("ni"), *(F.col(c).alias("n" + c) for c in XYZ), F.explode(o).alias("o"))
         sent = sent.select("seg_id", (F.col("nj") + F.col("o.dj")).alias("j"), (F.col("ni") + F.col("o.di")).alias("i"), *("n" + c for c in XYZ))
@@ -160,27 +161,58 @@ def registered(fixed: DataFrame, moving: DataFrame, start: Sequence[Sequence[flo
     return m.tolist()
 
 
-def picked_surface(points: np.ndarray, step: float, sigma: float, least: float = 0.35) -> np.ndarray:
-    """Grid points (h, w, 3) of a surface through unordered points: the plane of their principal axes, then a local plane fit at each node with Gaussian
-    weights; nodes with too little weight are NaN. Points are picked by hand, so there are few."""
-    p = np.asarray(points, float)
-    mean = p.mean(0)
-    _, _, axes = np.linalg.svd(p - mean)
-    q = (p - mean) @ axes.T
-    lo, hi = q[:, :2].min(0), q[:, :2].max(0)
-    w, h = (np.floor((hi - lo) / step) + 1).astype(int)
-    out = np.full((h, w, 3), np.nan)
-    for j in range(h):
-        for i in range(w):
-            d = q[:, :2] - (lo + step * np.array([i, j]))
-            k = np.exp(-0.5 * (d * d).sum(1) / sigma**2)
-            if k.sum() < least:
-                continue
-            a = np.hstack((np.ones((len(q), 1)), d))
-            m = (a * k[:, None]).T @ a + 1e-9 * np.eye(3)
-            z = np.linalg.solve(m, (a * k[:, None]).T @ q[:, 2])[0]
-            out[j, i] = mean + np.array([lo[0] + step * i, lo[1] + step * j, z]) @ axes
-    return out
+def principal_frame(points: DataFrame) -> tuple[list[float], list[list[float]]]:
+    """The mean of ``points(x, y, z)`` and their three principal axes, the widest first: ten sums over the points, solved by the driver."""
+    pair = [(a, b) for k, a in enumerate(XYZ) for b in XYZ[k:]]
+    s = points.agg(F.count("*").alias("n"), *(F.avg(c).alias(c) for c in XYZ), *(F.covar_pop(a, b).alias(a + b) for a, b in pair)).first()
+    m = np.array([[s["".join(sorted((a, b)))] or 0.0 for b in XYZ] for a in XYZ])
+    return [s[c] or 0.0 for c in XYZ], np.linalg.eigh(m)[1].T[::-1].tolist()
+
+
+#: Fixed values of surfaces through picked points: nodes a side at most, kernel width in steps and in mean distances of points, its reach in widths, the weight a node must have.
+NODES, KERNEL_STEPS, KERNEL_GAPS, KERNEL_REACH, LEAST_WEIGHT = 1024, 3.0, 1.5, 3.0, 0.35
+
+
+def picked_surface(points: DataFrame, origin: Sequence[float], axes: Sequence[Sequence[float]], step: float) -> DataFrame:
+    """Grid points (j, i, x, y, z) of a surface through unordered ``points(x, y, z)``, over the plane of the first two axes (see ``principal_frame``).
+
+    At each node a plane is fit to the points within the kernel's reach, with Gaussian weights (moving
+    least squares): every point is sent to the nodes it reaches and nine sums a node are combined before
+    the shuffle; the three unknowns are solved in closed form, and where the points lie on a line their
+    weighted mean counts. Nodes with less than ``LEAST_WEIGHT`` aren't in it. The step is halved up to
+    three times where there would be under 128 nodes or under 100 of them on the surface; under 16, or
+    points that lie on a line, give none.
+    """
+    local = cut(points.select(*(sum(((F.col(c) - o) * a for c, o, a in zip(XYZ, origin, axis, strict=True)), F.lit(0.0)).alias(n) for n, axis in zip("uvw", axes, strict=True))))
+    b = local.agg(F.count("*").alias("n"), *(f(c).alias(f"{c}{k}") for c in "uv" for k, f in enumerate((F.min, F.max)))).first()
+    none = points.sparkSession.createDataFrame([], "j int, i int, x double, y double, z double")
+    if not b["n"] or b["u1"] - b["u0"] < 2 or b["v1"] - b["v0"] < 2:
+        return none
+    wide, high = b["u1"] - b["u0"], b["v1"] - b["v0"]
+    for halved in range(4):
+        size = step / 2**halved
+        w, h = (min(NODES, max(2, int(x / size) + 2)) for x in (wide, high))
+        if w * h < 128 and halved < 3:
+            continue
+        kernel = max(KERNEL_STEPS * size, KERNEL_GAPS * max(1.0, wide * high / b["n"]) ** 0.5)
+        reach, du, dv = KERNEL_REACH * kernel, wide / (w - 1), high / (h - 1)
+        near = lambda c, lo, d, n: F.explode(F.sequence(F.greatest(F.lit(0), F.ceil((F.col(c) - reach - lo) / d) - 1), F.least(F.lit(n - 1), F.floor((F.col(c) + reach - lo) / d) + 1)))  # noqa: E731, B023
+        sent = local.withColumn("i", near("u", b["u0"], du, w)).withColumn("j", near("v", b["v0"], dv, h))
+        sent = sent.select(F.col("j").cast("int").alias("j"), F.col("i").cast("int").alias("i"), (F.col("u") - (b["u0"] + wide * F.col("i") / (w - 1))).alias("p"), (F.col("v") - (b["v0"] + high * F.col("j") / (h - 1))).alias("q"), "w")
+        d2 = F.col("p") * F.col("p") + F.col("q") * F.col("q")
+        sent = sent.where(d2 <= reach * reach).withColumn("k", F.exp(-d2 / (2 * kernel * kernel)))
+        sums = {"a": "k", "p": "k * p", "q": "k * q", "pp": "k * p * p", "pq": "k * p * q", "qq": "k * q * q", "b0": "k * w", "b1": "k * p * w", "b2": "k * q * w"}
+        node = sent.groupBy("j", "i").agg(*(F.sum(F.expr(e)).alias(n) for n, e in sums.items())).where(F.col("a") >= LEAST_WEIGHT)
+        det = F.expr("a * (pp * qq - pq * pq) - p * (p * qq - pq * q) + q * (p * pq - pp * q)")
+        fit = F.expr("b0 * (pp * qq - pq * pq) - p * (b1 * qq - pq * b2) + q * (b1 * pq - pp * b2)") / det
+        node = cut(node.select("j", "i", F.when(F.abs(det) > 1e-9 * (F.col("a") + 1), fit).otherwise(F.col("b0") / F.col("a")).alias("w")))
+        many = node.count()
+        if many >= 100 or halved == 3:
+            break
+    if many < 16:
+        return none
+    at = [b["u0"] + wide * F.col("i") / (w - 1), b["v0"] + high * F.col("j") / (h - 1), F.col("w")]
+    return node.select("j", "i", *(sum((t * axis[k] for t, axis in zip(at, axes, strict=True)), F.lit(float(o))).alias(c) for k, (c, o) in enumerate(zip(XYZ, origin, strict=True))))
 
 
 def lattice_resampled(uv: DataFrame, step: float = 1.0) -> DataFrame:
@@ -229,6 +261,44 @@ def shifted(cells: DataFrame, dj: int, di: int) -> DataFrame:
     return cells.withColumns({"j": (F.col("j") + dj).cast("int"), "i": (F.col("i") + di).cast("int")})
 
 
+#: Fixed values of suspects: confidence under which, and error of winding over which a cell is one; the core about a correction.
+LEAST_CONFIDENCE, MOST_ERROR, CORE = 0.5, 0.3, 2
+
+
+def reopened(cells: DataFrame, corrections: DataFrame, height: int, width: int, radius: int = 8, reach: float = 100.0) -> DataFrame:
+    """Cells (seg_id, j, i) about ``corrections(pt_id, x, y, z)`` that are to be grown anew, of ``cells`` with ``conf`` and ``werr``.
+
+    About the cell nearest to a correction (within ``reach``; ties by key) the flood takes the cells that
+    are within ``CORE`` or suspect, and connected with it over such cells within ``radius``. A correction
+    whose flood comes next to the rim of the grid opens nothing. Floods are components of the cells that
+    each correction allows, at most (2 radius + 1)**2 of them.
+    """
+    from lamina.operators.graph import least_of_component
+    from lamina.operators.index import nearest
+
+    radius, side = max(3, radius), 2 * max(3, radius) + 1
+    at = nearest(corrections, cells, reach, step=1).select("seg_id", F.col("j").alias("cj"), F.col("i").alias("ci")).distinct()
+    at = cut(at.withColumn("k", F.monotonically_increasing_id()))
+    box = at.withColumn("dj", F.explode(F.sequence(F.lit(-radius), F.lit(radius)))).withColumn("di", F.explode(F.sequence(F.lit(-radius), F.lit(radius))))
+    box = box.select("k", "seg_id", (F.col("cj") + F.col("dj")).alias("j"), (F.col("ci") + F.col("di")).alias("i"), "dj", "di")
+    core = F.greatest(F.abs("dj"), F.abs("di")) <= CORE
+    open_ = box.join(cells.select(*CELL, "conf", "werr"), list(CELL)).where(core | (F.col("conf") < LEAST_CONFIDENCE) | (F.col("werr") > MOST_ERROR))
+    node = lambda dj, di: F.col("k") * (side * side) + (F.col("dj") + dj + radius) * side + F.col("di") + di + radius
+    open_ = cut(open_.select("k", *CELL, node(0, 0).alias("u"), ((F.col("dj") == 0) & (F.col("di") == 0)).alias("centre"), F.array(F.when(F.col("di") < radius, node(0, 1)), F.when(F.col("dj") < radius, node(1, 0))).alias("next")))
+    links = open_.select(F.col("u").alias("v"), F.explode("next").alias("n")).where("n is not null").join(open_.select(F.col("u").alias("n")), "n").select(F.col("n").alias("u"), "v")
+    label = least_of_component(links).withColumnRenamed("v", "c")
+    named = cut(open_.join(label, "u", "left").select("k", *CELL, "centre", F.coalesce("c", "u").alias("c")))
+    flood = cut(named.join(named.where("centre").select("c"), "c", "left_semi"))
+    rim = flood.where((F.col("i") <= 1) | (F.col("j") <= 1) | (F.col("i") >= width - 2) | (F.col("j") >= height - 2)).select("k").distinct()
+    return flood.join(rim, "k", "left_anti").select(*CELL).distinct()
+
+
+def reoptimised(cells: DataFrame, corrections: DataFrame, targets: DataFrame, height: int, width: int, step: float, snap: float, radius: int = 8, reach: float = 100.0) -> DataFrame:
+    """Cells (seg_id, j, i, x, y, z, gen) with the regions about the corrections emptied and grown again within themselves, over at most ``radius + 5`` generations; all others as they were, with ``gen`` 0."""
+    region = cut(reopened(cells, corrections, height, width, radius, reach))
+    return grown(cells.join(region, list(CELL), "left_anti"), targets, height, width, radius + 5, step, snap, region)
+
+
 def regrown(cells: DataFrame, suspects: DataFrame, targets: DataFrame, height: int, width: int, generations: int, step: float, reach: float) -> DataFrame:
     """Surface with the suspect cells, and set ones that touch them, emptied and grown again from the rest."""
     o = F.array(*(F.struct(F.lit(a).alias("dj"), F.lit(b).alias("di")) for a in (-1, 0, 1) for b in (-1, 0, 1)))

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lamina.functions.derive import surface_points, voxels, with_sql
+from lamina.functions.derive import query_points, surface_points, voxels, with_sql
 from lamina.operators import folds as fo
+from lamina.operators import solve as so
 from lamina.operators import stencil as st
 from lamina.operators import wraps as wr
 from lamina.plans.points import _O4, _scaled, _sqls
-from lamina.plans.surfaces import QUAD
+from lamina.plans.surfaces import QUAD, WIDE, _wide
 from lamina.plans.volumes import DISTANCE
 
 GAP, ROUNDS = 10, 3
@@ -176,3 +177,45 @@ def _excised(s, d):
 
 
 QUERIES["i10_fold_arms"] = (_excised, _folds_sql())
+
+
+RADIUS, FAR, PICK = 4, 60.0, 1.5
+
+
+def _judged(s, d):
+    """The surfaces with confidences and errors of winding from their positions."""
+    return surface_points(s, d).withColumns({"conf": F.col("z") % 10 / 10 + 0.2, "werr": F.col("x") % 5 / 10})
+
+
+_REOPENED = f"""c AS (SELECT seg_id, j, i, z % 10 / 10 + 0.2e0 AS conf, x % 5 / 10 AS werr, x, y, z FROM sp), {WIDE},
+n AS (SELECT pt_id, c.seg_id, c.j, c.i, row_number() OVER (PARTITION BY pt_id ORDER BY (w.x - c.x) * (w.x - c.x) + (w.y - c.y) * (w.y - c.y) + (w.z - c.z) * (w.z - c.z), c.seg_id, c.j, c.i) AS k
+ FROM wide w JOIN c ON (w.x - c.x) * (w.x - c.x) + (w.y - c.y) * (w.y - c.y) + (w.z - c.z) * (w.z - c.z) <= {FAR * FAR}),
+ctr AS (SELECT DISTINCT seg_id, j AS cj, i AS ci FROM n WHERE k = 1), {_O4},
+fl AS (SELECT seg_id, cj, ci, cj AS j, ci AS i FROM ctr UNION SELECT f.seg_id, f.cj, f.ci, c.j, c.i FROM fl f, o JOIN c ON c.seg_id = f.seg_id AND c.j = f.j + dj AND c.i = f.i + di
+ WHERE greatest(abs(c.j - f.cj), abs(c.i - f.ci)) <= {RADIUS} AND (greatest(abs(c.j - f.cj), abs(c.i - f.ci)) <= 2 OR conf < 0.5 OR werr > 0.3)),
+bad AS (SELECT DISTINCT seg_id, cj, ci FROM fl WHERE i <= 1 OR j <= 1 OR i >= 48 OR j >= 8)
+SELECT DISTINCT seg_id, j, i FROM fl WHERE NOT EXISTS (SELECT 1 FROM bad WHERE bad.seg_id = fl.seg_id AND bad.cj = fl.cj AND bad.ci = fl.ci)"""
+
+
+def _picked_sql() -> str:
+    """Moving least squares at every node, over the plane of x and y."""
+    size = f"max(x) - min(x) AS wu, max(y) - min(y) AS wv, min(x) AS u0, min(y) AS v0, count(*) AS n, {PICK} AS size"
+    k = "exp(-(p * p + q * q) / (2 * kn * kn))"
+    sums = {"a": "k", "p": "k * p", "q": "k * q", "pp": "k * p * p", "pq": "k * p * q", "qq": "k * q * q", "b0": "k * z", "b1": "k * p * z", "b2": "k * q * z"}
+    det = "(a * (pp * qq - pq * pq) - p * (p * qq - pq * q) + q * (p * pq - pp * q))"
+    return with_sql(
+        "qp",
+        f""", b AS (SELECT *, CAST(least(1024, floor(wu / size) + 2) AS INT) AS w, CAST(least(1024, floor(wv / size) + 2) AS INT) AS h, greatest(3 * size, 1.5e0 * sqrt(greatest(1, wu * wv / n))) AS kn FROM (SELECT {size} FROM qp)),
+nd AS MATERIALIZED (SELECT b.*, a.k AS i, c.k AS j, u0 + wu * a.k / (w - 1) AS gu, v0 + wv * c.k / (h - 1) AS gv FROM b, (SELECT unnest(range(0, 64)) AS k) a, (SELECT unnest(range(0, 64)) AS k) c WHERE a.k < w AND c.k < h),
+pr AS (SELECT j, i, kn, gu, gv, x - gu AS p, y - gv AS q, z FROM nd JOIN qp ON (x - gu) * (x - gu) + (y - gv) * (y - gv) <= 9 * kn * kn),
+s AS (SELECT j, i, any_value(gu) AS gu, any_value(gv) AS gv, {', '.join(f'sum({e}) AS {n}' for n, e in sums.items())} FROM (SELECT *, {k} AS k FROM pr) GROUP BY 1, 2),
+f AS (SELECT *, CASE WHEN abs({det}) > 1e-9 * (a + 1) THEN (b0 * (pp * qq - pq * pq) - p * (b1 * qq - pq * b2) + q * (b1 * pq - pp * b2)) / {det} ELSE b0 / a END AS z FROM s WHERE a >= 0.35e0)
+SELECT CAST(j AS INT) AS j, CAST(i AS INT) AS i, {_sqls('gu', 'x', 3)}, {_sqls('gv', 'y', 3)}, {_sqls('z', 'z', 3)} FROM f""",
+    )
+
+
+QUERIES |= {
+    "i13_reopened": (lambda s, d: so.reopened(_judged(s, d), _wide(s, d), 10, 50, RADIUS, FAR), with_sql("sp qp", "").replace("WITH ", "WITH RECURSIVE ", 1) + ", " + _REOPENED),
+    "i13_reoptimised": (lambda s, d: so.reoptimised(_judged(s, d), _wide(s, d), surface_points(s, d).where("z % 3 > 0"), 10, 50, 20.0, 12.0, RADIUS, FAR), None),
+    "i21_picked_surface": (lambda s, d: so.picked_surface(query_points(s, d), (0.0, 0.0, 0.0), ((1.0, 0.0, 0.0), (0.0, 1.0, 0.0), (0.0, 0.0, 1.0)), PICK).select("j", "i", *(_scaled(c, 3) for c in "xyz")), _picked_sql()),
+}

@@ -63,13 +63,41 @@ def test_registration_finds_a_shift(spark):
     assert np.abs(x - [10, 8, 9]).max() < 0.3
 
 
-def test_picked_surface_passes_through_a_plane():
+def test_picked_surface_passes_through_a_plane(spark):
     rng = np.random.default_rng(1)
     p = rng.uniform(0, 50, (60, 2))
-    pts = np.column_stack((p, 0.3 * p[:, 0] + 5))
-    g = solve.picked_surface(pts, 5.0, 6.0)
-    ok = ~np.isnan(g[..., 0])
-    assert ok.any() and np.abs(g[ok][:, 2] - 0.3 * g[ok][:, 0] - 5).max() < 0.05
+    pts = spark.createDataFrame([(float(x), float(y), 0.3 * float(x) + 5) for x, y in p], "x double, y double, z double")
+    origin, axes = solve.principal_frame(pts)
+    assert np.abs(np.array(axes) @ np.array(axes).T - np.eye(3)).max() < 1e-9
+    assert abs(abs(np.dot(axes[2], [-0.3, 0, 1])) - math.sqrt(1.09)) < 1e-6  # the least axis is the plane's normal
+    got = solve.picked_surface(pts, origin, axes, 5.0).collect()
+    assert len(got) >= 100 and len({(r["j"], r["i"]) for r in got}) == len(got)
+    assert max(abs(r["z"] - 0.3 * r["x"] - 5) for r in got) < 1e-6
+
+
+def test_picked_surface_needs_points_that_span_a_plane(spark):
+    kind = "x double, y double, z double"
+    frame = (0.0, 0.0, 0.0), ((1.0, 0.0, 0.0), (0.0, 1.0, 0.0), (0.0, 0.0, 1.0))
+    assert solve.picked_surface(spark.createDataFrame([], kind), *frame, 5.0).count() == 0
+    assert solve.picked_surface(spark.createDataFrame([(float(k), 0.0, 1.0) for k in range(50)], kind), *frame, 5.0).count() == 0
+
+
+def test_reopened_regions_are_grown_again_and_the_rest_stays(spark):
+    """A dent of low confidence in a plane, and a correction on it: the dent comes out flat, all else as it was. A correction by the rim opens nothing."""
+    dent = lambda j, i: 8 <= j <= 11 and 8 <= i <= 12
+    rows = [(0, j, i, 5.0 * i, 5.0 * j, 11.5 if dent(j, i) else 10.0, 0.2 if dent(j, i) or i > 21 else 0.9, 0.0) for j in range(24) for i in range(24)]
+    cells = spark.createDataFrame(rows, "seg_id int, j int, i int, x double, y double, z double, conf double, werr double")
+    pts = spark.createDataFrame([(1, 51.0, 49.0, 12.0), (2, 112.0, 60.0, 10.0), (3, 900.0, 0.0, 0.0)], "pt_id long, x double, y double, z double")
+    core = {(j, i) for j in range(24) for i in range(24) if dent(j, i)}
+    core |= {(j, i) for j in range(8, 13) for i in range(8, 13)}
+    assert {(r["j"], r["i"]) for r in solve.reopened(cells, pts, 24, 24, 5, 20.0).collect()} == core
+    targets = spark.createDataFrame([(float(x), float(y), 10.0) for x in range(120) for y in range(120)], "x double, y double, z double")
+    out = {(r["j"], r["i"]): r for r in solve.reoptimised(cells, pts, targets, 24, 24, 5.0, 2.0, 5, 20.0).collect()}
+    assert len(out) == len(rows)
+    for _, j, i, x, y, z, _, _ in rows:
+        r = out[j, i]
+        assert r["z"] == 10.0 and abs(r["x"] - x) < 1.01 and (r["gen"] > 0) == ((j, i) in core)
+        assert (j, i) in core or (r["x"], r["y"], r["z"]) == (x, y, z)
 
 
 def test_lattice_of_an_identity_embedding(spark):
