@@ -175,12 +175,15 @@ def gap_fill(solid: DataFrame, axis: str, shape: Sequence[int], most: int = 2) -
 def _edt_lines(values: np.ndarray) -> np.ndarray:
     """Along the last axis: min over p of (q - p)**2 + f(p), exactly."""
     n = values.shape[-1]
-    d = (np.arange(n)[:, None] - np.arange(n)[None]) ** 2
-    return (values[..., None, :] + d).min(-1)
+    out = values.copy()
+    for k in range(1, n):  # all pairs that are k apart
+        np.minimum(out[..., k:], values[..., :-k] + k * k, out=out[..., k:])
+        np.minimum(out[..., :-k], values[..., k:] + k * k, out=out[..., :-k])
+    return out
 
 
-def distance_transform(solid: DataFrame, shape: Sequence[int], core: int = CORE, border: int = 16, clip: int = 255) -> DataFrame:
-    """Squared distance to the nearest solid voxel within ``border`` of each core block, clipped; a block without any reads ``clip``. Blocks are independent, with a halo each."""
+def distance_transform(solid: DataFrame, shape: Sequence[int], core: int = 64, border: int = 16, clip: int = 255) -> DataFrame:
+    """Squared distance to the nearest solid voxel within ``border`` of each core block, clipped; a block without any reads ``clip``. Blocks are independent, with a halo each: a voxel goes to 3.4 of them on average."""
 
     def run(a: np.ndarray) -> dict[str, np.ndarray]:
         f = np.where(a > 0, 0, 1 << 20).astype(np.int64)

@@ -27,9 +27,9 @@ def _raw(s, d):
 
 
 def _shards(s, d):
-    """Chunks of 4 cubed in shards of 2 cubed, of the brightest voxels: present and missing ones."""
+    """Chunks of 4 cubed in shards of 2 cubed: present ones, and missing ones where the volume has no voxel."""
     path = room(s, "shards")
-    volumes.write_shards(voxels(s, d).where("v >= 245"), path, 4, 2)
+    volumes.write_shards(voxels(s, d), path, 4, 2)
     part = lambda c: F.regexp_extract("file", rf"{c}([0-9]+)[_.]", 1).cast("int")
     return volumes.shard_chunks(s, path, 2).select(*(part(c).alias("s" + c) for c in "zyx"), "cz", "cy", "cx", "status", "data")
 
@@ -68,10 +68,10 @@ def _zarr(s, d):
 
 
 def _mirror(s, d):
-    """Chunks of 4 cubed that hold a brightest voxel, markers for the others of the lower half."""
+    """Chunks of 4 cubed that hold a voxel, markers for the others of the lower half."""
     path = room(s, "mirror")
     known = s.range(256).select((F.expr("id div 64")).cast("int").alias("cz"), F.expr("cast(id div 8 % 8 as int)").alias("cy"), (F.col("id") % 8).cast("int").alias("cx"))
-    volumes.write_mirror(voxels(s, d).where("v = 250"), path, 4, known)
+    volumes.write_mirror(voxels(s, d), path, 4, known)
     return volumes.mirror_status(s, path, (8, 8, 8)).select("cz", "cy", "cx", "status", F.length("data").alias("bytes"))
 
 
@@ -191,7 +191,7 @@ def _populated(s, d):
     return so.populated(grid, FIT, (5.0, 7.0), 100.0).select("seg_id", "j", "i", *(_scaled(c) for c in _AX))
 
 
-_SHARDS = """c AS (SELECT DISTINCT z // 4 AS z, y // 4 AS y, x // 4 AS x FROM voxel WHERE v >= 245),
+_SHARDS = """c AS (SELECT DISTINCT z // 4 AS z, y // 4 AS y, x // 4 AS x FROM voxel),
 k AS (SELECT s.sz, s.sy, s.sx, a.k AS cz, b.k AS cy, e.k AS cx FROM (SELECT DISTINCT z // 2 AS sz, y // 2 AS sy, x // 2 AS sx FROM c) s, (VALUES (0), (1)) a(k), (VALUES (0), (1)) b(k), (VALUES (0), (1)) e(k))"""
 
 QUERIES = {
@@ -200,7 +200,7 @@ QUERIES = {
         lambda s, d: _shards(s, d).drop("data"),
         with_sql("voxel", f", {_SHARDS} SELECT CAST(sz AS INT) AS sz, CAST(sy AS INT) AS sy, CAST(sx AS INT) AS sx, cz, cy, cx, CASE WHEN c.z IS NULL THEN 'missing' ELSE 'present' END AS status FROM k LEFT JOIN c ON c.z = sz * 2 + cz AND c.y = sy * 2 + cy AND c.x = sx * 2 + cx"),
     ),
-    "s5_k12_shard_decode": (_decoded, with_sql("voxel", "SELECT * FROM voxel WHERE v >= 245")),
+    "s5_k12_shard_decode": (_decoded, with_sql("voxel", "SELECT * FROM voxel")),
     "k1_k13_brick_store": (_bricks, with_sql("voxel", "SELECT * FROM voxel WHERE z >= 3 AND z < 21 AND y >= 2 AND y < 30 AND x >= 2 AND x < 27")),
     "s7_k2_level_manifest": (
         _levels,
@@ -209,7 +209,7 @@ QUERIES = {
     "s10_zarr_metadata": (_zarr, with_sql("voxel", "SELECT " + ", ".join(f"CAST(max({c}) + 1 AS INT) AS n{c}" for c in "zyx") + ", 16 AS chunk, '|u1' AS dtype, 0 AS fill_value FROM voxel")),
     "s11_mirror_status": (
         _mirror,
-        with_sql("voxel", ", r AS (SELECT unnest(range(0, 8)) AS k), g AS (SELECT CAST(a.k AS INT) AS cz, CAST(b.k AS INT) AS cy, CAST(e.k AS INT) AS cx FROM r a, r b, r e), c AS (SELECT DISTINCT z // 4 AS z, y // 4 AS y, x // 4 AS x FROM voxel WHERE v = 250) SELECT cz, cy, cx, CASE WHEN c.z IS NOT NULL THEN 'data' WHEN cz < 4 THEN 'absent' ELSE 'pending' END AS status, CASE WHEN c.z IS NOT NULL THEN 64 END AS bytes FROM g LEFT JOIN c ON c.z = cz AND c.y = cy AND c.x = cx"),
+        with_sql("voxel", ", r AS (SELECT unnest(range(0, 8)) AS k), g AS (SELECT CAST(a.k AS INT) AS cz, CAST(b.k AS INT) AS cy, CAST(e.k AS INT) AS cx FROM r a, r b, r e), c AS (SELECT DISTINCT z // 4 AS z, y // 4 AS y, x // 4 AS x FROM voxel) SELECT cz, cy, cx, CASE WHEN c.z IS NOT NULL THEN 'data' WHEN cz < 4 THEN 'absent' ELSE 'pending' END AS status, CASE WHEN c.z IS NOT NULL THEN 64 END AS bytes FROM g LEFT JOIN c ON c.z = cz AND c.y = cy AND c.x = cx"),
     ),
     "s14_tiff_surface": (_tiff, with_sql("sp", "SELECT 'seg' || seg_id AS name, j, i, x, y, z FROM sp")),
     "s15_k3_segment_store": (lambda s, d: _store(s, d)[0], with_sql("sp", "SELECT CAST(seg_id AS VARCHAR) AS seg_id, j, i, CASE WHEN seg_id % 2 = 0 THEN x ELSE x + 1000 END AS x, y, z FROM sp")),

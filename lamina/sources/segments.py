@@ -90,6 +90,8 @@ def pack(spark: SparkSession, store: str, new: DataFrame, tile: int = 16) -> Non
     """
     sp = new.select(F.col("name").alias("seg_id"), "j", "i", *(F.col(c).cast("double").alias(c) for c in "xyz"))
     points, index = sp, su.tile_boxes(su.tiles(sp, tile), su.bounds(sp))
+    for part in ("points", "tiles"):
+        recover(spark, f"{store}/{part}")
     if _there(spark, f"{store}/points"):
         names = sp.select("seg_id").distinct()
         points = spark.read.parquet(f"{store}/points").join(names, "seg_id", "left_anti").unionByName(points)
@@ -103,17 +105,34 @@ def _there(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
+def recover(spark: SparkSession, path: str) -> None:
+    """Puts the old table back where a crash came between its moving aside and the new one's taking its place."""
+    jpath = spark._jvm.org.apache.hadoop.fs.Path
+    fs = jpath(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(jpath(path)) and fs.exists(jpath(f"{path}.old")) and not fs.rename(jpath(f"{path}.old"), jpath(path)):
+        raise OSError(f"{path}.old couldn't be renamed")
+
+
 def publish(df: DataFrame, path: str) -> None:
-    """Writes a table to a new folder beside ``path`` and then renames it, so that a failed write leaves the old table whole."""
+    """Writes a table to a new folder beside ``path``, moves the old table aside, puts the new one in its place and only then removes the old one.
+
+    There is a whole table at any time, at ``path`` or at ``path``.old, from where ``recover`` puts it back.
+    """
     spark = df.sparkSession
     jpath = spark._jvm.org.apache.hadoop.fs.Path
-    staged = f"{path}.{uuid.uuid4().hex}"
+    staged, old = f"{path}.{uuid.uuid4().hex}", f"{path}.old"
+    recover(spark, path)
     df.write.parquet(staged)
     fs = jpath(path).getFileSystem(spark._jsc.hadoopConfiguration())
     if fs.exists(jpath(path)):
-        fs.delete(jpath(path), True)
+        if fs.exists(jpath(old)):
+            fs.delete(jpath(old), True)
+        if not fs.rename(jpath(path), jpath(old)):
+            raise OSError(f"{path} couldn't be renamed")
     if not fs.rename(jpath(staged), jpath(path)):
         raise OSError(f"{staged} couldn't be renamed")
+    if fs.exists(jpath(old)):
+        fs.delete(jpath(old), True)
 
 
 def save_labels(spark: SparkSession, lab: DataFrame, path: str, saved_gen: int, brick: int = 128) -> None:

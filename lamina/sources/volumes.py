@@ -16,12 +16,14 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyarrow import fs as stores
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from lamina.operators.volume import ZYX
+from lamina.session import saved
 from lamina.sources.files import write_files
 
 MISSING = (1 << 64) - 1
@@ -75,51 +77,118 @@ def write_raw(v: DataFrame, path: str, shape: Sequence[int]) -> None:
 
 
 @functools.cache
-def _crc_table() -> list[int]:
-    out = []
-    for n in range(256):
-        for _ in range(8):
-            n = n >> 1 ^ (0x82F63B78 if n & 1 else 0)
-        out.append(n)
+def _crc_table() -> np.ndarray:
+    out = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        out = np.where(out & 1, out >> 1 ^ np.uint32(0x82F63B78), out >> 1)
     return out
 
 
+def _mapped(images: np.ndarray, register: np.ndarray) -> np.ndarray:
+    """Registers under a linear map, given by the images of single bits."""
+    out = np.zeros_like(register)
+    for bit in range(32):
+        out ^= np.where(register >> np.uint32(bit) & np.uint32(1), images[bit], np.uint32(0))
+    return out
+
+
+@functools.cache
+def _zeros(n: int) -> np.ndarray:
+    """What ``n`` zero bytes do to a register, as images of single bits."""
+    bits = np.uint32(1) << np.arange(32, dtype=np.uint32)
+    out, square = bits, _crc_table()[bits & np.uint32(255)] ^ bits >> np.uint32(8)
+    while n:
+        out = _mapped(square, out) if n & 1 else out
+        square, n = _mapped(square, square), n >> 1
+    return out
+
+
+#: Parts that a long input is cut into; their checks are made side by side and then combined.
+LANES = 1024
+
+
 def crc32c(data: bytes) -> int:
     """CRC-32 with the Castagnoli polynomial."""
-    table, c = _crc_table(), 0xFFFFFFFF
-    for b in data:
-        c = table[(c ^ b) & 255] ^ c >> 8
+    table, every = _crc_table(), np.frombuffer(data, np.uint8)
+    width = len(every) // LANES
+    c = np.uint32(0xFFFFFFFF)
+    if width >= 16:
+        lanes = np.ascontiguousarray(every[: LANES * width].reshape(LANES, width).T)
+        registers = np.zeros(LANES, np.uint32)
+        registers[0] = c
+        for column in lanes:
+            registers = table[(registers ^ column) & np.uint32(255)] ^ registers >> np.uint32(8)
+        step, count = width, LANES
+        while count > 1:  # neighbours are joined: the left one goes over the right one's bytes
+            registers = _mapped(_zeros(step), registers[0::2]) ^ registers[1::2]
+            step, count = 2 * step, count // 2
+        c, every = registers[0], every[LANES * width :]
+    c, plain = int(c), table.tolist()
+    for b in every.tolist():
+        c = plain[(c ^ b) & 255] ^ c >> 8
     return c ^ 0xFFFFFFFF
 
 
+def shard_index(places: np.ndarray) -> bytes:
+    """The end of a shard file: where each chunk is and how long (rows of two, ``MISSING`` where there is none), and the check of that."""
+    table = places.astype("<u8").tobytes()
+    return table + struct.pack("<I", crc32c(table))
+
+
 def shard_bytes(chunks: dict[tuple[int, int, int], bytes], side: int) -> bytes:
-    """A shard file of the given chunk payloads."""
-    body, index = b"", []
-    for z in range(side):
-        for y in range(side):
-            for x in range(side):
-                p = chunks.get((z, y, x))
-                index.append(struct.pack("<QQ", MISSING, MISSING) if p is None else struct.pack("<QQ", len(body), len(p)))
-                body += p or b""
-    table = b"".join(index)
-    return body + table + struct.pack("<I", crc32c(table))
+    """A small shard file of the given chunk payloads."""
+    places, body, at = np.full((side**3, 2), MISSING, np.uint64), [], 0
+    for (z, y, x), data in sorted(chunks.items()):
+        places[(z * side + y) * side + x] = at, len(data)
+        body.append(data)
+        at += len(data)
+    return b"".join(body) + shard_index(places)
+
+
+#: Bytes of voxels in a batch of chunks.
+CHUNK_BATCH = 64 << 20
 
 
 def write_shards(v: DataFrame, path: str, edge: int, side: int) -> None:
-    """Shard files z*_y*_x*.shard of a volume's chunks of ``edge`` cubed, ``side`` cubed chunks a shard; chunks without a voxel are missing, shards without any aren't written."""
+    """Shard files z*_y*_x*.shard of a volume's chunks of ``edge`` cubed, ``side`` cubed chunks a shard; chunks without a voxel are missing, shards without any aren't written.
 
-    def run(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
-        chunks = {}
-        for at, part in g.groupby(["cz", "cy", "cx"]):
-            a = np.zeros((edge,) * 3, np.uint8)
-            a[part["z"] % edge, part["y"] % edge, part["x"] % edge] = part["v"]
-            chunks[tuple(int(k) for k in at)] = encode_chunk(a)
-        return pd.DataFrame([("z{}_y{}_x{}.shard".format(*key), shard_bytes(chunks, side))], columns=["name", "data"])
+    A chunk's voxels come together, never a shard's: chunks are sorted by shard and number, go to the
+    file as they come, and only their places are held until the shard's index ends it.
+    """
 
+    def one(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
+        a = np.zeros((edge,) * 3, np.uint8)
+        a[g["z"] % edge, g["y"] % edge, g["x"] % edge] = g["v"]
+        return pd.DataFrame([("z{}_y{}_x{}.shard".format(*key[:3]), (key[3] * side + key[4]) * side + key[5], encode_chunk(a))], columns=["name", "k", "data"])
+
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, at, places = None, 0, np.full((side**3, 2), MISSING, np.uint64)
+        batch = lambda names, parts: pa.RecordBatch.from_pydict({"name": pa.array(names, pa.string()), "data": pa.array(parts, pa.binary())})
+        for b in batches:
+            for own, k, data in zip(b.column("name").to_pylist(), b.column("k").to_pylist(), b.column("data"), strict=True):
+                if own != name:
+                    if name is not None:
+                        yield batch([name], [shard_index(places)])
+                    name, at = own, 0
+                    places[:] = MISSING
+                data = data.as_py()
+                places[k] = at, len(data)
+                at += len(data)
+                yield batch([own], [data])
+        if name is not None:
+            yield batch([name], [shard_index(places)])
+
+    spark, conf = v.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
     keys = [F.expr(f"cast({c} div {edge * side} as int)").alias("s" + c) for c in ZYX]
     own = [F.expr(f"cast({c} div {edge} % {side} as int)").alias("c" + c) for c in ZYX]
-    files = v.where("v > 0").select(*ZYX, "v", *keys, *own).groupBy("sz", "sy", "sx").applyInPandas(run, "name string, data binary")
-    write_files(files, path)
+    chunks = v.where("v > 0").select(*ZYX, "v", *keys, *own).groupBy("sz", "sy", "sx", "cz", "cy", "cx").applyInPandas(one, "name string, k int, data binary")
+    chunks = saved(chunks)  # so that the sort moves payloads, and a voxel is read once
+    usual = spark.conf.get(conf)
+    spark.conf.set(conf, max(1, min(int(usual) or 10_000, CHUNK_BATCH // edge**3)))
+    try:
+        write_files(chunks.repartition("name").sortWithinPartitions("name", "k").mapInArrow(stream, "name string, data binary"), path)
+    finally:
+        spark.conf.set(conf, usual)
 
 
 class ShardSource(DataSource):

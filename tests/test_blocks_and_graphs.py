@@ -95,3 +95,13 @@ def test_a_segment_that_is_gone_has_a_stale_map(spark):
     sp = spark.createDataFrame([(0, j, i) for j in range(3) for i in range(4)], "seg_id int, j int, i int")
     maps = spark.createDataFrame([(0, 4, 3, 12), (1, 4, 3, 12), (0, 4, 3, 11)], "seg_id int, gw int, gh int, nvalid long")
     assert sorted((r["seg_id"], r["nvalid"]) for r in quality.stale_maps(maps, sp).collect()) == [(0, 11), (1, 12)]
+
+
+def test_distances_over_several_blocks_equal_brute_force(spark):
+    rng = np.random.default_rng(9)
+    shape = (70, 9, 66)
+    solid = np.unique(np.stack([rng.integers(0, n, 60) for n in shape], 1), axis=0)
+    got = stencil.distance_transform(spark.createDataFrame([tuple(map(int, p)) for p in solid], "z int, y int, x int"), shape).toPandas()
+    at = got[["z", "y", "x"]].to_numpy()
+    want = np.minimum(((at[:, None] - solid[None]) ** 2).sum(2).min(1), 255)
+    assert len(got) == np.prod(shape) and (got["d2"].to_numpy() == want).all()

@@ -4,8 +4,9 @@ import json
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from lamina.sources import sidecars, volumes
+from lamina.sources import segments, sidecars, volumes
 
 
 def values(df, *cols):
@@ -136,3 +137,44 @@ def test_labels_of_another_volume_are_an_error(spark, tmp_path):
     assert segments.load_labels(spark, f"file://{tmp_path}/lab", (2, 2, 10)).count() == 1
     with pytest.raises(Exception, match="don't fit"):
         segments.load_labels(spark, f"file://{tmp_path}/lab", (2, 2, 9)).collect()
+
+
+def test_crc_of_long_inputs_is_that_of_the_plain_loop():
+    rng = np.random.default_rng(6)
+    for n in (16 * volumes.LANES - 1, 16 * volumes.LANES, 17 * volumes.LANES + 5, 200_001):
+        data, c = rng.integers(0, 256, n, np.uint8).tobytes(), 0xFFFFFFFF
+        for b in data:
+            c ^= b
+            for _ in range(8):
+                c = c >> 1 ^ (0x82F63B78 if c & 1 else 0)
+        assert volumes.crc32c(data) == c ^ 0xFFFFFFFF
+
+
+def test_shards_are_streamed_chunk_by_chunk(spark, tmp_path, monkeypatch):
+    """Several shards, some of their chunks missing, in batches of one chunk: all voxels come back, and the setting of batches is as before."""
+    monkeypatch.setattr(volumes, "CHUNK_BATCH", 1)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    rng = np.random.default_rng(7)
+    at = np.unique(rng.integers(0, 24, (300, 3)), axis=0)
+    rows = [(*map(int, p), int(v)) for p, v in zip(at, rng.integers(1, 256, len(at)), strict=True)]
+    volumes.write_shards(spark.createDataFrame(rows, "z int, y int, x int, v int").repartition(5), f"file://{tmp_path}", 4, 2)
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+    chunks = volumes.shard_chunks(spark, f"file://{tmp_path}", 2)
+    names = {(z // 8, y // 8, x // 8) for z, y, x, _ in rows}
+    assert chunks.count() == 8 * len(names) and {r["status"] for r in chunks.select("status").distinct().collect()} == {"present", "missing"}
+    part = lambda c: F.regexp_extract("file", rf"{c}([0-9]+)[_.]", 1).cast("int")
+    back = volumes.decoded_chunks(chunks.select(*((part(c) * 2 + F.col("c" + c)).alias("c" + c) for c in "zyx"), "status", "data"), 4)
+    assert sorted(map(tuple, back.collect())) == sorted(rows)
+
+
+def test_a_crash_between_two_renames_loses_nothing(spark, tmp_path):
+    path = f"{tmp_path}/table"
+    segments.publish(spark.range(3), path)
+    segments.publish(spark.range(5), path)
+    assert spark.read.parquet(path).count() == 5 and not (tmp_path / "table.old").exists()
+    (tmp_path / "table").rename(tmp_path / "table.old")  # as after a crash
+    segments.recover(spark, path)
+    assert spark.read.parquet(path).count() == 5
+    (tmp_path / "table").rename(tmp_path / "table.old")
+    segments.publish(spark.range(7), path)
+    assert spark.read.parquet(path).count() == 7 and not (tmp_path / "table.old").exists()
