@@ -13,10 +13,12 @@ and nothing is matched by recursion. Positions come from splitting a text at its
 summed along the matches of one text (positions, the words before, how far spans reach) is summed
 in blocks, so a text that is nothing but addresses costs little more than its length.
 
-A pattern must have found three different seeds, and one in ``SUPPORT`` of all pairs of a context
-and a seed of its kind. So there are ``SUPPORT`` patterns of a kind at most, however large the
-corpus is, and they can be broadcast to count their words in all documents; and words that precede
-seeds by chance, as they precede everything, reach the share no more easily in a larger corpus.
+A pattern must have found ``LEAST_SEEDS`` different seeds, and is trusted where the lower bound of its
+confidence, for as many occurrences as its words have, reaches ``LEAST_CONFIDENCE``; neither depends on
+how large the corpus is, so more documents don't hide a pattern that fewer show. How often words occur
+is counted for all pairs of words of all documents, by a 64-bit hash, combined before the shuffle, and
+only the counts meet the patterns; nothing is broadcast. A context is two words of at most ``CONTEXT``
+characters together; a value after longer ones has none.
 
 Defined results: null counts as an empty text; spans are in code points, ends exclusive; a match
 that fails its check is dropped; repeated rows get equal results; an empty table gives no rows;
@@ -56,11 +58,11 @@ SHAPES = {
     "card": r"^(?=(?:[^0-9]*+[0-9]){7})[0-9][0-9 -]{12,22}$",
     "phone": r"^(?=(?:[^0-9]*+[0-9]){7})[+(\[]{0,2}[0-9][0-9 ().\[\]-]{6,18}$",
 }
-#: Characters before a value that its two words are looked for in.
+#: The longest context, with the space around its words.
 CONTEXT = 80
 ROUNDS, LEAST_SEEDS, LEAST_CONFIDENCE = 3, 3, 0.5
-#: A pattern has found at least one in so many of the different (context, seed) pairs of its kind; there are no more patterns of a kind than that.
-SUPPORT = 500
+#: Standard errors that a confidence's lower bound lies below it.
+ERRORS = 1.0
 #: Items of an array that are gone through one by one; longer arrays are cut into blocks of so many.
 BLOCK = 256
 _END = 2147483647
@@ -240,23 +242,24 @@ def trusted_patterns(rows: DataFrame, docs: DataFrame, id_col: str = "doc_id", t
     edges = cut(_edges(rows))
     pattern = ["kind", "context"]
     seeds = edges.where("seed").groupBy(*pattern).agg(F.count("*").alias("seeds"))
-    pairs_of = {r["kind"]: r["n"] for r in seeds.groupBy("kind").agg(F.sum("seeds").alias("n")).collect()}  # a row for each kind
-    least = F.coalesce(*(F.when(F.col("kind") == k, F.lit(max(LEAST_SEEDS, -(-n // SUPPORT)))) for k, n in pairs_of.items()), F.lit(LEAST_SEEDS))
-    able = cut(seeds.where(F.col("seeds") >= least))
+    able = cut(seeds.where(F.col("seeds") >= LEAST_SEEDS))
     if able.isEmpty():
         return able.select(*pattern)
     words = F.filter(F.split(F.lower(F.coalesce(F.col(text_col), F.lit(""))), r"\s+"), lambda w: w != "")
     pairs = docs.select(words.alias("w")).select(F.explode(F.zip_with(F.slice("w", 1, F.greatest(F.lit(0), F.size("w") - 1)), F.slice("w", 2, F.greatest(F.lit(0), F.size("w") - 1)), lambda a, b: F.concat_ws(" ", a, b))).alias("context"))
-    wanted = able.select(F.regexp_replace("context", r"\s+", " ").alias("context")).distinct()
-    times = cut(pairs.join(F.broadcast(wanted), "context", "left_semi").groupBy("context").agg(F.count("*").alias("times")))  # counted before they are shuffled
+    plain = F.regexp_replace("context", r"\s+", " ")
+    counted = pairs.groupBy(F.xxhash64("context").alias("h")).agg(F.count("*").alias("times"))  # combined before they are shuffled
+    times = cut(able.select("context", F.xxhash64(plain).alias("h")).distinct().join(counted, "h").select("context", "times"))
     graph = cut(edges.join(able, pattern).select("kind", "context", "value", "seed", "n"))
     scores = cut(graph.select("kind", "value", "seed").distinct().select("kind", "value", F.when(F.col("seed"), 1.0).otherwise(0.0).alias("score")))
     for _ in range(rounds):
         mass = graph.join(scores, ["kind", "value"]).groupBy(*pattern).agg(F.sum(F.col("score") * F.col("n")).alias("mass"))
-        confidence = cut(mass.join(times, F.regexp_replace(mass["context"], r"\s+", " ") == times["context"]).select("kind", mass["context"], F.least(F.lit(1.0), F.col("mass") / F.greatest("mass", "times")).alias("confidence")))
+        confidence = cut(mass.join(times, "context").select("kind", "context", F.greatest("mass", F.col("times").cast("double")).alias("n"), (F.col("mass") / F.greatest("mass", "times")).alias("confidence")))
         doubt = F.exp(F.sum(F.log(F.greatest(1 - F.col("confidence"), F.lit(1e-9)))))
         scores = cut(graph.join(confidence, pattern).groupBy("kind", "value").agg(F.when(F.max("seed"), 1.0).otherwise(1 - doubt).alias("score")))
-    return cut(confidence.where(F.col("confidence") >= LEAST_CONFIDENCE).select("kind", "context"))
+    p, n, z = F.col("confidence"), F.col("n"), ERRORS
+    bound = (p + z * z / (2 * n) - z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)  # Wilson's
+    return cut(confidence.where(bound >= LEAST_CONFIDENCE).select("kind", "context"))
 
 
 def _text(spans: Column) -> Column:

@@ -1,6 +1,8 @@
 """Texts with very many identifiers, and how many identifiers of known contexts are found."""
 
+import math
 import random
+from collections import Counter
 import time
 
 from pyspark.sql import functions as F
@@ -70,3 +72,53 @@ def test_unseen_identifiers_of_planted_contexts(spark):
     last = lambda k, text: any(text[s["start"] :].endswith(" daily") and s["end"] == len(text) - 6 for s in got[k])
     assert sum(last(k, t) for k, t in unseen) / len(unseen) >= 0.95
     assert not any(last(k, t) for k, t in others)
+
+
+def test_more_seeds_elsewhere_hide_no_pattern(spark):
+    """60 identifiers after a planted context are found beside 40,000 seeds that have nothing to do with it, and those of 250 rare contexts with 40 seeds each as well."""
+    rng = random.Random(9)
+    number = lambda: f"{rng.randint(200, 999)}-{rng.randint(200, 999)}-{rng.randint(1000, 9999)}"
+    docs = [(k, f"reach desk +1 {number()} daily") for k in range(60)] + [(1000 + k, f"reach desk {number()} daily") for k in range(60)]
+    docs += [(10_000 + k, f"w{k % 7001} x{k} +1 {number()}.") for k in range(40_000)]
+    docs += [(100_000 + 50 * c + k, f"ring{c} bell{c} {'+1 ' if k < 40 else ''}{number()} now") for c in range(250) for k in range(50)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    got = {r["id"] for r in pii.personal_data(df).where("size(added) > 0").select("id").collect()}
+    assert got == set(range(1000, 1060)) | {100_000 + 50 * c + k for c in range(250) for k in range(40, 50)}
+
+
+def test_patterns_equal_a_plain_bootstrap(spark):
+    """Trusted patterns of small documents against the definition, in plain Python."""
+    rng = random.Random(10)
+    number = lambda: f"{rng.randint(200, 999)}-{rng.randint(200, 999)}-{rng.randint(1000, 9999)}"
+    docs = []
+    for k in range(400):
+        words = [rng.choice("ab") + rng.choice("cd") + rng.choice("ef") for _ in range(8)]
+        if rng.random() < 0.6:
+            before = rng.choice([["call", "now"], ["see", "list"], [rng.choice("uvw"), "or"]])
+            words += before + rng.choice([["+1", number()], [number()], ["x"]][: 2 + (before[0] != "call")])
+        docs.append((k, " ".join(words)))
+    times = Counter(p for _, t in docs for p in zip(t.lower().split(), t.lower().split()[1:], strict=False))
+    edges = Counter()
+    for _, t in docs:
+        w = t.lower().split()
+        for k in range(2, len(w)):
+            if w[k - 1 :][:1] == ["+1"] and k >= 3:
+                edges[(w[k - 3], w[k - 2]), "+1 " + w[k], True] += 1
+            elif w[k][0].isdigit() and w[k - 1] != "+1":
+                edges[(w[k - 2], w[k - 1]), w[k], False] += 1
+    seeds = Counter(c for c, _, s in edges if s)
+    graph = {e: n for e, n in edges.items() if seeds[e[0]] >= pii.LEAST_SEEDS}
+    score = {v: float(s) for _, v, s in graph}
+    for _ in range(pii.ROUNDS):
+        mass = Counter()
+        for (c, v, _), n in graph.items():
+            mass[c] += score[v] * n
+        conf = {c: m / max(m, times[c]) for c, m in mass.items()}
+        for v in score:
+            if not any(s for _, x, s in graph if x == v):
+                score[v] = 1 - math.prod(max(1 - conf[c], 1e-9) for c, x, _ in graph if x == v)
+    lower = lambda p, n: (p + 1 / (2 * n) - math.sqrt(p * (1 - p) / n + 1 / (4 * n * n))) / (1 + 1 / n)
+    want = {" ".join(c) for c, p in conf.items() if lower(p, max(mass[c], times[c])) >= pii.LEAST_CONFIDENCE}
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    rows = pii.found(df).cache()
+    assert {r["context"] for r in pii.trusted_patterns(rows, df).where("kind = 3").collect()} == want and want
