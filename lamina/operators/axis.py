@@ -106,20 +106,88 @@ def normal_equations(obs: DataFrame, columns: list[Column], y: Column, weight: C
     return a + np.triu(a, 1).T, np.array(row[n * (n + 1) // 2 :])
 
 
-def spiral_fit(obs: DataFrame, knots: int, depth: float, rounds: int = 4, ridge: float = 1e-6) -> dict:
-    """rho = r0(z) + harmonics of theta + omega * wind for ``obs(rho, theta, wind, z)``, by reweighted least squares with Cauchy weights; r0 is linear between knots."""
-    step = depth / (knots - 1)
-    hat = [F.greatest(F.lit(0.0), 1 - F.abs(F.col("z") / step - k)) for k in range(knots)]
-    cols = [*hat, F.cos("theta"), F.sin("theta"), F.cos(2 * F.col("theta")), F.sin(2 * F.col("theta")), F.col("wind")]
-    x, scale = None, None
-    for _ in range(rounds):
-        fit = sum((float(c) * e for c, e in zip(x, cols, strict=True)), F.lit(0.0)) if x is not None else None
-        weight = F.lit(1.0) if fit is None else 1 / (1 + F.pow((F.col("rho") - fit) / scale, 2))
-        a, b = normal_equations(obs, cols, F.col("rho"), weight)
-        x = np.linalg.solve(a + ridge * np.trace(a) / len(a) * np.eye(len(a)), b)
-        fit = sum((float(c) * e for c, e in zip(x, cols, strict=True)), F.lit(0.0))
-        scale = max(1e-6, float(obs.agg(F.sqrt(F.avg(F.pow(F.col("rho") - fit, 2)))).first()[0] or 0.0))
-    return {"r0": x[:knots].tolist(), "harmonics": x[knots : knots + 4].tolist(), "omega": float(x[-1]), "rms": scale}
+#: A fit needs so many observations; its slope is solved for where windings span so much, and a measured one is used where it is at least so large.
+LEAST_OBSERVATIONS, LEAST_SPAN, LEAST_MEASURED = 200, 2.5, 4.0
+#: A second candidate must beat the first by this share.
+BETTER = 0.95
+
+
+def _spiral(knots: int, depth: float, x: list[float] | None) -> tuple[Column, list[Column], Column]:
+    """Of an observation: the interval of knots it is in, what is summed for it (two knots, four harmonics, the winding), and its radius by the solution ``x``."""
+    zc = F.least(F.greatest(F.col("z") / (depth / (knots - 1)), F.lit(0.0)), F.lit(knots - 1.0))
+    at = F.least(F.floor(zc), F.lit(knots - 2)).cast("int")
+    f = zc - at
+    phi = [1 - f, f, F.cos("theta"), F.sin("theta"), F.cos(2 * F.col("theta")), F.sin(2 * F.col("theta")), F.col("wind")]
+    known = x or [0.0] * (knots + 5)
+    r0 = F.array(*map(F.lit, known[:knots]))
+    ends = [F.get(r0, at), F.get(r0, at + 1)]
+    return at, phi, sum((c * p for c, p in zip([*ends, *map(F.lit, known[knots:])], phi, strict=True)), F.lit(0.0))
+
+
+def spiral_fit(obs: DataFrame, knots: int, depth: float, rounds: int = 4, measured: float = 0.0, negative: bool = False) -> dict | None:
+    """rho = r0(z) + harmonics of theta + omega * wind for ``obs(rho, theta, wind, z)``, by reweighted least squares; r0 is linear between knots, flat beyond them.
+
+    Weights are Cauchy's, on a scale of a quarter of omega; second differences of r0 and all unknowns
+    have a small ridge. Omega is solved for where the windings span ``LEAST_SPAN``; else it is the
+    ``measured`` one, of either sign, the last fit's first (``negative``): the other must be clearly
+    better. ``rms`` is over what lies within half of omega, and ``valid`` says whether the fit may be
+    used. None where there are too few observations or omega can't be known.
+
+    Each round is one aggregation by interval of knots, so what comes to the driver is 36 sums for each.
+    """
+    obs = obs.where("rho >= 1e-9").select("rho", "theta", "wind", "z")
+    n, low, high = obs.agg(F.count("*"), F.min("wind"), F.max("wind")).first()
+    if n < LEAST_OBSERVATIONS:
+        return None
+    if high - low >= LEAST_SPAN:
+        slopes = [None]
+    elif measured >= LEAST_MEASURED:
+        slopes = [-measured, measured] if negative else [measured, -measured]
+    else:
+        return None
+    best = None
+    for slope in slopes:
+        x = None
+        for _ in range(rounds):
+            at, phi, fitted = _spiral(knots, depth, x)
+            weight = F.lit(1.0) if x is None or abs(x[-1]) <= 1e-9 else 1 / (1 + F.pow((F.col("rho") - fitted) / (0.25 * abs(x[-1])), 2))
+            target = F.col("rho") - (slope or 0.0) * F.col("wind")
+            named = obs.select(at.alias("k"), weight.alias("w"), *(p.alias(f"p{m}") for m, p in enumerate(phi)), target.alias("p7"))
+            pairs = [(a, b) for a in range(7) for b in range(a, 8)]
+            rows = named.groupBy("k").agg(F.sum("w").alias("w"), *(F.sum(F.col("w") * F.col(f"p{a}") * F.col(f"p{b}")).alias(f"s{a}_{b}") for a, b in pairs)).collect()  # a row an interval
+            size = knots + 5
+            m, right, total = np.zeros((size, size)), np.zeros(size), 0.0
+            for row in rows:
+                place = [row["k"], row["k"] + 1, *range(knots, knots + 5)]
+                total += row["w"]
+                for a, b in pairs:
+                    v = row[f"s{a}_{b}"]
+                    if b == 7:
+                        right[place[a]] += v
+                    else:
+                        m[place[a], place[b]] += v
+                        if a != b:
+                            m[place[b], place[a]] += v
+            bent = np.zeros((max(0, knots - 2), size))
+            for k in range(knots - 2):
+                bent[k, k : k + 3] = (-1.0, 2.0, -1.0)
+            m += 1e-2 * total / knots * bent.T @ bent
+            if slope is not None:
+                m, right = m[:-1, :-1], right[:-1]
+            m += 1e-6 * (total / len(m) + 1.0) * np.eye(len(m))
+            try:
+                np.linalg.cholesky(m)
+            except np.linalg.LinAlgError:
+                break
+            x = [*np.linalg.solve(m, right).tolist(), *([] if slope is None else [slope])]
+        if x is None:
+            continue
+        off = F.col("rho") - _spiral(knots, depth, x)[2]
+        rms = obs.agg(F.sqrt(F.avg(F.when(F.abs(off) < 0.5 * abs(x[-1]) + 1e-9, off * off)))).first()[0]
+        rms = 1e30 if rms is None else float(rms)
+        if best is None or rms < BETTER * best["rms"]:
+            best = {"r0": x[:knots], "harmonics": x[knots : knots + 4], "omega": x[-1], "rms": rms, "valid": 2.0 <= abs(x[-1]) <= 120.0 and rms <= 0.5 * abs(x[-1])}
+    return best
 
 
 def upsert(axis: DataFrame, edits: DataFrame) -> DataFrame:

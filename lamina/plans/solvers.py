@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lamina.functions.derive import SQL, query_points, surface_points, voxels, with_sql
+from lamina.operators import axis as ax
 from lamina.operators import geometry as ge
 from lamina.operators import iterate as it
 from lamina.operators import quality as qu
@@ -16,6 +17,7 @@ from lamina.plans.geometry import _tri
 from lamina.plans.points import _GRID50, _O4, _T, _WRAP, THETA, _cells, _scaled, _sizes, _sqls
 from lamina.plans.surfaces import _TURN, QUAD, WIDE, _len, _n, _wide
 from lamina.plans.volumes import DISTANCE
+from lamina.session import cut
 
 
 def _growth(s, d):
@@ -32,6 +34,51 @@ def _registration(s, d):
     return s.createDataFrame([(k, *map(float, r)) for k, r in enumerate(m)], "row int, mx double, my double, mz double, m1 double")
 
 
+KNOTS, DEEP = 3, 1200.0
+
+
+def _rolled(s, d):
+    """The surfaces rolled up: radius by place in the grid, with the points' own offsets as noise, and one in some thirteen far off."""
+    theta, wind = F.col("i") / 8.0 - 3, F.col("j") % 4 + (F.col("i") / 8.0 - 3) / (2 * F.pi())
+    rho = 40 + F.col("z") / 50 + 2 * F.cos(theta) - F.sin(2 * theta) + 12 * wind + F.col("x") % 20 / 10 + F.when(F.col("z") % 13 == 0, 30.0).otherwise(0.0)
+    return surface_points(s, d).select(rho.alias("rho"), theta.alias("theta"), wind.alias("wind"), "z")
+
+
+def _spiral_fit(s, d):
+    got = ax.spiral_fit(cut(_rolled(s, d)), KNOTS, DEEP)
+    values = [*got["r0"], *got["harmonics"], got["omega"], got["rms"]] if got else []
+    return s.createDataFrame(list(enumerate(map(float, values))), "k int, value double").select("k", _scaled("value", 4))
+
+
+def _spiral_sql(rounds=4):
+    """Reweighted normal equations as rows, solved by elimination row by row."""
+    n = KNOTS + 5
+    hat = [f"CASE WHEN i0 = {k} THEN 1 - f WHEN i0 + 1 = {k} THEN f ELSE 0 END" for k in range(KNOTS)]
+    phi = [*hat, "cos(theta)", "sin(theta)", "cos(2 * theta)", "sin(2 * theta)", "wind"]
+    bend = [(-1, 2, -1)[k] if k < 3 else 0 for k in range(n)]
+    out = [
+        "g AS (SELECT i / 8e0 - 3 AS theta, j % 4 + (i / 8e0 - 3) / (2 * pi()) AS wind, x, z FROM sp)",
+        "r AS (SELECT 40 + z / 50 + 2 * cos(theta) - sin(2 * theta) + 12 * wind + x % 20 / 10 + CASE WHEN z % 13 = 0 THEN 30 ELSE 0 END AS rho, theta, wind, z FROM g)",
+        f"zc AS (SELECT *, least(greatest(z / {DEEP / (KNOTS - 1)!r}e0, 0), {KNOTS - 1}) AS zc FROM r WHERE rho >= 1e-9)",
+        f"o AS (SELECT *, zc - i0 AS f FROM (SELECT *, least(floor(zc), {KNOTS - 2}) AS i0 FROM zc))",
+        f"p AS MATERIALIZED (SELECT [{', '.join(f'CAST({e} AS DOUBLE)' for e in (*phi, 'rho'))}] AS p FROM o)",
+    ]
+    fitted = "(" + " + ".join(f"x[{k + 1}] * p[{k + 1}]" for k in range(n)) + ")"
+    for s in range(rounds):
+        weight = f"1 / (1 + pow((p[{n + 1}] - {fitted}) / (0.25e0 * abs(x[{n}])), 2))" if s else "1e0"
+        out.append(f"w{s} AS MATERIALIZED (SELECT p, {weight} AS w FROM p" + (f", x{s - 1})" if s else ")"))
+        out.append(f"t{s} AS (SELECT sum(w) AS total FROM w{s})")
+        out.append(f"n{s} AS (SELECT a.k AS r, b.k AS c, sum(w * p[a.k] * p[b.k]) AS v FROM w{s}, (SELECT unnest(range(1, {n + 1})) AS k) a, (SELECT unnest(range(1, {n + 2})) AS k) b GROUP BY 1, 2)")
+        out.append(f"m{s}_0 AS MATERIALIZED (SELECT r, c, v + CASE WHEN c <= {n} THEN 1e-2 * total / {KNOTS} * {bend}[r] * {bend}[c] ELSE 0 END + CASE WHEN r = c THEN 1e-6 * (total / {n} + 1) ELSE 0 END AS v FROM n{s}, t{s})")
+        for k in range(1, n + 1):
+            m = f"m{s}_{k - 1}"
+            out.append(f"m{s}_{k} AS MATERIALIZED (SELECT m.r, m.c, CASE WHEN m.r = {k} THEN m.v / d.v ELSE m.v - a.v * b.v / d.v END AS v FROM {m} m JOIN {m} d ON d.r = {k} AND d.c = {k} JOIN {m} a ON a.r = m.r AND a.c = {k} JOIN {m} b ON b.r = {k} AND b.c = m.c)")
+        out.append(f"x{s} AS MATERIALIZED (SELECT list(v ORDER BY r) AS x FROM m{s}_{n} WHERE c = {n + 1})")
+    last = f"x{rounds - 1}"
+    out.append(f"e AS (SELECT p[{n + 1}] - {fitted} AS e, x[{n}] AS omega FROM p, {last})")
+    return with_sql("sp", f", {', '.join(out)}, a AS (SELECT unnest(range(0, {n})) AS k, unnest(x) AS value FROM {last} UNION ALL SELECT {n}, sqrt(avg(e * e)) FROM e WHERE abs(e) < 0.5e0 * abs(omega) + 1e-9) SELECT CAST(k AS INT) AS k, {_sqls('value', 'value', 4)} FROM a WHERE (SELECT count(*) FROM p) >= {ax.LEAST_OBSERVATIONS}")
+
+
 def _embedding(s, d):
     """A sheared plane embedding of the surfaces, in eighths, so that sums are exact."""
     return surface_points(s, d).select("seg_id", "j", "i", (F.col("i") * 1.25 + F.col("j") * 0.25).alias("u"), (F.col("j") * 1.5).alias("v"), "x", "y", "z")
@@ -116,6 +163,7 @@ QUERIES = {
         with_sql("sp", _TRI + ", ".join(_sqls(f"a{c} + w1 * (b{c}{'_' if c == 'y' else ''} - a{c}) + w2 * (c{c} - a{c})", c, 4) for c in "xyz") + " FROM p WHERE n = 1"),
     ),
     "i2_i3_surface_growth": (_growth, None),
+    "i6_spiral_fit": (_spiral_fit, _spiral_sql()),
     "i8_winding_potential": (lambda s, d: so.winding_potential(_cells(s, d), 6).select("seg_id", "j", "i", _scaled("wind", 4)), _potential_sql(6)),
     "i17_registration": (_registration, None),
     "i10_fold_excision": (lambda s, d: it.excised(surface_points(s, d).withColumns({"gen": F.col("i"), "x": F.col("x") / 10 + F.col("z") % 17}), su.bends), _fold_sql(16)),

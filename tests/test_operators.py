@@ -120,7 +120,18 @@ def test_spiral_fit_finds_omega(spark):
     rows = [(20 + 0.1 * z + 12.5 * (w + t / (2 * math.pi)), t, w + t / (2 * math.pi), float(z)) for z in range(0, 60, 3) for w in range(4) for t in (-3.0, -1.5, 0.0, 1.5, 3.0)]
     rows.append((500.0, 0.0, 1.0, 10.0))
     fit = axis.spiral_fit(spark.createDataFrame(rows, "rho double, theta double, wind double, z double"), 3, 60.0, rounds=12)
-    assert abs(fit["omega"] - 12.5) < 1.5
+    assert abs(fit["omega"] - 12.5) < 1.5 and fit["valid"] and len(fit["r0"]) == 3
+
+
+def test_spiral_fit_with_a_measured_slope_and_without_one(spark):
+    """One winding can't tell the slope from r0: the measured one is taken, with the sign that fits."""
+    rows = [(20 + 0.1 * z - 9.0 * t / (2 * math.pi), t, t / (2 * math.pi), float(z)) for z in range(0, 60) for t in (-3.0, -1.5, 0.0, 1.5, 3.0)]
+    obs = spark.createDataFrame(rows, "rho double, theta double, wind double, z double")
+    fit = axis.spiral_fit(obs, 3, 60.0, measured=9.0)
+    assert fit["omega"] == -9.0 and fit["rms"] < 0.1 and fit["valid"]
+    assert axis.spiral_fit(obs, 3, 60.0) is None and axis.spiral_fit(obs, 3, 60.0, measured=3.0) is None
+    assert axis.spiral_fit(obs.limit(199), 3, 60.0, measured=9.0) is None
+    assert axis.spiral_fit(obs.limit(0), 3, 60.0) is None
 
 
 def test_relaxation_keeps_a_consistent_field(spark):
