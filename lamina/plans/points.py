@@ -19,6 +19,10 @@ SHAPE = (32, 32, 32)
 MATRIX = ((0.5, 0.0, 0.25, 3.0), (0.0, 0.75, 0.0, -2.0), (0.25, 0.0, 0.5, 4.0))
 
 
+EYE = (-4, -20, 7)
+_FROM_EYE = "sqrt(" + " + ".join(f"({c} - {e}) * ({c} - {e})" for c, e in zip("xyz", EYE, strict=True)) + ")"
+
+
 def _scaled(c, digits=6):
     return F.floor(F.col(c) * 10**digits + 0.5).cast("long").alias(c)
 
@@ -125,8 +129,8 @@ QUERIES = {
         ),
     ),
     "g15_level_choice": (
-        lambda s, d: query_points(s, d).select("pt_id", sa.level_for(F.col("pt_id").cast("double"), 0.01, 1.0, 6).alias("level")),
-        with_sql("qp", "SELECT pt_id, CAST(least(greatest(floor(log2(greatest(pt_id * 0.01e0 / 1, 1))), 0), 5) AS INT) AS level FROM qp"),
+        lambda s, d: query_points(s, d).select("pt_id", sa.level_for(F.expr(_FROM_EYE), 0.05, 1.0, 6).alias("level")),
+        with_sql("qp", f"SELECT pt_id, CAST(least(greatest(floor(log2(greatest({_FROM_EYE} * 0.05e0 / 1, 1))), 0), 5) AS INT) AS level FROM qp"),
     ),
     "g16_level_fallback": (
         lambda s, d: voxels(s, d).select((F.col("v") % 4).alias("desired")).distinct().withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(3)))).select("desired", "level", sa.fallback_rank(F.col("level"), F.col("desired")).alias("rank")),
@@ -211,7 +215,7 @@ QUERIES = {
         lambda s, d: st.difference(voxels(s, d), vo.low_cut(voxels(s, d), 100)).select("*", F.floor(st.psnr(F.col("ssd"), F.col("n")) * 1e6 + 0.5).cast("long").alias("psnr")),
         with_sql("voxel", f"SELECT count(*) AS n, CAST(sum(e) AS BIGINT) AS sad, CAST(sum(e * e) AS BIGINT) AS ssd, max(e) AS worst, {_sqls('10 * log10(65025e0 * count(*) / sum(e * e))', 'psnr')} FROM (SELECT CASE WHEN v >= 100 THEN 0 ELSE v END AS e FROM voxel)"),
     ),
-    "a22_level_counts": (lambda s, d: query_points(s, d).groupBy(sa.level_for(F.col("pt_id").cast("double"), 0.01, 1.0, 6).alias("level")).agg(F.count("*").alias("n")), with_sql("qp", "SELECT CAST(least(greatest(floor(log2(greatest(pt_id * 0.01e0, 1))), 0), 5) AS INT) AS level, count(*) AS n FROM qp GROUP BY 1")),
+    "a22_level_counts": (lambda s, d: query_points(s, d).groupBy(sa.level_for(F.expr(_FROM_EYE), 0.05, 1.0, 6).alias("level")).agg(F.count("*").alias("n")), with_sql("qp", f"SELECT CAST(least(greatest(floor(log2(greatest({_FROM_EYE} * 0.05e0, 1))), 0), 5) AS INT) AS level, count(*) AS n FROM qp GROUP BY 1")),
     "a23_prediction_rescale": (
         lambda s, d: predictions(s, d).groupBy("vec_id").agg(F.max(st.rescaled(F.col("p"))).alias("top"), F.avg(st.rescaled(F.col("p"))).alias("mean")).select("vec_id", _scaled("top"), _scaled("mean")),
         with_sql("pred", f"SELECT vec_id, {_sqls('max(least(greatest((p - 0.25) * 2, 0), 1))', 'top')}, {_sqls('avg(least(greatest((p - 0.25) * 2, 0), 1))', 'mean')} FROM pred GROUP BY 1"),

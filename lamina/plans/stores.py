@@ -96,8 +96,10 @@ def _axis_file(s, d):
 def _transform_file(s, d):
     text = _text(s, sidecars.transform_json(s, MATRIX), "transform")
     published = text.select(F.to_json(F.struct(F.from_json("value", "transformation_matrix array<array<double>>")["transformation_matrix"].alias("transformation_matrix"))).alias("value"))
-    rows = [(way, k, *map(float, r)) for way, t in (("pull", text), ("published", published)) for k, r in enumerate(sidecars.pull_matrix(t))]
-    return s.createDataFrame(rows, "way string, row int, m0 double, m1 double, m2 double, m3 double").select("way", "row", *(_scaled(f"m{k}") for k in range(4)))
+    maps = {way: sidecars.pull_matrix(t) for way, t in (("pull", text), ("published", published))}
+    mapped = lambda r: r[0] * F.col("x") + r[1] * F.col("y") + r[2] * F.col("z") + r[3]
+    ways = F.array(*(F.struct(F.lit(way).alias("way"), *(mapped(r).alias("m" + c) for c, r in zip(_AX, m, strict=True))) for way, m in maps.items()))
+    return query_points(s, d).select("pt_id", F.inline(ways)).select("pt_id", "way", *(_scaled(f"m{c}") for c in _AX))
 
 
 def _seeds(s, d):
@@ -117,9 +119,12 @@ def _listing(s, d):
 
 
 def _synthetic(kind):
+    """A made volume beside the table's one, where both have a voxel."""
+
     def run(s, d):
         s.dataSource.register(volumes.SyntheticVolume)
-        return s.read.format("lamina_synthetic").options(kind=kind, size=16).load()
+        made = s.read.format("lamina_synthetic").options(kind=kind, size=16).load()
+        return made.join(voxels(s, d).withColumnRenamed("v", "seen"), ["z", "y", "x"])
 
     return run
 
@@ -183,6 +188,31 @@ def _report(s, d):
     return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", _scaled("mean", 4), "max")
 
 
+#: How late rows of the streams over a whole table may be: no row of it is lost, in whatever order its files come.
+ANY_AGE = "36500 days"
+TTL_MS = 6 * 3600 * 1000
+
+
+def _misses(s, d):
+    """Each event asks for its user's item: purchases find it, one in 97 proves it empty, all others miss it."""
+    n = F.col("event_id")
+    probes = _stream(s, d).select(F.col("user_id").alias("key"), "ts", F.when(n % 97 > 0, F.col("event_type") == "purchase").alias("found"))
+    out = jobs.run_to(jobs.negative_cache(probes, TTL_MS, ANY_AGE), room(s, "misses"), room(s, "state"))
+    return out.select("key", F.col("ts").cast("timestamp_ntz").alias("ts"), "verdict")
+
+
+def _fetches(s, d):
+    """Each user's event in an hour asks for one cell; the first one is fetched."""
+    asked = _stream(s, d).select("user_id", "event_type", F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("hour"), "ts")
+    return jobs.run_to(jobs.deduplicated_fetches(asked, ["user_id", "event_type", "hour"], "ts", ANY_AGE), room(s, "fetches"), room(s, "state")).select("user_id", "event_type", "hour")
+
+
+_MISSES = f"""WITH RECURSIVE p AS (SELECT user_id AS key, ts, epoch_ms(ts) AS now, CASE WHEN event_id % 97 > 0 THEN event_type = 'purchase' END AS found, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+r AS (SELECT key, n, ts, CASE WHEN found IS NULL THEN 'empty' WHEN found THEN 'found' ELSE 'miss' END AS verdict, CASE WHEN found IS NULL THEN -1 WHEN NOT found THEN now + {TTL_MS} END AS until FROM p WHERE n = 1
+UNION ALL SELECT p.key, p.n, p.ts, CASE WHEN until < 0 OR now < until THEN 'cached' WHEN found IS NULL THEN 'empty' WHEN found THEN 'found' ELSE 'miss' END,
+ CASE WHEN until < 0 OR now < until THEN until WHEN found IS NULL THEN -1 WHEN NOT found THEN now + {TTL_MS} END FROM r JOIN p ON p.key = r.key AND p.n = r.n + 1)
+SELECT key, ts, verdict FROM r"""
+
 FIT = {"r0": [10.0, 14.0, 20.0], "harmonics": [0.5, -0.25, 0.125, 0.0625], "omega": 3.0}
 
 
@@ -224,7 +254,7 @@ QUERIES = {
     "s18_k15_axis_file": (_axis_file, with_sql("voxel", f", {AXIS} SELECT z, {_sqls('x', 'x')}, {_sqls('y', 'y')} FROM axis")),
     "s19_k16_transform_file": (
         _transform_file,
-        "SELECT way, \"row\", " + ", ".join(f"CAST(floor(m{k} * 1000000 + 0.5) AS BIGINT) AS m{k}" for k in range(4)) + " FROM (VALUES ('pull'), ('published')) w(way), (VALUES " + ", ".join(f"({k}, " + ", ".join(f"{x!r}e0" for x in r) + ")" for k, r in enumerate(MATRIX)) + ') m("row", m0, m1, m2, m3)',
+        with_sql("qp", "SELECT pt_id, way, " + ", ".join(_sqls(f"{r[0]!r}e0 * x + {r[1]!r}e0 * y + {r[2]!r}e0 * z + {r[3]!r}e0", f"m{c}") for c, r in zip(_AX, MATRIX, strict=True)) + " FROM qp, (VALUES ('pull'), ('published')) w(way)"),
     ),
     "s20_listing": (
         _listing,
@@ -232,7 +262,7 @@ QUERIES = {
     ),
     "s21_p3_synthetic_volume": (
         _synthetic("sphere"),
-        "WITH g AS (SELECT unnest(range(0, 16)) AS k), p AS (SELECT CAST(k AS INT) AS k, (k + 0.5e0) / 16 * 2 - 1 AS p FROM g) SELECT z, y, x, CAST(floor(255 * (1 - r)) AS INT) AS v FROM (SELECT a.k AS z, b.k AS y, c.k AS x, sqrt(a.p * a.p + b.p * b.p + c.p * c.p) AS r FROM p a, p b, p c) WHERE r < 0.8 AND floor(255 * (1 - r)) > 0",
+        with_sql("voxel", ", g AS (SELECT unnest(range(0, 16)) AS k), p AS (SELECT CAST(k AS INT) AS k, (k + 0.5e0) / 16 * 2 - 1 AS p FROM g), m AS (SELECT z, y, x, CAST(floor(255 * (1 - r)) AS INT) AS v FROM (SELECT a.k AS z, b.k AS y, c.k AS x, sqrt(a.p * a.p + b.p * b.p + c.p * c.p) AS r FROM p a, p b, p c) WHERE r < 0.8 AND floor(255 * (1 - r)) > 0) SELECT z, y, x, m.v, voxel.v AS seen FROM m JOIN voxel USING (z, y, x)"),
     ),
     "s23_seeds_file": (
         _seeds,
@@ -268,6 +298,8 @@ QUERIES = {
     ),
     "e1_latest_request": (_latest, "SELECT user_id % 50 AS key, max(event_id) AS gen, arg_max(event_type, event_id) AS event_type FROM events GROUP BY 1"),
     "e2_change_feed": (_changes, "SELECT event_id, user_id FROM events WHERE event_id > 700"),
+    "e3_negative_cache": (_misses, _MISSES),
+    "e4_fetches_in_flight": (_fetches, "SELECT DISTINCT user_id, event_type, CAST(date_trunc('hour', ts) AS TIMESTAMP) AS hour FROM events"),
     "e8_windowed_report": (
         _report,
         f"SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, {_sqls('avg(ns)', 'mean', 4)}, max(ns) AS max FROM (SELECT ts, event_type, CAST(floor(value * 100) AS BIGINT) AS ns FROM events) GROUP BY 1, 2",

@@ -94,8 +94,14 @@ WHERE z + dz BETWEEN 0 AND 3 AND y + dy BETWEEN 0 AND 3 AND x + dx BETWEEN 0 AND
         ),
     ),
     "f1_low_cut": (lambda s, d: vo.low_cut(voxels(s, d), 110), with_sql("voxel", "SELECT z, y, x, CASE WHEN v >= 110 THEN v ELSE 0 END AS v FROM voxel")),
-    "f2_transfer_table": (lambda s, d: vo.transfer_table(s, POINTS), _TF),
-    "f3_least_visible": (lambda s, d: vo.least_visible(vo.transfer_table(s, POINTS)), f"SELECT CAST(coalesce(min(v) FILTER (a > 0), 255) AS INT) AS v FROM ({_TF})"),
+    "f2_transfer_table": (
+        lambda s, d: vo.transfer_table(s, POINTS).join(voxels(s, d).groupBy("v").agg(F.count("*").alias("n")), "v"),
+        with_sql("voxel", f"SELECT v, r, g, b, a, n FROM ({_TF}) JOIN (SELECT v, count(*) AS n FROM voxel GROUP BY 1) USING (v)"),
+    ),
+    "f3_least_visible": (
+        lambda s, d: voxels(s, d).withColumnRenamed("v", "seen").join(F.broadcast(vo.least_visible(vo.transfer_table(s, POINTS))), F.col("seen") >= F.col("v")).groupBy("v").agg(F.count("*").alias("n")),  # one row
+        with_sql("voxel", f", l AS (SELECT CAST(coalesce(min(v) FILTER (a > 0), 255) AS INT) AS v FROM ({_TF})) SELECT l.v, count(*) AS n FROM voxel JOIN l ON voxel.v >= l.v GROUP BY 1"),
+    ),
     "f8_boundary": (
         lambda s, d: st.boundary(voxels(s, d).where("v >= 120")),
         with_sql(

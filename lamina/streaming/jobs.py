@@ -41,36 +41,45 @@ def sliding_report(samples: DataFrame, time: str, metric: str, value: str, every
 NEGATIVE = "key long, ts timestamp, verdict string"
 
 
-def negative_cache(probes: DataFrame, ttl_ms: int) -> DataFrame:
+def negative_cache(probes: DataFrame, ttl_ms: int, late: str = "10 minutes") -> DataFrame:
     """``verdict`` of each probe(key, ts, found): found, miss (remembered from now), cached (a miss within the time to live) or expired misses asked anew.
 
-    ``found`` is true, false, or null for proven empty, which never expires.
+    ``found`` is true, false, or null for proven empty, which never expires. A key's probes in one batch
+    are gone through in the order of time; probes later than ``late`` are dropped. What is remembered of
+    a miss falls when the watermark has passed its time to live, asked again or not, so the state holds
+    the misses of that time and the keys proven empty.
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         until = state.get[0] if state.exists else None
-        for b in batches:
-            out = []
-            for ts, found in sorted(zip(b["ts"], b["found"], strict=True), key=lambda r: r[0]):
-                now = int(ts.timestamp() * 1000)
-                if until is not None and (until < 0 or now < until):
-                    out.append((key[0], ts, "cached"))
-                elif found is None or pd.isna(found):
-                    until = -1
-                    out.append((key[0], ts, "empty"))
-                elif found:
-                    until = None
-                    out.append((key[0], ts, "found"))
-                else:
-                    until = now + ttl_ms
-                    out.append((key[0], ts, "miss"))
-            yield pd.DataFrame(out, columns=["key", "ts", "verdict"])
+        rows, out = pd.concat(list(batches)).sort_values("ts", kind="stable"), []
+        for ts, found in zip(rows["ts"], rows["found"], strict=True):
+            now = ts.value // 1_000_000
+            if until is not None and (until < 0 or now < until):
+                out.append((key[0], ts, "cached"))
+            elif found is None or pd.isna(found):
+                until = -1
+                out.append((key[0], ts, "empty"))
+            elif found:
+                until = None
+                out.append((key[0], ts, "found"))
+            else:
+                until = now + ttl_ms
+                out.append((key[0], ts, "miss"))
+        yield pd.DataFrame(out, columns=["key", "ts", "verdict"])
         if until is None:
-            state.remove()
+            if state.exists:
+                state.remove()
         else:
             state.update((until,))
+            if until >= 0:
+                state.setTimeoutTimestamp(max(until, state.getCurrentWatermarkMs() + 1))
 
-    return probes.groupBy("key").applyInPandasWithState(step, NEGATIVE, "until long", "append", GroupStateTimeout.NoTimeout)
+    timed = probes.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
+    return timed.groupBy("key").applyInPandasWithState(step, NEGATIVE, "until long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def run_to(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> DataFrame:

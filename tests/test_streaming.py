@@ -39,6 +39,15 @@ def test_negative_cache(spark, tmp_path):
     assert [r["verdict"] for r in out.orderBy("key", "ts").collect()] == ["miss", "cached", "found", "empty", "cached"]
 
 
+def test_what_is_remembered_of_a_miss_falls(spark, tmp_path):
+    """Key 1 isn't asked again, and its state goes when time has passed it; key 3, proven empty, stays."""
+    s = stream(spark, tmp_path / "in", [[(1, at(0), False), (3, at(0), None)], [(2, at(100), False)], [(2, at(200), False)], [(2, at(300), False), (3, at(300), True)]], "key long, ts timestamp, found boolean")
+    q = jobs.negative_cache(s, 10_000, "1 second").writeStream.format("memory").queryName("falls").outputMode("append").option("checkpointLocation", f"file://{tmp_path}/c").trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert q.lastProgress["stateOperators"][0]["numRowsTotal"] == 2  # keys 2 and 3
+    assert [(r["key"], r["verdict"]) for r in spark.table("falls").orderBy("key", "ts").collect()] == [(1, "miss"), (2, "miss"), (2, "miss"), (2, "miss"), (3, "empty"), (3, "cached")]
+
+
 def test_report_over_events(spark, tmp_path):
     folder = "/root/testdata/sf0.001/events.parquet"
     s = jobs.event_stream(spark, folder)
