@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lamina.plans import flattening, geometry, points, residuals, sections, solvers, stores, surfaces, volumes, wraps
+from lamina.plans import flattening, geometry, points, residuals, scalars, sections, solvers, stores, surfaces, volumes, wraps
 
-ALL = volumes.QUERIES | surfaces.QUERIES | points.QUERIES | geometry.QUERIES | solvers.QUERIES | stores.QUERIES | residuals.QUERIES | flattening.QUERIES | wraps.QUERIES | sections.QUERIES
+ALL = volumes.QUERIES | surfaces.QUERIES | points.QUERIES | geometry.QUERIES | solvers.QUERIES | stores.QUERIES | residuals.QUERIES | flattening.QUERIES | wraps.QUERIES | sections.QUERIES | scalars.QUERIES
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
