@@ -121,7 +121,7 @@ QUERIES = {
         with_sql("qp", "SELECT pt_id FROM qp WHERE greatest(1 - least(x, 12) / 12, CASE WHEN pt_id % 4 >= 2 THEN 0.95 WHEN pt_id % 4 = 1 THEN 0.75 ELSE 0 END) > 0.25"),
     ),
     "f6_neighbour_mean_veto": (
-        lambda s, d: su.around(surface_points(s, d), {"p": (0, 0), "r": (0, 1), "l": (0, -1), "d": (1, 0), "u": (-1, 0)}).where("p is not null").select("seg_id", "j", "i", F.expr("aggregate(filter(array(r.z, l.z, d.z, u.z), v -> v is not null), 0D, (a, v) -> a + v) / size(filter(array(r.z, l.z, d.z, u.z), v -> v is not null))").alias("m")).where("m >= 80 and m <= 110").select("seg_id", "j", "i"),
+        lambda s, d: su.around(surface_points(s, d), {"p": (0, 0), "r": (0, 1), "l": (0, -1), "d": (1, 0), "u": (-1, 0)}).where("p is not null").select("seg_id", "j", "i", F.expr("try_divide(aggregate(filter(array(r.z, l.z, d.z, u.z), v -> v is not null), 0D, (a, v) -> a + v), size(filter(array(r.z, l.z, d.z, u.z), v -> v is not null)))").alias("m")).where("m >= 80 and m <= 110").select("seg_id", "j", "i"),
         with_sql("sp", ", o(dj, di) AS (VALUES (0, 1), (0, -1), (1, 0), (-1, 0)), m AS (SELECT p.seg_id, p.j, p.i, avg(n.z) AS m FROM sp p, o JOIN sp n ON n.seg_id = p.seg_id AND n.j = p.j + dj AND n.i = p.i + di GROUP BY 1, 2, 3) SELECT seg_id, j, i FROM m WHERE m >= 80 AND m <= 110"),
     ),
     "f15_distrusted_fit": (
