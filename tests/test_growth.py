@@ -18,3 +18,9 @@ def test_a_cell_without_neighbours_has_no_mean(spark, tmp_path):
     folder = _parts(tmp_path, [(0, 2, 3), (0, 2, 4), (1, 5, 5)])
     got = registry.queries()["f6_neighbour_mean_veto"](spark, folder).collect()
     assert sorted(map(tuple, got)) == [(0, 2, 3), (0, 2, 4)]
+
+
+def test_no_side_of_a_join_is_broadcast_by_its_estimated_size(spark):
+    for name in ("j8_self_overlap", "j5_nearest_surface", "j13_line_distance"):
+        plan = registry.queries()[name](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
+        assert "Join" in plan and "Broadcast" not in plan
