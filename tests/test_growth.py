@@ -2,6 +2,7 @@
 
 import pandas as pd
 
+from lamina.operators import sampling
 from lamina.plans import registry
 
 FOLDER = "/root/testdata/sf0.001"
@@ -24,3 +25,10 @@ def test_no_side_of_a_join_is_broadcast_by_its_estimated_size(spark):
     for name in ("j8_self_overlap", "j5_nearest_surface", "j13_line_distance"):
         plan = registry.queries()[name](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
         assert "Join" in plan and "Broadcast" not in plan
+
+
+def test_a_point_is_sampled_by_itself_also_where_its_name_is_not_its_own(spark):
+    v = spark.createDataFrame([(0, 0, 0, 8), (0, 0, 1, 16), (4, 4, 4, 80)], "z int, y int, x int, v int")
+    points = spark.createDataFrame([(1, 0.25, 0.0, 0.0), (1, 4.0, 4.0, 4.5), (2, 9.0, 9.0, 9.0), (3, -0.5, 0.0, 0.0)], "pt_id long, x double, y double, z double")
+    got = sorted(tuple(r) for r in sampling.trilinear(points, v).select("pt_id", "value", "gx", "gz").collect())
+    assert got == [(1, 10.0, 8.0, -10.0), (1, 40.0, -40.0, -80.0), (2, 0.0, 0.0, 0.0), (3, 4.0, 8.0, -4.0)]
