@@ -2,6 +2,7 @@
 
 import pandas as pd
 
+from lamina.functions import derive, hooks
 from lamina.operators import sampling
 from lamina.plans import registry
 
@@ -32,3 +33,20 @@ def test_a_point_is_sampled_by_itself_also_where_its_name_is_not_its_own(spark):
     points = spark.createDataFrame([(1, 0.25, 0.0, 0.0), (1, 4.0, 4.0, 4.5), (2, 9.0, 9.0, 9.0), (3, -0.5, 0.0, 0.0)], "pt_id long, x double, y double, z double")
     got = sorted(tuple(r) for r in sampling.trilinear(points, v).select("pt_id", "value", "gx", "gz").collect())
     assert got == [(1, 10.0, 8.0, -10.0), (1, 40.0, -40.0, -80.0), (2, 0.0, 0.0, 0.0), (3, 4.0, 8.0, -4.0)]
+
+
+def test_cells_of_a_small_file_are_dealt_over_tasks(spark, tmp_path):
+    folder = _parts(tmp_path, [(s, j, i) for s in range(100) for j in range(10) for i in range(50)])
+    sp = derive.surface_points(spark, folder)
+    assert sp.rdd.getNumPartitions() == 3 and sp.count() == 50_000
+    assert derive.surface_points(spark, FOLDER).rdd.getNumPartitions() == 1
+
+
+def test_jobs_of_a_trace_do_not_grow_with_its_segments(spark, tmp_path, monkeypatch):
+    folder = _parts(tmp_path, [(s, 0, i) for s in range(40) for i in range(3)])
+    asked = []
+    every = hooks.side_by_side
+    monkeypatch.setattr(hooks, "side_by_side", lambda spark, jobs, *a: asked.append(len(jobs)) or every(spark, jobs, *a))
+    got = registry.queries()["e7_trace_jobs"](spark, folder).collect()
+    assert sorted((r["seg_id"], r["nvalid"], r["x_lo"], r["x_hi"]) for r in got) == [(s, 3, 1.0, 41.0) for s in range(40)]
+    assert asked == [8]
