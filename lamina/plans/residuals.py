@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lamina.functions import hooks
@@ -13,10 +16,12 @@ from lamina.operators import surface as su
 from lamina.plans.points import _T, _scaled, _sqls
 from lamina.plans.stores import FIT, _text
 from lamina.plans.volumes import DISTANCE
-from lamina.session import room
+from lamina.session import cut, room
 from lamina.sources import sidecars, volumes
 
 BEND = 0.9
+#: Jobs that share the segments of a trace: their number doesn't grow with the segments.
+JOBS = 8
 _AX = "xyz"
 
 
@@ -49,11 +54,11 @@ def _variants(s, d):
 
 
 def _trace_jobs(s, d):
-    """The bounds of every segment, found by jobs side by side, one for each seed's segment."""
+    """The bounds of every segment, found by jobs side by side, each for its share of the seeds' segments."""
     sp = surface_points(s, d)
-    segs = sorted(r["seg_id"] for r in sp.select("seg_id").distinct().collect())  # one seed a segment, so a row each
-    rows = hooks.side_by_side(s, [lambda k=k: su.bounds(sp.where(F.col("seg_id") == k)).first() for k in segs])
-    return s.createDataFrame([tuple(r) for r in rows], su.bounds(sp).schema)
+    share = F.pmod(F.hash("seg_id"), F.lit(JOBS))
+    found = hooks.side_by_side(s, [lambda k=k: cut(su.bounds(sp.where(share == k))) for k in range(JOBS)], JOBS)
+    return reduce(DataFrame.union, found)
 
 
 def _predict_tree(s, d):
