@@ -183,3 +183,12 @@ def test_few_vectors(spark):
     near = lambda rows: sorted(map(tuple, annsearch.nearest(spark.createDataFrame(rows, kind), F.col("vec_id") % 20 == 0).collect()))
     assert near([]) == [] == near([(20, [1.0, 2.0])]) == near([(21, [1.0]), (22, [2.0])])
     assert near([(20, [1.0, 2.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0])]) == [(20, 1, 1, 1.0), (20, 2, 2, 1.0)]
+
+
+def test_audit_holds_no_plan_of_all_its_states(spark):
+    rows = spark.createDataFrame([("p", True, False, k % 2 == 0, k % 3 == 0, k % 5 == 0) for k in range(30)], "part string, good boolean, toxic boolean, A boolean, B boolean, C boolean")
+    got = filteraudit.audit(rows, "ABC")
+    assert got._jdf.queryExecution().executedPlan().toString().count("InMemoryTableScan") == 0
+    want = {("ABC", 1): 15, ("ABC", 2): 5, ("ABC", 3): 2, ("CBA", 1): 6, ("CBA", 2): 8, ("CBA", 3): 8}
+    assert {(r["filter_order"], r["step"]): r["removed"] for r in got.collect() if r["filter_order"] in ("ABC", "CBA")} == want
+    assert not spark.sparkContext._jsc.getPersistentRDDs()
