@@ -4,7 +4,7 @@ import pandas as pd
 
 from lamina.functions import derive, hooks
 from lamina.operators import sampling
-from lamina.plans import registry
+from lamina.plans import registry, volumes
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -50,3 +50,10 @@ def test_jobs_of_a_trace_do_not_grow_with_its_segments(spark, tmp_path, monkeypa
     got = registry.queries()["e7_trace_jobs"](spark, folder).collect()
     assert sorted((r["seg_id"], r["nvalid"], r["x_lo"], r["x_hi"]) for r in got) == [(s, 3, 1.0, 41.0) for s in range(40)]
     assert asked == [8]
+
+
+def test_grown_hysteresis_reads_its_table_once(spark, monkeypatch):
+    asked = []
+    every = volumes.sided_voxels
+    monkeypatch.setattr(volumes, "sided_voxels", lambda *a: asked.append(a[1:]) or every(*a))
+    assert registry.queries()["f9_grown_hysteresis"](spark, FOLDER).count() and asked == [(FOLDER, 32)]
