@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lamina.session import by_shuffle
+
 XYZ = ("x", "y", "z")
 
 
@@ -104,7 +106,7 @@ def nearest_surface(points: DataFrame, quads: DataFrame, reach: float) -> DataFr
         at, p00, p10, p01, p11 = (v[:, k : k + 3] for k in range(0, 15, 3))
         return pa.array(np.minimum(triangle_distance2(at, p00, p10, p01), triangle_distance2(at, p11, p01, p10)))
 
-    pair = p.join(q, ["c" + c for c in XYZ])
+    pair = p.join(by_shuffle(q), ["c" + c for c in XYZ])
     d2 = distance2(*XYZ, *(f"{k}.{c}" for k in ("p00", "p10", "p01", "p11") for c in XYZ))
     best = pair.select("pt_id", d2.alias("d2"), "seg_id", "j", "i").where(F.col("d2") <= reach * reach).select("pt_id", F.struct("d2", "seg_id", "j", "i").alias("s"))
     return best.groupBy("pt_id").agg(F.min("s").alias("s")).select("pt_id", "s.*")
