@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lamina.operators import index, sampling
 from lamina.operators.surface import CELL, XYZ, around, cross, dot, normals, quads, sub
-from lamina.session import cut
+from lamina.session import by_shuffle, cut
 
 
 def _turn(a: str, b: str, c: str) -> Column:
@@ -165,7 +165,7 @@ def self_approach(sp: DataFrame, least: float, apart: int = 8, far: int = 20) ->
     n = normals(sp)
     one = n.select(*CELL, *(F.col("n" + c).alias("m" + c) for c in XYZ))
     two = n.select("seg_id", F.col("j").alias("j2"), F.col("i").alias("i2"), *("n" + c for c in XYZ))
-    both = near.join(one, list(CELL), "left").join(two, ["seg_id", "j2", "i2"], "left")
+    both = near.join(by_shuffle(one), list(CELL), "left").join(by_shuffle(two), ["seg_id", "j2", "i2"], "left")
     along = sum((F.col("m" + c) * F.col("n" + c) for c in XYZ), F.lit(0.0))
     steps = F.greatest(F.abs(F.col("i") - F.col("i2")), F.abs(F.col("j") - F.col("j2")))
     counts = along.isNull() | (along < -0.3) | ((along > 0.3) & (steps > far))
