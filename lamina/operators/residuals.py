@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lamina.operators import index, sampling
 from lamina.operators.surface import CELL, XYZ, around, cross, dot, normals, quads, sub
-from lamina.session import by_shuffle, cut
+from lamina.session import by_shuffle, cut, saved
 
 
 def _turn(a: str, b: str, c: str) -> Column:
@@ -123,7 +123,7 @@ def alignment(sp: DataFrame, lines: DataFrame, spiral: tuple[dict, tuple[float,
     ch = cut(chords(sp, ("wind",) if spiral else ()).repartition(tasks, *CHORD))
     ch = ch.withColumns({"mu": (F.col("au") + F.col("eu")) / 2, "mv": (F.col("av") + F.col("ev")) / 2})
     st = lines.withColumns({"su": F.expr("(u0 + u1) / 2"), "sv": F.expr("(v0 + v1) / 2"), "tu": F.expr("u1 - u0"), "tv": F.expr("v1 - v0")})
-    st = _fixed(st, {"tl": F.expr("sqrt(tu * tu + tv * tv)")}).where("tl >= 1e-6")
+    st = saved(_fixed(st, {"tl": F.expr("sqrt(tu * tu + tv * tv)")}).where("tl >= 1e-6"))  # both parts take them: files are decoded once
     d2 = F.expr("(su - mu) * (su - mu) + (sv - mv) * (sv - mv)")
 
     def spread(df: DataFrame, side: float, low: dict[str, Column], high: dict[str, Column]) -> DataFrame:
@@ -134,17 +134,18 @@ def alignment(sp: DataFrame, lines: DataFrame, spiral: tuple[dict, tuple[float,
     around_ = {c: F.col("m" + c) for c in "uv"}
     one = spread(ch, 2 * EVIDENCE, {c: m - EVIDENCE for c, m in around_.items()}, {c: m + EVIDENCE for c, m in around_.items()})
     two = st.withColumns({f"b{c}": F.floor(F.col(f"s{c}") / (2 * EVIDENCE)) for c in "uv"})
-    both = one.join(two.select("plane", "slice", "bu", "bv", "su", "sv", "tu", "tv", "tl"), ["plane", "slice", "bu", "bv"])
+    both = one.join(by_shuffle(two.select("plane", "slice", "bu", "bv", "su", "sv", "tu", "tv", "tl")), ["plane", "slice", "bu", "bv"])
     turned = 1 - F.abs(F.expr("try_divide(ev - av, len) * try_divide(-tv, tl) + try_divide(au - eu, len) * try_divide(tu, tl)"))
-    both = _fixed(both.where(d2 <= EVIDENCE * EVIDENCE), {"turned": turned, "w": 1 / F.greatest(F.lit(10.0), d2)})
-    sums = both.groupBy(*CHORD).agg(F.count("*").alias("n"), F.sum("w").alias("w"), F.sum(F.col("w") * F.col("turned")).alias("s"), F.max("weight").alias("weight"))
+    w = 1 / F.greatest(F.lit(10.0), d2)
+    sums = both.where(d2 <= EVIDENCE * EVIDENCE).groupBy(*CHORD).agg(F.count("*").alias("n"), F.sum(w).alias("w"), F.sum(w * turned).alias("s"), F.max("weight").alias("weight"))
 
     side = 8 * TRIGGER
     ends = spread(ch, side, {c: F.col("e" + c) - TRIGGER for c in "uv"}, {c: F.col("e" + c) + TRIGGER for c in "uv"})
     steps = spread(st, side, {c: F.least(c + "0", c + "1") for c in "uv"}, {c: F.greatest(c + "0", c + "1") for c in "uv"})
     at = {c: F.col(c) for c in ("au", "av", "eu", "ev", "u0", "v0", "u1", "v1", "pu", "pv", "nu", "nv")}
     far = _from_line(at["eu"], at["ev"], at["u0"], at["v0"], at["u1"], at["v1"])
-    pairs = _fixed(ends.join(steps, ["plane", "slice", "bu", "bv"]).where(d2 <= CANDIDATES * CANDIDATES), {"far": far}).where(F.col("far") < TRIGGER * TRIGGER)
+    beside = F.expr(" and ".join(f"e{c} > least({c}0, {c}1) - {TRIGGER} and e{c} < greatest({c}0, {c}1) + {TRIGGER}" for c in "uv"))  # cheap, and true of all that are so near
+    pairs = ends.join(by_shuffle(steps), ["plane", "slice", "bu", "bv"]).where(beside & (d2 <= CANDIDATES * CANDIDATES) & (far < TRIGGER * TRIGGER)).withColumn("far", far)
     if spiral:
         mid = {"xy": ("su", "sv", "slice"), "xz": ("su", "slice", "sv"), "yz": ("slice", "su", "sv")}
         place = [F.coalesce(*(F.when(F.col("plane") == p, F.col(m[k]).cast("double")) for p, m in mid.items())) for k in range(3)]
@@ -155,7 +156,7 @@ def alignment(sp: DataFrame, lines: DataFrame, spiral: tuple[dict, tuple[float,
     pairs = pairs.select(*CHORD, (F.sqrt("corner") / RANGE).alias("f"), (F.col("far") / TRIGGER).alias("g"))
     best = pairs.groupBy(*CHORD).agg(F.min(F.struct(F.expr("0.5 * (f + g)").alias("score"), F.expr("f * (1 - g) + g").alias("loss"))).alias("best"))
     term = (W_NORMAL * F.col("s") / F.col("w") + W_SNAP * F.coalesce("best.loss", F.lit(1.0))) * F.col("weight")
-    return sums.join(best, CHORD, "left").select(*CHORD, "n", term.alias("align_term"))
+    return sums.join(by_shuffle(best), CHORD, "left").select(*CHORD, "n", term.alias("align_term"))
 
 
 def self_approach(sp: DataFrame, least: float, apart: int = 8, far: int = 20) -> DataFrame:

@@ -4,7 +4,7 @@ A file holds the paths of one slice and an index of square buckets. All numbers
 header names the slice's extent, the buckets' side and where index and paths begin; the index gives
 of each bucket the places of its paths, bucket by bucket; a path is its first point, the length of
 its steps in bytes, and a signed byte each for the steps in u and v. A file without a byte is a slice
-that has no path; Spark's listing passes over it, so it has no row anywhere. A path is written as one row, and a slice's index as one; paths are streamed to
+that has no path; listings pass over it, so it has no row anywhere. A path is written as one row, and a slice's index as one; paths are streamed to
 their file in order, so no task holds a slice's paths.
 
 Defined results: a longer step than a signed byte holds is written as several; negative places are
@@ -15,7 +15,7 @@ status "bad" and no lines; a path that doesn't fit into its file is left out.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -24,7 +24,7 @@ from pyarrow import fs as stores
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lamina.session import saved
+from lamina.session import by_shuffle, saved
 from lamina.sources.files import write_files
 
 #: The format's fixed values: its mark, its version and the bytes of its header.
@@ -32,6 +32,8 @@ MARK, VERSION, HEADER = 0x56434753, 3, 52
 #: The longest step that is written as one.
 LONGEST = 127
 SLICE = ["plane", "slice"]
+#: Names, and rows of decoded files, that a task hands on at once.
+NAMES, ROWS = 10_000, 100_000
 LINES = "plane string, slice int, rec long, k int, u0 double, v0 double, u1 double, v1 double, pu double, pv double, nu double, nv double"
 
 
@@ -103,7 +105,7 @@ def write_slices(points: DataFrame, path: str, extents: dict[str, tuple[int, int
     entries = ends.withColumn("bx", touched("u", "w")).withColumn("by", touched("v", "h"))
     entries = entries.select(*SLICE, "path_id", (F.col("by") * F.ceil(F.col("w") / cell) + F.col("bx")).alias("b")).distinct()
     name = F.format_string("%s/%06d.grid", "plane", "slice").alias("name")
-    whole = entries.join(placed, [*SLICE, "path_id"]).groupBy(*SLICE).agg(F.count_distinct("path_id").alias("n"), F.sort_array(F.collect_list(F.struct("b", "off"))).alias("entries"))
+    whole = entries.join(by_shuffle(placed), [*SLICE, "path_id"]).groupBy(*SLICE).agg(F.count_distinct("path_id").alias("n"), F.sort_array(F.collect_list(F.struct("b", "off"))).alias("entries"))
     index = whole.select(name, "n", w.alias("w"), h.alias("h"), F.lit(cell).alias("cell"), "entries").mapInArrow(_index, "name string, data binary")
     parts = index.select("name", F.lit(None).cast("long").alias("path_id"), "data").union(records.select(name, "path_id", "data"))
     write_files(parts.repartition("name").sortWithinPartitions("name", F.asc_nulls_first("path_id")).select("name", "data"), path)
@@ -156,20 +158,45 @@ def _buckets_of(got: dict) -> pd.DataFrame:
     return pd.DataFrame({"bx": got["bucket"] % got["across"], "by": got["bucket"] // got["across"], "rec": got["place"], "cell": got["cell"], "w": got["w"], "h": got["h"]})
 
 
-def _read(spark: SparkSession, path: str, what, schema: str) -> DataFrame:
-    """``what`` of every file, which are opened one at a time in tasks; None stands for a file of another form."""
-    names = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.grid").load(path).select("path")
+def _listed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Slice files, not empty, in the folders ``path`` and those below; as for Spark, names that begin with ``_`` or ``.`` are hidden."""
+    for b in batches:
+        for top in b["path"]:
+            top = top.replace("file:/", "file:///", 1) if top.startswith("file:/") and not top.startswith("file:///") else top
+            store, root = stores.FileSystem.from_uri(top)
+            found = store.get_file_info(stores.FileSelector(root, recursive=True))
+            names = [f.path for f in found if f.is_file and f.size and f.path.endswith(".grid") and not any(p[:1] in "_." for p in f.path[len(root) :].strip("/").split("/"))]
+            for k in range(0, len(names), NAMES):
+                yield pd.DataFrame({"top": top, "path": names[k : k + NAMES]})
+
+
+def _read(spark: SparkSession, path: str, what: Callable[[dict | None], pd.DataFrame | None], schema: str) -> DataFrame:
+    """``what`` of every file, which are opened one at a time in tasks; None stands for a file of another form.
+
+    The folder is listed by a task and its names are dealt over tasks: the driver would hold each
+    file's status, and plan a share of a task for it.
+    """
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    names = spark.createDataFrame([(path,)], "path string").mapInPandas(_listed, "top string, path string").repartition(tasks)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out, rows = [], 0
         for b in batches:
-            for p in b["path"]:
-                store, inner = stores.FileSystem.from_uri(p.replace("file:/", "file:///", 1) if p.startswith("file:/") and not p.startswith("file:///") else p)
+            for top, inner in zip(b["top"], b["path"], strict=True):
+                store, _ = stores.FileSystem.from_uri(top)
                 with store.open_input_stream(inner) as f:
                     data = f.read()
-                out = what(_decoded(data))
-                if out is not None:
-                    plane, name = inner.split("/")[-2:]
-                    yield out.assign(plane=plane, slice=int(name.partition(".")[0]))
+                got = what(_decoded(data))
+                if got is None:
+                    continue
+                plane, name = inner.split("/")[-2:]
+                out.append(got.assign(plane=plane, slice=int(name.partition(".")[0])))
+                rows += len(got)
+                if rows >= ROWS:
+                    yield pd.concat(out, ignore_index=True)
+                    out, rows = [], 0
+        if out:
+            yield pd.concat(out, ignore_index=True)
 
     return names.mapInPandas(run, schema)
 
@@ -199,7 +226,7 @@ def paths_at(buckets: DataFrame, points: DataFrame, radius: float) -> DataFrame:
     The square's corner and side lose their fractions, and it is cut to the slice's extent; an empty one finds nothing.
     """
     form = buckets.select(*SLICE, "cell", "w", "h").distinct()
-    at = points.join(form, SLICE)
+    at = points.join(by_shuffle(form), SLICE)
     span = []
     for c, size in (("u", "w"), ("v", "h")):
         low = (F.col(c) - radius).cast("long")
@@ -208,4 +235,4 @@ def paths_at(buckets: DataFrame, points: DataFrame, radius: float) -> DataFrame:
         span.append((lo, hi, F.sequence(F.floor(lo / F.col("cell")), F.least(last, F.floor(F.greatest(lo, hi) / F.col("cell"))))))
     at = at.where((span[0][0] < span[0][1]) & (span[1][0] < span[1][1]))
     at = at.withColumn("bx", F.explode(span[0][2])).withColumn("by", F.explode(span[1][2]))
-    return at.select("pt_id", *SLICE, "bx", "by").join(buckets.select(*SLICE, "bx", "by", "rec"), [*SLICE, "bx", "by"]).select("pt_id", *SLICE, "rec").distinct()
+    return at.select("pt_id", *SLICE, "bx", "by").join(by_shuffle(buckets.select(*SLICE, "bx", "by", "rec")), [*SLICE, "bx", "by"]).select("pt_id", *SLICE, "rec").distinct()

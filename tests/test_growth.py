@@ -3,8 +3,9 @@
 import pandas as pd
 
 from lamina.functions import derive, hooks
-from lamina.operators import sampling
+from lamina.operators import geometry, index, residuals, sampling, surface
 from lamina.plans import registry, volumes
+from lamina.sources import paths
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -57,3 +58,36 @@ def test_grown_hysteresis_reads_its_table_once(spark, monkeypatch):
     every = volumes.sided_voxels
     monkeypatch.setattr(volumes, "sided_voxels", lambda *a: asked.append(a[1:]) or every(*a))
     assert registry.queries()["f9_grown_hysteresis"](spark, FOLDER).count() and asked == [(FOLDER, 32)]
+
+
+def test_operators_shuffle_both_sides_also_where_the_session_lets_small_ones_be_broadcast(spark):
+    names = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    before = {n: spark.conf.get(n, None) for n in names}
+    try:
+        for n in names:
+            spark.conf.set(n, "10m")
+        sp, points = derive.surface_points(spark, FOLDER), derive.query_points(spark, FOLDER)
+        lines = spark.range(9).selectExpr("double(id) x0", "double(id) y0", "double(id + 1) x1", "double(id) y1")
+        steps = spark.range(9).selectExpr("'xy' plane", "int(id) slice", "id rec", "0 k", *(f"double(id + {k}) {c}" for k, c in enumerate(("u0", "v0", "u1", "v1"))), *(f"double(id) {c}" for c in ("pu", "pv", "nu", "nv")))
+        made = {
+            "self_overlap": index.self_overlap(sp, 14.0), "nearest": index.nearest(points, sp, 100.0), "support": index.support(points, sp, 150.0), "line_distance": index.line_distance(points, lines, 32.0),
+            "nearest_surface": geometry.nearest_surface(points, surface.quads(sp), 60.0), "self_approach": residuals.self_approach(sp, 14.0), "alignment": residuals.alignment(sp, steps),
+        }
+        for name, df in made.items():
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            assert "Join" in plan, name
+            assert "BroadcastHashJoin" not in plan, name
+    finally:
+        for n, was in before.items():
+            spark.conf.set(n, was) if was is not None else spark.conf.unset(n)
+
+
+def test_slices_are_listed_by_tasks(spark, tmp_path):
+    points = spark.createDataFrame([("xy", n, 1, k, 3 * k, n) for n in range(5) for k in range(3)], "plane string, slice int, path_id long, k int, u int, v int")
+    paths.write_slices(points, str(tmp_path), {"xy": (64, 64)}, 32)
+    (tmp_path / "xy" / "000009.grid").touch()  # no byte, no path
+    (tmp_path / "_parts" / "000001.grid").write_bytes(b"left behind")
+    got = paths.slice_lines(spark, str(tmp_path))
+    assert "binaryFile" not in got._jdf.queryExecution().executedPlan().toString() and not got.inputFiles()
+    assert sorted((r["slice"], r["k"], r["u0"], r["u1"], r["pu"], r["nu"]) for r in got.collect()) == sorted(t for n in range(5) for t in [(n, 0, 0.0, 3.0, None, 6.0), (n, 1, 3.0, 6.0, 0.0, None)])
+    assert paths.slice_status(spark, str(tmp_path)).count() == 5
