@@ -136,16 +136,15 @@ def alignment(sp: DataFrame, lines: DataFrame, spiral: tuple[dict, tuple[float,
     two = st.withColumns({f"b{c}": F.floor(F.col(f"s{c}") / (2 * EVIDENCE)) for c in "uv"})
     both = one.join(by_shuffle(two.select("plane", "slice", "bu", "bv", "su", "sv", "tu", "tv", "tl")), ["plane", "slice", "bu", "bv"])
     turned = 1 - F.abs(F.expr("try_divide(ev - av, len) * try_divide(-tv, tl) + try_divide(au - eu, len) * try_divide(tu, tl)"))
-    w = 1 / F.greatest(F.lit(10.0), d2)
-    sums = both.where(d2 <= EVIDENCE * EVIDENCE).groupBy(*CHORD).agg(F.count("*").alias("n"), F.sum(w).alias("w"), F.sum(w * turned).alias("s"), F.max("weight").alias("weight"))
+    both = _fixed(both.where(d2 <= EVIDENCE * EVIDENCE), {"turned": turned, "w": 1 / F.greatest(F.lit(10.0), d2)})
+    sums = both.groupBy(*CHORD).agg(F.count("*").alias("n"), F.sum("w").alias("w"), F.sum(F.col("w") * F.col("turned")).alias("s"), F.max("weight").alias("weight"))
 
     side = 8 * TRIGGER
     ends = spread(ch, side, {c: F.col("e" + c) - TRIGGER for c in "uv"}, {c: F.col("e" + c) + TRIGGER for c in "uv"})
     steps = spread(st, side, {c: F.least(c + "0", c + "1") for c in "uv"}, {c: F.greatest(c + "0", c + "1") for c in "uv"})
     at = {c: F.col(c) for c in ("au", "av", "eu", "ev", "u0", "v0", "u1", "v1", "pu", "pv", "nu", "nv")}
     far = _from_line(at["eu"], at["ev"], at["u0"], at["v0"], at["u1"], at["v1"])
-    beside = F.expr(" and ".join(f"e{c} > least({c}0, {c}1) - {TRIGGER} and e{c} < greatest({c}0, {c}1) + {TRIGGER}" for c in "uv"))  # cheap, and true of all that are so near
-    pairs = ends.join(by_shuffle(steps), ["plane", "slice", "bu", "bv"]).where(beside & (d2 <= CANDIDATES * CANDIDATES) & (far < TRIGGER * TRIGGER)).withColumn("far", far)
+    pairs = _fixed(ends.join(by_shuffle(steps), ["plane", "slice", "bu", "bv"]).where(d2 <= CANDIDATES * CANDIDATES), {"far": far}).where(F.col("far") < TRIGGER * TRIGGER)
     if spiral:
         mid = {"xy": ("su", "sv", "slice"), "xz": ("su", "slice", "sv"), "yz": ("slice", "su", "sv")}
         place = [F.coalesce(*(F.when(F.col("plane") == p, F.col(m[k]).cast("double")) for p, m in mid.items())) for k in range(3)]
