@@ -13,9 +13,11 @@ An impact of a document with tf occurrences is (10**9 * tf) div (1000 * tf + 8 *
 10 + (90 * n * N) div L for n terms in the document, N documents with a term and L terms in all; a
 term's weight is floor(1000 * ln((2 * N + 2) / (2 * df + 1))).
 
-Memory: a task holds a shard at a time. A text longer than a shard is a shard of its own, counted in
-pieces of ``PIECE_BYTES``, so beside the text itself only its distinct terms are held. The driver holds
-a block of queries, ``BLOCK_ITEMS`` items and about ``BLOCK_TERMS`` terms, and a count for each term.
+Memory: a task holds a shard at a time. In the saved index a shard is a row group, as writers and readers hold
+whole groups; shards on their way to Python are bounded by Spark's bytes of an Arrow batch. A text longer than
+a shard is a shard of its own, counted in pieces of ``PIECE_BYTES``, so beside the text itself only its
+distinct terms are held. The driver holds a block of queries, ``BLOCK_ITEMS`` items and about ``BLOCK_TERMS``
+terms, and a count for each term.
 
 Defined results: a null text has no term, and a query without terms or without a document of a score
 above 0 has no rows; rows that repeat an id are documents of their own and may both be found; ties go
@@ -138,7 +140,7 @@ def index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tu
         tidy()
 
     kept = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"))
-    return saved(kept.mapInArrow(run, "ids array<long>, terms array<string>, at array<int>, doc array<int>, impact array<int>")), many
+    return saved(kept.mapInArrow(run, "ids array<long>, terms array<string>, at array<int>, doc array<int>, impact array<int>"), group_rows=1), many
 
 
 def query_terms(items: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:

@@ -5,9 +5,11 @@ import random
 import re
 from collections import Counter
 from itertools import permutations
+from urllib.parse import urlparse
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -62,6 +64,18 @@ def test_a_long_text_is_counted_whole(spark):
     assert list(map(tuple, lexsearch.search(*lexsearch.index(d), q).collect())) == ranked([(1, text), (2, "omega"), (3, "alpha"), (4, "none")], [(1, "omega alpha " + "x" * 3_000_000)], 10)
 
 
+def test_a_shard_is_a_row_group_of_its_own(spark, monkeypatch):
+    monkeypatch.setattr(lexsearch, "SHARD_BYTES", 200)
+    docs = [(k, f"the w{k % 7} w{k % 11} " * (k % 9 + 1)) for k in range(300)]
+    items = [(1, "w3 the"), (2, "w5 w10 w6")]
+    shards, many = lexsearch.index(spark.createDataFrame(docs, "doc_id long, text string").coalesce(1))
+    files = [pq.read_metadata(urlparse(f).path) for f in shards.inputFiles()]
+    rows = [f.row_group(k).num_rows for f in files for k in range(f.num_row_groups)]
+    assert len(rows) == shards.count() > 50 and set(rows) == {1}
+    got = lexsearch.search(shards, many, spark.createDataFrame(items, "item_id long, text string"))
+    assert sorted(map(tuple, got.collect()), key=lambda r: r[:2]) == ranked(docs, items, 10)
+
+
 def test_lexical_search_of_empty_tables(spark):
     d, q = spark.createDataFrame([], "doc_id long, text string"), spark.createDataFrame([(1, "a")], "item_id long, text string")
     assert lexsearch.search(*lexsearch.index(d), q).count() == 0
