@@ -14,7 +14,7 @@ An impact of a document with tf occurrences is (10**9 * tf) div (1000 * tf + 8 *
 term's weight is floor(1000 * ln((2 * N + 2) / (2 * df + 1))).
 
 Memory: a task holds a shard at a time. In the saved index a shard is a row group, as writers and readers hold
-whole groups; shards on their way to Python are bounded by Spark's bytes of an Arrow batch. A text longer than
+whole groups; Arrow batches have about ``BATCH_BYTES``, so shards go to Python one by one. A text longer than
 a shard is a shard of its own, counted in pieces of ``PIECE_BYTES``, so beside the text itself only its
 distinct terms are held. The driver holds a block of queries, ``BLOCK_ITEMS`` items and about ``BLOCK_TERMS``
 terms, and a count for each term.
@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lamina.llm.arrowtext import pieces, slices, texts, tidy, utf8
-from lamina.session import cut, saved, text_batches
+from lamina.session import byte_batches, cut, saved, text_batches
 
 SHARD_BYTES, PIECE_BYTES = 8 << 20, 1 << 20
 #: Queries that are searched in one pass over the index, and their terms.
@@ -112,6 +112,7 @@ def totals(docs: DataFrame, text_col: str = "text") -> tuple[int, int]:
                 yield pa.RecordBatch.from_pydict({"n": pa.array([int((n > 0).sum())], pa.int64()), "l": pa.array([int(n.sum())], pa.int64())})
 
     text_batches(docs.sparkSession)
+    byte_batches(docs.sparkSession)
     got = docs.select(F.col(text_col).alias("t")).mapInArrow(run, "n long, l long").agg(F.sum("n").alias("n"), F.sum("l").alias("l")).first()
     return got["n"] or 0, got["l"] or 0
 
@@ -228,6 +229,7 @@ def _search_block(shards: DataFrame, block: list, many: int, most: int) -> DataF
 def search(shards: DataFrame, many: int, items: DataFrame, most: int = BEST, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
     """Of each query its ``most`` best documents: the id, ``rank`` from 1, ``doc_id`` and ``score``."""
     spark = shards.sparkSession
+    byte_batches(spark)
     kind = items.select(id_col).schema
     order = Window.partitionBy("item").orderBy(F.desc("score"), F.asc_nulls_first("doc_id"))
     out = spark.createDataFrame([], f"`{id_col}` {kind[0].dataType.simpleString()}, rank int, doc_id long, score long")

@@ -13,6 +13,7 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
+from lamina import session
 from lamina.llm import annsearch, filteraudit, lexsearch
 
 TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
@@ -76,6 +77,20 @@ def test_a_shard_is_a_row_group_of_its_own(spark, monkeypatch):
     assert sorted(map(tuple, got.collect()), key=lambda r: r[:2]) == ranked(docs, items, 10)
 
 
+def test_shards_go_to_python_one_by_one(spark, monkeypatch):
+    monkeypatch.setattr(lexsearch, "SHARD_BYTES", 2000)
+    monkeypatch.setattr(session, "BATCH_BYTES", 1000, raising=False)
+    docs = spark.createDataFrame([(k, " ".join(f"w{j}" for j in range(k, k + 90))) for k in range(100)], "doc_id long, text string").coalesce(1)
+    sizes = lambda batches: (pa.RecordBatch.from_pydict({"n": pa.array([b.num_rows], pa.int64())}) for b in batches)
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    try:
+        shards, _ = lexsearch.index(docs)
+        rows = [r["n"] for r in shards.mapInArrow(sizes, "n long").collect()]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    assert len(rows) > 20 and max(rows) == 1
+
+
 def test_lexical_search_of_empty_tables(spark):
     d, q = spark.createDataFrame([], "doc_id long, text string"), spark.createDataFrame([(1, "a")], "item_id long, text string")
     assert lexsearch.search(*lexsearch.index(d), q).count() == 0
